@@ -1,8 +1,11 @@
 """Queries of the corpus operators, and SQL for those that SQL can express."""
 
+from .bpe import op5_bpe
 from .chat import OP10_SQL, op10_chat
 from .decontaminate import OP8_SQL, op8_decontaminate
+from .linededup import op3_linededup
+from .quality import op1_quality
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {"op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op10_chat": op10_chat}
+QUERIES = {"op1_quality": op1_quality, "op3_linededup": op3_linededup, "op5_bpe": op5_bpe, "op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op10_chat": op10_chat}
 SQL = {"op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_chat": OP10_SQL}

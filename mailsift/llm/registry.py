@@ -5,9 +5,10 @@ from .chat import OP10_SQL, op10_chat
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .html import op2_html
 from .linededup import op3_linededup
+from .lm import op6_lm
 from .neardup import op9_bagminhash
 from .quality import op1_quality
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_linededup": op3_linededup, "op5_bpe": op5_bpe, "op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op9_bagminhash": op9_bagminhash, "op10_chat": op10_chat}
+QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_linededup": op3_linededup, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op9_bagminhash": op9_bagminhash, "op10_chat": op10_chat}
 SQL = {"op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_chat": OP10_SQL}

@@ -22,6 +22,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -222,13 +223,18 @@ class Tokenizer:
             return map(self.runs.__getitem__, filter(None, self.blank.split(text)))
         return map(self.runs.__getitem__, text.split())
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of tokens, and SHA-256 of the joined ids and of the decoded text, fed piece by piece."""
+    def digests(self, text: str, sink: list[str] | None = None) -> tuple[int, str, str]:
+        """Number of tokens, and SHA-256 of the joined ids and of the decoded text, fed piece by piece.
+
+        sink gets the ids, as numbers joined by spaces, of each piece.
+        """
         ids, decoded, n, first = hashlib.sha256(), hashlib.sha256(), 0, True
         pieces = self.pieces(text)
         while part := list(islice(pieces, 20_000)):
             a = " ".join([p[0] for p in part])
             ids.update((a if first else " " + a).encode())
+            if sink is not None:
+                sink.append(a)
             b = " ".join([p[1] for p in part])
             decoded.update((b if first else " " + b).encode("utf-8"))
             n += a.count(" ") + 1
@@ -309,12 +315,13 @@ def encode(docs: DataFrame, file: str | None = None, with_ids: bool = False) ->
             n, ids, decoded, lists = [], [], [], []
             for text in part.column("text"):
                 text = text.as_py() or ""
-                a, b, c = machine.digests(text)
+                sink: list[str] | None = [] if with_ids else None
+                a, b, c = machine.digests(text, sink)
                 n.append(a)
                 ids.append(b)
                 decoded.append(c)
                 if with_ids:
-                    lists.append(machine.encode(text))
+                    lists.append(np.array(" ".join(sink).split(), np.int32))
             columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

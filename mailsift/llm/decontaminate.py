@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, keyed, table
+from .common import NO_ID, cut, table
 
 WIDTH = 10
 SHINGLE = 3
@@ -56,7 +56,7 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Per row of docs: doc_id, text, n_words, the sorted hit positions and the sorted item ids."""
+    """Per row of docs: row (all its columns), n_words, the sorted hit positions and the sorted item ids."""
     spark = docs.sparkSession
     wins = cut(windows(benchmark, width).withColumn("wid", F.xxhash64("words")).withColumn("k", F.least("n", F.lit(shingle))), "windows")
     # Windows of fewer than ``shingle`` words need shorter shingles; most benchmarks have none.
@@ -70,10 +70,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
     small = known.count() <= broadcast_rows
     sent = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    text = keyed(docs)
+    text = docs.select(F.struct("*").alias("row"))
+    text = text.select(F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.xxhash64("row.text").alias("_h"), "row")
+    own = F.coalesce(F.col("row.text"), F.lit(""))
     found = None
     for k in sizes:
-        w = text.select("_d", "_h", tokens(F.col("_text")).alias("w"))
+        w = text.select("_d", "_h", tokens(own).alias("w"))
         hits = w.select("_d", "_h", F.posexplode(F.transform(_starts(F.col("w"), k), lambda i: _shingle(F.col("w"), i, k))).alias("pos", "s"))
         hits = hits.join(sent(known.filter(F.col("k") == k)), "s")
         found = hits if found is None else found.unionByName(hits)
@@ -87,12 +89,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
     # One window may be proposed for a place once only: the prefix is one shingle at one offset.
     spans = pairs.groupBy("_d", "_h").agg(F.collect_set(F.struct("start", "n", "words", "items")).alias("spans"))
 
-    joined = text.join(spans, ["_d", "_h"], "left").withColumn("_w", tokens(F.col("_text")))
+    joined = text.join(spans, ["_d", "_h"], "left").withColumn("_w", tokens(own))
     good = F.filter(F.coalesce("spans", F.array().cast("array<struct<start:int,n:int,words:array<string>,items:array<string>>>")), lambda s: (s["start"] + s["n"] <= F.size("_w")) & (F.slice("_w", s["start"] + 1, s["n"]) == s["words"]))
     joined = joined.withColumn("_good", good)
     return joined.select(
-        "doc_id",
-        F.col("_text").alias("text"),
+        "row",
         F.size("_w").cast("long").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("_good", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.transform("_good", lambda s: s["items"])))).alias("items"),
@@ -101,9 +102,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against the whole benchmark."""
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(
-        "doc_id",
+        "row.doc_id",
         "n_words",
         F.size("hits").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

@@ -1,4 +1,702 @@
 """All queries by name, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mailsift.functions import text as T
+from mailsift.functions import urls
+from mailsift.functions.refdata import BRAND_DOMAINS, LEXICONS
+from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, review, rules
+from mailsift.sources.tables import ctes, table, view
+from mailsift.streaming import windows
+
+from . import mail
+
+NOW, CUTOFF = "2024-03-01 00:00:00", "2024-01-15 00:00:00"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, *views: str):
+    """Registers a query, and its SQL behind the views it reads."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = f"{ctes(*views)}\n{sql}" if views else sql
+        return f
+
+    return keep
+
+
+# --- audit and review queue -------------------------------------------------
+
+LATEST = "(SELECT decision_id, analyst_label, created_ts AS feedback_ts FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY created_ts DESC, feedback_id DESC) AS r FROM fx_feedback) WHERE r = 1)"
+
+
+@query("decision_lookup", f"SELECT d.*, f.analyst_label, f.feedback_ts FROM fx_decisions d LEFT JOIN {LATEST} f ON f.decision_id = d.decision_id", "fx_decisions", "fx_feedback")
+def _(spark, d):
+    return review.decision_lookup(view(spark, d, "fx_decisions"), view(spark, d, "fx_feedback"))
+
+
+@query("decision_page", f"SELECT d.*, f.analyst_label, f.feedback_ts FROM (SELECT * FROM fx_decisions WHERE band = 'REVIEW' AND score >= 0.5 ORDER BY created_ts DESC, decision_id DESC LIMIT 100) d LEFT JOIN {LATEST} f ON f.decision_id = d.decision_id", "fx_decisions", "fx_feedback")
+def _(spark, d):
+    return review.decision_page(view(spark, d, "fx_decisions"), view(spark, d, "fx_feedback"), band="REVIEW", min_score=0.5)
+
+
+@query(
+    "ops_stats",
+    f"""SELECT count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(latency_ms), 6) AS mean_latency_ms, count(*) FILTER (band = 'ALLOW') AS allow,
+    count(*) FILTER (band = 'REVIEW') AS review, count(*) FILTER (band = 'BLOCK') AS block, count(analyst_label) AS with_feedback,
+    count(*) FILTER ((band = 'BLOCK' AND analyst_label = 'legitimate') OR (band = 'ALLOW' AND analyst_label = 'phishing')) AS disagreements
+    FROM fx_decisions d LEFT JOIN {LATEST} f ON f.decision_id = d.decision_id""",
+    "fx_decisions",
+    "fx_feedback",
+)
+def _(spark, d):
+    return review.ops_stats(view(spark, d, "fx_decisions"), view(spark, d, "fx_feedback"))
+
+
+@query("top_domains", "SELECT sender_domain, count(*) AS n, round(avg(score), 6) AS mean_score FROM fx_decisions GROUP BY sender_domain ORDER BY n DESC, sender_domain LIMIT 10", "fx_decisions")
+def _(spark, d):
+    return review.top_domains(view(spark, d, "fx_decisions"))
+
+
+@query("score_distribution", "SELECT least(CAST(floor(score * 20) AS INT), 19) AS bin, count(*) AS n FROM fx_decisions GROUP BY 1", "fx_decisions")
+def _(spark, d):
+    return review.score_distribution(view(spark, d, "fx_decisions"))
+
+
+@query(
+    "feedback_report",
+    """SELECT band, analyst_label, CASE WHEN band = 'BLOCK' AND analyst_label = 'legitimate' THEN 'false_block' WHEN band = 'ALLOW' AND analyst_label = 'phishing' THEN 'missed_phish' ELSE 'none' END AS disagreement,
+    count(*) AS n, round(avg(score), 6) AS mean_score FROM fx_decisions d JOIN fx_feedback f ON f.decision_id = d.decision_id GROUP BY 1, 2, 3""",
+    "fx_decisions",
+    "fx_feedback",
+)
+def _(spark, d):
+    return review.feedback_report(view(spark, d, "fx_decisions"), view(spark, d, "fx_feedback"))
+
+
+@query("refused_feedback", "SELECT * FROM fx_feedback f WHERE NOT EXISTS (SELECT 1 FROM fx_decisions d WHERE d.decision_id = f.decision_id AND d.band <> 'ALLOW')", "fx_decisions", "fx_feedback")
+def _(spark, d):
+    return review.refused_feedback(view(spark, d, "fx_decisions").filter("band <> 'ALLOW'"), view(spark, d, "fx_feedback"))
+
+
+SLA = "CASE priority WHEN 1 THEN 3600 WHEN 2 THEN 14400 ELSE 86400 END"
+AGE = f"CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(created_ts)) AS BIGINT)"
+
+
+@query(
+    "case_page",
+    f"""SELECT c.case_id, priority, state, origin, score, band, sender_domain, age_seconds, age_seconds > sla AS overdue FROM
+    (SELECT *, {SLA} AS sla, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - CAST(floor(epoch(created_ts)) AS BIGINT) AS age_seconds FROM fx_cases WHERE state IN ('open', 'in_review', 'escalated') ORDER BY priority, created_ts, case_id LIMIT 50) c
+    JOIN (SELECT decision_id, score, band, sender_domain FROM fx_decisions) d ON d.decision_id = c.decision_id""",
+    "fx_cases",
+)
+def _(spark, d):
+    return review.case_page(view(spark, d, "fx_cases"), view(spark, d, "fx_decisions"), NOW)
+
+
+@query("queue_depth", f"SELECT state, count(*) AS n, count(*) FILTER (state <> 'resolved' AND {AGE} > {SLA}) AS overdue FROM fx_cases GROUP BY state", "fx_cases")
+def _(spark, d):
+    return review.queue_depth(view(spark, d, "fx_cases"), NOW)
+
+
+@query(
+    "queue_stats",
+    f"""SELECT count(*) AS resolved, count(*) FILTER (resolution = 'confirmed_phishing') AS confirmed, quantile_cont(secs_to_claim, 0.5) AS median_claim, quantile_cont(secs_to_resolve, 0.5) AS median_resolve,
+    round(avg(CASE WHEN secs_to_resolve <= {SLA} THEN 1.0 ELSE 0.0 END), 6) AS within_sla,
+    round(sum(CASE WHEN origin = 'user_report' AND resolution = 'confirmed_phishing' THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN origin = 'user_report' THEN 1.0 ELSE 0 END), 0), 6) AS report_precision
+    FROM fx_cases WHERE state = 'resolved'""",
+    "fx_cases",
+)
+def _(spark, d):
+    return review.queue_stats(view(spark, d, "fx_cases"))
+
+
+@query("first_case", "SELECT decision_id, arg_min(case_id, case_id) AS case_id, count(*) AS n_cases FROM fx_cases GROUP BY decision_id", "fx_cases")
+def _(spark, d):
+    return review.first_case(view(spark, d, "fx_cases"))
+
+
+@query("resolution_feedback", "SELECT decision_id, case_id, CASE resolution WHEN 'confirmed_phishing' THEN 'phishing' WHEN 'released' THEN 'legitimate' ELSE 'unsure' END AS analyst_label FROM fx_cases WHERE state = 'resolved'", "fx_cases")
+def _(spark, d):
+    return review.resolution_feedback(view(spark, d, "fx_cases"))
+
+
+@query("reporter_status", "SELECT case_id, state, CASE WHEN state <> 'resolved' THEN 'An analyst is looking at it.' WHEN resolution = 'confirmed_phishing' THEN 'It was phishing. Thank you.' ELSE 'It was safe. Thank you.' END AS status FROM fx_cases WHERE origin = 'user_report'", "fx_cases")
+def _(spark, d):
+    return review.reporter_status(view(spark, d, "fx_cases"))
+
+
+@query("retention_keep", f"SELECT * FROM fx_decisions d WHERE created_ts >= TIMESTAMP '{CUTOFF}' OR decision_id IN (SELECT decision_id FROM fx_cases WHERE state <> 'resolved')", "fx_cases")
+def _(spark, d):
+    return review.retention_keep(view(spark, d, "fx_decisions"), view(spark, d, "fx_cases"), F.lit(CUTOFF).cast("timestamp_ntz"))
+
+
+ACTION = "CASE decision_id % 7 WHEN 0 THEN 'claim' WHEN 1 THEN 'release' WHEN 2 THEN 'escalate' WHEN 3 THEN 'resolve' WHEN 4 THEN 'reopen' WHEN 5 THEN 'comment' ELSE 'delete' END"
+
+
+@query(
+    "case_transitions",
+    f"""SELECT case_id, action, refused, CASE WHEN refused IS NULL THEN CASE action WHEN 'claim' THEN 'in_review' WHEN 'release' THEN 'open' WHEN 'escalate' THEN 'escalated' WHEN 'resolve' THEN 'resolved' WHEN 'reopen' THEN 'open' ELSE state END END AS next_state
+    FROM (SELECT *, CASE action
+        WHEN 'claim' THEN CASE WHEN state NOT IN ('open', 'escalated') THEN 'illegal_state' END
+        WHEN 'release' THEN CASE WHEN state <> 'in_review' THEN 'illegal_state' WHEN NOT is_assignee THEN 'not_assignee' END
+        WHEN 'escalate' THEN CASE WHEN state NOT IN ('open', 'in_review') THEN 'illegal_state' WHEN note = '' THEN 'note_required' END
+        WHEN 'resolve' THEN CASE WHEN state NOT IN ('in_review', 'escalated') THEN 'illegal_state' WHEN NOT is_assignee THEN 'not_assignee' END
+        WHEN 'reopen' THEN CASE WHEN state <> 'resolved' THEN 'illegal_state' WHEN note = '' THEN 'note_required' END
+        WHEN 'comment' THEN CASE WHEN note = '' THEN 'note_required' END
+        ELSE 'unknown_action' END AS refused
+      FROM (SELECT *, {ACTION} AS action, decision_id % 3 = 0 AS is_assignee, CASE WHEN decision_id % 2 = 0 THEN 'seen' ELSE '' END AS note FROM fx_cases))""",
+    "fx_cases",
+)
+def _(spark, d):
+    asked = view(spark, d, "fx_cases").withColumn("action", F.expr(ACTION)).withColumn("is_assignee", F.expr("decision_id % 3 = 0")).withColumn("note", F.expr("CASE WHEN decision_id % 2 = 0 THEN 'seen' ELSE '' END"))
+    return review.decide_transitions(asked).select("case_id", "action", "refused", "next_state")
+
+
+@query(
+    "stage_timings",
+    """SELECT event_type, count(*) AS n, round(sum(latency_ms), 4) AS total_ms, round(avg(latency_ms), 6) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms,
+    round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms, max(latency_ms) AS max_ms FROM fx_decisions GROUP BY event_type""",
+    "fx_decisions",
+)
+def _(spark, d):
+    return review.stage_timings(view(spark, d, "fx_decisions"))
+
+
+@query(
+    "trace_summary",
+    """SELECT msg_id, sender, CAST(ts AS DATE) AS day, row_number() OVER w AS place, CAST(floor(epoch(ts)) - floor(epoch(lag(ts) OVER w)) AS BIGINT) AS gap_seconds
+    FROM fx_mail_log WINDOW w AS (PARTITION BY sender, CAST(ts AS DATE) ORDER BY ts, msg_id)""",
+    "fx_mail_log",
+)
+def _(spark, d):
+    return review.trace_summary(view(spark, d, "fx_mail_log"))
+
+
+# --- evaluation -------------------------------------------------------------
+
+CONFUSION = "SELECT count(*) FILTER (y = 0 AND score < 0.5) AS tn, count(*) FILTER (y = 0 AND score >= 0.5) AS fp, count(*) FILTER (y = 1 AND score < 0.5) AS fn, count(*) FILTER (y = 1 AND score >= 0.5) AS tp"
+
+
+def _prf_sql(source: str, more: str = "") -> str:
+    share = lambda a, b: f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a}) / CAST(({b}) AS DOUBLE) END)"
+    p1, r1, p0, r0 = share("tp", "tp + fp"), share("tp", "tp + fn"), share("tn", "tn + fn"), share("tn", "tn + fp")
+    return f"""SELECT {more} tn, fp, fn, tp, round(p1, 5) AS precision, round(r1, 5) AS recall, round(f1, 5) AS f1, round((f1 + f0) / 2, 5) AS macro_f1, round(acc, 5) AS accuracy, round(fpr, 5) AS fpr, round(fnr, 5) AS fnr
+    FROM (SELECT *, {share("2 * p1 * r1", "p1 + r1")} AS f1, {share("2 * p0 * r0", "p0 + r0")} AS f0 FROM (SELECT *, {p1} AS p1, {r1} AS r1, {p0} AS p0, {r0} AS r0, {share("tp + tn", "tp + tn + fp + fn")} AS acc, {share("fp", "fp + tn")} AS fpr, {share("fn", "fn + tp")} AS fnr FROM ({source})))"""
+
+
+@query("confusion_prf", _prf_sql(f"{CONFUSION} FROM fx_scored"), "fx_scored")
+def _(spark, d):
+    return metrics.prf(metrics.confusion(view(spark, d, "fx_scored")))
+
+
+@query("slice_metrics", _prf_sql(f"SELECT * FROM ({CONFUSION}, slice_lang FROM fx_scored GROUP BY slice_lang) WHERE tn + fp + fn + tp >= 8", "slice_lang, tn + fp + fn + tp AS n, "), "fx_scored")
+def _(spark, d):
+    return metrics.slice_metrics(view(spark, d, "fx_scored"))
+
+
+@query(
+    "roc_auc",
+    """SELECT round((sum(CASE WHEN y = 1 THEN r END) - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS roc_auc, n0, n1 FROM
+    (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r, CAST(sum(y) OVER () AS BIGINT) AS n1, CAST(sum(1 - y) OVER () AS BIGINT) AS n0 FROM fx_scored) GROUP BY n0, n1""",
+    "fx_scored",
+)
+def _(spark, d):
+    return metrics.roc_auc(view(spark, d, "fx_scored"))
+
+
+RUNNING = "SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS pos_above, sum(neg) OVER (ORDER BY score DESC) AS neg_above FROM (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM fx_scored GROUP BY score)"
+
+
+@query("pr_auc", f"SELECT round(sum(pos * pos_above / CAST(pos_above + neg_above AS DOUBLE)) / sum(pos), 6) AS pr_auc FROM ({RUNNING})", "fx_scored")
+def _(spark, d):
+    return metrics.pr_auc(view(spark, d, "fx_scored"))
+
+
+@query(
+    "fpr_threshold",
+    f"SELECT target, min(score) AS threshold FROM ({RUNNING}) r, (SELECT unnest([0.06, 0.1, 0.25]::DOUBLE[]) AS target), (SELECT sum(1 - y) AS n0 FROM fx_scored) WHERE neg > 0 AND neg_above <= floor(CAST(target AS DOUBLE) * n0) GROUP BY target",
+    "fx_scored",
+)
+def _(spark, d):
+    return metrics.threshold_for_fpr(view(spark, d, "fx_scored"), (0.06, 0.1, 0.25))
+
+
+BANDED = "SELECT *, CASE WHEN score >= 0.8 THEN 'BLOCK' WHEN score >= 0.4 THEN 'REVIEW' ELSE 'ALLOW' END AS band FROM fx_scored"
+
+
+@query(
+    "banded_outcome",
+    _prf_sql(
+        f"""SELECT count(*) AS n, count(*) FILTER (band = 'ALLOW') AS allow, count(*) FILTER (band = 'REVIEW') AS review, count(*) FILTER (band = 'BLOCK') AS block, count(*) FILTER (y = 0 AND band = 'ALLOW') AS tn, count(*) FILTER (y = 0 AND band = 'BLOCK') AS fp,
+        count(*) FILTER (y = 1 AND band = 'ALLOW') AS fn, count(*) FILTER (y = 1 AND band = 'BLOCK') AS tp, count(*) FILTER (y = 1 AND band = 'REVIEW') AS phish_in_review, count(*) FILTER (y = 0 AND band = 'REVIEW') AS ham_in_review FROM ({BANDED})""",
+        "n, allow, review, block, phish_in_review, ham_in_review, round(review / CAST(n AS DOUBLE), 6) AS review_rate, ",
+    ),
+    "fx_scored",
+)
+def _(spark, d):
+    return metrics.banded_outcome(view(spark, d, "fx_scored"))
+
+
+@query(
+    "recall_curve",
+    f"""SELECT CAST(g AS INT) AS cell, round(coalesce(max(p), 0.0), 6) AS precision FROM (SELECT unnest(range(101)) AS g) LEFT JOIN
+    (SELECT pos_above / CAST(pos_above + neg_above AS DOUBLE) AS p, floor(pos_above * 100 / CAST((SELECT sum(y) FROM fx_scored) AS DOUBLE)) AS c FROM ({RUNNING}) WHERE pos_above > 0) ON c >= g GROUP BY g""",
+    "fx_scored",
+)
+def _(spark, d):
+    return metrics.recall_curve(view(spark, d, "fx_scored"))
+
+
+BINS15 = "SELECT CAST(least(floor(score * 15), 14) AS INT) AS bin, count(*) AS n, avg(score) AS c, avg(y) AS a, sum((score - y) * (score - y)) AS sq FROM fx_scored GROUP BY 1"
+
+
+@query("reliability", f"SELECT CAST(g AS INT) AS bin, coalesce(n, 0) AS n, round(c, 6) AS confidence, round(a, 6) AS accuracy FROM (SELECT unnest(range(15)) AS g) LEFT JOIN ({BINS15}) ON bin = g", "fx_scored")
+def _(spark, d):
+    return metrics.reliability(view(spark, d, "fx_scored"))
+
+
+@query("calibration_errors", f"SELECT round(sum(abs(c - a) * n) / sum(n), 6) AS ece, round(max(abs(c - a)) FILTER (n >= 20), 6) AS mce, round(sum(sq) / sum(n), 6) AS brier FROM ({BINS15})", "fx_scored")
+def _(spark, d):
+    return metrics.calibration_errors(view(spark, d, "fx_scored"))
+
+
+@query("score_histogram", "SELECT y, CAST(least(floor(score * 40), 39) AS INT) AS bin, count(*) AS n FROM fx_scored GROUP BY 1, 2", "fx_scored")
+def _(spark, d):
+    return metrics.class_histogram(view(spark, d, "fx_scored"))
+
+
+@query("confidence_profile", "SELECT CAST(least(floor(round(2 * abs(score - 0.5), 9) * 10), 9) AS INT) AS decile, count(*) AS n, round(avg(CASE WHEN CAST(score >= 0.5 AS INT) = y THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM fx_scored GROUP BY 1", "fx_scored")
+def _(spark, d):
+    return metrics.confidence_profile(view(spark, d, "fx_scored"))
+
+
+@query(
+    "error_classes",
+    """SELECT CASE WHEN y = 1 THEN CASE WHEN agree = 0 THEN 'missed_by_all' WHEN abs(score - 0.5) < 0.05 THEN 'missed_narrowly' WHEN m_rules < 0.5 THEN 'missed_by_rules' ELSE 'missed_in_fusion' END
+    ELSE CASE WHEN agree = 0 THEN 'alarm_by_all' WHEN abs(score - 0.5) < 0.05 THEN 'alarm_narrowly' WHEN m_rules >= 0.5 THEN 'alarm_by_rules' ELSE 'alarm_in_fusion' END END AS kind, count(*) AS n, round(max(abs(score - 0.5)), 6) AS worst
+    FROM (SELECT *, CAST(CAST(m_rules >= 0.5 AS INT) = y AS INT) + CAST(CAST(m_engineered >= 0.5 AS INT) = y AS INT) + CAST(CAST(m_charngram >= 0.5 AS INT) = y AS INT) + CAST(CAST(m_wordtfidf >= 0.5 AS INT) = y AS INT) AS agree FROM fx_scored)
+    WHERE CAST(score >= 0.5 AS INT) <> y GROUP BY 1""",
+    "fx_scored",
+)
+def _(spark, d):
+    return metrics.error_classes(view(spark, d, "fx_scored"))
+
+
+@query("worst_errors", "SELECT id, y, score, round(abs(score - 0.5), 6) AS severity FROM fx_scored WHERE CAST(score >= 0.5 AS INT) <> y ORDER BY severity DESC, id LIMIT 12", "fx_scored")
+def _(spark, d):
+    return metrics.worst_errors(view(spark, d, "fx_scored"))
+
+
+# --- policy -----------------------------------------------------------------
+
+LISTED = "[m_rules, m_engineered, m_charngram, m_wordtfidf]"
+
+
+@query(
+    "abstention_bands",
+    f"""SELECT id, spread, base_band, abstained, CASE WHEN abstained THEN 'REVIEW' ELSE base_band END AS band FROM (SELECT *, round(spread, 9) >= 0.45 AND list_min(m) < 0.4 AND (len(list_filter(m, lambda x: x >= 0.4)) >= 2 OR list_max(m) >= 0.8) AND base_band <> 'REVIEW' AS abstained
+    FROM (SELECT id, band AS base_band, {LISTED} AS m, list_max({LISTED}) - list_min({LISTED}) AS spread FROM ({BANDED})))""",
+    "fx_scored",
+)
+def _(spark, d):
+    return policy.abstention(view(spark, d, "fx_scored")).select("id", "spread", "base_band", "abstained", "band")
+
+
+@query(
+    "velocity_guard",
+    """SELECT decision_id, round(CASE WHEN available AND bump > 0.005 AND raised - score >= 0.0005 THEN raised ELSE score END, 9) AS guarded FROM (SELECT *, greatest(score, least(score + bump * (1 - score), 0.99)) AS raised FROM
+    (SELECT *, least(0.10 * least(ln(1 + burst) / 4, 1.0) * first_seen + 0.04 * CAST(reports > 0 AS INT) + 0.03 * CAST(aliases > 1 AS INT), 0.15) AS bump FROM
+    (SELECT decision_id, score, behavioral_available = 1 AS available, body_length // 37 AS burst, CAST(decision_id % 5 = 0 AS INT) AS first_seen, attachment_count AS reports, recipient_count AS aliases FROM fx_decisions)))""",
+    "fx_decisions",
+)
+def _(spark, d):
+    x = view(spark, d, "fx_decisions").selectExpr("decision_id", "score", "behavioral_available = 1 AS available", "body_length div 37 AS burst_count_1h", "decision_id % 5 = 0 AS first_seen", "attachment_count AS domain_report_count", "recipient_count AS display_name_alias_count")
+    return policy.velocity_guard(x).select("decision_id", F.round("guarded", 9).alias("guarded"))
+
+
+GRID = "(SELECT unnest([0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS t)"
+
+
+def _cost_sql(miss: str) -> str:
+    return f"""(SELECT miss, review, block, pa, pr, hr, hb, 50 * miss * (pa + 0.05 * pr) AS missed_cost, 1000 * (0.05 * pr + 0.95 * hr) AS reviews, 950 * 15.0 * (hb + 0.05 * hr) AS false_block_cost,
+    round(50 * miss * (pa + 0.05 * pr) + 1000 * (0.05 * pr + 0.95 * hr) + 950 * 15.0 * (hb + 0.05 * hr), 6) AS cost FROM
+    (SELECT a.t AS review, b.t AS block, 1 - a.p / n1 AS pa, (a.p - b.p) / n1 AS pr, (a.n - b.n) / n0 AS hr, b.n / n0 AS hb FROM at_t a JOIN at_t b ON a.t <= b.t, totals), (SELECT unnest({miss}::DOUBLE[]) AS miss))"""
+
+
+AT = f""", at_t AS (SELECT t, CAST(coalesce(sum(y), 0) AS DOUBLE) AS p, CAST(coalesce(sum(1 - y), 0) AS DOUBLE) AS n FROM {GRID} LEFT JOIN fx_scored ON score >= t GROUP BY t), totals AS (SELECT CAST(sum(y) AS DOUBLE) AS n1, CAST(sum(1 - y) AS DOUBLE) AS n0 FROM fx_scored)"""
+
+
+@query("policy_cost", f"{AT} SELECT review, block, round(pa, 6) AS p_allow_phish, round(pr, 6) AS p_review_phish, round(hr, 6) AS p_review_ham, round(hb, 6) AS p_block_ham, round(missed_cost, 6) AS missed_cost, round(reviews, 6) AS reviews, round(false_block_cost, 6) AS false_block_cost, cost FROM {_cost_sql('[200]')}", "fx_scored")
+def _(spark, d):
+    return policy.policy_costs(view(spark, d, "fx_scored"))
+
+
+@query("policy_best", f"{AT} SELECT miss, review, block, cost FROM (SELECT *, row_number() OVER (PARTITION BY miss ORDER BY cost, review, block) AS r FROM {_cost_sql('[50, 100, 200, 400, 800]')}) WHERE r = 1", "fx_scored")
+def _(spark, d):
+    return policy.policy_best(view(spark, d, "fx_scored"))
+
+
+@query("minimax_regret", f"{AT} SELECT review, block, round(max(cost - best), 6) AS worst_regret FROM (SELECT *, min(cost) OVER (PARTITION BY miss) AS best FROM {_cost_sql('[50, 100, 200, 800]')}) GROUP BY review, block", "fx_scored")
+def _(spark, d):
+    return policy.minimax_regret(view(spark, d, "fx_scored"))
+
+
+@query(
+    "cost_frontier",
+    f"""{AT}, c AS (SELECT review, block, round(reviews, 6) AS reviews, round(pa, 6) AS p FROM {_cost_sql('[200]')})
+    SELECT review, block, reviews, p AS p_allow_phish FROM (SELECT *, row_number() OVER (PARTITION BY reviews, p ORDER BY review, block) AS r FROM c) x WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE (c.reviews < x.reviews AND c.p <= x.p) OR (c.reviews <= x.reviews AND c.p < x.p))""",
+    "fx_scored",
+)
+def _(spark, d):
+    return policy.frontier(view(spark, d, "fx_scored"))
+
+
+# --- drift and time series --------------------------------------------------
+
+
+@query("time_series", "SELECT CAST(created_ts AS DATE) AS day, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CAST(band = 'ALLOW' AS INT)), 6) AS allow_share, round(avg(CAST(band = 'REVIEW' AS INT)), 6) AS review_share, round(avg(CAST(band = 'BLOCK' AS INT)), 6) AS block_share, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms FROM fx_decisions GROUP BY 1", "fx_decisions")
+def _(spark, d):
+    return drift.time_series(view(spark, d, "fx_decisions"))
+
+
+LONG = """, at_time AS (SELECT quantile_disc(epoch_us(created_ts), 0.5) AS cut FROM fx_decisions),
+rows_ AS (SELECT created_ts, epoch_us(created_ts) >= cut AS live, unnest([{'q': 'score', 'v': score}, {'q': 'latency_ms', 'v': latency_ms}, {'q': 'log_body_length', 'v': ln(1 + body_length)}, {'q': 'recipient_count', 'v': CAST(recipient_count AS DOUBLE)}, {'q': 'attachment_count', 'v': CAST(attachment_count AS DOUBLE)}, {'q': 'behavioral_available', 'v': CAST(behavioral_available AS DOUBLE)}]) AS s FROM fx_decisions, at_time),
+long_ AS (SELECT created_ts, live, s.q AS quantity, s.v AS value FROM rows_ WHERE s.v IS NOT NULL)"""
+
+
+def _psi_sql(week: str) -> str:
+    return f"""{LONG}, edges_ AS (SELECT quantity, list_sort(list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS e FROM long_ WHERE NOT live GROUP BY quantity),
+    b AS (SELECT {week} AS week, live, quantity, len(list_filter(e, lambda x: x <= value)) AS bin, count(*) AS n FROM long_ JOIN edges_ USING (quantity) GROUP BY ALL),
+    grid AS (SELECT week, quantity, unnest(range(len(e) + 1)) AS bin FROM edges_ JOIN (SELECT DISTINCT week, quantity FROM b WHERE live) USING (quantity)),
+    x AS (SELECT g.week, g.quantity, g.bin, CAST(coalesce(r.n, 0) AS DOUBLE) AS e, CAST(coalesce(l.n, 0) AS DOUBLE) AS a FROM grid g LEFT JOIN (SELECT quantity, bin, sum(n) AS n FROM b WHERE NOT live GROUP BY ALL) r ON r.quantity = g.quantity AND r.bin = g.bin LEFT JOIN b l ON l.live AND l.week = g.week AND l.quantity = g.quantity AND l.bin = g.bin),
+    f AS (SELECT week, quantity, a AS n, greatest(e / sum(e) OVER w, 1e-4) AS pe, greatest(a / sum(a) OVER w, 1e-4) AS pa FROM x WINDOW w AS (PARTITION BY week, quantity)),
+    s AS (SELECT week, quantity, n, pe / sum(pe) OVER w AS pe, pa / sum(pa) OVER w AS pa FROM f WINDOW w AS (PARTITION BY week, quantity)),
+    p AS (SELECT week, quantity, round(sum((pa - pe) * ln(pa / pe)), 6) AS psi, CAST(sum(n) AS BIGINT) AS n FROM s GROUP BY week, quantity)"""
+
+
+@query("psi_by_quantity", f"{_psi_sql('0')} SELECT quantity, psi, n, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS severity FROM p", "fx_decisions")
+def _(spark, d):
+    return drift.psi(*drift.split_by_time(view(spark, d, "fx_decisions")))
+
+
+@query("drift_weekly", f"{_psi_sql('CASE WHEN live THEN CAST(date_trunc(chr(119) || chr(101) || chr(101) || chr(107), created_ts) AS DATE) END')} SELECT week, quantity, psi, n, CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.1 THEN 'moderate' ELSE 'stable' END AS severity FROM p".replace("chr(119) || chr(101) || chr(101) || chr(107)", "'week'"), "fx_decisions")
+def _(spark, d):
+    return drift.weekly(view(spark, d, "fx_decisions"))
+
+
+@query(
+    "ks_statistic",
+    f"""{LONG}, each AS (SELECT quantity, round(value, 3) AS value, count(*) FILTER (NOT live) AS r, count(*) FILTER (live) AS l FROM long_ GROUP BY ALL)
+    SELECT quantity, round(max(abs(cr / tr - cl / tl)), 6) AS ks FROM (SELECT quantity, CAST(sum(r) OVER up AS DOUBLE) AS cr, CAST(sum(l) OVER up AS DOUBLE) AS cl, sum(r) OVER al AS tr, sum(l) OVER al AS tl FROM each WINDOW up AS (PARTITION BY quantity ORDER BY value), al AS (PARTITION BY quantity)) GROUP BY quantity""",
+    "fx_decisions",
+)
+def _(spark, d):
+    return drift.ks(*drift.split_by_time(view(spark, d, "fx_decisions"))).select("quantity", "ks")
+
+
+# --- windows over time ------------------------------------------------------
+
+
+@query("band_ratio_windows", "SELECT time_bucket(INTERVAL 30 MINUTES, created_ts) AS window_start, count(*) AS n, round(avg(CAST(band = 'BLOCK' AS INT)), 6) AS block_share, round(avg(CAST(band = 'REVIEW' AS INT)), 6) AS review_share, round(avg(CAST(behavioral_available = 0 AS INT)), 6) AS blind_share FROM fx_decisions GROUP BY 1", "fx_decisions")
+def _(spark, d):
+    return windows.band_ratios(view(spark, d, "fx_decisions")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("counter_windows", "SELECT time_bucket(INTERVAL 1 HOUR, created_ts) AS window_start, band, event_type, count(*) AS n FROM fx_decisions GROUP BY 1, 2, 3", "fx_decisions")
+def _(spark, d):
+    return windows.counters(view(spark, d, "fx_decisions")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("domain_burst_windows", "SELECT time_bucket(INTERVAL 15 MINUTES, ts) - to_minutes(15 * k) AS window_start, sender_domain, count(*) AS n FROM fx_mail_log, (SELECT unnest([0, 1, 2, 3]) AS k) GROUP BY 1, 2", "fx_mail_log")
+def _(spark, d):
+    return windows.domain_bursts(view(spark, d, "fx_mail_log")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("latency_p95_windows")
+def _(spark, d):
+    return windows.latency_windows(view(spark, d, "fx_decisions"))
+
+
+@query(
+    "user_sessions",
+    """SELECT min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTES AS session_end, sender, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY sender ORDER BY ts) AS s FROM
+    (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY sender ORDER BY ts) + INTERVAL 10 MINUTES THEN 1 ELSE 0 END AS new FROM fx_mail_log)) GROUP BY sender, s""",
+    "fx_mail_log",
+)
+def _(spark, d):
+    x = windows.user_sessions(view(spark, d, "fx_mail_log"))
+    return x.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
+
+
+@query("alert_for_duration", """, w AS (SELECT time_bucket(INTERVAL 1 HOUR, created_ts) AS window_start, count(*) AS n, avg(CAST(band = 'REVIEW' AS INT)) AS s FROM fx_decisions GROUP BY 1)
+    SELECT a.window_start, a.n FROM w a JOIN w b ON b.window_start BETWEEN a.window_start - INTERVAL 2 HOURS AND a.window_start WHERE b.s > 0.35 GROUP BY a.window_start, a.n HAVING count(*) = 3""", "fx_decisions")
+def _(spark, d):
+    w = windows.band_ratios(view(spark, d, "fx_decisions"), "1 hour")
+    return windows.alerts_for(w, "review_share > 0.35", 3, 3600).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# --- sender history ---------------------------------------------------------
+
+
+@query("behaviour_prior", "SELECT msg_id, p AS prior_messages, p = 0 AS first_seen FROM (SELECT msg_id, (rank() OVER (PARTITION BY sender, recipient ORDER BY ts)) - 1 AS p FROM fx_mail_log)", "fx_mail_log")
+def _(spark, d):
+    return behaviour.prior_messages(view(spark, d, "fx_mail_log"))
+
+
+@query("behaviour_replies", "SELECT a.msg_id, count(b.msg_id) AS prior_replies FROM fx_mail_log a LEFT JOIN fx_mail_log b ON b.sender = a.recipient AND b.recipient = a.sender AND b.ts < a.ts GROUP BY a.msg_id", "fx_mail_log")
+def _(spark, d):
+    return behaviour.prior_replies(view(spark, d, "fx_mail_log"))
+
+
+@query("burst_1h", "SELECT msg_id, count(*) OVER (PARTITION BY sender_domain ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS burst_count_1h FROM fx_mail_log", "fx_mail_log")
+def _(spark, d):
+    return behaviour.burst_1h(view(spark, d, "fx_mail_log"))
+
+
+@query("alias_count", "SELECT display_name, count(DISTINCT sender) AS display_name_alias_count FROM fx_mail_log GROUP BY 1", "fx_mail_log")
+def _(spark, d):
+    return behaviour.alias_counts(view(spark, d, "fx_mail_log"))
+
+
+@query("domain_age", "SELECT msg_id, CAST((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY sender_domain))) // 86400000000 AS BIGINT) AS domain_age_days FROM fx_mail_log", "fx_mail_log")
+def _(spark, d):
+    return behaviour.domain_age(view(spark, d, "fx_mail_log"))
+
+
+@query("local_time", "SELECT msg_id, CAST(hour(ts) AS INT) AS hour_local, hour(ts) < 7 OR hour(ts) >= 21 AS off_hours, dayofweek(ts) IN (0, 6) AS is_weekend FROM fx_mail_log", "fx_mail_log")
+def _(spark, d):
+    return behaviour.local_time(view(spark, d, "fx_mail_log"))
+
+
+@query("domain_reports", "SELECT msg_id, CAST(coalesce(sum(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY sender_domain ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS BIGINT) AS domain_report_count, round(avg(CAST(event_type = 'click' AS INT)) OVER (PARTITION BY sender_domain), 6) AS domain_click_rate FROM fx_mail_log", "fx_mail_log")
+def _(spark, d):
+    return behaviour.domain_reports(view(spark, d, "fx_mail_log"))
+
+
+@query("thread_depth", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS thread_depth FROM conversations")
+def _(spark, d):
+    return behaviour.thread_depth(table(spark, d, "conversations"))
+
+
+@query("behaviour_history")
+def _(spark, d):
+    return behaviour.history(view(spark, d, "fx_mail_log"))
+
+
+# --- text, URLs, links, messages --------------------------------------------
+
+HOST = r"regexp_extract(href, '^[a-z]+://(?:[^/?#]*@)?([^/:?#]+)', 1)"
+
+
+@query("url_suffix_split", f"SELECT message_id, pos, host, suffix, CASE WHEN suffix = '' THEN host ELSE array_to_string(l[-(len(string_split(suffix, '.')) + 1):], '.') END AS registered_domain FROM (SELECT *, string_split(host, '.') AS l, CASE WHEN regexp_full_match(host, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') THEN '' WHEN host = 'evil.pages.dev' THEN 'pages.dev' ELSE string_split(host, '.')[-1] END AS suffix FROM (SELECT message_id, pos, {HOST} AS host FROM fx_links))", "fx_links")
+def _(spark, d):
+    host = urls.host_of(F.col("href"))
+    return view(spark, d, "fx_links").select("message_id", "pos", host.alias("host"), urls.suffix_of(host).alias("suffix"), urls.registered_domain(host, urls.suffix_of(host)).alias("registered_domain"))
+
+
+@query(
+    "url_shape",
+    f"""SELECT message_id, pos, CAST(length(href) AS DOUBLE) AS length, CAST(length({HOST}) AS DOUBLE) AS host_length, CAST(length({HOST}) - length(replace({HOST}, '.', '')) AS DOUBLE) AS num_dots, CAST(length(href) - length(replace(href, '-', '')) AS DOUBLE) AS num_hyphens,
+    CAST(length(regexp_replace(href, '[^0-9]', '', 'g')) AS DOUBLE) AS num_digits, CAST(href LIKE 'https:%' AS INT)::DOUBLE AS is_https, CAST(regexp_matches(href, '://[0-9.]+[:/]') AS INT)::DOUBLE AS is_ip_host, CAST(regexp_matches(href, '://[^/]*:[0-9]+') AS INT)::DOUBLE AS has_port,
+    CAST(regexp_matches(href, 'bit[.]ly') AS INT)::DOUBLE AS is_shortener, CAST(regexp_matches(href, '[?]url=') AS INT)::DOUBLE AS has_redirect_param, CAST(regexp_matches(href, 'pages[.]dev') AS INT)::DOUBLE AS free_hosting, CAST(regexp_matches(href, '[.]cf/') AS INT)::DOUBLE AS high_risk_tld FROM fx_links""",
+    "fx_links",
+)
+def _(spark, d):
+    signs = urls.shape(F.col("href"), "_p_")
+    return urls.with_parts(view(spark, d, "fx_links"), "href", "_p_").select("message_id", "pos", *(signs[k].alias(k) for k in ("length", "host_length", "num_dots", "num_hyphens", "num_digits", "is_https", "is_ip_host", "has_port", "is_shortener", "has_redirect_param", "free_hosting", "high_risk_tld")))
+
+
+@query("url_risk_score")
+def _(spark, d):
+    x = links.link_features(view(spark, d, "fx_links"))
+    return x.select("message_id", "pos", "url", "domain", F.round(urls.click_score(), 6).alias("risk"), metrics.band(urls.click_score()).alias("band"), urls.click_reasons().alias("reasons"))
+
+
+@query("link_features")
+def _(spark, d):
+    return links.max_and_mean(links.link_features(view(spark, d, "fx_links")))
+
+
+@query("link_rollup")
+def _(spark, d):
+    return links.message_links(view(spark, d, "fx_messages"), links.link_features(view(spark, d, "fx_links")))
+
+
+@query("page_links", r"""SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_hrefs FROM (SELECT DISTINCT page_id, href, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1)) AS label FROM pages)) GROUP BY page_id""")
+def _(spark, d):
+    return links.extract(table(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("href").alias("n_hrefs"))
+
+
+@query(
+    "brand_lookalike",
+    f"""SELECT domain, coalesce(arg_min(brand, (dist, brand)), '') AS brand, coalesce(min(dist), 99) AS distance FROM (SELECT DISTINCT regexp_extract(sender, '@([^>]+)', 1) AS domain FROM fx_messages WHERE sender LIKE '%@%') LEFT JOIN
+    (SELECT unnest({BRAND_DOMAINS}) AS brand) ON damerau_levenshtein(domain, brand) <= 3, LATERAL (SELECT CASE WHEN brand IS NOT NULL THEN damerau_levenshtein(domain, brand) END AS dist) GROUP BY domain""",
+    "fx_messages",
+)
+def _(spark, d):
+    return links.nearest_brands(view(spark, d, "fx_messages").select(T.address_domain(T.address(F.col("sender"))).alias("domain")))
+
+
+@query("pseudonymise", "SELECT message_id, CASE WHEN a = '' THEN '' ELSE 'px_' || substr(sha256('salt|' || a), 1, 20) END AS sender_px, regexp_extract(a, '@(.+)$', 1) AS sender_domain, substr(sha256('salt|' || subject), 1, 16) AS subject_hash, CAST(length(body) AS INT) AS body_length FROM (SELECT *, lower(CASE WHEN sender LIKE '%<%' THEN regexp_extract(sender, '<([^<>]*)>', 1) ELSE sender END) AS a FROM fx_messages)", "fx_messages")
+def _(spark, d):
+    a = T.address(F.col("sender"))
+    return view(spark, d, "fx_messages").select("message_id", T.pseudonym(a, "salt").alias("sender_px"), T.address_domain(a).alias("sender_domain"), F.substring(F.sha2(F.concat(F.lit("salt|"), "subject"), 256), 1, 16).alias("subject_hash"), F.char_length("body").alias("body_length"))
+
+
+def _lexicon_sql() -> str:
+    parts = ", ".join(f"len(list_filter(w, lambda x: list_contains({sorted(v)}, x))) AS {k}" for k, v in LEXICONS.items())
+    return f"SELECT doc_id, {parts} FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM documents)"
+
+
+@query("lexicon_counts", _lexicon_sql())
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", *(T.lexicon_count(F.col("text"), k).cast("long").alias(k) for k in LEXICONS))
+
+
+@query("text_entropy", "SELECT doc_id, round(entropy, 4) AS entropy FROM (SELECT doc_id, -sum(n / t * log2(n / t)) AS entropy FROM (SELECT doc_id, c, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY doc_id, c) GROUP BY doc_id)")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(T.entropy(F.col("text")), 4).alias("entropy"))
+
+
+@query("header_features")
+def _(spark, d):
+    return messages.header_features(view(spark, d, "fx_messages"))
+
+
+@query("subject_features")
+def _(spark, d):
+    return messages.subject_features(view(spark, d, "fx_messages"))
+
+
+@query("body_features")
+def _(spark, d):
+    return messages.body_features(view(spark, d, "fx_messages"))
+
+
+@query("html_features")
+def _(spark, d):
+    return messages.html_features(table(spark, d, "pages"))
+
+
+@query("canonical_text")
+def _(spark, d):
+    x = table(spark, d, "documents")
+    return x.select("doc_id", F.sha2(T.canonical(F.col("text")), 256).alias("canonical_sha256"), *(v.cast("double").alias(k) for k, v in T.obfuscation(F.col("text")).items()))
+
+
+@query("message_features")
+def _(spark, d):
+    return mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links"))
+
+
+@query("rule_score")
+def _(spark, d):
+    return rules.rule_score(mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links")))
+
+
+@query("triage")
+def _(spark, d):
+    return mail.triage(view(spark, d, "fx_messages"), view(spark, d, "fx_links"))
+
+
+WEIGHTS = {"m_rules": 0.7, "m_engineered": 1.9, "m_charngram": 1.1, "m_wordtfidf": 0.8}
+
+
+@query("fusion_logodds", "SELECT id, s.m AS member, s.c AS contribution FROM (SELECT id, unnest([{'m': 'm_rules', 'c': round(0.7 * m_rules, 6)}, {'m': 'm_engineered', 'c': round(1.9 * m_engineered, 6)}, {'m': 'm_charngram', 'c': round(1.1 * m_charngram, 6)}, {'m': 'm_wordtfidf', 'c': round(0.8 * m_wordtfidf, 6)}, {'m': 'intercept', 'c': -2.0}]) AS s FROM fx_scored)", "fx_scored")
+def _(spark, d):
+    return rules.fusion_logodds(view(spark, d, "fx_scored"), WEIGHTS, -2.0)
+
+
+@query("member_disagreement", "SELECT id, round(s, 6) AS std, round(s, 9) > 0.25 AS disagree FROM (SELECT id, sqrt(((m_engineered - m) ** 2 + (m_charngram - m) ** 2 + (m_wordtfidf - m) ** 2) / 3) AS s FROM (SELECT *, (m_engineered + m_charngram + m_wordtfidf) / 3 AS m FROM fx_scored))", "fx_scored")
+def _(spark, d):
+    return rules.disagreement(view(spark, d, "fx_scored"))
+
+
+# --- corpus -----------------------------------------------------------------
+
+
+@query("exact_duplicates", "SELECT sha1(coalesce(text, '')) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def _(spark, d):
+    return corpus.exact_duplicates(table(spark, d, "documents"))
+
+
+@query("label_noise", "SELECT sha1(text) AS digest, count(*) AS n, min(d.doc_id) AS first_id FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1 HAVING min(quality) <> max(quality)")
+def _(spark, d):
+    return corpus.label_noise(table(spark, d, "documents"), table(spark, d, "labels"), "quality")
+
+
+@query("near_duplicates")
+def _(spark, d):
+    return corpus.near_duplicates(table(spark, d, "documents"))
+
+
+PART = "CASE WHEN CAST('0x' || substr(md5('split|' || group_key), 1, 8) AS BIGINT) / 4294967296.0 < 0.25 THEN 'test' ELSE 'train' END"
+
+
+@query("grouped_split", f"SELECT message_id, group_key, {PART} AS part FROM fx_messages", "fx_messages")
+def _(spark, d):
+    return corpus.grouped_split(view(spark, d, "fx_messages"), "group_key").select("message_id", "group_key", "part")
+
+
+@query("temporal_split", ", c AS (SELECT quantile_disc(ts, 0.75) AS cut FROM fx_mail_log), g AS (SELECT recipient, sender, max(CAST(ts <= cut AS INT)) AS hi FROM fx_mail_log, c GROUP BY 1, 2) SELECT msg_id, CASE WHEN ts <= cut THEN 'train' WHEN hi = 1 THEN 'dropped' ELSE 'test' END AS part FROM (SELECT *, sender || ':' || recipient AS k FROM fx_mail_log) m JOIN (SELECT sender || ':' || recipient AS k, hi FROM g) g2 ON g2.k = m.k, c", "fx_mail_log")
+def _(spark, d):
+    log = view(spark, d, "fx_mail_log").withColumn("k", F.concat_ws(":", "sender", "recipient"))
+    return corpus.temporal_split(log, "ts", "k").select("msg_id", "part")
+
+
+@query(
+    "leakage_audit",
+    f""", m AS (SELECT sha1(coalesce(body, '')) AS f, group_key, quality AS label, {PART} AS part FROM fx_messages JOIN labels ON doc_id = message_id)
+    SELECT *, shared_texts = 0 AND shared_groups = 0 AND balance_drift <= 0.08 AS passed FROM (SELECT (SELECT count(*) FROM (SELECT f FROM m GROUP BY f HAVING count(DISTINCT part) > 1)) AS shared_texts, (SELECT count(*) FROM (SELECT group_key FROM m GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS shared_groups,
+    count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test, round(abs(avg(label) FILTER (part = 'train') - avg(label) FILTER (part = 'test')), 6) AS balance_drift FROM m)""",
+    "fx_messages",
+)
+def _(spark, d):
+    m = view(spark, d, "fx_messages").join(table(spark, d, "labels"), F.col("message_id") == F.col("doc_id"))
+    return corpus.leakage_audit(corpus.grouped_split(m, "group_key"), "body", "group_key", "quality")
+
+
+@query(
+    "feature_auc",
+    """SELECT feature, round(auc, 6) AS auc, greatest(auc, 1 - auc) >= 0.985 AS suspicious FROM (SELECT feature, (sum(CASE WHEN y = 1 THEN r END) - n1 * (n1 + 1) / 2.0) / (n1 * n0) AS auc FROM (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r, sum(y) OVER (PARTITION BY feature) AS n1, sum(1 - y) OVER (PARTITION BY feature) AS n0 FROM
+    (SELECT y, s.f AS feature, s.v AS v FROM (SELECT y, unnest([{'f': 'm_rules', 'v': m_rules}, {'f': 'm_engineered', 'v': m_engineered}, {'f': 'm_charngram', 'v': m_charngram}, {'f': 'm_wordtfidf', 'v': m_wordtfidf}, {'f': 'score', 'v': score}]) AS s FROM fx_scored))) GROUP BY feature, n1, n0)""",
+    "fx_scored",
+)
+def _(spark, d):
+    return corpus.feature_auc(view(spark, d, "fx_scored"), ("m_rules", "m_engineered", "m_charngram", "m_wordtfidf", "score"))
+
+
+@query("corpus_profile", "SELECT source, toxic, count(*) AS n, count(DISTINCT lang) AS n_langs, round(avg(n_chars), 4) AS mean_chars FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY source, toxic")
+def _(spark, d):
+    return corpus.profile(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query(
+    "confound_audit",
+    "WITH x AS (SELECT toxic, lang, n_chars FROM documents d JOIN labels l ON l.doc_id = d.doc_id), t AS (SELECT toxic, unnest(['lang=' || lang, 'long=' || CAST(n_chars > 2000 AS VARCHAR)]) AS trait FROM x) SELECT trait, count(*) FILTER (toxic = 1) AS pos, count(*) FILTER (toxic = 0) AS neg, round(abs(count(*) FILTER (toxic = 1) / (SELECT count(*) FILTER (toxic = 1) FROM x) - count(*) FILTER (toxic = 0) / (SELECT count(*) FILTER (toxic = 0) FROM x)), 6) AS gap FROM t GROUP BY trait",
+)
+def _(spark, d):
+    return corpus.confounds(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("dataset_version")
+def _(spark, d):
+    return corpus.dataset_version(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query(
+    "tfidf_weights",
+    """WITH w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS term FROM documents), tf AS (SELECT id, term, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), x AS (SELECT id, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term))
+    SELECT id, term, weight, place FROM (SELECT id, term, weight, row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS place FROM (SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM x)) WHERE place <= 5""",
+)
+def _(spark, d):
+    return corpus.tfidf(table(spark, d, "documents"), top=5)

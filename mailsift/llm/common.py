@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: ASCII white space; words of the contracts are runs of any other characters.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 NO_ID = -(2**63)
+#: Names that operators add to a caller's table for a while.
+ID_KEY, TEXT_KEY = "_mailsift_id_key", "_mailsift_text_key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +63,11 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with the keys of ``keyed`` under names of their own."""
+    return docs.withColumns({ID_KEY: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), TEXT_KEY: F.xxhash64("text")})
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and len + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,0 +1,340 @@
+"""The corpus operators against plain versions, on small and hostile inputs."""
+
+import hashlib
+import random
+import zlib
+
+import brute
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from mailsift.llm import bpe, chat, common, decontaminate, html, linededup, lm, neardup, quality, registry, suffix, warc
+
+SF = "/root/testdata/sf0.001"
+ODD = [None, "", " \n\t", "word", "a b c d", "ab " * 300, "é ü ß\x0b\x1c z", "x" * 5000, "\n\n\n", "Same line here.\nSame line here.\nSame line here.\nother"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def odd_docs(spark, clash="_h long, _d string, rare string, kept boolean"):
+    data = [(i, t, ("en", None, "xx")[i % 3], 1, "y", "z", True) for i, t in enumerate(ODD)]
+    data += [data[3], data[6], (None, "no id at all", "en", 1, "y", "z", None), (None, None, None, None, None, None, None)]
+    return spark.createDataFrame(data, f"doc_id long, text string, lang string, {clash}")
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def test_words_and_shingles():
+    texts = ["a bb  c", None, "", "d\te\nf g h i", "é\x1cü x"]
+    data, offsets = common.flat(pa.array(texts))
+    start, end, bounds = common.words(data, offsets)
+    got = [[bytes(data[a:b]).decode() for a, b in zip(start[i:j], end[i:j], strict=True)] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [["a", "bb", "c"], [], [], ["d", "e", "f", "g", "h", "i"], ["é\x1cü", "x"]]
+
+
+def test_quality_counts():
+    texts = [*ODD, "a b c d e a b c d e f", "# $ %\nx\nx", *["w%d" % (i % 7) for i in range(20)]]
+    data, offsets = common.flat(pa.array(texts))
+    found = quality.surface(data, offsets)
+    for i, t in enumerate(texts):
+        assert tuple(int(found[k][i]) for k in quality.STATS) == brute.base_counts(t), t
+
+
+def test_kneser_ney_is_a_distribution():
+    data, offsets = common.flat(pa.array(["the cat sat on the mat and the rat ran", "a dog, a log; a fog"] * 3))
+    code, _ = quality.codes(data, offsets)
+    n = np.bincount(code, minlength=quality.CODES)
+    at = np.flatnonzero(n)
+    model = quality.KneserNey(np.zeros(len(at), int), at, n[at])
+    for context in [0, int(code[7]) >> quality.BITS, 12345]:
+        grams = (np.int64(context) << quality.BITS) | np.arange(quality.SYMBOLS)
+        assert abs((10 ** model.log10(0, grams)).sum() - 1) < 1e-4
+
+
+def test_quality_query(spark, docs, rows):
+    got = {r.doc_id: r for r in registry.QUERIES["op1_quality"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for d, t in rows:
+        want = brute.base_counts(t)
+        assert tuple(got[d][k] for k in quality.STATS) == want
+        failed = want[0] < 10 or 100 * want[4] > 20 * want[0]
+        assert got[d].base_failed == failed and not (failed and got[d].kept)
+    assert quality.judge(odd_docs(spark)).count() == len(ODD) + 4
+    assert quality.judge(empty_docs(spark)).count() == 0
+
+
+PAGE = """<html><body><div id="menu"><a>Home</a></div><div class="cookie-notice">We use cookies on this site.</div><div class="content"><h1>Title</h1><p>Long text of the article
+with <b>bold</b>er words &amp; more.<p>Second para.<div class="comments"><p>nice</p></div></div><aside>Buy now</aside><form><p>mail</p></form><footer>c</footer></body></html>"""
+
+
+def test_html():
+    want = {
+        PAGE: "Title Long text of the article with bolder words & more. Second para.",
+        "": "",
+        "plain &lt;text&gt; only": "plain <text> only",
+        "<article><h1>T</h1><p>x&nbsp; y<br>z</p><script>var a='</p>'</script><ul><li>a<li>b</ul></article><footer>f</footer>": "T x y z a b",
+        "<nav><a href=1>x</a><article><p>text</article>": "text",
+        "<article><p>Be.</p><div class=ad>Buy</div><p>Go &#233;.</p>": "Be. Go é.",
+        "<body class='has-sidebar'><main><p>M</p></main><div class='sidebar'><p>a long text in the side bar, much longer than main</p></div>": "M",
+    }
+    for page, text in want.items():
+        assert html.main_text(page) == text
+        assert html.main_text(page, chunk=3) == text
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, None, None), (1, "u", "<p>a"), (None, "u", "<p>b")], "page_id long, url string, html string")
+    assert sorted((r.text, r.n_chars) for r in html.extract(df).collect()) == [("", 0), ("a", 1), ("b", 1)]
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_line_dedup(spark, rows):
+    r = random.Random(5)
+    pool = [f"line number {i} of the pool" for i in range(12)]
+    made = [(i, "\n".join(r.choice(pool) if r.random() < 0.8 else r.choice(["", "own %d" % r.randrange(9**9)]) for _ in range(r.randrange(14)))) for i in range(60)]
+    for data in (made, rows):
+        data = sorted(data)
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+        got = {x.doc_id: x for x in linededup.dedup_lines(df).collect()}
+        must, may = brute.line_rules([t for _, t in data])
+        for (d, t), a, b in zip(data, must, may, strict=True):
+            lines = t.split("\n")
+            filled = [i for i, x in enumerate(lines) if brute.WORD.search(x)]
+            kept = [x for x in got[d].text.split("\n") if brute.WORD.search(x)]
+            assert len(filled) - len(b) <= len(kept) <= len(filled) - len(a)
+            # what is left is in order, and holds all lines that may not go
+            it = iter(lines)
+            assert all(x in it for x in got[d].text.split("\n")) or not got[d].text
+            assert [lines[i] for i in filled if i not in b] == [x for x in kept if x in {lines[i] for i in filled if i not in b}][: len(filled) - len(b)] or b
+
+
+def test_line_dedup_odd(spark):
+    out = linededup.dedup_lines(odd_docs(spark))
+    assert out.count() == len(ODD) + 4
+    assert {r.text for r in out.collect()} <= set(ODD) | {"no id at all", "Same line here.\nother"}
+    assert linededup.dedup_lines(empty_docs(spark)).count() == 0
+
+
+@pytest.mark.parametrize("group,walk", [(2000, 32), (3, 32), (2000, 1)])
+def test_suffix_small(spark, group, walk):
+    r = random.Random(group + walk)
+    base = "".join(r.choice("abcé ") for _ in range(300))
+    texts = [None, "", "ab" * 90, base, base]
+    for _ in range(30):
+        a, t = r.randrange(200), list(base[: r.randrange(300)])
+        for _ in range(3):
+            if t:
+                t[r.randrange(len(t))] = "q"
+        texts += ["".join(t), "".join(r.choice("xyz") for _ in range(r.randrange(60))) + base[a : a + r.randrange(100)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffix.drop_repeats(df, length=40, gram=12, group=group, walk=walk).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert [tuple(x)[1:] for x in sorted(got)] == brute.long_repeats(texts, 40)
+
+
+def test_suffix_query(spark, rows):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.QUERIES["op4_suffix"](spark, SF).collect()}
+    assert [got[d] for d, _ in rows] == brute.long_repeats([t for _, t in rows], 400)
+    assert suffix.drop_repeats(odd_docs(spark)).count() == len(ODD) + 4
+    assert suffix.drop_repeats(empty_docs(spark)).count() == 0
+
+
+def test_bpe_equals_library(spark, rows):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_file())
+    with open(bpe.default_file(), encoding="utf-8") as f:
+        mine = bpe.Tokenizer(f.read())
+    r = random.Random(2)
+    texts = [t for _, t in rows[:60]] + [t or "" for t in ODD] + ["a<|endoftext|>b <|startoftext|>", "ΑΣ ΣΑΣ İ ǅ ﬁ Å é", "it's we'll 're''s", "\x1c\x1d a\x85b\xa0c​d", "日本語 🙂👩‍👧", "!" * 700]
+    texts += ["".join(r.choice("etaoinshrdlu") for _ in range(n)) for n in (1, 7, 40, 400, 3000)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(160, 0x500), r.randrange(0x4E00, 0x5000), r.randrange(0, 32)])) for _ in range(50)) for _ in range(60)]
+    decoder = bpe.Decoder(mine)
+    for t in texts:
+        e = lib.encode(t, add_special_tokens=False).ids
+        assert mine.encode(t) == e
+        assert mine.joined(e) == lib.decode(e, skip_special_tokens=False)
+        d = hashlib.sha256(lib.decode(e, skip_special_tokens=False).encode()).hexdigest()
+        assert mine.digests(t) == (len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest(), d)
+    assert "".join(decoder.feed(i) for i in mine.encode("grüße 🙂 naïve")) + decoder.close() == "grüße 🙂 naïve "
+    assert bpe.encode(odd_docs(spark), with_ids=True).filter("n_tokens = size(ids)").count() == len(ODD) + 4
+
+
+def test_bpe_holds_little():
+    """Tokens come out long before a word's end."""
+    with open(bpe.default_file(), encoding="utf-8") as f:
+        machine = bpe.Tokenizer(f.read()).machine
+    given = 0
+
+    def endless():
+        nonlocal given
+        while True:
+            given += 1
+            yield 97 + given * 7 % 26
+
+    stream = machine.tokens(endless())
+    for _ in range(500):
+        next(stream)
+    assert given < 500 * machine.lookahead
+
+
+def test_language_model(spark, rows):
+    want = brute.unigram(rows)
+    got = registry.QUERIES["op6_lm"](spark, SF).collect()
+    assert len(got) == len(rows)
+    gain = 0.0
+    for r in got:
+        out, n, known, total, base = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out, n, known, total)
+        assert abs(r.base_score - base) < 1e-6 * max(1, abs(base))
+        gain += (r.score - r.base_score) if out else 0
+    assert gain > 0  # better than the base on texts it has not seen
+
+
+def test_network_is_a_distribution():
+    words = [b"w%d" % i for i in range(400)]
+    counts = list(range(500, 100, -1))
+    units = lm.Units(words, counts, 10, sum(counts) + 10, 401, [(b"w0", 0, 0), (b"99", 50, 3)], (700, 140))
+    net = lm.Network(units)
+    states = np.random.default_rng(0).standard_normal((1, net.hidden)).astype(np.float32)
+    n = len(units.cls)
+    logp, _ = net.outputs(np.repeat(states, n, axis=0), np.arange(n))
+    assert abs(np.exp(logp).sum() - 1) < 1e-4
+    seq = [np.array([1, 2, 3] * 40, np.int32), np.array([5], np.int32), np.zeros(0, np.int32)]
+    whole, parts = net.score(seq, units.end, lanes=1, window=7), net.score(seq, units.end, lanes=3, window=200)
+    assert np.allclose(whole, parts, rtol=1e-4)  # state is carried across windows
+
+
+def test_language_model_odd(spark):
+    assert lm.score_documents(odd_docs(spark)).count() == len(ODD) + 4
+    none = empty_docs(spark)
+    assert lm.score_documents(none).count() == 0
+
+
+def test_warc(spark, tmp_path):
+    big = "é" * 50000 + "\r\n\r\nWARC/1.1\r\n" + "WARC/1.1\r\nWARC/1.1\r\n" * 20
+    data = [(1, "u", big), (2, "u\r\nx", "a"), (3, None, "a"), (4, "u", None), (5, "u", ""), (None, "u", "a"), (7, "u", big), (7, "u", big), (8, "v", "\r\n\r\n")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    path = f"file://{tmp_path}/a"
+    warc.write_archive(df, path, segment_bytes=1000)
+    got = warc.read_archive(spark, path, with_payload=True).collect()
+    assert len(got) == len(data)
+    bodies = {(r.page_id, r.record_type): bytes(r.payload or b"").decode() for r in got}
+    assert bodies[7, "response"] == big and bodies[3, "response"] == "a" and bodies[8, "response"] == "\r\n\r\n"
+    refs = sorted(((r.page_id is not None, r.page_id or 0), r.refers_to) for r in got if r.record_type == "revisit")
+    assert refs == [((False, 0), 3), ((True, 1), 7), ((True, 2), 3), ((True, 4), 5)]
+    assert all(r.payload_bytes == len((dict((a, c) for a, _, c in data)[r.page_id] or "").encode()) for r in got)
+    warc.write_archive(df.limit(0), path + "0")
+    assert warc.read_archive(spark, path + "0").count() == 0
+
+
+def test_warc_detects_damage():
+    body = warc.chunked(b"hello")
+    assert warc.unchunked(body) == b"hello"
+    with pytest.raises(ValueError):
+        warc.unchunked(body.replace(b"hello", b"hell"))
+
+
+def test_decontamination_odd(spark):
+    bench = spark.createDataFrame([(1, "one two"), (2, "a b c d e f g h i j k"), (3, None), (4, "!!"), (None, "é É z"), (1, "one two")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x ONE-two y"), (2, "a b c d e f g h i j"), (3, "b c d e f g h i j k l"), (4, None), (5, "é é z"), (6, "é É z"), (6, "é É z"), (None, "one two")], "doc_id long, text string")
+    got = sorted(((r.row.doc_id or 0), r.n_words, tuple(r.hits), tuple(r["items"])) for r in decontaminate.decontaminate(docs, bench).collect())
+    ten = tuple(range(10))
+    assert got == [(0, 2, (0, 1), ("1",)), (1, 4, (1, 2), ("1",)), (2, 10, ten, ("2",)), (3, 11, ten, ("2",)), (4, 0, (), ()), (5, 3, (), ()), (6, 3, (0, 1, 2), ()), (6, 3, (0, 1, 2), ())]
+    assert decontaminate.decontaminate(docs, bench.limit(0)).filter("size(hits) > 0").count() == 0
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
+    plain = decontaminate.decontaminate(docs, bench, broadcast_rows=0).filter("size(hits) > 0").count()
+    assert plain == 6
+
+
+def test_near_classes(spark, rows):
+    got = {r.doc_id: r.class_id for r in registry.QUERIES["op9_bagminhash"](spark, SF).collect()}
+    assert got == brute.near_classes(rows)
+
+
+def test_near_large_group(spark):
+    """One bucket of many near copies, of which some are far from its smallest member."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(150)]
+    data = []
+    for i in range(70):
+        w = list(words)
+        for _ in range(2):
+            w[r.randrange(150)] = f"x{r.randrange(10**9)}"
+        data.append((i, " ".join(w)))
+    data += [(100 + i, " ".join(f"y{i}_{j}" for j in range(40))) for i in range(5)] + [(200, None), (201, ""), (202, "a b"), (203, "a b"), (203, "a b")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x._n_class for x in neardup.mark_near(df).collect()}
+    assert got == brute.near_classes(dict(data).items())
+
+
+def test_bagminhash_is_unbiased():
+    r = random.Random(1)
+    a = [f"t{r.randrange(40)}" for _ in range(60)]
+    pairs = [(a, a[:45] + [f"u{i}" for i in range(15)]), (["z"] * 30, ["z"] * 10), (a, a)]
+    for x, y in pairs:
+        data, offsets = common.flat(pa.array([" ".join(x), " ".join(y)]))
+        owner, value, count = neardup.bags(data, offsets, 1)
+        s = neardup.bagminhash(owner, value, count, 2, 4000)
+        from collections import Counter
+
+        p, q = Counter(x), Counter(y)
+        want = sum((p & q).values()) / sum((p | q).values())
+        assert abs((s[0] == s[1]).mean() - want) < 0.04
+
+
+def test_components(spark):
+    r = random.Random(9)
+    links = [(i, i + 1) for i in range(0, 60) if i % 7] + [(r.randrange(100, 140), r.randrange(100, 140)) for _ in range(25)]
+    make = lambda x: {"d": x, "h": 0}
+    df = spark.createDataFrame([(make(a), make(b)) for a, b in links], "a struct<d:long,h:long>, b struct<d:long,h:long>")
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        lo, hi = sorted((top(a), top(b)))
+        up[hi] = lo
+    got = {x.id.d: x["class"].d for x in neardup.components(df).collect()}
+    assert got == {x: top(x) for a, b in links if a != b for x in (a, b)}
+
+
+def test_chat(spark):
+    data = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (3, 5, "user", "hi"), (3, 7, "bot", "yo"), (3, 9, "user", None), (4, 0, None, None), (4, 0, None, None), (5, 0, "user", "solo"), (6, 0, "user", "solo"), (None, 0, "a", "b")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.n_copies) for r in chat.maximal(df).collect()}
+    assert got == {3: (3, 1), 4: (1, 1), 5: (1, 2), None: (1, 1)}
+    assert chat.maximal(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.execute(registry.SQL[name])
+    names = [c[0] for c in found.description]
+    df = registry.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    got = sorted(tuple(str(r[n]) for n in names) for r in df.collect())
+    assert got == sorted(tuple(map(str, r)) for r in found.fetchall())
+
+
+def test_held_out_rule(spark):
+    got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", lm.held_out().alias("o")).collect()
+    assert all(r.o == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in got)

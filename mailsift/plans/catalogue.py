@@ -531,7 +531,8 @@ def _(spark, d):
     return links.message_links(view(spark, d, "fx_messages"), links.link_features(view(spark, d, "fx_links")))
 
 
-@query("page_links", r"""SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_hrefs FROM (SELECT DISTINCT page_id, href, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1)) AS label FROM pages)) GROUP BY page_id""")
+@query("page_links", r"""SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_hrefs FROM (SELECT DISTINCT page_id, href, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1)) AS label FROM pages UNION ALL
+    SELECT page_id, rtrim(unnest(regexp_extract_all(regexp_replace(html, '<[^>]*>', ' ', 'g'), '(?:https?://|www[.])[^\s<>"''`\])]+')), '.,;:!?)]}>''"'), '' FROM pages)) GROUP BY page_id""")
 def _(spark, d):
     return links.extract(table(spark, d, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("href").alias("n_hrefs"))
 

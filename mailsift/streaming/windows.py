@@ -66,7 +66,7 @@ def alerts_for(windows: DataFrame, condition: str, windows_held: int, size_secon
     x = windows.withColumn("s", F.unix_timestamp("window_start")).withColumn("bad", F.expr(condition).cast("int"))
     x = x.withColumn("day", F.floor(F.col("s") / 86400))
     reach = windows_held * size_seconds
-    x = x.select("*", F.explode(F.array_distinct(F.array(F.col("day"), F.floor((F.col("s") + reach) / 86400)))).alias("part"))
+    x = x.select("*", F.explode(F.sequence("day", F.floor((F.col("s") + reach) / 86400))).alias("part"))
     held = Window.partitionBy("part").orderBy("s").rangeBetween(-(windows_held - 1) * size_seconds, 0)
     x = x.withColumn("held", F.sum("bad").over(held)).filter("part = day")
     return x.filter(F.col("held") == windows_held).select("window_start", "n")

@@ -11,8 +11,9 @@ from mailsift.functions import text as T
 from mailsift.functions import urls
 from mailsift.functions.refdata import BRAND_DOMAINS, LEXICONS
 from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, review, rules
+from mailsift.sources import mail as mail_source
 from mailsift.sources.tables import ctes, table, view
-from mailsift.streaming import windows
+from mailsift.streaming import state, windows
 
 from . import mail
 
@@ -701,3 +702,36 @@ def _(spark, d):
 )
 def _(spark, d):
     return corpus.tfidf(table(spark, d, "documents"), top=5)
+
+
+# --- models, contracts, state -----------------------------------------------
+
+
+CHECKS = mail_source.CONTRACT | {"subject_too_long": "length(subject) > 59", "bad_spf": "spf not in ('pass', 'none')", "empty_sender": "sender = ''"}
+
+
+@query(
+    "contract_violations",
+    "SELECT breach, count(*) AS n FROM (SELECT unnest([CASE WHEN length(subject) > 59 THEN 'subject_too_long' END, CASE WHEN spf NOT IN ('pass', 'none') THEN 'bad_spf' END, CASE WHEN sender = '' THEN 'empty_sender' END]) AS breach FROM fx_messages) WHERE breach IS NOT NULL GROUP BY breach",
+    "fx_messages",
+)
+def _(spark, d):
+    _, rejects = mail_source.check_contract(view(spark, d, "fx_messages"), CHECKS)
+    return rejects.select(F.explode("breaches").alias("breach")).groupBy("breach").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("case_lifecycle")
+def _(spark, d):
+    events = table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.element_at(F.array(*(F.lit(a) for a in state.STEPS)), (F.col("event_id") % 5 + 1).cast("int")).alias("action"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    return state.fold_cases(events)
+
+
+@query("rate_limits")
+def _(spark, d):
+    asked = table(spark, d, "events").select(F.col("user_id").alias("key"), F.lit(1.0).alias("cost"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+    return state.token_buckets(asked, per_minute=0.01, capacity=3.0)
+
+
+@query("rule_catalogue")
+def _(spark, d):
+    return rules.rule_catalogue(mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links")))

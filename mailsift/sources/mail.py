@@ -31,7 +31,7 @@ def html_text(html: Column) -> Column:
     x = F.regexp_replace(x, r"<[^>]*>", "")
     for name, char in {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}.items():
         x = F.replace(x, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(x, r"[ \t]+", " "))
+    return F.btrim(F.regexp_replace(x, r"[ \t]+", " "), F.lit(" \n\r"))
 
 
 def _content(part: EmailMessage) -> str:

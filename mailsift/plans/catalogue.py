@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailsift.functions import text as T
 from mailsift.functions import urls
 from mailsift.functions.refdata import BRAND_DOMAINS, LEXICONS
-from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, review, rules
+from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, reports, review, rules
 from mailsift.sources import mail as mail_source
 from mailsift.sources.tables import ctes, table, view
 from mailsift.streaming import state, windows
@@ -735,3 +735,94 @@ def _(spark, d):
 @query("rule_catalogue")
 def _(spark, d):
     return rules.rule_catalogue(mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links")))
+
+
+# --- reports ----------------------------------------------------------------
+
+GRADE = """count(*) AS n, round(coalesce(count(*) FILTER (y = 1 AND band = 'ALLOW') / nullif(count(*) FILTER (y = 1), 0), 0), 6) AS silent_delivery, round(coalesce(count(*) FILTER (y = 0 AND band = 'BLOCK') / nullif(count(*) FILTER (y = 0), 0), 0), 6) AS false_block,
+    round(coalesce(count(*) FILTER (y = 1 AND band <> 'ALLOW') / nullif(count(*) FILTER (y = 1), 0), 0), 6) AS caught, round(avg(CAST((y = 1 AND band <> 'ALLOW') OR (y = 0 AND band <> 'BLOCK') AS INT)), 6) AS acceptable, round(avg(CAST(band = 'REVIEW' AS INT)), 6) AS review_load,
+    round(avg(score) FILTER (y = 1), 6) AS mean_phish, round(avg(score) FILTER (y = 0), 6) AS mean_ham, round(avg(score) FILTER (y = 1) - avg(score) FILTER (y = 0), 6) AS separation"""
+
+
+@query("benchmark_grade", f"SELECT {GRADE} FROM ({BANDED})", "fx_scored")
+def _(spark, d):
+    return reports.grade(view(spark, d, "fx_scored"))
+
+
+@query("grade_by_slice", f"SELECT slice_lang, {GRADE} FROM ({BANDED}) GROUP BY slice_lang", "fx_scored")
+def _(spark, d):
+    return reports.grade(view(spark, d, "fx_scored"), ("slice_lang",))
+
+
+@query(
+    "per_case",
+    f"""SELECT slice_lang, y, count(*) AS n, round(avg(score), 6) AS mean_score, CASE WHEN y = 1 THEN min(score) ELSE max(score) END AS worst_score, round(avg(CAST((y = 1 AND band <> 'ALLOW') OR (y = 0 AND band <> 'BLOCK') AS INT)), 6) AS pass_rate,
+    count(*) FILTER (band = 'ALLOW') AS allow, count(*) FILTER (band = 'REVIEW') AS review, count(*) FILTER (band = 'BLOCK') AS block FROM ({BANDED}) GROUP BY slice_lang, y""",
+    "fx_scored",
+)
+def _(spark, d):
+    return reports.per_case(view(spark, d, "fx_scored"), "slice_lang")
+
+
+@query("acceptance_gates")
+def _(spark, d):
+    from mailsift.sources.sinks import flatten_report
+
+    x = view(spark, d, "fx_scored")
+    parts = [reports.score_summary(x), metrics.roc_auc(x).select("roc_auc"), metrics.pr_auc(x), metrics.calibration_errors(x), metrics.banded_outcome(x).select("review_rate")]
+    values = flatten_report(parts[0])
+    for p in parts[1:]:
+        values = values.unionByName(flatten_report(p))
+    return reports.gates(values)
+
+
+ATTACKS = "SELECT slice_lang AS family, score AS before, least(score, m_charngram) AS after, CAST(id % 50 AS BIGINT) AS queries FROM fx_scored WHERE y = 1"
+ATTACK_BANDS = f"SELECT *, before - after AS d, CASE WHEN before >= 0.8 THEN 2 WHEN before >= 0.4 THEN 1 ELSE 0 END AS b0, CASE WHEN after >= 0.8 THEN 2 WHEN after >= 0.4 THEN 1 ELSE 0 END AS b1 FROM ({ATTACKS})"
+
+
+def _attacks(spark, d):
+    return view(spark, d, "fx_scored").filter("y = 1").selectExpr("slice_lang AS family", "score AS before", "least(score, m_charngram) AS after", "CAST(id % 50 AS BIGINT) AS queries")
+
+
+@query("attack_summary", f"SELECT family, count(*) AS n, count(*) FILTER (b0 = 2 AND b1 < 2) AS escaped_block, count(*) FILTER (b0 > 0 AND b1 = 0) AS silent, round(avg(d), 6) AS mean_drop, round(quantile_cont(d, 0.5), 6) AS median_drop, round(max(d), 6) AS max_drop, CAST(sum(queries) AS BIGINT) AS queries FROM ({ATTACK_BANDS}) GROUP BY family", "fx_scored")
+def _(spark, d):
+    return reports.attack_summary(_attacks(spark, d), ("family",))
+
+
+@query("attack_budgets", f"SELECT CAST(b AS INT) AS budget, round((SELECT count(*) FROM ({ATTACK_BANDS}) WHERE b0 > 0 AND b1 = 0 AND queries <= b) / (SELECT count(*) FROM ({ATTACKS})), 6) AS silent_rate FROM (SELECT unnest([5, 10, 20, 40, 60]) AS b)", "fx_scored")
+def _(spark, d):
+    return reports.budget_sweep(_attacks(spark, d), (5, 10, 20, 40, 60))
+
+
+@query("risk_register")
+def _(spark, d):
+    return reports.risk_register(reports.attack_summary(_attacks(spark, d), ("family",)), "family")
+
+
+@query("drift_null_thresholds")
+def _(spark, d):
+    return reports.bootstrap_thresholds(view(spark, d, "fx_decisions"), "sender_domain", "latency_ms")
+
+
+@query("rule_evidence")
+def _(spark, d):
+    return reports.evidence(rules.rule_score(mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links"))))
+
+
+@query("top_features")
+def _(spark, d):
+    return reports.top_features(messages.subject_features(view(spark, d, "fx_messages")), "message_id")
+
+
+COSTS5 = "[25, 50, 100, 200, 400, 800]"
+
+
+@query("cost_sensitivity", f"{AT} SELECT miss, review, block, cost FROM (SELECT *, row_number() OVER (PARTITION BY miss ORDER BY cost, review, block) AS r FROM {_cost_sql(COSTS5)}) WHERE r = 1", "fx_scored")
+def _(spark, d):
+    return policy.policy_best(view(spark, d, "fx_scored"), (25.0, 50.0, 100.0, 200.0, 400.0, 800.0))
+
+
+@query("error_spikes", ", w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM fx_mail_log GROUP BY 1) SELECT window_start, n, errors FROM w WHERE errors > 0.3 * n", "fx_mail_log")
+def _(spark, d):
+    x = windows.timed(view(spark, d, "fx_mail_log"), "ts").groupBy(F.window("t", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return x.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "errors").filter("errors > 0.3 * n")

@@ -265,7 +265,7 @@ def _(spark, d):
     return metrics.reliability(view(spark, d, "fx_scored"))
 
 
-@query("calibration_errors", f"SELECT round(sum(abs(c - a) * n) / sum(n), 6) AS ece, round(max(abs(c - a)) FILTER (n >= 20), 6) AS mce, round(sum(sq) / sum(n), 6) AS brier FROM ({BINS15})", "fx_scored")
+@query("calibration_errors", f"SELECT round(sum(abs(c - a) * n) / sum(n), 6) AS ece, round(coalesce(max(abs(c - a)) FILTER (n >= 20), 0.0), 6) AS mce, round(sum(sq) / sum(n), 6) AS brier FROM ({BINS15})", "fx_scored")
 def _(spark, d):
     return metrics.calibration_errors(view(spark, d, "fx_scored"))
 

@@ -40,7 +40,8 @@ NAMES = frozenset(
     "popup promo promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
 )
 MILD = frozenset("has with no without".split())
-IN_ARTICLE = frozenset("header byline".split())
+IN_ARTICLE = frozenset("header byline".split())  # unwanted outside the article only
+OF_ARTICLE = frozenset("article entry post story".split())
 CLOSES = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SIGMA, SHARE = 1.5, 0.5
 
@@ -58,7 +59,7 @@ def _unwanted(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if names & MILD:
         return False
     found = names & NAMES
-    return bool(found - IN_ARTICLE) or bool(found) and not in_article
+    return bool(found - IN_ARTICLE) or bool(found) and not in_article and not names & OF_ARTICLE
 
 
 class Page(HTMLParser):

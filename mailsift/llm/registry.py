@@ -7,9 +7,10 @@ from .html import op2_html
 from .linededup import op3_linededup
 from .lm import op6_lm
 from .neardup import op9_bagminhash
+from .neardup_sql import OP9_SQL
 from .quality import op1_quality
 from .suffix import op4_suffix
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_linededup": op3_linededup, "op4_suffix": op4_suffix, "op5_bpe": op5_bpe, "op6_lm": op6_lm, "op7_warc": op7_warc, "op8_decontaminate": op8_decontaminate, "op9_bagminhash": op9_bagminhash, "op10_chat": op10_chat}
-SQL = {"op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL, "op10_chat": OP10_SQL}
+SQL = {"op7_warc": OP7_SQL, "op8_decontaminate": OP8_SQL, "op9_bagminhash": OP9_SQL, "op10_chat": OP10_SQL}

@@ -109,3 +109,10 @@ def minimax_regret(scored: DataFrame, misses: tuple[float, ...] = (50.0, 100.0,
         out = x if out is None else out.unionByName(x)
     best = out.groupBy("miss").agg(F.min("cost").alias("best"))
     return out.join(F.broadcast(best), "miss").groupBy("review", "block").agg(F.round(F.max(F.col("cost") - F.col("best")), 6).alias("worst_regret")).orderBy("worst_regret", "review", "block")
+
+
+def policy_regret(scored: DataFrame, review: float, block: float) -> DataFrame:
+    """One policy's worst regret over the cost profiles, beside the least that any policy has."""
+    x = minimax_regret(scored)
+    mine = F.max(F.when((F.abs(F.col("review") - review) < 1e-9) & (F.abs(F.col("block") - block) < 1e-9), F.col("worst_regret")))
+    return x.agg(mine.alias("regret"), F.min("worst_regret").alias("least_regret"))

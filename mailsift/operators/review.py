@@ -88,6 +88,13 @@ def queue_depth(cases: DataFrame, now) -> DataFrame:
     return with_sla(cases).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("overdue"))
 
 
+def sla_breaches(cases: DataFrame, now) -> DataFrame:
+    """Active cases past their time, by priority and origin, with the longest delay."""
+    late = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col("created_ts").cast("timestamp")) - F.col("sla_seconds")
+    x = with_sla(cases).filter(F.col("state").isin(*ACTIVE)).withColumn("late", late).filter("late > 0")
+    return x.groupBy("priority", "origin").agg(F.count(F.lit(1)).alias("n"), F.max("late").alias("longest_seconds"))
+
+
 def queue_stats(cases: DataFrame) -> DataFrame:
     """One row over resolved cases: medians, share within time, and precision of users' reports."""
     done = with_sla(cases).filter("state = 'resolved'")

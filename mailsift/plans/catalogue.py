@@ -826,3 +826,17 @@ def _(spark, d):
 def _(spark, d):
     x = windows.timed(view(spark, d, "fx_mail_log"), "ts").groupBy(F.window("t", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return x.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", "errors").filter("errors > 0.3 * n")
+
+
+@query(
+    "sla_breaches",
+    f"SELECT priority, origin, count(*) AS n, max(late) AS longest_seconds FROM (SELECT *, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) - CAST(floor(epoch(created_ts)) AS BIGINT) - {SLA} AS late FROM fx_cases WHERE state <> 'resolved') WHERE late > 0 GROUP BY priority, origin",
+    "fx_cases",
+)
+def _(spark, d):
+    return review.sla_breaches(view(spark, d, "fx_cases"), NOW)
+
+
+@query("policy_regret", f"{AT}, w AS (SELECT review, block, round(max(cost - best), 6) AS worst FROM (SELECT *, min(cost) OVER (PARTITION BY miss) AS best FROM {_cost_sql('[50, 100, 200, 800]')}) GROUP BY review, block) SELECT max(worst) FILTER (review = 0.4 AND block = 0.8) AS regret, min(worst) AS least_regret FROM w", "fx_scored")
+def _(spark, d):
+    return policy.policy_regret(view(spark, d, "fx_scored"), 0.4, 0.8)

@@ -178,7 +178,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int, whole: bool = False
     return out, owner
 
 
-def batches(table: pa.RecordBatch, column: str, most: int = 8 << 20):
+def batches(table: pa.RecordBatch, column: str, most: int = 2 << 20):
     """(first row, rows after, bytes, offsets) of runs of rows of about ``most`` bytes of text."""
     data, offsets = flat(table.column(column))
     i, n = 0, len(offsets) - 1

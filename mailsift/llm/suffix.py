@@ -214,13 +214,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     def anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             d, h = (part.column(x).to_numpy() for x in ("_d", "_h"))
-            for i, _, data, offsets in batches(part, "_text", 4 << 20):
+            for i, _, data, offsets in batches(part, "_text"):
                 s = segments(data, offsets, length, gram)
                 t = i + s["text"]
                 yield pa.RecordBatch.from_arrays([*(pa.array(s[k]) for k in ("key", "seg")), pa.array(d[t]), pa.array(h[t]), *(pa.array(s[k].astype(np.int32)) for k in ("lo", "n", "off"))], ["key", "seg", "_d", "_h", "lo", "n", "off"])
 
     found = rows.mapInArrow(anchors, "key long, seg long, _d long, _h long, lo int, n int, off int")
     met = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).filter("times > 1").select("key", (F.col("s1") != F.col("s2")).alias("mixed"))
+    met = cut(met, "met")  # as a table, so that the join reads both sides by plain shuffles and can split a hot key
     shared = cut(found.join(met, "key"), "shared")
     kinds = shared.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_d", "_h", "lo", "n", "off")).alias("one"), F.max("mixed").alias("mixed"))
     kinds = cut(kinds, "kinds")

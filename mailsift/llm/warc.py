@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import cut, scratch, table
 
 VERSION = b"WARC/1.1\r\n"
 RECORD_END = "\r\n\r\n"
@@ -117,6 +117,7 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = 32768, min_b
     ).withColumn("digest", F.sha1("payload"))
     # Only digests and ids are grouped, and summed up before the shuffle; groups of one drop out.
     groups = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("latest")).filter("n > 1 and latest is not null").select("digest", "latest")
+    groups = cut(groups, "groups")  # as a table, so that the join reads both sides by plain shuffles and can split a hot payload
     marked = rows.join(groups, "digest", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("latest")), F.col("latest")))
     # A repeated or missing page_id must not join the segments of two records.
     marked = marked.select("page_id", "url", "payload", "refers_to", F.concat_ws("-", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.monotonically_increasing_id().cast("string")).alias("uid"))

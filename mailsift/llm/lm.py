@@ -8,8 +8,12 @@ words are units of their own; all others share a unit with the words of the same
 inside which they are distributed as the base distributes words (so unseen words have their mass and
 the whole is a distribution over the base's token space). Units are binned into classes by the
 square root of their frequency, and the output softmax is factored over classes. The state is a gated
-recurrent unit's; numpy trains it by truncated backpropagation on a bounded sample of training
-documents (``SAMPLE_DOCS`` of them, ``SAMPLE_TOKENS`` tokens of each at most: parameters). Scoring
+recurrent unit's; numpy trains it by truncated backpropagation on all training documents, whole. They are dealt
+by a hash into shards of about ``SHARD`` tokens and into ``ROUNDS`` slices. In each round every shard
+starts from the weights of the round before (and Adam's moments), goes through its documents of the
+round's slices and gives its weights; their mean, weighed by tokens, is an aggregate that ends in a table.
+All slices together are one pass; only corpora of fewer than ``LEARNED`` tokens get up to ``ROUNDS``
+passes. Which shard a document is in depends on the corpus alone, not on how its table is cut. Scoring
 runs whole documents in windows of ``WINDOW`` steps and carries the state from one to the next.
 
 Memory: the ``KNOWN`` most frequent words go to all tasks (a bounded table); what a task meets beyond
@@ -28,7 +32,6 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +40,8 @@ from .common import cut, table
 
 KNOWN, SINGLES, SUFFIXES = 200_000, 256, 255
 HIDDEN, CLASSES, WINDOW, LANES = 24, 24, 48, 256
-SAMPLE_DOCS, SAMPLE_TOKENS, EPOCHS = 800, 1000, 4
+SHARD, ROUNDS, LEARNED, STRIDE = 2_000_000, 4, 3_200_000, 1_000_000
+PIECE = 64
 FLUSH = 400_000
 
 
@@ -153,6 +157,26 @@ class Network:
         for c, m in enumerate(units.members):
             self.p[f"wu{c}"], self.p[f"bu{c}"] = make(hidden, len(m)), np.zeros(len(m), np.float32)
         self.n_classes = len(units.members)
+        self.flat = np.concatenate([x.ravel() for x in self.p.values()])
+        self.moments, self.steps = np.zeros((2, len(self.flat)), np.float32), 0
+        self.p = self.named(self.flat)
+
+    def named(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """Views of an array like ``flat``, by the names and shapes of the weights."""
+        out, at = {}, 0
+        for k, x in self.p.items():
+            out[k] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        return out
+
+    def state(self) -> np.ndarray:
+        """Weights, moments and number of steps, end to end."""
+        return np.concatenate([self.flat, *self.moments, np.array([self.steps])]).astype(np.float64)
+
+    def restore(self, state: np.ndarray) -> None:
+        n = len(self.flat)
+        self.flat[:], self.moments[:] = state[:n], state[n : 3 * n].reshape(2, n)
+        self.steps = round(float(state[3 * n]))
 
     def step(self, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         H, x, g = self.hidden, self.p["wx"][before], h @ self.p["wh"] + self.p["bh"]
@@ -174,7 +198,7 @@ class Network:
         if grad is not None:
             d = e / s[:, None]
             d[at, cls] -= 1
-            grad["wc"], grad["bc"] = states.T @ d, d.sum(axis=0)
+            grad["wc"][:], grad["bc"][:] = states.T @ d, d.sum(axis=0)
             back = d @ self.p["wc"].T
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
@@ -193,53 +217,59 @@ class Network:
             if grad is not None:
                 d = e / s[:, None]
                 d[own, to] -= 1
-                grad[f"wu{c}"], grad[f"bu{c}"] = hs.T @ d, d.sum(axis=0)
+                grad[f"wu{c}"][:], grad[f"bu{c}"][:] = hs.T @ d, d.sum(axis=0)
                 back[mine] += d @ w.T
         return logp, back
 
-    def train(self, texts: list[np.ndarray], end: int, epochs: int = EPOCHS, lanes: int = 64, window: int = 24, rate: float = 0.01) -> None:
-        """Truncated backpropagation through time, Adam, over the unit sequences of a sample."""
-        H, m1, m2, t = self.hidden, {}, {}, 0
-        for epoch in range(epochs):
-            plan = Lanes([np.append(x, end) for x in texts], end, lanes)
-            h = np.zeros((plan.width, H), np.float32)
-            for unit, before, fresh, _ in plan.windows(window):
-                steps, live = unit.shape
-                h = h[:live]
-                kept, states = [], []
-                for i in range(steps):
-                    h = h * ~fresh[i][:, None]
-                    new, z, r, n, g = self.step(before[i], h)
-                    kept.append((h, z, r, n, g))
-                    states.append(new)
-                    h = new
-                real = unit >= 0
-                grad: dict[str, np.ndarray] = {}
-                all_states = np.stack(states)
-                _, d_states = self.outputs(all_states[real], unit[real], grad)
-                d_all = np.zeros_like(all_states)
-                d_all[real] = d_states
-                grad |= {k: np.zeros_like(self.p[k]) for k in ("wx", "wh", "bh")}
-                carry = np.zeros((live, H), np.float32)
-                for i in reversed(range(steps)):
-                    hp, z, r, n, g = kept[i]
-                    dh = d_all[i] + carry
-                    dn = dh * (1 - z) * (1 - n * n)
-                    dx = np.concatenate([dh * (hp - n) * z * (1 - z), dn * g[:, 2 * H :] * r * (1 - r), dn], axis=1)
-                    dg = dx.copy()
-                    dg[:, 2 * H :] *= r
-                    grad["wh"] += hp.T @ dg
-                    grad["bh"] += dg.sum(axis=0)
-                    np.add.at(grad["wx"], before[i], dx)
-                    carry = (dh * z + dg @ self.p["wh"].T) * ~fresh[i][:, None]
-                scale = 1 / max(1, int(real.sum()))
-                t += 1
-                step = rate * (0.5**epoch)
-                for k, x in grad.items():
-                    x = np.clip(x * scale, -0.1, 0.1)
-                    m1[k] = 0.9 * m1.get(k, 0) + 0.1 * x
-                    m2[k] = 0.99 * m2.get(k, 0) + 0.01 * x * x
-                    self.p[k] -= (step * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+    def train(self, texts: list[np.ndarray], end: int, lanes: int = 128, window: int = 24, rate: float = 0.01) -> int:
+        """One pass of truncated backpropagation through time with Adam over whole unit sequences; the tokens seen."""
+        H, seen = self.hidden, 0
+        plan = Lanes([np.append(x, end) for x in texts], end, lanes)
+        h = np.zeros((plan.width, H), np.float32)
+        total = np.empty_like(self.flat)
+        grad = self.named(total)
+        for unit, before, fresh, _ in plan.windows(window):
+            steps, live = unit.shape
+            h = h[:live]
+            kept, states = [], []
+            for i in range(steps):
+                h = h * ~fresh[i][:, None]
+                new, z, r, n, g = self.step(before[i], h)
+                kept.append((h, z, r, n, g))
+                states.append(new)
+                h = new
+            real = unit >= 0
+            total[:] = 0
+            all_states = np.stack(states)
+            _, d_states = self.outputs(all_states[real], unit[real], grad)
+            d_all = np.zeros_like(all_states)
+            d_all[real] = d_states
+            carry = np.zeros((live, H), np.float32)
+            dxs, dgs = np.empty((2, steps, live, 3 * H), np.float32)
+            for i in reversed(range(steps)):
+                hp, z, r, n, g = kept[i]
+                dh = d_all[i] + carry
+                dn = dh * (1 - z) * (1 - n * n)
+                dx, dg = dxs[i], dgs[i]
+                dx[:, :H], dx[:, H : 2 * H], dx[:, 2 * H :] = dh * (hp - n) * z * (1 - z), dn * g[:, 2 * H :] * r * (1 - r), dn
+                dg[:] = dx
+                dg[:, 2 * H :] *= r
+                carry = (dh * z + dg @ self.p["wh"].T) * ~fresh[i][:, None]
+            dgs = dgs.reshape(-1, 3 * H)
+            grad["wh"][:], grad["bh"][:] = np.concatenate([x[0] for x in kept]).T @ dgs, dgs.sum(axis=0)
+            order = np.argsort(before, axis=None, kind="stable")
+            at = before.ravel()[order]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            grad["wx"][at[first]] = np.add.reduceat(dxs.reshape(-1, 3 * H)[order], first, axis=0)
+            n = int(real.sum())
+            seen += n
+            self.steps += 1
+            x = np.clip(total / max(1, n), -0.1, 0.1)
+            m1, m2 = self.moments
+            m1 += np.float32(0.1) * (x - m1)
+            m2 += np.float32(0.01) * (x * x - m2)
+            self.flat -= np.float32(rate / (1 - 0.9**self.steps)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
+        return seen
 
     def score(self, texts: list[np.ndarray], end: int, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
         """log10 probability of the units and end of each whole text."""
@@ -298,24 +328,71 @@ class Lanes:
             yield unit, before, fresh, doc
 
 
-def fit(docs: DataFrame, units: Units) -> Network:
-    """A network trained in one task, on a sample of training documents by order of a hash."""
-    # A cut of the hash's range keeps about twice the sample, so that what is put in order is small at any size.
-    low = int(-(2**63) + min(1.0, 2 * SAMPLE_DOCS / max(1, units.ends)) * (2**64 - 1))
-    sample = docs.select("text", F.xxhash64("doc_id", "text").alias("r"), held_out().alias("out")).filter((F.col("r") <= min(low, 2**63 - 1)) & ~F.col("out") & F.col("text").isNotNull())
-    sample = sample.orderBy("r").limit(SAMPLE_DOCS).select("r", "text")
+def sequences(docs: DataFrame, units: Units) -> DataFrame:
+    """(r, units) of each training document that isn't null: a hash, and the units of all its words as 16-bit numbers."""
     shared = docs.sparkSession.sparkContext.broadcast(units)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sorted((r, t) for f in frames for r, t in zip(f.r, f.text, strict=True))
-        net = Network(shared.value)
-        net.train([shared.value.encode(tokens(t)[:SAMPLE_TOKENS])[1] for _, t in rows], shared.value.end)
-        yield pd.DataFrame({"name": list(net.p), "value": [x.astype(np.float32).tobytes() for x in net.p.values()]})
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = [shared.value.encode(tokens(t.as_py()))[1].astype(np.int16).tobytes() for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays([part.column("r"), pa.array(out, pa.binary())], ["r", "units"])
+
+    return docs.filter(~held_out() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("r"), "text").mapInArrow(run, "r long, units binary")
+
+
+def train_round(rows: DataFrame, units: Units, state: np.ndarray, shards: int, rate: float) -> DataFrame:
+    """(piece, tokens, v): sums over shards of their tokens, and of their states times tokens in pieces of ``PIECE`` numbers."""
+    shared = rows.sparkSession.sparkContext.broadcast((units, state))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, state = shared.value
+        net, now, seen, held, n = Network(units), None, 0, [], 0
 
-    found = sample.coalesce(1).mapInPandas(run, "name string, value binary").collect()
+        def flush() -> None:
+            nonlocal seen, held, n
+            if held:
+                seen += net.train(held, units.end, rate=rate)
+            held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            v = np.append(net.state(), np.zeros(-len(state) % PIECE)) * seen
+            k = len(v) // PIECE
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * PIECE), pa.array(v))
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, seen, np.int64)), lists], ["piece", "tokens", "v"])
+
+        for part in parts:
+            for shard, x in zip(part.column("shard").to_pylist(), part.column("units"), strict=True):
+                if shard != now:
+                    flush()
+                    if now is not None:
+                        yield out()
+                    now, seen = shard, 0
+                    net.restore(state)
+                held.append(np.frombuffer(x.as_py(), np.int16).astype(np.int32))
+                n += len(held[-1]) + 1
+                if n >= STRIDE:
+                    flush()
+        flush()
+        if now is not None:
+            yield out()
+
+    dealt = rows.withColumn("shard", F.pmod("r", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "r")
+    pieces = dealt.mapInArrow(run, "piece int, tokens long, v array<double>")
+    return pieces.groupBy("piece").agg(F.sum("tokens").alias("tokens"), F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(PIECE))).alias("v"))
+
+
+def fit(docs: DataFrame, units: Units) -> Network:
+    """A network trained on all training documents, whole: each round averages what the shards have learned."""
     net = Network(units)
-    for r in found:
-        net.p[r.name] = np.frombuffer(bytes(r.value), np.float32).reshape(net.p[r.name].shape).copy()
+    size = units.total
+    rows = cut(sequences(docs, units), "sequences")
+    shards, passes = max(1, -(-size // SHARD)), min(ROUNDS, max(1, -(-LEARNED // max(1, size))))
+    slice_ = F.pmod(F.shiftrightunsigned("r", 40), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        mine = rows.filter(slice_.isin([(k + i) % ROUNDS for i in range(passes)]))
+        found = sorted(cut(train_round(mine, units, net.state(), shards, 0.01 * 0.5**k), "weights").collect())
+        if found:
+            net.restore(np.concatenate([np.array(r.v) / r.tokens for r in found])[: len(net.state())])
     return net
 
 

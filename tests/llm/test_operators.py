@@ -217,6 +217,21 @@ def test_network_is_a_distribution():
     assert np.allclose(whole, parts, rtol=1e-4)  # state is carried across windows
 
 
+def test_language_model_learns_whole_documents(spark):
+    r = random.Random(3)
+    data = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(40 + i))) for i in range(1, 900) if zlib.crc32(str(i).encode()) % 5 != 1]
+    long = [f"w{r.randrange(50)}" for _ in range(2500)]
+    nets = []
+    for tail in (long[1000:], sorted(long[1000:])):  # the same counts, so the same units
+        df = spark.createDataFrame([*data, (1000, " ".join(long[:1000] + tail))], "doc_id long, text string").repartition(3)
+        units = lm.learn_units(df, lm.count_words(df))
+        nets.append(lm.fit(df, units))
+    assert not np.allclose(nets[0].flat, nets[1].flat, atol=1e-5)
+    assert np.allclose(lm.fit(df.repartition(5), units).flat, nets[1].flat, atol=1e-5)  # however the table is cut
+    seen = lm.train_round(lm.sequences(df, units), units, nets[0].state(), 3, 0.01).agg(F.min("tokens"), F.max("tokens")).first()
+    assert tuple(seen) == (units.total, units.total)  # every word and end of every training document
+
+
 def test_language_model_odd(spark):
     assert lm.score_documents(odd_docs(spark)).count() == len(ODD) + 4
     none = empty_docs(spark)

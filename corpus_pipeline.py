@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of lines go, but for the first; so do documents of which no word is left by that."""
-    out = linededup.dedup_lines(docs)
+    """Repeated runs of lines and long lines go, but for the first; so do documents of which no word is left by that."""
+    out = linededup.dedup_lines(docs, long=True)
     out = out.filter((F.col("_l_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_l_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))

@@ -121,6 +121,17 @@ def test_line_dedup(spark, rows):
             assert [lines[i] for i in filled if i not in b] == [x for x in kept if x in {lines[i] for i in filled if i not in b}][: len(filled) - len(b)] or b
 
 
+def test_line_dedup_long_lines_and_pairs(spark):
+    words, chars = " ".join(f"w{i}" for i in range(50)), "é" * 200
+    pairs = [f"pair {i}\nmate {i}" for i in range(20)]  # winnowing in windows of two leaves some of these to chance
+    texts = [words, f"own a\n{words}\nown b", f"x\n{chars}", chars, words[:-4], f"{words[:-4]}\nshort", "short"]
+    texts += [f"a{i}\n{p}\nb{i}" for i, p in enumerate(pairs)] + [f"c{i}\n{p}\nd{i}" for i, p in enumerate(pairs)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = [x.text for x in sorted(linededup.dedup_lines(df, long=True).collect(), key=lambda x: x.doc_id)]
+    assert got[:7] == [words, "own a\nown b", f"x\n{chars}", "", *texts[4:7]]
+    assert got[7:27] == texts[7:27] and got[27:] == [f"c{i}\nd{i}" for i in range(20)]
+
+
 def test_line_dedup_odd(spark):
     out = linededup.dedup_lines(odd_docs(spark))
     assert out.count() == len(ODD) + 4

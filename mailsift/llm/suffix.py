@@ -35,6 +35,7 @@ from .common import _BASE, _powers, batches, cut, inverse_powers, keyed, mix, pr
 
 LENGTH, GRAM = 400, 128
 GROUP, WALK = 2000, 32
+PLACE_BITS = 24
 CHUNK = 4 << 20
 
 
@@ -57,8 +58,12 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> d
     prefix, inverse = prefix_hash(data), inverse_powers(len(data) + 1)
     at = np.arange(len(data) - gram + 1)
     grams = mix((prefix[gram:] - prefix[:-gram]) * inverse[: len(at)])
-    place = np.uint64((1 << 24) - 1)
-    anchors = (_sliding_min((grams & ~place) | at.astype(np.uint64), length - gram + 1) & place).astype(np.int64)
+    # Places are packed below the hash, so a longer text is taken in slices, each with the grams of its last window.
+    place, w = np.uint64((1 << PLACE_BITS) - 1), length - gram + 1
+    anchors, step = np.empty(len(at) - w + 1, np.int64), (1 << PLACE_BITS) - w
+    for i in range(0, len(anchors), step):
+        own = grams[i : i + step + w - 1]
+        anchors[i : i + step] = i + (_sliding_min((own & ~place) | at[: len(own)].astype(np.uint64), w) & place).astype(np.int64)
     starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
     if not len(starts):
         return {k: np.zeros(0, np.int64) for k in names}

@@ -155,6 +155,17 @@ def test_suffix_small(spark, group, walk):
     assert [tuple(x)[1:] for x in sorted(got)] == brute.long_repeats(texts, 40)
 
 
+def test_suffix_anchors_past_16_mib():
+    r = np.random.default_rng(8)
+    before, tail = r.integers(97, 123, (1 << 24) - 900, np.uint8), r.integers(97, 123, 5000, np.uint8)
+    whole = suffix.segments(np.concatenate([before, tail]), np.array([0, len(before) + len(tail)]), 400, 128)
+    alone = suffix.segments(tail, np.array([0, len(tail)]), 400, 128)
+    assert (whole["off"] >= 0).all() and (whole["off"] <= 400 - 128).all() and whole["n"].sum() == len(before) + len(tail) - 399
+    # All but the first segment, which begins before the tail, are those of the tail by itself.
+    found = {tuple(x) for x in zip(whole["lo"] - len(before), whole["n"], whole["off"], whole["key"], whole["seg"], strict=True)}
+    assert {x for x in zip(*(alone[k] for k in ("lo", "n", "off", "key", "seg")), strict=True) if x[0]} <= found
+
+
 def test_suffix_query(spark, rows):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in registry.QUERIES["op4_suffix"](spark, SF).collect()}
     assert [got[d] for d, _ in rows] == brute.long_repeats([t for _, t in rows], 400)

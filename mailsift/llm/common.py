@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space; words of the contracts are runs of any other characters.
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 NO_ID = -(2**63)
-#: Names that operators add to a caller's table for a while.
-ID_KEY, TEXT_KEY = "_mailsift_id_key", "_mailsift_text_key"
+LONG_WORD = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +25,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; one is set only where none is named (tests)."""
+    """The cluster's shared scratch folder; a temporary one only in local mode, where driver and executors are one process."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = conf.get("spark.master") or ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='mailsift-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def whole_id(docs: DataFrame, name: str = "doc_id") -> Column:
+    """The id as a long, a null as the least; ids must be whole numbers, as their order decides what stays."""
+    kind = docs.schema[name].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{name} must be a whole number, not {kind.simpleString()}; number the rows first")
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -55,7 +68,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     value of its own. Other columns are left behind, so their names cannot clash.
     """
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"),
+        whole_id(docs).alias("_d"),
         F.xxhash64("text").alias("_h"),
         F.col("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("_text"),
@@ -63,9 +76,9 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    """docs with the keys of ``keyed`` under names of their own."""
-    return docs.withColumns({ID_KEY: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), TEXT_KEY: F.xxhash64("text")})
+def packed(docs: DataFrame) -> DataFrame:
+    """The keys of ``keyed``, and each row whole as the struct ``row``: no column name of the caller can clash with others."""
+    return docs.select(whole_id(docs).alias("_d"), F.xxhash64("text").alias("_h"), F.struct("*").alias("row"))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +137,78 @@ def inverse_powers(n: int) -> np.ndarray:
     return _powers(_INVERSE, n)
 
 
+_PRIME = np.uint64(2**31 - 1)
+_MOD_BASES = (1_340_871_413, 709_312_027)
+_MOD_BYTE = [(mix(np.arange(256, dtype=np.uint64) + np.uint64(256 * (k + 1))) % (_PRIME - np.uint64(1)) + np.uint64(1)).astype(np.uint64) for k in range(2)]
+
+
+def _mod_powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of base modulo the prime, by doubling."""
+    out = np.ones(max(1, n), np.uint64)
+    size = 1
+    while size < n:
+        step = np.uint64(pow(base, size, int(_PRIME)))
+        more = min(size, n - size)
+        out[size : size + more] = out[:more] * step % _PRIME
+        size += more
+    return out
+
+
+class Rolling:
+    """Prefix sums of two polynomial hashes of bytes modulo a prime, which have no texts that collide by their form."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.powers = [_mod_powers(b, n + 1) for b in _MOD_BASES]
+        self.prefix = [np.zeros(n + 1, np.uint64) for _ in _MOD_BASES]
+        for k, prefix in enumerate(self.prefix):
+            np.cumsum(_MOD_BYTE[k][data] * self.powers[k][:n] % _PRIME, out=prefix[1:])
+            prefix %= _PRIME
+
+    def same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the n bytes from a and from b hash alike."""
+        out = np.ones(len(a), bool)
+        for p, w in zip(self.prefix, self.powers, strict=True):
+            out &= (p[a + n] + _PRIME - p[a]) % _PRIME * w[b] % _PRIME == (p[b + n] + _PRIME - p[b]) % _PRIME * w[a] % _PRIME
+        return out
+
+    def windows(self, size: int) -> np.ndarray:
+        """A hash of 62 bits of each ``size`` bytes, the same wherever they stand."""
+        n = len(self.prefix[0]) - size
+        out = np.zeros(n, np.uint64)
+        for p, base in zip(self.prefix, _MOD_BASES, strict=True):
+            back = _mod_powers(pow(base, -1, int(_PRIME)), n)
+            out = out << np.uint64(31) | (p[size:] + _PRIME - p[:-size]) % _PRIME * back % _PRIME
+        return mix(out)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Whether the n bytes from a equal those from b, pair by pair."""
+    out, ends = np.ones(len(a), bool), np.cumsum(n)
+    i = 0
+    while i < len(a):
+        before = ends[i] - n[i]
+        j = max(i + 1, int(np.searchsorted(ends, before + most, side="right")))
+        size = n[i:j]
+        owner = np.repeat(np.arange(j - i), size)
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        differ = data[a[i:j][owner] + at] != data[b[i:j][owner] + at]
+        out[i:j] = np.bincount(owner[differ], minlength=j - i) == 0
+        i = j
+    return out
+
+
+def digests(pieces, size: int = 8) -> np.ndarray:
+    """BLAKE2 digests of byte strings, as rows of ``size`` / 8 numbers."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=size).digest() for x in pieces]), np.uint64).reshape(-1, size // 8)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the words of all texts, and len + 1 bounds of each text's words."""
     space = np.zeros(256, bool)
     space[list(WHITE)] = True
     inside = ~space[data]
-    edge = np.zeros(len(data) + 1, bool)  # a word starts where it is inside and the byte before isn't, or a text begins
-    first = inside.copy()
+    first = inside.copy()  # a word starts where it is inside and the byte before isn't, or a text begins
     first[1:] &= ~inside[:-1]
     cuts = offsets[1:-1]
     cuts = cuts[cuts < len(data)]
@@ -140,15 +218,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     cuts = offsets[1:-1]
     cuts = cuts[cuts > 0]
     last[cuts - 1] = inside[cuts - 1]
-    del edge
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(start, offsets)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash for each word, and len + 1 bounds of each text's words."""
+    """A 64-bit hash for each word, and len + 1 bounds of each text's words.
+
+    Words of over ``LONG_WORD`` bytes are hashed by BLAKE2: the polynomial's modulus is a power of two, and
+    long words can be so formed that it takes them for equal.
+    """
     start, end, bounds = words(data, offsets)
-    return span_hash(prefix_hash(data), start, end, inverse_powers(len(data) + 1)), bounds
+    out = span_hash(prefix_hash(data), start, end, inverse_powers(len(data) + 1))
+    long = np.flatnonzero(end - start > LONG_WORD)
+    if len(long):
+        out[long] = digests(data[start[i] : end[i]].tobytes() for i in long)[:, 0]
+    return out, bounds
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +263,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int, whole: bool = False
     return out, owner
 
 
-def batches(table: pa.RecordBatch, column: str, most: int = 2 << 20):
+def batches(table: pa.RecordBatch, column: str, most: int = 1 << 20):
     """(first row, rows after, bytes, offsets) of runs of rows of about ``most`` bytes of text."""
     data, offsets = flat(table.column(column))
     i, n = 0, len(offsets) - 1

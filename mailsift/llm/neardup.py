@@ -12,18 +12,21 @@ Points are drawn up to a time by which all places should be filled, and further
 
 Candidates, without all pairs of a group and without caps:
 
-1. documents of equal words form one representative; only representatives go on;
+1. documents of equal words (by a 128-bit BLAKE2 digest of them) form one representative; only
+   representatives go on;
 2. each band bucket proposes its members to its smallest member; proposals are verified exactly and
    links contracted to components;
-3. buckets that still hold several components propose again: small ones all pairs of members from
-   different components (at most ``SMALL`` - 1 partners a member), larger ones cut by each of the
-   ``AFTER`` next bands that their members also share, again all pairs where small. What is larger still
-   elects a member of each component by rounds of seeded hashes and proposes it to an elected
-   centre, ``ROUNDS`` times.
+3. buckets of at most ``SMALL`` members that still hold several components propose all pairs of members
+   from different components;
+4. members of larger such buckets go through an exact prefix-filtered join: shingles are ordered by
+   rarity among these documents, two documents of similarity ``similarity`` must share one of their
+   rarest few (a share of 1 - similarity of them), and lengths and places of the shared shingle
+   bound the overlap that is possible, before pairs of different components are verified.
 
 Defined cases: documents without words (null, empty) are classes of their own; 1 to 4 words make one
-shingle; rows that agree in doc_id and text are one document and share their class; a null
-doc_id counts as the smallest. class_id is the smallest doc_id of the class.
+shingle; rows that agree in doc_id and text are one document and share their class; a null doc_id counts as the smallest; ids that aren't whole numbers
+raise a TypeError. class_id is the smallest doc_id of the class. Other columns, whatever their
+names and types, come through in ``row``.
 """
 
 from __future__ import annotations
@@ -32,17 +35,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ID_KEY, NO_ID, TEXT_KEY, batches, cut, keyed, mix, shingles, table, with_keys, word_hashes
+from .common import NO_ID, batches, cut, digests, keyed, mix, packed, shingles, table, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-SMALL, ROUNDS = 16, 3
-#: A large bucket is cut by each of so many bands after its own. Two documents of similarity 0.8 share
-#: no two bands so close with a probability of 0.002, and with copies around them links by other ways.
-AFTER = 3
+SMALL = 16
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def bagminhash(owner: np.ndarray, value: np.ndarray, count: np.ndarray, n: int,
 
 
 def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """Per row: keys, number of shingles, a 128-bit name of its words, and its band hashes."""
+    """Per row: keys, number of shingles, a 128-bit digest of its words, and its band hashes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -109,13 +109,8 @@ def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
             for i, j, data, offsets in batches(part, "_text"):
                 n = j - i
                 low = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
-                hashes, bounds = word_hashes(low, offsets)
-                index = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-                names = []
-                for salt in (1, 2):  # sums of hashes of (place, word)
-                    sums = np.zeros(len(hashes) + 1, np.uint64)
-                    np.cumsum(mix(hashes + mix(index.astype(np.uint64) * np.uint64(4) + np.uint64(salt))), out=sums[1:])
-                    names.append(mix((sums[bounds[1:]] - sums[bounds[:-1]]) + np.diff(bounds).astype(np.uint64)))
+                raw = low.tobytes()
+                names = digests((b" ".join(raw[a:b].split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), 16)
                 owner, value, count = bags(data, offsets)
                 sign = bagminhash(owner, value, count, n, bands * per_band).reshape(n, bands, per_band)
                 key = np.zeros((n, bands), np.uint64)
@@ -124,7 +119,7 @@ def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
                 key = mix(key + np.arange(bands, dtype=np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(key.view(np.int64).ravel()))
                 size = np.bincount(owner, count, minlength=n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([d.slice(i, n), h.slice(i, n), pa.array(size), *(pa.array(x.view(np.int64)) for x in names), lists], ["_d", "_h", "size", "w1", "w2", "bands"])
+                yield pa.RecordBatch.from_arrays([d.slice(i, n), h.slice(i, n), pa.array(size), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in names.T), lists], ["_d", "_h", "size", "w1", "w2", "bands"])
 
     return rows.select("_d", "_h", "_text").mapInArrow(run, "_d long, _h long, size long, w1 long, w2 long, bands array<long>")
 
@@ -210,19 +205,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     rest = cut(split_buckets(labelled(known, members.select("key", "band", "id", "size"))), "rest")
     more = [all_pairs(rest)]
     crowd = rest.filter(F.col("n") > SMALL)
-    crowded = crowd.limit(1).count() > 0
-    if crowded:
-        following = F.array(*(F.get("bands", (F.col("band") + i) % bands) for i in range(1, AFTER + 1)))
-        both = crowd.select("key", "band", "id", "size", "class").join(reps.select("id", "bands"), "id")
-        deeper = both.select(F.explode(F.transform(following, lambda k, i: F.xxhash64("key", k, i))).alias("key"), "id", "size", "class")
-        deeper = cut(split_buckets(deeper), "deeper")
-        more.append(all_pairs(deeper))
-        big = deeper.filter(F.col("n") > SMALL)
-        for turn in range(ROUNDS):
-            elected = big.groupBy("key", "class").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("r"), "id", "size")).alias("e"))
-            centre = elected.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("r"), "e")).alias("c"))
-            turn_pairs = elected.join(centre, "key").filter((F.col("e.id") != F.col("c.e.id")) & fits(F.col("e.size"), F.col("c.e.size")))
-            more.append(turn_pairs.select(F.least("e.id", F.col("c.e.id")).alias("a"), F.greatest("e.id", F.col("c.e.id")).alias("b")).distinct())
+    if crowd.limit(1).count():
+        big = crowd.select("id", "class").distinct()
+        more.append(rare_pairs(big.join(sets, "id"), similarity))
     pairs = more[0]
     for x in more[1:]:
         pairs = pairs.unionByName(x)
@@ -234,17 +219,54 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     return labelled(known, classes).select("_d", "_h", "class").dropDuplicates(["_d", "_h"])
 
 
+def rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of documents from different classes whose similarity may reach the limit; of (id, class, items).
+
+    Two sets of s and t items with Jaccard similarity of at least ``similarity`` share ``need`` = similarity / (1 + similarity)
+    (s + t) items, so in any common order they share one of the first s - similarity s + 1 and t - similarity t + 1.
+    """
+    each = sets.select("id", "class", F.size("items").alias("s"), F.explode("items").alias("item"))
+    rarity = cut(each.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "rarity")
+    placed = each.join(rarity, "item").groupBy("id").agg(F.first("class").alias("class"), F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("x"))
+    first = F.slice("x", 1, (F.col("s") - F.ceil(F.col("s") * similarity - 1e-9) + 1).cast("int"))
+    # A shingle that one document alone has brings nobody together.
+    heads = cut(placed.select("id", "class", "s", F.posexplode(first).alias("at", "x")).filter("x.df > 1").select("id", "class", "s", "at", F.col("x.item").alias("item")), "heads")
+    # A member of a shingle's largest class needs no look at its own class: only the others look at all.
+    sizes = heads.groupBy("item", "class").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy("item").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class")).alias("m")).filter("classes > 1")
+    most = cut(most.select("item", F.col("m.class").alias("most")), "most")
+    mixed = cut(heads.join(most, "item"), "mixed")
+    x, y = (mixed.select("item", "most", F.col("id").alias(i), F.col("class").alias(f"c{i}"), F.col("s").alias(f"s{i}"), F.col("at").alias(f"p{i}")) for i in "ab")
+    need = similarity / (1 + similarity) * (F.col("sa") + F.col("sb")) - 1e-9
+    good = (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= similarity * F.greatest("sa", "sb") - 1e-9)
+    # No more can be shared than what stands at and after the shared shingle in either order, and before it in both.
+    reach = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + F.least("pa", "pb")
+    pairs = x.filter("ca != most").drop("most").join(y.drop("most"), "item").filter(good & (reach >= need))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def mark_near(docs: DataFrame, **options) -> DataFrame:
-    """docs with _n_class, the smallest doc_id of its class, and _n_first, whether it is the one to stay."""
-    classes = near_classes(docs, **options)
-    same = "_mailsift_class"
-    classes = classes.select(F.col("_d").alias(ID_KEY), F.col("_h").alias(TEXT_KEY), F.col("class").alias(same))
-    out = with_keys(docs).join(classes, [ID_KEY, TEXT_KEY], "left")
-    first = (F.col(f"{same}.d") == F.col(ID_KEY)) & (F.col(f"{same}.h") == F.col(TEXT_KEY))
-    return out.select(*docs.columns, F.when(F.col(f"{same}.d") != NO_ID, F.col(f"{same}.d")).alias("_n_class"), first.alias("_n_first"))
+    """Per row of docs: row (all its columns), class_id, the smallest doc_id of its class, and is_first, whether it is the one to stay."""
+    marked = _marked(docs, **options)
+    return marked.select("row", F.when(F.col("c.d") != NO_ID, F.col("c.d")).alias("class_id"), _is_first().alias("is_first"))
+
+
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The row of each class that is to stay, one only of rows that agree in doc_id and text."""
+    # The join has dealt and sorted the rows by these keys already.
+    return _marked(docs, **options).filter(_is_first()).dropDuplicates(["_d", "_h"]).select("row.*")
+
+
+def _is_first() -> Column:
+    return (F.col("c.d") == F.col("_d")) & (F.col("c.h") == F.col("_h"))
+
+
+def _marked(docs: DataFrame, **options) -> DataFrame:
+    classes = near_classes(docs, **options).select("_d", "_h", F.col("class").alias("c"))
+    return packed(docs).join(classes, ["_d", "_h"], "left")
 
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and its class of near copies."""
     out = mark_near(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_class").alias("class_id"), F.col("_n_first").alias("is_first"))
+    return out.select("row.doc_id", "class_id", "is_first")

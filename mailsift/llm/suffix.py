@@ -6,13 +6,13 @@ at the smallest hash of its ``GRAM``-byte strings (the first of equals), which d
 bytes alone: equal windows have equal anchors at equal places. Neighbouring windows with one anchor
 form a segment; anchors meet by hash.
 
-* Segments that are equal in all bytes are repeats, all windows of them.
+* Segments that are equal in all bytes (by a 128-bit BLAKE2 digest) are repeats, all windows of them.
 * Where an anchor has several different segments, one of each goes through the suffix sort: prefix
   polynomial hashes and binary search give the common extension of two suffixes in logarithmic time,
   a mergesort orders the suffixes at the anchors of each group with such comparisons, and each
   suffix walks along its sorted neighbours, whose common extensions to the right only shrink, and
   takes its extension to the left with each. Extensions that reach ``length`` together cover windows;
-  their bytes are compared, so a hash collision covers nothing.
+  their bytes are compared, so a hash collision covers nothing. The hashes are taken modulo a prime.
 * What a walk of ``WALK`` neighbours leaves open, and groups of more than ``GROUP`` segments, is decided
   exactly by counting 128-bit hashes of single windows in a shuffle of their own.
 
@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _BASE, _powers, batches, cut, inverse_powers, keyed, mix, prefix_hash, span_hash, table
+from .common import Rolling, batches, cut, digests, inverse_powers, keyed, mix, prefix_hash, table
 
 LENGTH, GRAM = 400, 128
 GROUP, WALK = 2000, 32
@@ -52,7 +52,7 @@ def _sliding_min(values: np.ndarray, w: int) -> np.ndarray:
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     """Of each run of windows with one anchor: text, first window (byte in the text), windows, anchor's place in the first, hashes."""
-    names = ("text", "lo", "n", "off", "key", "seg")
+    names = ("text", "lo", "n", "off", "key", "s1", "s2")
     if len(data) < length:
         return {k: np.zeros(0, np.int64) for k in names}
     prefix, inverse = prefix_hash(data), inverse_powers(len(data) + 1)
@@ -73,8 +73,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> d
     i = np.flatnonzero(first)
     lo, n, p = starts[i], np.diff(np.append(i, len(starts))), anchor[i]
     text = np.searchsorted(offsets, lo, side="right") - 1
-    seg = mix(span_hash(prefix, lo, lo + n + length - 1, inverse) + mix((p - lo).astype(np.uint64)))
-    return {"text": text, "lo": lo - offsets[text], "n": n, "off": p - lo, "key": grams[p].view(np.int64), "seg": seg.view(np.int64)}
+    raw = data.tobytes()
+    seg = digests((raw[a:b] for a, b in zip(lo.tolist(), (lo + n + length - 1).tolist(), strict=True)), 16) ^ mix((p - lo).astype(np.uint64))[:, None]
+    return {"text": text, "lo": lo - offsets[text], "n": n, "off": p - lo, "key": grams[p].view(np.int64), "s1": seg[:, 0].view(np.int64), "s2": seg[:, 1].view(np.int64)}
 
 
 class Sorter:
@@ -86,15 +87,12 @@ class Sorter:
         self.text = np.frombuffer(self.bytes, np.uint8)
         self.start = np.cumsum(sizes) - sizes
         self.point, self.left, self.right = self.start + off, off, sizes - off
-        self.prefix, self.power = prefix_hash(self.text), _powers(_BASE, len(self.text) + 1)
+        self._same = Rolling(self.text).same
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         self.first = np.repeat(edge, np.diff(np.append(edge, len(key))))  # of each suffix's group
         self.size = np.repeat(np.diff(np.append(edge, len(key))), np.diff(np.append(edge, len(key))))
         self.windows = sizes - length + 1
 
-    def _same(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.prefix[a + n] - self.prefix[a]) * self.power[b] == (self.prefix[b + n] - self.prefix[b]) * self.power[a]
-
     def extension(self, i: np.ndarray, j: np.ndarray, left: bool = False) -> np.ndarray:
         """Common bytes of two suffixes from their anchors on, or before them, by binary search."""
         side = self.left if left else self.right
@@ -186,6 +184,8 @@ def _runs(flags: np.ndarray) -> list[dict[str, int]]:
 
 
 SPANS = "array<struct<a:int,b:int>>"
+#: What names a segment: its anchor's hash and a digest of its bytes.
+SEG = ("key", "s1", "s2")
 
 
 def _sorted_groups(parts: Iterator[pa.RecordBatch], length: int, walk: int) -> Iterator[pa.RecordBatch]:
@@ -197,12 +197,13 @@ def _sorted_groups(parts: Iterator[pa.RecordBatch], length: int, walk: int) -> I
         covered, bounds, open_ = s.cover(walk)
         unsure = np.isin(s.first, s.first[open_])  # one open suffix leaves its group to the count
         spans = [_runs(covered[bounds[x] : bounds[x + 1]]) for x in range(len(rows))]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array([r[1] for r in rows], pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(unsure)], ["key", "seg", "spans", "unsure"])
+        segs = [pa.array([r[k] for r in rows], pa.int64()) for k in (1, 4)]
+        return pa.RecordBatch.from_arrays([pa.array(key), *segs, pa.array(spans, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))), pa.array(unsure)], ["key", "s1", "s2", "spans", "unsure"])
 
     held: list[tuple] = []
     size = 0  # bytes held
     for part in parts:
-        for row in zip(*(part.column(x).to_pylist() for x in ("key", "seg", "off", "piece")), strict=True):
+        for row in zip(*(part.column(x).to_pylist() for x in ("key", "s1", "off", "piece", "s2")), strict=True):
             if size >= CHUNK and row[0] != held[-1][0]:
                 yield solve(held)
                 held, size = [], 0
@@ -222,51 +223,66 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             for i, _, data, offsets in batches(part, "_text"):
                 s = segments(data, offsets, length, gram)
                 t = i + s["text"]
-                yield pa.RecordBatch.from_arrays([*(pa.array(s[k]) for k in ("key", "seg")), pa.array(d[t]), pa.array(h[t]), *(pa.array(s[k].astype(np.int32)) for k in ("lo", "n", "off"))], ["key", "seg", "_d", "_h", "lo", "n", "off"])
+                place = s["lo"].astype(np.int64) << 32 | s["n"].astype(np.int64) << 16 | s["off"].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(pa.array(s[k]) for k in SEG), pa.array(d[t]), pa.array(h[t]), pa.array(place)], [*SEG, "_d", "_h", "place"])
 
-    found = rows.mapInArrow(anchors, "key long, seg long, _d long, _h long, lo int, n int, off int")
-    met = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min("seg").alias("s1"), F.max("seg").alias("s2")).filter("times > 1").select("key", (F.col("s1") != F.col("s2")).alias("mixed"))
+    found = rows.mapInArrow(anchors, "key long, s1 long, s2 long, _d long, _h long, place long")
+    seg = F.struct("s1", "s2")
+    met = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(seg).alias("a"), F.max(seg).alias("b")).filter("times > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
     met = cut(met, "met")  # as a table, so that the join reads both sides by plain shuffles and can split a hot key
     shared = cut(found.join(met, "key"), "shared")
-    kinds = shared.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_d", "_h", "lo", "n", "off")).alias("one"), F.max("mixed").alias("mixed"))
+    kinds = shared.groupBy(*SEG).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("_d", "_h", "place")).alias("one"), F.max("mixed").alias("mixed"))
     kinds = cut(kinds, "kinds")
-    whole = kinds.filter("times > 1").select("key", "seg")
+    whole = kinds.filter("times > 1").select(*SEG)
     variants = kinds.filter("mixed")
-    crowd = variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants"))
-    wanted = variants.join(crowd, "key").groupBy("one._d", "one._h").agg(F.collect_list(F.struct("key", "seg", "one.lo", "one.n", "one.off", (F.col("variants") > group).alias("crowded"))).alias("wanted"))
+    crowd = cut(variants.groupBy("key").agg(F.count(F.lit(1)).alias("variants")), "crowd")
+    wanted = variants.join(crowd, "key").groupBy("one._d", "one._h").agg(F.collect_list(F.struct(*SEG, "one.place", (F.col("variants") > group).alias("crowded"))).alias("wanted"))
 
     def slices(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out = []
             for text, own in zip(part.column("_text"), part.column("wanted").to_pylist(), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
-                out += [(w["key"], w["seg"], w["off"], raw[w["lo"] : w["lo"] + w["n"] + length - 1], w["crowded"]) for w in own]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["key", "seg", "off", "piece", "crowded"])
-
-    pieces = rows.join(wanted, ["_d", "_h"]).dropDuplicates(["_d", "_h"]).select("_text", "wanted").mapInArrow(slices, "key long, seg long, off int, piece binary, crowded boolean")
+                for w in own:
+                    lo, n, off = w["place"] >> 32, w["place"] >> 16 & 0xFFFF, w["place"] & 0xFFFF
+                    out.append((w["key"], w["s1"], w["s2"], off, raw[lo : lo + n + length - 1], w["crowded"]))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*SEG, "off", "piece", "crowded"])
+
+    pieces = rows.join(wanted, ["_d", "_h"]).dropDuplicates(["_d", "_h"]).select("_text", "wanted").mapInArrow(slices, "key long, s1 long, s2 long, off int, piece binary, crowded boolean")
     pieces = cut(pieces, "pieces")
     calm = pieces.filter("not crowded").drop("crowded").repartition("key").sortWithinPartitions("key")
-    ordered = cut(calm.mapInArrow(lambda parts: _sorted_groups(parts, length, walk), f"key long, seg long, spans {SPANS}, unsure boolean"), "ordered")
+    ordered = cut(calm.mapInArrow(lambda parts: _sorted_groups(parts, length, walk), f"key long, s1 long, s2 long, spans {SPANS}, unsure boolean"), "ordered")
 
     def single(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for key, seg, off, piece in zip(*(part.column(x).to_pylist() for x in ("key", "seg", "off", "piece")), strict=True):
+            for key, s1, s2, off, piece in zip(*(part.column(x).to_pylist() for x in (*SEG, "off", "piece")), strict=True):
                 data = np.frombuffer(piece, np.uint8)
                 n = len(data) - length + 1
-                x = [mix((p[length:] - p[:-length]) * inverse_powers(n)) for p in (prefix_hash(data), prefix_hash(data ^ 0x5A))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, key)), pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), pa.array(off - np.arange(n, dtype=np.int32)), *(pa.array(y.view(np.int64)) for y in x)], ["key", "seg", "w", "at", "x1", "x2"])
+                p = prefix_hash(data)
+                x = Rolling(data).windows(length), mix((p[length:] - p[:-length]) * inverse_powers(n))
+                ids = [pa.array(np.full(n, v)) for v in (key, s1, s2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.arange(n, dtype=np.int32)), pa.array(off - np.arange(n, dtype=np.int32)), *(pa.array(y.view(np.int64)) for y in x)], [*SEG, "w", "at", "x1", "x2"])
 
     unsure = ordered.filter("unsure").select("key").distinct()
     left_over = pieces.filter("crowded").drop("crowded").unionByName(pieces.drop("crowded").join(unsure, "key", "left_semi"))
-    windows = left_over.mapInArrow(single, "key long, seg long, w int, at int, x1 long, x2 long")
-    twice = windows.groupBy("key", "at", "x1", "x2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
-    counted = windows.join(twice, ["key", "at", "x1", "x2"]).select("key", "seg", F.array(F.struct(F.col("w").alias("a"), F.col("w").alias("b"))).alias("spans"))
-    partial = ordered.filter("not unsure and size(spans) > 0").select("key", "seg", "spans").unionByName(counted)
-    # Repeats of whole segments need no more than that; the rest take the windows found.
-    partial = partial.join(whole, ["key", "seg"], "left_anti").select("key", "seg", F.explode("spans").alias("s"))
-    first = shared.join(whole, ["key", "seg"]).select("_d", "_h", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
-    second = shared.join(partial, ["key", "seg"]).select("_d", "_h", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b") + length).alias("b"))
+    windows = left_over.mapInArrow(single, "key long, s1 long, s2 long, w int, at int, x1 long, x2 long")
+    twice = cut(windows.groupBy("key", "at", "x1", "x2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "twice")
+    # Neighbouring windows of a segment become one span: they have one difference to their rank.
+    counted = windows.join(twice, ["key", "at", "x1", "x2"]).select(*SEG, "w")
+    rank = F.col("w") - F.row_number().over(Window.partitionBy(*SEG).orderBy("w"))
+    counted = counted.withColumn("g", rank).groupBy(*SEG, "g").agg(F.min("w").alias("a"), F.max("w").alias("b")).select(*SEG, F.struct("a", "b").alias("s"))
+    partial = ordered.filter("not unsure and size(spans) > 0").select(*SEG, F.explode("spans").alias("s")).unionByName(counted)
+    # Repeats of whole segments need no more than that; the rest take the windows found. One row a segment, in a
+    # table: the join to all its places reads both sides by plain shuffles then, and a hot segment can be split.
+    partial = partial.join(whole, list(SEG), "left_anti").groupBy(*SEG).agg(F.collect_set("s").alias("spans"))
+    partial = cut(partial, "partial")
+    lo = F.shiftright("place", 32).cast("int")
+    n = F.shiftright("place", 16).bitwiseAND(0xFFFF).cast("int")
+    first = shared.join(whole, list(SEG)).select("_d", "_h", lo.alias("a"), (lo + n - 1 + length).alias("b"))
+    second = shared.join(partial, list(SEG)).select("_d", "_h", lo.alias("lo"), F.explode("spans").alias("s"))
+    second = second.select("_d", "_h", (F.col("lo") + F.col("s.a")).alias("a"), (F.col("lo") + F.col("s.b") + length).alias("b"))
     return first.unionByName(second).groupBy("_d", "_h").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 

@@ -18,21 +18,22 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie outside their language's perplexity bands go."""
-    return quality.judge(docs).filter("_q_kept").select(*docs.columns)
+    return quality.judge(docs).filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated runs of lines and long lines go, but for the first; so do documents of which no word is left by that."""
     out = linededup.dedup_lines(docs, long=True)
-    out = out.filter((F.col("_l_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    out = out.filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    now = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_l_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        now["n_chars"] = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(now.get(x, F.col("row").getField(x)).alias(x) for x in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies, the document with the smallest id stays."""
-    return neardup.mark_near(docs).filter("_n_first").select(*docs.columns)
+    return neardup.first_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ of the last ``lookahead`` places; tokens before the place from which all of thes
 stable. They are emitted and forgotten, so memory depends on the merge list, not on the input.
 
 Decoding is the inverse, token by token: ``Decoder`` holds at most the three bytes of an unfinished
-UTF-8 character. ``joined`` is the tokenizers library's own text form for a file without decoder.
+UTF-8 character. The tokenizers library has its own text form for a file that names no decoder, the
+tokens joined by spaces; the machine gives it with ``joined``. The query's decoded text is what this
+machine makes of the ids; as it stands between words as it began, a word's part is remembered.
 
 Defined cases: null texts are empty and have no tokens (the digest of nothing); the strings of the
 file's added tokens are tokens wherever they stand, as in the library.
@@ -28,10 +30,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 #: Words and runs up to this many characters are remembered with their tokens; so many of each at most.
-MEMO_BYTES, MEMO_WORDS = 48, 400_000
+MEMO_BYTES, MEMO_WORDS = 48, 120_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -177,7 +179,7 @@ class Tokenizer:
         split = file["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # Unicode white space: the control characters U+001C to U+001F aren't.
         self.split = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}"))
-        self.alphabet = byte_alphabet()
+        self.added_ids, self.bytes = set(self.added.values()), {c: b for b, c in byte_alphabet().items()}
         self.blank = regex.compile(r"\p{White_Space}+")
         self.memo: dict[str, tuple[str, str]] = {}
         self.runs = Runs(self)
@@ -191,7 +193,8 @@ class Tokenizer:
     def word(self, word: str) -> tuple[str, str]:
         """ids and tokens of one word, each joined by spaces."""
         found = list(self.machine.tokens(word.encode("utf-8")))
-        out = " ".join(map(str, found)), " ".join([self.names[t] for t in found])
+        decoder = Decoder(self, joined=True)
+        out = " ".join(map(str, found)), "".join([decoder.feed(t) for t in found]) + decoder.close()
         if len(word) <= MEMO_BYTES:
             if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
@@ -241,12 +244,16 @@ class Tokenizer:
             first = False
         return n, ids.hexdigest(), decoded.hexdigest()
 
+    def forget(self) -> None:
+        self.memo.clear()
+        self.runs.clear()
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.pieces(text) for i in ids.split()]
 
-    def joined(self, ids: Iterable[int]) -> str:
-        """The library's text of ids for a file without decoder: the tokens, joined by spaces."""
-        return " ".join(self.names[i] for i in ids)
+    def decode(self, ids: Iterable[int], joined: bool = False) -> str:
+        decoder = Decoder(self, joined)
+        return "".join(map(decoder.feed, ids)) + decoder.close()
 
 
 class Runs(dict):
@@ -265,15 +272,23 @@ class Runs(dict):
 
 
 class Decoder:
-    """Ids to text, token by token; an end of word becomes a space. Holds unfinished characters only."""
+    """Ids to text, token by token. Holds unfinished characters only.
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.names, self.end, self.added = tokenizer.names, tokenizer.machine.end, set(tokenizer.added.values())
-        self.byte = {c: b for b, c in tokenizer.alphabet.items()}
+    An end of word becomes a space; with ``joined`` tokens are named as they are, with spaces between them.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, joined: bool = False):
+        self.names, self.end, self.added = tokenizer.names, tokenizer.machine.end, tokenizer.added_ids
+        self.byte, self.joined = tokenizer.bytes, joined
         self.held = b""
+        self.begun = False
 
     def feed(self, token_id: int) -> str:
         name = self.names[token_id]
+        if self.joined:
+            name = " " + name if self.begun else name
+            self.begun = True
+            return name
         if token_id in self.added:
             return self.close() + name
         ends = bool(self.end) and name.endswith(self.end)
@@ -327,9 +342,10 @@ def encode(docs: DataFrame, file: str | None = None, with_ids: bool = False) ->
             if with_ids:
                 columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        machine.forget()  # workers live on beyond their task
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

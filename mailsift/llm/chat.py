@@ -4,8 +4,9 @@ Logs often hold a conversation many times, each time a few turns longer. A rolli
 prefix of turns; a conversation whose hash names a proper prefix of another one is a snapshot of
 it and goes. DataFrame operations only.
 
-The hash of a prefix is the exclusive-or of two 64-bit hashes of (position, role, text) over its
-turns, with the number of turns, so one running window computes all prefixes of a conversation.
+The hash of a prefix is the exclusive-or of the SHA-256 digests of (position, role, text) of its turns,
+in four parts, with the number of turns, so one running window computes all prefixes of a conversation.
+Positions are part of each digest, so neither other turns nor the same ones in another order give it.
 
 Defined cases: turns are ordered by turn, then role, then text (ties and null turns, which come
 first, are so put in order); rows repeated whole count as the one turn they are; null role or text
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
+HASH = ("h1", "h2", "h3", "h4")
 
 
 def prefixes(conversations: DataFrame) -> DataFrame:
@@ -34,7 +36,9 @@ def prefixes(conversations: DataFrame) -> DataFrame:
     ).distinct()
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turns = turns.withColumn("n", F.count(F.lit(1)).over(by))
-    return turns.withColumn("h1", F.expr("bit_xor(xxhash64(n, role, text))").over(by)).withColumn("h2", F.expr("bit_xor(xxhash64(text, n, role, 'second'))").over(by))
+    turns = turns.withColumn("digest", F.sha2(F.to_json(F.struct("n", "role", "text")), 256))
+    part = lambda k: F.expr(f"bit_xor(cast(conv(substring(digest, {16 * k + 1}, 16), 16, -10) as bigint))").over(by)
+    return turns.select("conv_id", "n", "role", "text", *(part(k).alias(x) for k, x in enumerate(HASH)))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
@@ -43,14 +47,14 @@ def maximal(conversations: DataFrame) -> DataFrame:
     rendered = F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(END))
     whole = turns.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.expr("max_by(struct(h1, h2), n)").alias("h"),
+        F.expr(f"max_by(struct({', '.join(HASH)}), n)").alias("h"),
         F.sort_array(F.collect_list(F.struct("n", rendered.alias("r")))).alias("parts"),
-    ).select("conv_id", "n", "h.h1", "h.h2", F.array_join(F.col("parts.r"), "\n").alias("rendered"))
+    ).select("conv_id", "n", "h.*", F.array_join(F.col("parts.r"), "\n").alias("rendered"))
     # Copies first: one row each remains, so no key of the join below is hot.
-    first = whole.select("n", "h1", "h2", "conv_id").groupBy("n", "h1", "h2").agg(F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id")).alias("m"), F.count(F.lit(1)).alias("n_copies")).select("n", "h1", "h2", F.col("m.conv_id").alias("conv_id"), "n_copies")
-    ends = turns.select("conv_id", "n", "h1", "h2").withColumn("later", F.lead("n").over(Window.partitionBy("conv_id").orderBy("n")))
-    inner = ends.filter("later is not null").select("n", "h1", "h2").distinct()
-    kept = first.join(inner, ["n", "h1", "h2"], "left_anti").select("conv_id", "n_copies")
+    first = whole.groupBy("n", *HASH).agg(F.min(F.struct(F.col("conv_id").isNotNull(), "conv_id")).alias("m"), F.count(F.lit(1)).alias("n_copies")).select("n", *HASH, F.col("m.conv_id").alias("conv_id"), "n_copies")
+    ends = turns.select("conv_id", "n", *HASH).withColumn("later", F.lead("n").over(Window.partitionBy("conv_id").orderBy("n")))
+    inner = ends.filter("later is not null").select("n", *HASH).distinct()
+    kept = first.join(inner, ["n", *HASH], "left_anti").select("conv_id", "n_copies")
     return whole.join(kept, whole.conv_id.eqNullSafe(kept.conv_id)).select(whole.conv_id, F.col("n").alias("n_turns"), "n_copies", "rendered")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 WHITE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 NO_ID = -(2**63)
 LONG_WORD = 64
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow over batches of at most ``BATCH_BYTES``, so that long rows don't fill a worker.
+
+    The limit is a setting of the session, read when the plan runs, so it stays as it is set here.
+    """
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", conf.get(BATCH_SETTING))) > BATCH_BYTES:
+        conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text under private names, with two join keys.
 
@@ -263,9 +275,9 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int, whole: bool = False
     return out, owner
 
 
-def batches(table: pa.RecordBatch, column: str, most: int = 1 << 20):
-    """(first row, rows after, bytes, offsets) of runs of rows of about ``most`` bytes of text."""
-    data, offsets = flat(table.column(column))
+def batches(column: pa.Array, most: int = 1 << 20):
+    """(first row, row after the last, bytes, offsets) of runs of rows of about ``most`` bytes of text."""
+    data, offsets = flat(column)
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)

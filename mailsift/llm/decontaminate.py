@@ -21,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, table
+from .common import cut, packed, table
 
 WIDTH = 10
 SHINGLE = 3
-#: Rows of the benchmark's shingle table up to which it is sent to all executors.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of the benchmark's shingle tables, of 40 a row, up to which they are sent to all executors.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 40
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -55,23 +55,23 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return own.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("n", F.size("words"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per row of docs: row (all its columns), n_words, the sorted hit positions and the sorted item ids."""
     spark = docs.sparkSession
-    wins = cut(windows(benchmark, width).withColumn("wid", F.xxhash64("words")).withColumn("k", F.least("n", F.lit(shingle))), "windows")
+    wins = cut(windows(benchmark, width).withColumn("wid", F.monotonically_increasing_id()).withColumn("k", F.least("n", F.lit(shingle))), "windows")
     # Windows of fewer than ``shingle`` words need shorter shingles; most benchmarks have none.
     sizes = [r.k for r in wins.select("k").distinct().orderBy("k").collect()] or [shingle]
     parts = cut(
-        wins.select("words", "k", F.explode(F.expr(" || ".join(f"transform(if(k = {k}, sequence(0, n - {k}), array()), i -> struct(cast(i as int) as at, xxhash64({', '.join(f'get(words, i + {j})' for j in range(k))}) as s))" for k in sizes)) if len(sizes) > 1 else F.transform(F.sequence(F.lit(0), F.col("n") - sizes[0]), lambda i: F.struct(i.alias("at"), _shingle(F.col("words"), i, sizes[0]).alias("s")))).alias("p"))
-        .select("words", "k", "p.at", "p.s"),
+        wins.select("wid", "k", F.explode(F.expr(" || ".join(f"transform(if(k = {k}, sequence(0, n - {k}), array()), i -> struct(cast(i as int) as at, xxhash64({', '.join(f'get(words, i + {j})' for j in range(k))}) as s))" for k in sizes)) if len(sizes) > 1 else F.transform(F.sequence(F.lit(0), F.col("n") - sizes[0]), lambda i: F.struct(i.alias("at"), _shingle(F.col("words"), i, sizes[0]).alias("s")))).alias("p"))
+        .select("wid", "k", "p.at", "p.s"),
         "shingles",
     )
     known = parts.select("k", "s").distinct()
-    small = known.count() <= broadcast_rows
+    # Both tables that may be sent, this and the windows' prefixes, hold hashes and numbers only, and have no more rows than ``parts``.
+    small = parts.count() * ROW_BYTES <= broadcast_bytes
     sent = (lambda df: F.broadcast(df)) if small else (lambda df: df)
 
-    text = docs.select(F.struct("*").alias("row"))
-    text = text.select(F.coalesce(F.col("row.doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.xxhash64("row.text").alias("_h"), "row")
+    text = packed(docs)
     own = F.coalesce(F.col("row.text"), F.lit(""))
     found = None
     for k in sizes:
@@ -83,9 +83,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shi
     rarity = found.groupBy("k", "s").agg(F.count(F.lit(1)).alias("df"))
     ranked = parts.join(rarity, ["k", "s"], "left")
     # A shingle that no document has rules its window out: df is null then, and sorts first.
-    prefix = ranked.groupBy("words").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "s", "k")).alias("p")).filter("p.df > 0")
-    prefix = prefix.join(wins.select("words", "n", "items"), "words").select("words", "n", "items", "p.at", "p.s", "p.k")
+    prefix = ranked.groupBy("wid").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "at", "s", "k")).alias("p")).filter("p.df > 0").select("wid", "p.at", "p.s", "p.k")
     pairs = found.join(sent(prefix), ["k", "s"]).withColumn("start", F.col("pos") - F.col("at")).filter("start >= 0")
+    # The words of a window join where it is proposed, so that no table of words is sent.
+    pairs = pairs.join(wins.select("wid", "n", "words", "items"), "wid")
     # One window may be proposed for a place once only: the prefix is one shingle at one offset.
     spans = pairs.groupBy("_d", "_h").agg(F.collect_set(F.struct("start", "n", "words", "items")).alias("spans"))
 

@@ -36,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, map_batches, table
 
 KNOWN, SINGLES, SUFFIXES = 200_000, 256, 255
 HIDDEN, CLASSES, WINDOW, LANES = 24, 24, 48, 256
-SHARD, ROUNDS, LEARNED, STRIDE = 2_000_000, 4, 3_200_000, 1_000_000
+SHARD, ROUNDS, LEARNED, STRIDE = 2_000_000, 4, 3_200_000, 2_000_000
 PIECE = 64
 FLUSH = 400_000
 
@@ -72,7 +72,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if seen:
             yield out()
 
-    return docs.filter(~held_out()).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(docs.filter(~held_out()).select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Units:
@@ -142,10 +142,6 @@ def learn_units(docs: DataFrame, counts: DataFrame) -> Units:
     return Units(words, known, ends, total.n + ends, total.v + (ends > 0), ends_top, rest)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 class Network:
     """A GRU over units with a class-factored softmax, in float32."""
 
@@ -178,12 +174,28 @@ class Network:
         self.flat[:], self.moments[:] = state[:n], state[n : 3 * n].reshape(2, n)
         self.steps = round(float(state[3 * n]))
 
-    def step(self, before: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        H, x, g = self.hidden, self.p["wx"][before], h @ self.p["wh"] + self.p["bh"]
-        zr = _sigmoid(x[:, : 2 * H] + g[:, : 2 * H])
-        z, r = zr[:, :H], zr[:, H:]
-        n = np.tanh(x[:, 2 * H :] + r * g[:, 2 * H :])
-        return n + z * (h - n), z, r, n, g
+    def inputs(self, before: np.ndarray) -> np.ndarray:
+        """What the units before put into the gates, with the biases of update and reset: window by window, not step by step."""
+        table = self.p["wx"].copy()
+        table[:, : 2 * self.hidden] += self.p["bh"][: 2 * self.hidden]
+        return table[before]
+
+    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after h; and update, reset and candidate, and the state's part of the candidate before the reset."""
+        H, g = self.hidden, h @ self.p["wh"]
+        zr = g[:, : 2 * H] + x[:, : 2 * H]
+        zr *= np.float32(0.5)
+        np.tanh(zr, out=zr)  # a sigmoid is a hyperbolic tangent of half its argument, moved and halved
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
+        z, r, gn = zr[:, :H], zr[:, H:], g[:, 2 * H :] + self.p["bh"][2 * H :]
+        n = r * gn
+        n += x[:, 2 * H :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, gn
 
     def outputs(self, states: np.ndarray, units: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """log (natural) probability of each unit in its state; with grad, gradients are added and d states returned."""
@@ -221,68 +233,72 @@ class Network:
                 back[mine] += d @ w.T
         return logp, back
 
-    def train(self, texts: list[np.ndarray], end: int, lanes: int = 128, window: int = 24, rate: float = 0.01) -> int:
+    def train(self, texts: list[np.ndarray], end: int, lanes: int = 128, window: int = 32, rate: float = 0.01) -> int:
         """One pass of truncated backpropagation through time with Adam over whole unit sequences; the tokens seen."""
         H, seen = self.hidden, 0
-        plan = Lanes([np.append(x, end) for x in texts], end, lanes)
+        plan = Lanes(texts, end, lanes)
         h = np.zeros((plan.width, H), np.float32)
         total = np.empty_like(self.flat)
         grad = self.named(total)
         for unit, before, fresh, _ in plan.windows(window):
             steps, live = unit.shape
-            h = h[:live]
-            kept, states = [], []
+            h, x = h[:live], self.inputs(before)
+            old, states, z, r, n, gn = (np.empty((steps, live, H), np.float32) for _ in range(6))
+            stay = (~fresh)[:, :, None].astype(np.float32)
+            begins = fresh.any(axis=1)
             for i in range(steps):
-                h = h * ~fresh[i][:, None]
-                new, z, r, n, g = self.step(before[i], h)
-                kept.append((h, z, r, n, g))
-                states.append(new)
-                h = new
+                old[i] = h * stay[i] if begins[i] else h
+                h, z[i], r[i], n[i], gn[i] = self.step(x[i], old[i])
+                states[i] = h
             real = unit >= 0
             total[:] = 0
-            all_states = np.stack(states)
-            _, d_states = self.outputs(all_states[real], unit[real], grad)
-            d_all = np.zeros_like(all_states)
+            _, d_states = self.outputs(states[real], unit[real], grad)
+            d_all = np.zeros_like(states)
             d_all[real] = d_states
-            carry = np.zeros((live, H), np.float32)
+            # What a change of the state does to candidate, update and reset, for all steps at a time.
+            to_n, to_z, to_r = (1 - z) * (1 - n * n), (old - n) * z * (1 - z), gn * r * (1 - r)
+            carry, back = np.zeros((live, H), np.float32), np.ascontiguousarray(self.p["wh"].T)
             dxs, dgs = np.empty((2, steps, live, 3 * H), np.float32)
             for i in reversed(range(steps)):
-                hp, z, r, n, g = kept[i]
-                dh = d_all[i] + carry
-                dn = dh * (1 - z) * (1 - n * n)
-                dx, dg = dxs[i], dgs[i]
-                dx[:, :H], dx[:, H : 2 * H], dx[:, 2 * H :] = dh * (hp - n) * z * (1 - z), dn * g[:, 2 * H :] * r * (1 - r), dn
-                dg[:] = dx
-                dg[:, 2 * H :] *= r
-                carry = (dh * z + dg @ self.p["wh"].T) * ~fresh[i][:, None]
-            dgs = dgs.reshape(-1, 3 * H)
-            grad["wh"][:], grad["bh"][:] = np.concatenate([x[0] for x in kept]).T @ dgs, dgs.sum(axis=0)
+                dh, dx, dg = d_all[i] + carry, dxs[i], dgs[i]
+                np.multiply(dh, to_z[i], out=dx[:, :H])
+                dn = np.multiply(dh, to_n[i], out=dx[:, 2 * H :])
+                np.multiply(dn, to_r[i], out=dx[:, H : 2 * H])
+                dg[:, : 2 * H] = dx[:, : 2 * H]
+                np.multiply(dn, r[i], out=dg[:, 2 * H :])
+                carry = dg @ back
+                dh *= z[i]
+                carry += dh
+                if begins[i]:
+                    carry *= stay[i]
+            dxs, dgs = dxs.reshape(-1, 3 * H), dgs.reshape(-1, 3 * H)
+            grad["wh"][:], grad["bh"][:] = old.reshape(-1, H).T @ dgs, dgs.sum(axis=0)
             order = np.argsort(before, axis=None, kind="stable")
             at = before.ravel()[order]
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            grad["wx"][at[first]] = np.add.reduceat(dxs.reshape(-1, 3 * H)[order], first, axis=0)
-            n = int(real.sum())
-            seen += n
+            grad["wx"][at[first]] = np.add.reduceat(dxs[order], first, axis=0)
+            count = int(real.sum())
+            seen += count
             self.steps += 1
-            x = np.clip(total / max(1, n), -0.1, 0.1)
+            g = np.clip(total / max(1, count), -0.1, 0.1)
             m1, m2 = self.moments
-            m1 += np.float32(0.1) * (x - m1)
-            m2 += np.float32(0.01) * (x * x - m2)
+            m1 += np.float32(0.1) * (g - m1)
+            m2 += np.float32(0.01) * (g * g - m2)
             self.flat -= np.float32(rate / (1 - 0.9**self.steps)) * m1 / (np.sqrt(m2 / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
         return seen
 
     def score(self, texts: list[np.ndarray], end: int, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
         """log10 probability of the units and end of each whole text."""
-        out, plan = np.zeros(len(texts)), Lanes([np.append(x, end) for x in texts], end, lanes)
+        out, plan = np.zeros(len(texts)), Lanes(texts, end, lanes)
         h = np.zeros((plan.width, self.hidden), np.float32)
         for unit, before, fresh, doc in plan.windows(window):
-            h = h[: unit.shape[1]]
+            h, x = h[: unit.shape[1]], self.inputs(before)
             states = np.empty((*unit.shape, self.hidden), np.float32)
+            begins = fresh.any(axis=1)
             for i in range(len(unit)):
-                if fresh[i].any():
+                if begins[i]:
                     h = h * ~fresh[i][:, None]
-                h = self.step(before[i], h)[0]
-                states[i] = h
+                h = states[i] = self.step(x[i], h)[0]
             real = unit >= 0
             logp, _ = self.outputs(states[real], unit[real])
             out += np.bincount(doc[real], logp.astype(np.float64), minlength=len(texts))
@@ -290,42 +306,41 @@ class Network:
 
 
 class Lanes:
-    """Texts laid end to end on lanes of about equal length, longest lane first."""
+    """Texts, each with its end, laid end to end on lanes of about equal length, longest lane first."""
 
     def __init__(self, texts: list[np.ndarray], end: int, lanes: int):
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+        sizes = np.array([len(x) + 1 for x in texts], np.int64)
         heap = [(0, k) for k in range(max(1, min(lanes, len(texts))))]
-        on: list[list[int]] = [[] for _ in heap]
-        for i in order:
+        lane, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for i in np.argsort(-sizes, kind="stable").tolist():
             n, k = heapq.heappop(heap)
-            on[k].append(i)
-            heapq.heappush(heap, (n + len(texts[i]), k))
-        sizes = {k: n for n, k in heap}
-        on = [on[k] for k in sorted(sizes, key=lambda k: -sizes[k])]
-        self.end, self.width = end, len(on)
-        self.unit = [np.concatenate([texts[i] for i in x]) if x else np.zeros(0, np.int32) for x in on]
-        self.doc = [np.repeat(x, [len(texts[i]) for i in x]) if x else np.zeros(0, np.int64) for x in on]
-        self.length = np.array([len(x) for x in self.unit])
+            lane[i], start[i] = k, n
+            heapq.heappush(heap, (n + int(sizes[i]), k))
+        length = np.zeros(len(heap), np.int64)
+        for n, k in heap:
+            length[k] = n
+        order = np.argsort(-length, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        self.end, self.width, self.length = end, len(heap), length[order]
+        # One column a lane; a lane's tokens end where it is filled up with -1.
+        shape = (int(self.length[0]), self.width)
+        self.unit, self.doc, self.fresh = np.full(shape, -1, np.int16), np.zeros(shape, np.int32), np.zeros(shape, bool)
+        for i, x in enumerate(texts):
+            k, a, b = rank[lane[i]], start[i], start[i] + sizes[i]
+            self.unit[a : b - 1, k], self.unit[b - 1, k], self.doc[a:b, k], self.fresh[a, k] = x, end, i, True
 
     def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(units, units before, whether a text begins, texts), each steps by live lanes; -1 where a lane has ended."""
-        for at in range(0, int(self.length.max(initial=0)), size):
+        for at in range(0, int(self.length[0]), size):
             live = int((self.length > at).sum())
-            steps = min(size, int(self.length[0]) - at)
-            unit, doc = np.full((steps, live), -1, np.int32), np.zeros((steps, live), np.int64)
-            before, fresh = np.full((steps, live), self.end, np.int32), np.zeros((steps, live), bool)
-            for k in range(live):
-                u, d = self.unit[k][at : at + steps], self.doc[k][at : at + steps]
-                unit[: len(u), k], doc[: len(u), k] = u, d
-                first = np.ones(len(u), bool)
-                first[1:] = d[1:] != d[:-1]
-                if at:
-                    first[0] = d[0] != self.doc[k][at - 1]
-                    before[0, k] = self.unit[k][at - 1]
-                before[1 : len(u), k] = u[:-1]
-                before[: len(u), k][first] = self.end
-                fresh[: len(u), k] = first
-            yield unit, before, fresh, doc
+            unit, fresh = self.unit[at : at + size, :live], self.fresh[at : at + size, :live]
+            before = np.full(unit.shape, self.end, np.int16)
+            before[1:] = unit[:-1]
+            if at:
+                before[0] = self.unit[at - 1, :live]
+            before[fresh | (before < 0)] = self.end
+            yield unit.astype(np.int32), before.astype(np.int32), fresh, self.doc[at : at + size, :live]
 
 
 def sequences(docs: DataFrame, units: Units) -> DataFrame:
@@ -337,7 +352,7 @@ def sequences(docs: DataFrame, units: Units) -> DataFrame:
             out = [shared.value.encode(tokens(t.as_py()))[1].astype(np.int16).tobytes() for t in part.column("text")]
             yield pa.RecordBatch.from_arrays([part.column("r"), pa.array(out, pa.binary())], ["r", "units"])
 
-    return docs.filter(~held_out() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("r"), "text").mapInArrow(run, "r long, units binary")
+    return map_batches(docs.filter(~held_out() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("r"), "text"), run, "r long, units binary")
 
 
 def train_round(rows: DataFrame, units: Units, state: np.ndarray, shards: int, rate: float) -> DataFrame:
@@ -368,7 +383,7 @@ def train_round(rows: DataFrame, units: Units, state: np.ndarray, shards: int, r
                         yield out()
                     now, seen = shard, 0
                     net.restore(state)
-                held.append(np.frombuffer(x.as_py(), np.int16).astype(np.int32))
+                held.append(np.frombuffer(x.as_py(), np.int16))
                 n += len(held[-1]) + 1
                 if n >= STRIDE:
                     flush()
@@ -377,7 +392,7 @@ def train_round(rows: DataFrame, units: Units, state: np.ndarray, shards: int, r
             yield out()
 
     dealt = rows.withColumn("shard", F.pmod("r", F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "r")
-    pieces = dealt.mapInArrow(run, "piece int, tokens long, v array<double>")
+    pieces = map_batches(dealt, run, "piece int, tokens long, v array<double>")
     return pieces.groupBy("piece").agg(F.sum("tokens").alias("tokens"), F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(PIECE))).alias("v"))
 
 
@@ -406,26 +421,34 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, net = shared.value
+        held: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            ids, n, known, logc, constant, sequences, rare = map(list, zip(*held, strict=True))
+            scores = net.score(sequences, units.end) + np.array(constant)
+            lists = pa.array([[{"word": w, "n": k} for w, k in x] for x in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logc), pa.array(scores), lists], ["doc_id", "n_tokens", "known", "logc", "model", "rare"])
+
         for part in parts:
-            n, known, logc, constant, sequences, rare = [], [], [], [], [], []
-            for text in part.column("text"):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
                 words = tokens(text.as_py())
                 ids, u = units.encode(words)
                 met = ids >= 0
-                n.append(len(words) + 1)
-                known.append(int(met.sum()) + (units.ends > 0))
                 local, inner = units.logc[ids[met]], units.shared[u]
-                total = float(local.sum()) + units.log_end
-                logc.append(total)
                 # inside shared units: log10 (c + 0.5) of the known words, less the unit's log10 sum for all its words
-                constant.append(float(local[units.shared[u[met]]].sum()) - float(units.within[u[inner]].sum()))
-                sequences.append(u)
-                rare.append(list(Counter(words[i] for i in np.flatnonzero(~met)).items()))
-            scores = net.score(sequences, units.end) + np.array(constant)
-            lists = pa.array([[{"word": w, "n": k} for w, k in x] for x in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logc), pa.array(scores), lists], ["doc_id", "n_tokens", "known", "logc", "model", "rare"])
+                constant = float(local[units.shared[u[met]]].sum()) - float(units.within[u[inner]].sum())
+                rare = list(Counter(words[i] for i in np.flatnonzero(~met)).items())
+                held.append((doc_id, len(words) + 1, int(met.sum()) + (units.ends > 0), float(local.sum()) + units.log_end, constant, u.astype(np.int16), rare))
+                size += len(words) + 1
+                # Many texts at a time: the longest one's steps are those of all.
+                if size >= STRIDE:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
-    scored = docs.mapInArrow(run, "doc_id long, n_tokens long, known long, logc double, model double, rare array<struct<word:binary,n:long>>")
+    scored = map_batches(docs, run, "doc_id long, n_tokens long, known long, logc double, model double, rare array<struct<word:binary,n:long>>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     met = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(counts, "word", "left")
     sums = met.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("seen"))

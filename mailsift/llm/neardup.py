@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, batches, cut, digests, keyed, mix, packed, shingles, table, word_hashes
+from .common import NO_ID, batches, cut, digests, keyed, map_batches, mix, packed, shingles, table, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -106,7 +106,7 @@ def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             d, h = part.column("_d"), part.column("_h")
-            for i, j, data, offsets in batches(part, "_text"):
+            for i, j, data, offsets in batches(part.column("_text")):
                 n = j - i
                 low = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data)
                 raw = low.tobytes()
@@ -121,7 +121,7 @@ def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
                 size = np.bincount(owner, count, minlength=n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([d.slice(i, n), h.slice(i, n), pa.array(size), *(pa.array(np.ascontiguousarray(x).view(np.int64)) for x in names.T), lists], ["_d", "_h", "size", "w1", "w2", "bands"])
 
-    return rows.select("_d", "_h", "_text").mapInArrow(run, "_d long, _h long, size long, w1 long, w2 long, bands array<long>")
+    return map_batches(rows.select("_d", "_h", "_text"), run, "_d long, _h long, size long, w1 long, w2 long, bands array<long>")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -130,14 +130,14 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             d, h = part.column("_d"), part.column("_h")
-            for i, j, data, offsets in batches(part, "_text"):
+            for i, j, data, offsets in batches(part.column("_text")):
                 owner, value, count = bags(data, offsets)
                 number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 items = mix(np.repeat(value, count) + mix(number.astype(np.uint64)))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, count, minlength=j - i))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([d.slice(i, j - i), h.slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(items.view(np.int64)))], ["d", "h", "items"])
 
-    return rows.select("_d", "_h", "_text").mapInArrow(run, "d long, h long, items array<long>").select(F.struct("d", "h").alias("id"), "items")
+    return map_batches(rows.select("_d", "_h", "_text"), run, "d long, h long, items array<long>").select(F.struct("d", "h").alias("id"), "items")
 
 
 def components(links: DataFrame) -> DataFrame:

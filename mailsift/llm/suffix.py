@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, batches, cut, digests, inverse_powers, keyed, mix, prefix_hash, table
+from .common import Rolling, batches, cut, digests, inverse_powers, keyed, map_batches, mix, prefix_hash, table
 
 LENGTH, GRAM = 400, 128
 GROUP, WALK = 2000, 32
@@ -220,13 +220,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     def anchors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             d, h = (part.column(x).to_numpy() for x in ("_d", "_h"))
-            for i, _, data, offsets in batches(part, "_text"):
+            for i, _, data, offsets in batches(part.column("_text")):
                 s = segments(data, offsets, length, gram)
                 t = i + s["text"]
                 place = s["lo"].astype(np.int64) << 32 | s["n"].astype(np.int64) << 16 | s["off"].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(pa.array(s[k]) for k in SEG), pa.array(d[t]), pa.array(h[t]), pa.array(place)], [*SEG, "_d", "_h", "place"])
 
-    found = rows.mapInArrow(anchors, "key long, s1 long, s2 long, _d long, _h long, place long")
+    found = map_batches(rows, anchors, "key long, s1 long, s2 long, _d long, _h long, place long")
     seg = F.struct("s1", "s2")
     met = found.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(seg).alias("a"), F.max(seg).alias("b")).filter("times > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
     met = cut(met, "met")  # as a table, so that the join reads both sides by plain shuffles and can split a hot key
@@ -250,10 +250,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*SEG, "off", "piece", "crowded"])
 
-    pieces = rows.join(wanted, ["_d", "_h"]).dropDuplicates(["_d", "_h"]).select("_text", "wanted").mapInArrow(slices, "key long, s1 long, s2 long, off int, piece binary, crowded boolean")
+    pieces = map_batches(rows.join(wanted, ["_d", "_h"]).dropDuplicates(["_d", "_h"]).select("_text", "wanted"), slices, "key long, s1 long, s2 long, off int, piece binary, crowded boolean")
     pieces = cut(pieces, "pieces")
     calm = pieces.filter("not crowded").drop("crowded").repartition("key").sortWithinPartitions("key")
-    ordered = cut(calm.mapInArrow(lambda parts: _sorted_groups(parts, length, walk), f"key long, s1 long, s2 long, spans {SPANS}, unsure boolean"), "ordered")
+    ordered = cut(map_batches(calm, lambda parts: _sorted_groups(parts, length, walk), f"key long, s1 long, s2 long, spans {SPANS}, unsure boolean"), "ordered")
 
     def single(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -267,7 +267,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
 
     unsure = ordered.filter("unsure").select("key").distinct()
     left_over = pieces.filter("crowded").drop("crowded").unionByName(pieces.drop("crowded").join(unsure, "key", "left_semi"))
-    windows = left_over.mapInArrow(single, "key long, s1 long, s2 long, w int, at int, x1 long, x2 long")
+    windows = map_batches(left_over, single, "key long, s1 long, s2 long, w int, at int, x1 long, x2 long")
     twice = cut(windows.groupBy("key", "at", "x1", "x2").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "twice")
     # Neighbouring windows of a segment become one span: they have one difference to their rank.
     counted = windows.join(twice, ["key", "at", "x1", "x2"]).select(*SEG, "w")
@@ -307,7 +307,7 @@ def drop_repeats(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = keyed(docs).join(spans, ["_d", "_h"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "_text", "spans")
-    return joined.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_batches(joined, apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def _merged(spans: list[dict[str, int]]) -> list[tuple[int, int]]:

@@ -187,7 +187,7 @@ def test_bpe_equals_library(spark, rows):
     for t in texts:
         e = lib.encode(t, add_special_tokens=False).ids
         assert mine.encode(t) == e
-        assert mine.joined(e) == lib.decode(e, skip_special_tokens=False)
+        assert mine.decode(e, joined=True) == lib.decode(e, skip_special_tokens=False)
         d = hashlib.sha256(lib.decode(e, skip_special_tokens=False).encode()).hexdigest()
         assert mine.digests(t) == (len(e), hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest(), d)
     assert "".join(decoder.feed(i) for i in mine.encode("grüße 🙂 naïve")) + decoder.close() == "grüße 🙂 naïve "
@@ -292,7 +292,7 @@ def test_decontamination_odd(spark):
     assert got == [(0, 2, (0, 1), ("1",)), (1, 4, (1, 2), ("1",)), (2, 10, ten, ("2",)), (3, 11, ten, ("2",)), (4, 0, (), ()), (5, 3, (), ()), (6, 3, (0, 1, 2), ()), (6, 3, (0, 1, 2), ())]
     assert decontaminate.decontaminate(docs, bench.limit(0)).filter("size(hits) > 0").count() == 0
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
-    plain = decontaminate.decontaminate(docs, bench, broadcast_rows=0).filter("size(hits) > 0").count()
+    plain = decontaminate.decontaminate(docs, bench, broadcast_bytes=0).filter("size(hits) > 0").count()
     assert plain == 6
 
 

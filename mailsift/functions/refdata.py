@@ -93,9 +93,9 @@ ARCHIVE = "zip rar 7z tar gz bz2 xz cab ace arj z lzh".split()
 DOCUMENT = "pdf doc docx xls xlsx ppt pptx rtf odt ods odp html htm".split()
 
 #: Letters and signs that look like the ASCII ones below them.
-LOOKALIKES = "авсԁеѕһіјкмнорԛгтухѡцАВСЕНІЈКМОРЅТУХαβεικνορτυχγϲѵΑΒΕΖΗΙΚΜΝΟΡΤΧΥѐǃɑɡɩʏʜᴀᴄᴅᴇᴏᴘᴛ‐‑‒–—―−․。｡﹒／⁄∕：；＠＂＇‚，“”‘’＿－"
-LOOKED_LIKE = "abcdeshijkmhopqrtyxwuABCEHIJKMOPSTYXabeikvoptuxycvABEZHIKMNOPTXYe!agiyhacdeopt-------....///:;@\"',,\"\"''_-"
-INVISIBLE = "​‌‍⁠﻿­᠎"
+LOOKALIKES = "авсԁеѕһіјкмнорԛгтухѡцАВСЕНІЈКМОРЅТУХαβεικνορτυχγϲѵΑΒΕΖΗΙΚΜΝΟΡΤΧΥѐǃɑɡɩʏʜᴀᴄᴅᴇᴏᴘᴛ‐‑‒–—―−․。｡﹒／⁄∕：；＠＂＇‚，“”‘’＿－\u00a0\u2007\u202f\u2009\u3000"
+LOOKED_LIKE = "abcdeshijkmhopqrtyxwuABCEHIJKMOPSTYXabeikvoptuxycvABEZHIKMNOPTXYe!agiyhacdeopt-------....///:;@\"',,\"\"''_-     "
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u180e\u00ad"
 BIDI = "‪‫‬‭‮⁦⁧⁨⁩"
 LEET, LETTERS = "013457$@", "oleastsa"
 
@@ -119,3 +119,19 @@ CLICK_WEIGHTS = {
     "has_at_symbol": 0.10, "is_shortener": 0.08, "has_redirect_param": 0.08, "deep_subdomain": 0.07, "nonstandard_port": 0.06, "double_slash_in_path": 0.05,
 }
 PATH_WEIGHT, OFFICIAL, PLAIN = 0.08, 0.35, 0.04
+
+#: Words and signs that message features count.
+FIRST_PLURAL, SECOND_PERSON = "we our us ours".split(), "you your yours yourself".split()
+NO_REPLY = ("noreply", "no-reply", "donotreply")
+CURRENCY = r"(?i)[$£€₹¥]|\b(?:usd|eur|gbp|inr|rs\.?|dollars?|rupees?|euros?)\b"
+NUMBER = r"\b[0-9][0-9,]*(?:\.[0-9]+)?\b"
+GREETED = r"(?i)^\s*(?:dear|hello|hi|greetings|good\s+(?:morning|afternoon|evening))"
+IMPERATIVE = r"(?im)^[^\S\n]*(?:click|verify|confirm|update|download|call|reply|login|sign|open|submit|act|do not|don't)\b"
+SIGNED = r"(?i)regards|sincerely|thanks|best wishes|yours truly"
+UNSUBSCRIBE = r"(?i)unsubscribe|opt.?out|manage preferences"
+PHONE = r"(?:\+[0-9]{1,3}[\s-]?)?(?:[0-9][\s-]?){8,13}[0-9]"
+MAIL_ADDRESS = r"[\w.\-+]+@[\w.\-]+\.\w+"
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"
+HIDDEN_STYLE = r"(?i)display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|opacity\s*:\s*0|width\s*:\s*0|height\s*:\s*0|color\s*:\s*#?f{3,6}\b"
+ENTITY = r"&(?:#x?[0-9a-fA-F]+|[a-zA-Z]{2,8});"
+PASSWORD_INPUT = r"(?i)<input[^>]*type\s*=\s*[\"']?password"

@@ -4,15 +4,38 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 from .refdata import BIDI, BRAND_DOMAINS, GREETINGS, INVISIBLE, LEET, LETTERS, LEXICONS, LOOKALIKES, LOOKED_LIKE, URGENCY_PHRASES
 
+
+
+def listed(values: list[str]) -> str:
+    """Strings as SQL literals: one text, where a column each would be thousands of calls to the JVM."""
+    return ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+
+
+def strings(values: list[str]) -> Column:
+    """An array of literals."""
+    return F.expr(f"array({listed(values)})")
+
+
+def among(value: Column, values: list[str]) -> Column:
+    return F.array_contains(strings(values), value)
+
+
+def kept(array: str, values: list[str]) -> Column:
+    """The elements of an array column (by its name, or an SQL text) that are among values."""
+    return F.expr(f"filter({array}, t -> t in ({listed(values)}))")
+
+
 FULLWIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 FULLWIDTH_ASCII = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+SEPARATED = r"\b(?:[A-Za-z][.\-_*\s]){2,}[A-Za-z]\b"
 WORDLIKE = r"[A-Za-z][A-Za-z0-9@$]*[A-Za-z0-9]|[A-Za-z]"
 
 
@@ -28,14 +51,42 @@ def fold_confusables(text: Column) -> Column:
     return F.translate(text, LOOKALIKES + "".join(a for a, _ in wide), LOOKED_LIKE + "".join(b for _, b in wide))
 
 
+#: Characters from here on are left to Python; the ones below are looked up.
+FAR = 0x300
+
+
+def _decomposition() -> tuple[str, str, str]:
+    """Of the characters below ``FAR``: those that decompose to one letter without its marks, these letters, and those that decompose otherwise."""
+    one, base, other = [], [], []
+    for cp in range(0x80, FAR):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != chr(cp):
+            one.append(chr(cp))
+            base.append(plain)
+        elif plain != chr(cp):
+            other.append(chr(cp))
+    return "".join(one), "".join(base), "".join(other)
+
+
+ONE_LETTER, PLAIN_LETTER, OTHERWISE = _decomposition()
+#: Letters that carry one mark more than their base (those with more count once).
+ACCENTED = "".join(c for c in ONE_LETTER if any(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", c)))
+
+
 @F.pandas_udf(StringType())
 def _decompose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
 def strip_diacritics(text: Column) -> Column:
-    """Without combining marks; ASCII texts never leave the JVM."""
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(_decompose(text))
+    """Without combining marks; only texts with characters that decompose to several others leave the JVM."""
+    rest = text.rlike(f"[^\\x00-\\x{{{FAR - 1:X}}}]|[{OTHERWISE}]")
+    plain = F.translate(text, ONE_LETTER, PLAIN_LETTER)
+    return F.when(is_ascii(text), text).when(~rest, plain).otherwise(_decompose(F.when(rest, text)))
 
 
 def _leet_token(token: Column) -> Column:
@@ -49,14 +100,16 @@ def fold_leet(text: Column) -> Column:
     mark = "\u0001"
     marked = F.regexp_replace(text, f"({WORDLIKE})", f"{mark}$1{mark}")
     parts = F.split(marked, mark)
-    return F.array_join(F.transform(parts, lambda t, i: F.when(i % 2 == 1, _leet_token(t)).otherwise(t)), "")
+    folded = F.array_join(F.transform(parts, lambda t, i: F.when(i % 2 == 1, _leet_token(t)).otherwise(t)), "")
+    return F.when(text.rlike(r"[A-Za-z][A-Za-z0-9@$]*[013457$@]"), folded).otherwise(text)  # few texts have such a token
 
 
 def rejoin_separated(text: Column) -> Column:
     """p-a-s-s as pass: three or more letters with single separators between."""
     mark = "\u0001"
-    marked = F.regexp_replace(text, r"(\b(?:[A-Za-z][.\-_*\s]){2,}[A-Za-z]\b)", f"{mark}$1{mark}")
-    return F.array_join(F.transform(F.split(marked, mark), lambda t, i: F.when(i % 2 == 1, F.regexp_replace(t, r"[.\-_*\s]", "")).otherwise(t)), "")
+    marked = F.regexp_replace(text, f"({SEPARATED})", f"{mark}$1{mark}")
+    joined = F.array_join(F.transform(F.split(marked, mark), lambda t, i: F.when(i % 2 == 1, F.regexp_replace(t, r"[.\-_*\s]", "")).otherwise(t)), "")
+    return F.when(text.rlike(SEPARATED), joined).otherwise(text)
 
 
 def collapse_runs(text: Column) -> Column:
@@ -64,32 +117,59 @@ def collapse_runs(text: Column) -> Column:
     return F.regexp_replace(text, r"(.)\1{2,}", "$1$1")
 
 
+def _steps(aggressive: bool) -> list:
+    """What makes a text canonical, one function after the other."""
+    folded = [lambda x: F.coalesce(x, F.lit("")), lambda x: F.when(is_ascii(x), x).otherwise(fold_confusables(strip_invisible(x))), strip_diacritics]
+    hard = [rejoin_separated, fold_leet, collapse_runs] if aggressive else []
+    return [*folded, *hard, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))]
+
+
 def canonical(text: Column, aggressive: bool = True) -> Column:
-    """The form that lexicons and models read."""
-    x = strip_diacritics(fold_confusables(strip_invisible(F.coalesce(text, F.lit("")))))
-    if aggressive:
-        x = collapse_runs(fold_leet(rejoin_separated(x)))
-    return F.trim(F.regexp_replace(x, r"[ \t]+", " "))
+    """The form that lexicons and models read, as one expression: for single values and short texts.
+
+    Each step names its text several times, so for tables use ``with_canonical``.
+    """
+    for step in _steps(aggressive):
+        text = step(text)
+    return text
+
+
+def with_canonical(df: DataFrame, columns: dict[str, Column], aggressive: bool = True) -> DataFrame:
+    """Adds the canonical forms of texts, step by step, so that none is worked out twice."""
+    df = df.withColumns(columns)
+    for step in _steps(aggressive):
+        df = df.withColumns({k: step(F.col(k)) for k in columns})
+    return df
 
 
 def mixed_script_words(text: Column) -> Column:
-    """Words that mix scripts."""
+    """Words that mix scripts; only texts with letters of another than the Latin one are searched."""
     scripts = ("IsLatin", "IsCyrillic", "IsGreek", "IsArmenian", "IsHebrew", "IsArabic", "IsCherokee")
     count = lambda w: sum(w.rlike(f"\\p{{{s}}}").cast("int") for s in scripts)
-    return F.size(F.filter(F.split(text, r"[\s/\\]+"), lambda w: count(w) > 1))
+    other = "[" + "".join(f"\\p{{{s}}}" for s in scripts[1:]) + "]"
+    return F.when(text.rlike(other), F.size(F.filter(F.split(text, r"[\s/\\]+"), lambda w: count(w) > 1))).otherwise(0)
 
 
-def obfuscation(text: Column) -> dict[str, Column]:
-    """Signs of hiding in a raw text."""
+def obfuscation(text: Column, canonical_text: Column | None = None) -> dict[str, Column]:
+    """Signs of hiding in a raw text, by what its canonical form takes away."""
     n = F.greatest(F.char_length(text), F.lit(1))
-    gone = lambda chars: F.char_length(text) - F.char_length(F.translate(text, chars, ""))
+    some = lambda found: F.when(is_ascii(text), 0).otherwise(found)
+    gone = lambda chars: some(F.char_length(text) - F.char_length(F.translate(text, chars, "")))
+    clean = canonical(text) if canonical_text is None else canonical_text
+    word = F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z][A-Za-z0-9@$]*[013457$@][A-Za-z0-9@$]*"), 0), lambda t: t.isNotNull())
+    word = F.transform(word, lambda t: F.regexp_extract(t, f"^(?:{WORDLIKE})", 0))  # as far as a word goes: it ends in a letter or digit
+    letters, digits = (lambda t: F.regexp_count(t, F.lit("[A-Za-z]"))), (lambda t: F.regexp_count(t, F.lit("[013457$@]")))
+    leet = F.size(F.filter(word, lambda t: (letters(t) >= 3) & (digits(t) >= 1) & (digits(t) <= letters(t))))
     return {
         "obf_zero_width_count": gone(INVISIBLE),
         "obf_bidi_count": gone(BIDI),
         "obf_confusable_ratio": gone(LOOKALIKES) / n,
-        "obf_non_ascii_ratio": F.regexp_count(text, F.lit(r"[^\x00-\x7F]")) / n,
-        "obf_separated_tokens": F.regexp_count(text, F.lit(r"\b(?:[A-Za-z][.\-_*\s]){2,}[A-Za-z]\b")),
-        "obf_mixed_script_words": mixed_script_words(text),
+        "obf_diacritic_ratio": some(F.regexp_count(text, F.lit(r"\p{Mn}")) + gone(ACCENTED)) / n,
+        "obf_nonascii_ratio": some(F.regexp_count(text, F.lit(r"[^\x00-\x7F]"))) / n,
+        "obf_separated_tokens": F.when(text.rlike(SEPARATED), F.regexp_count(text, F.lit(SEPARATED))).otherwise(0),
+        "obf_leet_tokens": F.when(text.rlike(r"[A-Za-z][A-Za-z0-9@$]*[013457$@]"), leet).otherwise(0),
+        "obf_norm_edit_ratio": F.abs(F.char_length(text) - F.char_length(clean)) / n,
+        "obf_mixed_script_words": some(mixed_script_words(text)),
     }
 
 
@@ -98,33 +178,48 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), 0)
 
 
-def lexicon_count(text: Column, name: str) -> Column:
-    """Tokens of a text that are in a lexicon."""
-    return F.regexp_count(F.lower(text), F.lit(rf"(?<![a-z0-9'])(?:{'|'.join(sorted(LEXICONS[name]))})(?![a-z0-9'])"))
+def lexicon_count(tokens: str, name: str) -> Column:
+    """How many of the tokens in an array column are in a lexicon."""
+    return F.size(kept(tokens, LEXICONS[name]))
+
 
+def squeezed(text: Column) -> Column:
+    """In lower case, with one space for any white space."""
+    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
-def phrase_count(text: Column, phrases: list[str] = URGENCY_PHRASES) -> Column:
-    """Occurrences of phrases in the squeezed lower-case text."""
-    x = F.regexp_replace(F.lower(text), r"\s+", " ")
-    return sum(((F.char_length(x) - F.char_length(F.replace(x, F.lit(p), F.lit("")))) / len(p)).cast("int") for p in phrases)
 
+def phrase_count(low: str, phrases: list[str] = URGENCY_PHRASES) -> Column:
+    """Occurrences of phrases in a column of ``squeezed`` texts."""
+    return F.expr(" + ".join(f"if(contains({low}, {listed([p])}), int((char_length({low}) - char_length(replace({low}, {listed([p])}, ''))) / {len(p)}), 0)" for p in phrases))
 
-def greeting_count(text: Column) -> Column:
-    """How many of the generic greetings occur."""
-    x = F.lower(text)
-    return sum(F.contains(x, F.lit(g)).cast("int") for g in GREETINGS)
+
+def greeting_count(low: str) -> Column:
+    """How many of the generic greetings occur in a column of lower-case texts."""
+    return F.expr(" + ".join(f"int(contains({low}, {listed([g])}))" for g in GREETINGS))
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; 0 for an empty text."""
-    chars = F.split(text, "")
+    """Shannon entropy of the characters of a short text (a host, a name), in bits; 0 for an empty text."""
     n = F.char_length(text)
-    # Sorted characters, run by run: n log2 n summed over the runs.
-    each = F.transform(F.array_distinct(chars), lambda c: (F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))).cast("double"))
+    each = F.transform(F.array_distinct(F.split(text, "")), lambda c: (n - F.char_length(F.replace(text, c, F.lit("")))).cast("double"))
     total = F.aggregate(each, F.lit(0.0), lambda s, k: s - F.when(k > 0, k / n * F.log2(k / n)).otherwise(0.0))
     return F.when(n == 0, 0.0).otherwise(total)
 
 
+@F.pandas_udf(DoubleType())
+def text_entropy(texts: pd.Series) -> pd.Series:
+    """The same of long texts: each text's code points are counted once."""
+
+    def one(text: str | None) -> float | None:
+        if not text:
+            return None if text is None else 0.0
+        n = np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+        p = n[n > 0] / len(text)
+        return float(-(p * np.log2(p)).sum())
+
+    return texts.map(one).astype("float64")
+
+
 def address(sender: Column) -> Column:
     """The lower-case address of a sender line."""
     inside = F.regexp_extract(sender, r"<([^<>]*)>", 1)

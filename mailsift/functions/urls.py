@@ -6,16 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .refdata import BRAND_DOMAINS, BRANDS, CLICK_WEIGHTS, FREE_HOSTING, OFFICIAL, PATH_TOKENS, PATH_WEIGHT, PLAIN, REDIRECT_PARAMS, RISKY_TLDS, SHORTENERS, SUFFIXES
-from .text import entropy, fold_confusables, fold_leet, mixed_script_words
+from .text import among, entropy, fold_confusables, fold_leet, kept, listed, mixed_script_words, strings
 
 URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values))
-
-
 def with_scheme(url: Column) -> Column:
     u = F.trim(F.coalesce(url, F.lit("")))
     return F.when(u == "", "").when(u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), u).otherwise(F.concat(F.lit("http://"), u))
@@ -39,7 +35,7 @@ def suffix_of(host: Column) -> Column:
     three, two = (F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), ".") for k in (3, 2))
     last = F.element_at(labels, -1)
     plain = host.rlike(IPV4) | F.contains(host, F.lit(":")) | (n < 2)
-    return F.when(plain, "").when((n > 3) & three.isin(SUFFIXES), three).when((n > 2) & two.isin(SUFFIXES), two).otherwise(last)
+    return F.when(plain, "").when((n > 3) & among(three, SUFFIXES), three).when((n > 2) & among(two, SUFFIXES), two).otherwise(last)
 
 
 def registered_domain(host: Column, suffix: Column) -> Column:
@@ -94,7 +90,7 @@ def with_canonical(df: DataFrame, url: str, into: str, unwrap: int = 3) -> DataF
     """
     keep = df.columns
     x = df.withColumn("_u", with_scheme(F.col(url)))
-    rank = F.map_from_arrays(_strings(REDIRECT_PARAMS), F.array(*(F.lit(i) for i in range(len(REDIRECT_PARAMS)))))
+    rank = F.map_from_arrays(strings(REDIRECT_PARAMS), F.expr(f"array({', '.join(map(str, range(len(REDIRECT_PARAMS))))})"))
     for _ in range(unwrap):
         x = with_parts(x, "_u", "_p_")
         pairs = F.transform(F.split("_p_query", "&"), lambda y: F.struct(rank[F.lower(F.substring_index(y, "=", 1))].alias("i"), _decoded(F.regexp_replace(y, "^[^=]*=?", "")).alias("v")))
@@ -111,16 +107,22 @@ def with_canonical(df: DataFrame, url: str, into: str, unwrap: int = 3) -> DataF
     return x.withColumn("_whole", whole).select(*(c for c in keep if c != into), F.col("_whole").alias(into))
 
 
-def brand_hits(text: Column) -> Column:
-    """Brands in a text, literally or leet-folded: as whole tokens, or inside when of five letters or more."""
-    low = F.lower(text)
-    out = None
-    for v in (low, fold_leet(low)):
-        tokens = F.array_intersect(F.split(v, "[^a-z0-9]+"), _strings(BRANDS))
-        inside = F.filter(_strings([b for b in BRANDS if len(b) >= 5]), lambda b, v=v: F.contains(v, b))
-        hit = F.array_union(tokens, inside)
-        out = hit if out is None else F.array_union(out, hit)
-    return out
+def with_brand_hits(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds the brands in texts, literally or leet-folded: as whole tokens, or inside when of five letters or more."""
+    df = df.withColumns({f"{k}_low": F.lower(v) for k, v in columns.items()})
+    df = df.withColumns({f"{k}_leet": fold_leet(F.col(f"{k}_low")) for k in columns})
+    long = [b for b in BRANDS if len(b) >= 5]
+    either = "|".join(sorted(long))
+
+    def hits(k: str) -> Column:
+        out = []
+        for v in (f"{k}_low", f"{k}_leet"):
+            out.append(kept(f"split({v}, '[^a-z0-9]+')", BRANDS))
+            # Few texts hold a brand, and only those are searched for each.
+            out.append(F.expr(f"if({v} rlike '{either}', filter(array({listed(long)}), b -> contains({v}, b)), cast(array() as array<string>))"))
+        return F.array_distinct(F.concat(*out))
+
+    return df.withColumns({k: hits(k) for k in columns}).drop(*(f"{k}_{x}" for k in columns for x in ("low", "leet")))
 
 
 def shape(url: Column, prefix: str) -> dict[str, Column]:
@@ -159,14 +161,14 @@ def shape(url: Column, prefix: str) -> dict[str, Column]:
         "double_slash_in_path": F.contains(path, F.lit("//")),
         "is_punycode": F.contains(F.lower(url), F.lit("xn--")),
         "pct_encoding_ratio": F.regexp_count(url, F.lit("%")) / F.greatest(F.char_length(url), F.lit(1)),
-        "is_shortener": reg.isin(SHORTENERS),
-        "has_redirect_param": F.exists(params, lambda k: F.lower(k).isin(REDIRECT_PARAMS)),
-        "free_hosting": suffix.isin(FREE_HOSTING),
-        "high_risk_tld": tld.isin(RISKY_TLDS),
+        "is_shortener": among(reg, SHORTENERS),
+        "has_redirect_param": F.exists(params, lambda k: among(F.lower(k), REDIRECT_PARAMS)),
+        "free_hosting": among(suffix, FREE_HOSTING),
+        "high_risk_tld": among(tld, RISKY_TLDS),
         "suspicious_token_count": sum(F.contains(blob, F.lit(t)).cast("int") for t in PATH_TOKENS),
         "mixed_script_host": mixed_script_words(host),
         "hyphen_in_registered_domain": F.regexp_count(reg, F.lit("-")),
-        "official_brand_domain": reg.isin(BRAND_DOMAINS),
+        "official_brand_domain": among(reg, BRAND_DOMAINS),
     }
     return {k: v.cast("double") for k, v in out.items()}
 
@@ -174,9 +176,9 @@ def shape(url: Column, prefix: str) -> dict[str, Column]:
 def with_deception(df: DataFrame, prefix: str, distance: str) -> DataFrame:
     """Adds signs of a borrowed brand to a table with a URL's parts and its distance to the nearest brand domain."""
     p = parts(prefix)
-    x = df.withColumns({"_bs": brand_hits(p["subdomain"]), "_bp": brand_hits(F.concat(p["path"], F.lit(" "), p["query"])), "_bo": F.size(brand_hits(F.substring_index(p["registered_domain"], ".", 1))) > 0})
+    x = with_brand_hits(df, {"_bs": p["subdomain"], "_bp": F.concat(p["path"], F.lit(" "), p["query"]), "_bo": F.substring_index(p["registered_domain"], ".", 1)}).withColumn("_bo", F.size("_bo") > 0)
     near = (F.col(distance) > 0) & (F.col(distance) <= 2)
-    x = x.withColumns({"_mm": ((F.size("_bs") > 0) | (F.size("_bp") > 0)) & ~F.col("_bo"), "_sq": F.col("_bo") & ~p["registered_domain"].isin(BRAND_DOMAINS), "_nr": near})
+    x = x.withColumns({"_mm": ((F.size("_bs") > 0) | (F.size("_bp") > 0)) & ~F.col("_bo"), "_sq": F.col("_bo") & ~among(p["registered_domain"], BRAND_DOMAINS), "_nr": near})
     out = {"brand_in_subdomain": F.size("_bs"), "brand_in_path": F.size("_bp"), "brand_mismatch": F.col("_mm"), "brand_lookalike": F.col("_nr"), "lookalike_distance": F.least(distance, F.lit(9)), "brand_squat": F.col("_sq"), "brand_impersonation": F.col("_sq") | F.col("_mm") | F.col("_nr")}
     return x.withColumns({k: v.cast("double") for k, v in out.items()}).drop("_bs", "_bp", "_bo", "_mm", "_sq", "_nr")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsift.functions import urls
@@ -59,7 +59,7 @@ def link_features(links: DataFrame, id: str = "message_id", canonical: bool = Tr
     signs["unwrap_changed_host"] = (F.col("_r_registered_domain") != F.col("domain")).cast("double")
     x = urls.with_deception(x.withColumns(signs), "_c_", "_distance")
     label = F.coalesce("label", F.lit(""))
-    x = x.withColumns({"_sh": urls.host_of(label), "_cl": urls.brand_hits(label), "_ow": urls.brand_hits(F.col("domain"))}).withColumn("_ss", urls.suffix_of(F.col("_sh")))
+    x = urls.with_brand_hits(x, {"_cl": label, "_ow": F.col("domain")}).withColumn("_sh", urls.host_of(label)).withColumn("_ss", urls.suffix_of(F.col("_sh")))
     looks = label.rlike(r"(?i)^\s*(https?://|www\.)")
     x = x.withColumn("text_shows_url_mismatch", (looks & (urls.registered_domain(F.col("_sh"), F.col("_ss")) != F.col("domain"))).cast("double"))
     x = x.withColumn("text_href_mismatch", ((F.size("_cl") > 0) & (F.size(F.array_intersect("_cl", "_ow")) == 0)).cast("double"))
@@ -71,37 +71,60 @@ ANY = ("ip_host", "shortener", "punycode", "brand_mismatch", "free_hosting", "re
 _SIGN = {"ip_host": "is_ip_host", "shortener": "is_shortener", "punycode": "is_punycode", "redirect_param": "has_redirect_param", "at_symbol": "has_at_symbol"}
 
 
+def _rolled() -> dict[str, Column]:
+    """The roll-ups of a message's links, as aggregates."""
+    n = F.count(F.lit(1)).cast("double")
+    domains = F.countDistinct(F.when(F.col("domain") != "", F.col("domain")))
+    return {
+        "link_count": n,
+        "link_unique_domains": domains.cast("double"),
+        "link_max_risk_tld": F.max("high_risk_tld"),
+        **{f"link_any_{k}": F.max(_SIGN.get(k, k)) for k in ANY},
+        "link_min_lookalike_distance": F.min("lookalike_distance"),
+        "link_official_brand_ratio": F.round(F.avg("official_brand_domain"), 6),
+        "link_text_href_mismatch": F.sum("text_href_mismatch"),
+        "link_text_shows_url_mismatch": F.sum("text_shows_url_mismatch"),
+        "link_display_domain_mismatch": F.sum(F.col("text_href_mismatch") + F.col("text_shows_url_mismatch")),
+        "link_max_suspicious_tokens": F.max("suspicious_token_count"),
+        "link_mean_length": F.round(F.avg("length"), 6),
+        "link_max_length": F.max("length"),
+        "link_max_subdomains": F.max("num_subdomains"),
+        "link_max_host_entropy": F.max("host_entropy"),
+        "link_https_ratio": F.round(F.avg("is_https"), 6),
+        "link_domain_diversity": F.round(domains / n, 6),
+    }
+
+
+def signs(features: DataFrame, id: str = "message_id") -> list[str]:
+    """The names of the signs of each link."""
+    return [c for c in features.columns if c not in (id, "pos", "raw", "url", "label", "domain")][:41]
+
+
+def _extremes(names: list[str]) -> dict[str, Column]:
+    return {f"url_{c}__{n}": F.round(f(c), 6) for f, n in ((F.max, "max"), (F.avg, "mean")) for c in names}
+
+
 def rollup(features: DataFrame, id: str = "message_id") -> DataFrame:
     """One row of roll-ups for each message with links."""
-    n = F.count(F.lit(1)).cast("double")
-    out = features.groupBy(id).agg(
-        n.alias("link_count"),
-        F.countDistinct("domain").cast("double").alias("link_unique_domains"),
-        F.max("high_risk_tld").alias("link_max_risk_tld"),
-        *(F.max(_SIGN.get(k, k)).alias(f"link_any_{k}") for k in ANY),
-        F.min("lookalike_distance").alias("link_min_lookalike_distance"),
-        F.round(F.avg("official_brand_domain"), 6).alias("link_official_brand_ratio"),
-        F.sum("text_href_mismatch").alias("link_text_href_mismatch"),
-        F.sum("text_shows_url_mismatch").alias("link_text_shows_url_mismatch"),
-        F.max("suspicious_token_count").alias("link_max_suspicious_tokens"),
-        F.round(F.avg("length"), 6).alias("link_mean_length"),
-        F.max("length").alias("link_max_length"),
-        F.max("num_subdomains").alias("link_max_subdomains"),
-        F.max("host_entropy").alias("link_max_host_entropy"),
-        F.round(F.avg("is_https"), 6).alias("link_https_ratio"),
-        F.round(F.countDistinct("domain") / n, 6).alias("link_domain_diversity"),
-    )
-    return out
+    return features.groupBy(id).agg(*(v.alias(k) for k, v in _rolled().items()))
+
+
+def neutral(x: DataFrame, names: list[str]) -> DataFrame:
+    """What a message without links has: zeros, and 9 for the distances to brands."""
+    return x.na.fill({c: 9.0 if "lookalike_distance" in c else 0.0 for c in names})
 
 
 def message_links(messages: DataFrame, features: DataFrame, id: str = "message_id") -> DataFrame:
-    """Roll-ups of every message; one without links has zeros, and 9 for the distance to brands."""
+    """Roll-ups of every message."""
     x = messages.select(id).join(rollup(features, id), id, "left")
-    names = [c for c in x.columns if c != id]
-    return x.na.fill({c: 9.0 if c == "link_min_lookalike_distance" else 0.0 for c in names})
+    return neutral(x, [c for c in x.columns if c != id])
+
+
+def link_family(features: DataFrame, id: str = "message_id") -> DataFrame:
+    """The 107 link columns of each message with links: roll-ups, largest and mean values of all signs, in one aggregate."""
+    return features.groupBy(id).agg(*(v.alias(k) for k, v in (_rolled() | _extremes(signs(features, id))).items()))
 
 
 def max_and_mean(features: DataFrame, id: str = "message_id") -> DataFrame:
     """The largest and the mean value of every sign of a message's links."""
-    signs = [c for c in features.columns if c not in (id, "pos", "raw", "url", "label", "domain")]
-    return features.groupBy(id).agg(*(f(c).alias(f"url_{c}__{n}") for c in signs for f, n in ((F.max, "max"), (F.avg, "mean"))))
+    return features.groupBy(id).agg(*(v.alias(k) for k, v in _extremes(signs(features, id)).items()))

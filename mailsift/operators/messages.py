@@ -1,141 +1,219 @@
-"""Header, subject, body, HTML and attachment features of messages."""
+"""Header, subject, body, HTML and attachment features of messages, each family a set of columns over one row.
+
+A message has message_id, subject, body, sender and reply_to; return_path, spf, dkim, dmarc, received_hops,
+recipients (their number), html and attachments may be missing. ``prepared`` makes what the families
+share (addresses, canonical texts, tokens) once; a family is then one projection, and all of them
+together still are one, so a message table scans its messages once and joins nothing but links.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsift.functions import refdata as R
 from mailsift.functions import text as T
 from mailsift.functions import urls
-from mailsift.functions.refdata import ARCHIVE, DISPOSABLE, DOCUMENT, EXECUTABLE, FREEMAIL, LEXICONS, MACRO, RISKY_TLDS
-
-
-def _doubles(found: dict) -> dict:
-    return {k: v.cast("double") for k, v in found.items()}
-
-
-def header_features(messages: DataFrame, id: str = "message_id") -> DataFrame:
-    """Sender, reply path and authentication features."""
-    addr, show = T.address(F.col("sender")), T.display_name(F.col("sender"))
-    x = messages.select(id, "sender", "reply_to", "spf", "dmarc", addr.alias("addr"), show.alias("show"), T.address_domain(addr).alias("domain"), T.address_domain(T.address(F.col("reply_to"))).alias("reply_domain"))
-    x = x.withColumn("suffix", urls.suffix_of(F.col("domain"))).withColumn("reg", urls.registered_domain(F.col("domain"), F.col("suffix")))
-    x = x.withColumn("distance", T.brand_distance("reg"))
-    shown, owned = urls.brand_hits(F.col("show")), urls.brand_hits(F.col("reg"))
-    local = F.substring_index("addr", "@", 1)
-    n = F.greatest(F.char_length(local), F.lit(1))
-    found = {
-        "hdr_has_sender": F.col("addr") != "",
-        "hdr_display_name_present": F.col("show") != "",
-        "hdr_display_name_length": F.char_length("show"),
-        "hdr_display_name_has_brand": F.size(shown) > 0,
+
+ATTACHMENTS = "array<struct<filename:string,content_type:string,size_bytes:bigint>>"
+OPTIONAL = {"return_path": "''", "spf": "'none'", "dkim": "'none'", "dmarc": "'none'", "received_hops": "0", "recipients": "0", "html": "''", "attachments": f"cast(array() as {ATTACHMENTS})"}
+
+
+def prepared(messages: DataFrame, id: str = "message_id") -> DataFrame:
+    """messages with the inputs that are missing, and under names that begin with _ what features read."""
+    given = lambda c, default: F.coalesce(F.col(c), F.expr(default)) if c in messages.columns else F.expr(default)
+    x = messages.select("*", F.coalesce("subject", F.lit("")).alias("_subject"), F.coalesce("body", F.lit("")).alias("_body"), *(given(c, d).alias(f"_{c}") for c, d in OPTIONAL.items()))
+    addr, show = T.address(F.coalesce("sender", F.lit(""))), T.display_name(F.coalesce("sender", F.lit("")))
+    back = lambda c: T.address_domain(T.address(F.coalesce(c, F.lit(""))))
+    x = x.withColumns({"_addr": addr, "_raw_show": show, "_domain": T.address_domain(addr), "_reply": back("reply_to"), "_return": back("_return_path"), "_both": F.concat("_subject", F.lit("\n"), "_body")})
+    x = x.withColumn("_suffix", urls.suffix_of(F.col("_domain")))
+    x = T.with_canonical(T.with_canonical(x, {"_show": F.col("_raw_show")}, aggressive=False), {"_csub": F.col("_subject"), "_canon": F.col("_both")})
+    x = x.withColumns({"_reg": urls.registered_domain(F.col("_domain"), F.col("_suffix")), "_stok": T.tokenize(F.col("_csub")), "_btok": T.tokenize(F.col("_canon")), "_slow": T.squeezed(F.col("_csub")), "_blow": T.squeezed(F.col("_canon"))})
+    return x.withColumn("_near", T.brand_distance("_reg"))
+
+
+def _brands(tokens: str) -> Column:
+    return F.array_distinct(T.kept(tokens, R.BRANDS))
+
+
+def _part(n: Column, of: Column) -> Column:
+    return F.when(of > 0, n / of).otherwise(0.0)
+
+
+def header() -> dict[str, Column]:
+    domain, reg, addr, raw = (F.col(c) for c in ("_domain", "_reg", "_addr", "_raw_show"))
+    local = F.when(F.contains(addr, F.lit("@")), F.substring_index(addr, "@", 1)).otherwise("")
+    shown = _brands("split(lower(_show), '[^a-z0-9]+')")
+    owned = F.filter(T.strings(R.BRANDS), lambda b: F.contains(domain, b))
+    inner = F.regexp_extract(raw, R.MAIL_ADDRESS, 0)
+    sub = F.greatest(F.size(F.split(domain, r"\.")) - F.size(F.split(reg, r"\.")), F.lit(0))
+    passed = sum((F.lower(f"_{k}") == "pass").cast("int") for k in ("spf", "dkim", "dmarc"))
+    return {
+        "hdr_has_sender": addr != "",
+        "hdr_display_name_present": F.col("_show") != "",
+        "hdr_display_name_length": F.char_length("_show"),
+        "hdr_display_has_brand": F.size(shown),
         "hdr_display_brand_domain_mismatch": (F.size(shown) > 0) & (F.size(F.array_intersect(shown, owned)) == 0),
-        "hdr_replyto_present": F.col("reply_domain") != "",
-        "hdr_replyto_domain_mismatch": (F.col("reply_domain") != "") & (F.col("domain") != "") & (F.col("reply_domain") != F.col("domain")),
-        "hdr_sender_freemail": F.col("domain").isin(FREEMAIL),
-        "hdr_sender_disposable": F.col("domain").isin(DISPOSABLE),
-        "hdr_sender_domain_length": F.char_length("domain"),
-        "hdr_sender_domain_digits": F.regexp_count("domain", F.lit("[0-9]")),
-        "hdr_sender_domain_hyphens": F.regexp_count("domain", F.lit("-")),
-        "hdr_sender_high_risk_tld": F.substring_index("suffix", ".", -1).isin(RISKY_TLDS),
-        "hdr_lookalike_distance": F.least("distance", F.lit(9)),
-        "hdr_is_lookalike": (F.col("distance") > 0) & (F.col("distance") <= 2),
+        "hdr_display_contains_address": inner != "",
+        "hdr_display_address_mismatch": (inner != "") & (T.address_domain(F.lower(inner)) != domain),
+        "hdr_replyto_present": F.col("_reply") != "",
+        "hdr_replyto_domain_mismatch": (F.col("_reply") != "") & (F.col("_reply") != domain),
+        "hdr_returnpath_present": F.col("_return") != "",
+        "hdr_returnpath_domain_mismatch": (F.col("_return") != "") & (F.col("_return") != domain),
+        "hdr_sender_freemail": T.among(domain, R.FREEMAIL),
+        "hdr_sender_disposable": T.among(domain, R.DISPOSABLE),
+        "hdr_sender_domain_length": F.char_length(domain),
+        "hdr_sender_domain_digits": F.regexp_count(domain, F.lit("[0-9]")),
+        "hdr_sender_domain_hyphens": F.regexp_count(domain, F.lit("-")),
+        "hdr_sender_domain_entropy": T.entropy(F.substring_index(reg, ".", 1)),
+        "hdr_sender_subdomain_depth": F.when(domain == "", 0).otherwise(sub),
+        "hdr_sender_high_risk_tld": T.among(F.substring_index("_suffix", ".", -1), R.RISKY_TLDS),
+        "hdr_sender_free_hosting": T.among(F.col("_suffix"), R.FREE_HOSTING),
+        "hdr_sender_brand_token": F.size(owned),
+        "hdr_lookalike_distance": F.least("_near", F.lit(9)),
+        "hdr_is_lookalike": F.col("_near").between(1, 2),
         "hdr_local_length": F.char_length(local),
-        "hdr_local_digit_ratio": F.round(F.regexp_count(local, F.lit("[0-9]")) / n, 6),
-        "hdr_local_is_noreply": local.rlike(r"^(no-?reply|do-?not-?reply)"),
+        "hdr_local_digit_ratio": _part(F.regexp_count(local, F.lit("[0-9]")), F.char_length(local)),
+        "hdr_local_entropy": T.entropy(local),
+        "hdr_local_is_noreply": F.greatest(*(F.contains(local, F.lit(t)) for t in R.NO_REPLY)),
         "hdr_local_has_plus_tag": F.contains(local, F.lit("+")),
-        "hdr_spf_fail": F.col("spf").isin("fail", "softfail"),
-        "hdr_dmarc_fail": F.col("dmarc") == "fail",
-        "hdr_auth_score": F.round(((F.col("spf") == "pass").cast("int") + (F.col("dmarc") == "pass").cast("int")) / 3, 6),
+        "hdr_spf_fail": F.lower("_spf").isin("fail", "softfail"),
+        "hdr_dkim_fail": F.lower("_dkim") == "fail",
+        "hdr_dmarc_fail": F.lower("_dmarc") == "fail",
+        "hdr_auth_score": passed / 3,
+        "hdr_received_hops": F.col("_received_hops"),
+        "hdr_recipient_count": F.col("_recipients"),
+        "hdr_to_empty": F.col("_recipients") == 0,
     }
-    return x.select(id, *(v.alias(k) for k, v in _doubles(found).items()))
 
 
-def subject_features(messages: DataFrame, id: str = "message_id", subject: str = "subject") -> DataFrame:
-    s = F.coalesce(F.col(subject), F.lit(""))
-    n = F.greatest(F.char_length(s), F.lit(1))
-    found = {
+def subject() -> dict[str, Column]:
+    s, tokens = F.col("_subject"), F.col("_stok")
+    count = lambda p: F.regexp_count(s, F.lit(p))
+    caps = F.filter(F.split(s, r"\s+"), lambda w: (F.char_length(w) > 2) & w.rlike(r"\p{L}") & (F.upper(w) == w) & (F.lower(w) != w))
+    out = {
         "subj_length": F.char_length(s),
-        "subj_word_count": F.regexp_count(s, F.lit(r"\S+")),
-        "subj_upper_ratio": F.round(F.regexp_count(s, F.lit("[A-Z]")) / n, 6),
-        "subj_all_caps_words": F.regexp_count(s, F.lit(r"(?:^|[^A-Za-z0-9])[A-Z]{3,}(?:$|[^A-Za-z0-9])")),
-        "subj_exclamations": F.regexp_count(s, F.lit("!")),
-        "subj_questions": F.regexp_count(s, F.lit(r"\?")),
-        "subj_digit_count": F.regexp_count(s, F.lit("[0-9]")),
-        "subj_currency_symbols": F.regexp_count(s, F.lit("[$€£₹]")),
-        "subj_non_ascii_ratio": F.round(F.regexp_count(s, F.lit(r"[^\x00-\x7F]")) / n, 6),
-        "subj_reply_prefix": s.rlike(r"(?i)^\s*re:"),
-        "subj_forward_prefix": s.rlike(r"(?i)^\s*fwd?:"),
-        "subj_bracket_tag": s.rlike(r"^\s*\[[^\]]+\]"),
+        "subj_word_count": F.size(tokens),
+        "subj_upper_ratio": _part(count(r"\p{Lu}"), count(r"\p{L}")),
+        "subj_all_caps_words": F.size(caps),
+        "subj_exclamations": count("!"),
+        "subj_questions": count(r"\?"),
+        "subj_digit_count": count(r"[0-9]"),
+        "subj_currency_symbols": count(R.CURRENCY),
+        "subj_non_ascii_ratio": count(r"[^\x00-\x7F]") / F.greatest(F.char_length(s), F.lit(1)),
+        "subj_reply_prefix": s.rlike(r"(?i)^\s*re\s*:"),
+        "subj_forward_prefix": s.rlike(r"(?i)^\s*(?:fwd?|fw)\s*:"),
+        "subj_bracket_tag": s.rlike(r"^\s*[\[(]"),
+        "subj_urgency_phrases": T.phrase_count("_slow"),
+        "subj_has_brand": F.size(_brands("_stok")),
+        "subj_emoji_count": count(R.EMOJI),
     }
-    return messages.select(id, *(v.alias(k) for k, v in _doubles(found).items()))
+    return out | {f"subj_lex_{k}": T.lexicon_count("_stok", k) for k in R.LEXICONS}
 
 
-def body_features(messages: DataFrame, id: str = "message_id", body: str = "body") -> DataFrame:
-    b = F.coalesce(F.col(body), F.lit(""))
-    n = F.greatest(F.char_length(b), F.lit(1))
-    words = F.col("_words")
-    count = F.size(words)
-    found = {
+def body() -> dict[str, Column]:
+    b, tokens = F.col("_body"), F.col("_btok")
+    n, words = F.greatest(F.char_length(b), F.lit(1)), F.greatest(F.size(tokens), F.lit(1))
+    count = lambda p: F.regexp_count(b, F.lit(p))
+    sentences = F.filter(F.split(b, "[.!?]+"), lambda x: x.rlike(r"\S"))
+    said = lambda group: F.size(T.kept("_btok", group))
+    out = {
         "body_length": F.char_length(b),
-        "body_word_count": count,
-        "body_unique_word_ratio": F.round(F.size(F.array_distinct(words)) / F.greatest(count, F.lit(1)), 6),
-        "body_avg_word_length": F.round(F.when(count == 0, 0.0).otherwise(F.char_length(F.array_join(words, "")) / count), 6),
-        "body_sentence_count": F.regexp_count(b, F.lit(r"[.!?]+(?:\s|$)")),
-        "body_upper_ratio": F.round(F.regexp_count(b, F.lit("[A-Z]")) / n, 6),
-        "body_exclamation_density": F.round(100 * F.regexp_count(b, F.lit("!")) / n, 6),
-        "body_digit_ratio": F.round(F.regexp_count(b, F.lit("[0-9]")) / n, 6),
-        "body_email_addresses": F.regexp_count(b, F.lit(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}")),
-        "body_phone_numbers": F.regexp_count(b, F.lit(r"\+?[0-9][0-9 ().\-]{7,}[0-9]")),
-        "body_unsubscribe_present": F.contains(F.lower(b), F.lit("unsubscribe")),
-        "body_urgency_phrases": T.phrase_count(b),
-        "body_generic_greeting": T.greeting_count(b),
-        "body_is_empty": F.trim(b) == "",
+        "body_word_count": F.size(tokens),
+        "body_unique_word_ratio": F.size(F.array_distinct(tokens)) / words,
+        "body_avg_word_length": F.char_length(F.array_join(tokens, "")) / words,
+        "body_sentence_count": F.size(sentences),
+        "body_avg_sentence_length": _part(F.aggregate(sentences, F.lit(0), lambda s, x: s + F.regexp_count(x, F.lit(r"\S+"))), F.size(sentences)),
+        "body_upper_ratio": _part(count(r"\p{Lu}"), count(r"\p{L}")),
+        "body_exclamation_density": count("!") / n * 100,
+        "body_digit_ratio": count("[0-9]") / n,
+        "body_currency_mentions": count(R.CURRENCY),
+        "body_number_mentions": count(R.NUMBER),
+        "body_non_ascii_ratio": F.when(T.is_ascii(b), 0).otherwise(count(r"[^\x00-\x7F]")) / n,
+        "body_generic_greeting": T.greeting_count("lower(_canon)"),
+        "body_has_greeting": b.rlike(R.GREETED),
+        "body_urgency_phrases": T.phrase_count("_blow"),
+        "body_brand_mentions": F.size(_brands("_btok")),
+        "body_first_person_plural": said(R.FIRST_PLURAL),
+        "body_second_person": said(R.SECOND_PERSON),
+        "body_imperative_starts": count(R.IMPERATIVE),
+        "body_signature_present": b.rlike(R.SIGNED),
+        "body_unsubscribe_present": b.rlike(R.UNSUBSCRIBE),
+        "body_phone_numbers": count(R.PHONE),
+        "body_email_addresses": F.when(F.contains(b, F.lit("@")), count(R.MAIL_ADDRESS)).otherwise(0),
+        "body_is_empty": ~b.rlike(r"\S"),
     }
-    found |= {f"body_lex_{name}": T.lexicon_count(b, name) for name in LEXICONS}
-    x = messages.withColumn("_words", T.tokenize(b))
-    return x.select(id, *(v.alias(k) for k, v in _doubles(found).items()))
+    return out
 
 
-def html_features(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
-    h = F.coalesce(F.col(html), F.lit(""))
-    tags = F.transform(F.regexp_extract_all(h, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)"), 1), lambda t: F.lower(t))
+def lexicon() -> dict[str, Column]:
+    return {f"body_lex_{k}": T.lexicon_count("_btok", k) for k in R.LEXICONS}
+
+
+def obfuscation() -> dict[str, Column]:
+    return T.obfuscation(F.col("_both"), F.col("_canon"))
+
+
+def html(h: Column | None = None) -> dict[str, Column]:
+    h = F.col("_html") if h is None else h
+    n = F.greatest(F.char_length(h), F.lit(1))
+    tags = F.transform(F.regexp_extract_all(h, F.lit(r"<([a-zA-Z][a-zA-Z0-9]*)\b"), 1), lambda t: F.lower(t))
     of = lambda name: F.size(F.filter(tags, lambda t: t == name))
-    plain = F.regexp_replace(h, r"<[^>]*>", "")
-    found = {
-        "html_present": h != "",
+    plain = F.regexp_replace(h, "<[^>]+>", " ")
+    out = {
+        "html_present": h.rlike(r"\S"),
         "html_tag_count": F.size(tags),
         "html_tag_diversity": F.size(F.array_distinct(tags)),
-        "html_text_ratio": F.round(F.char_length(plain) / F.greatest(F.char_length(h), F.lit(1)), 6),
+        "html_text_ratio": F.char_length(F.regexp_replace(plain, r"^\s+|\s+$", "")) / n,
         "html_image_count": of("img"),
+        "html_image_only": (of("img") >= 1) & (F.regexp_count(plain, F.lit(r"\S+")) < 15),
         "html_form_count": of("form"),
-        "html_password_input": h.rlike(r"(?i)<input[^>]*type\s*=\s*[\"']?password"),
-        "html_hidden_style_count": F.regexp_count(F.lower(h), F.lit(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0")),
+        "html_password_input": h.rlike(R.PASSWORD_INPUT),
+        "html_hidden_style_count": F.regexp_count(h, F.lit(R.HIDDEN_STYLE)),
         "html_script_count": of("script"),
         "html_iframe_count": of("iframe"),
-        "html_entity_density": F.round(F.regexp_count(h, F.lit("&#?[a-zA-Z0-9]+;")) / F.greatest(F.char_length(h), F.lit(1)), 6),
+        "html_entity_density": F.regexp_count(h, F.lit(R.ENTITY)) / n * 100,
         "html_anchor_count": of("a"),
-        "html_external_css": F.regexp_count(F.lower(h), F.lit(r"<link[^>]*stylesheet")),
+        "html_external_css": F.regexp_count(h, F.lit("(?i)<link[^>]+stylesheet")),
     }
-    return pages.select(id, *(v.alias(k) for k, v in _doubles(found).items()))
+    return {k: F.when(h == "", 0.0).otherwise(v.cast("double")) for k, v in out.items()}
 
 
-def attachment_features(messages: DataFrame, id: str = "message_id", attachments: str = "attachments") -> DataFrame:
-    """Features of an array of (filename, content_type, size_bytes); nothing is exploded."""
-    a = F.coalesce(F.col(attachments), F.array().cast("array<struct<filename:string,content_type:string,size_bytes:bigint>>"))
-    ext = lambda x: F.when(F.contains(x["filename"], F.lit(".")), F.lower(F.substring_index(F.trim(x["filename"]), ".", -1))).otherwise("")
-    some = lambda group: F.size(F.filter(a, lambda x: ext(x).isin(group)))
-    known = [*EXECUTABLE, *MACRO, *ARCHIVE, *DOCUMENT]
-    found = {
+def attachment() -> dict[str, Column]:
+    """Features of an array of (filename, content_type, size_bytes); nothing is exploded, and the first kind that fits counts."""
+    a = F.transform("_attachments", lambda x: F.struct(F.lower(F.coalesce(x["filename"], F.lit(""))).alias("name"), F.lower(F.coalesce(x["content_type"], F.lit(""))).alias("kind"), F.greatest(F.coalesce(x["size_bytes"], F.lit(0)), F.lit(0)).alias("size")))
+    ext = lambda x: F.when(F.contains(x["name"], F.lit(".")), F.trim(F.substring_index(x["name"], ".", -1))).otherwise("")
+    some = lambda good: F.size(F.filter(a, good))
+    of_kind = lambda group: lambda x: T.among(ext(x), group)
+    groups = {"att_executable": R.EXECUTABLE, "att_macro_enabled": R.MACRO, "att_archive": R.ARCHIVE, "att_document": R.DOCUMENT}
+    out, before = {}, []
+    for k, group in groups.items():
+        left = [e for e in group if e not in before]
+        out[k] = some(of_kind(left))
+        before += left
+    wrong = lambda x: (x["kind"] != "") & (((ext(x) == "pdf") & ~F.contains(x["kind"], F.lit("pdf"))) | (ext(x).isin("zip", "rar", "7z") & ~x["kind"].rlike("zip|compressed|octet|rar|7z")))
+    inner = lambda x: F.element_at(F.split(x["name"], r"\."), -2)
+    return {
         "att_count": F.size(a),
-        "att_total_bytes": F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x["size_bytes"], F.lit(0))),
-        "att_max_bytes": F.coalesce(F.array_max(F.transform(a, lambda x: x["size_bytes"])), F.lit(0)),
-        "att_executable": some(EXECUTABLE),
-        "att_macro_enabled": some(MACRO),
-        "att_archive": some(ARCHIVE),
-        "att_document": some(DOCUMENT),
-        "att_unknown_type": F.size(F.filter(a, lambda x: ~ext(x).isin(known))),
-        "att_double_extension": F.size(F.filter(a, lambda x: x["filename"].rlike(rf"(?i)\.({'|'.join(DOCUMENT)})\.({'|'.join(EXECUTABLE)})$"))),
-        "att_name_max_length": F.coalesce(F.array_max(F.transform(a, lambda x: F.char_length(x["filename"]))), F.lit(0)),
-        "att_rtl_override": F.size(F.filter(a, lambda x: F.contains(x["filename"], F.lit("‮")))),
+        "att_total_bytes": F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["size"]),
+        "att_max_bytes": F.coalesce(F.array_max(F.transform(a, lambda x: x["size"])), F.lit(0)),
+        **out,
+        "att_double_extension": some(lambda x: F.when(F.size(F.split(x["name"], r"\.")) >= 3, inner(x).isin([*R.DOCUMENT, *R.ARCHIVE])).otherwise(False)),
+        "att_extension_mismatch": some(wrong),
+        "att_name_max_length": F.coalesce(F.array_max(F.transform(a, lambda x: F.char_length(x["name"]))), F.lit(0)),
+        "att_rtl_override": some(lambda x: x["name"].rlike("[\\u202A\\u202B\\u202D\\u202E]")),
+        "att_unknown_type": some(lambda x: ~T.among(ext(x), before)),
     }
-    return messages.select(id, *(v.alias(k) for k, v in _doubles(found).items()))
+
+
+FAMILIES = {"header": header, "subject": subject, "body": body, "html": html, "lexicon": lexicon, "obfuscation": obfuscation, "attachment": attachment}
+
+
+def columns(*families: str) -> dict[str, Column]:
+    """The features of families of ``prepared`` messages, as doubles."""
+    return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for f in families or FAMILIES for k, v in FAMILIES[f]().items()}
+
+
+def features(messages: DataFrame, *families: str, id: str = "message_id") -> DataFrame:
+    """(id, features) of some families, or of all."""
+    return prepared(messages).select(id, *(F.round(v, 6).alias(k) for k, v in columns(*families).items()))

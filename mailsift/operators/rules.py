@@ -13,9 +13,11 @@ from .metrics import band
 def rule_score(features: DataFrame, id: str = "message_id") -> DataFrame:
     """(id, logit, score, fired): sigmoid of the intercept and the weights of the rules whose columns reach their least value.
 
-    Rules whose column isn't there cannot fire; fired rules are in order of absolute weight.
+    Fired rules are in order of absolute weight. A table without a rule's column is an error: its scores would be others.
     """
-    rules = [r for r in RULES if r[2] in features.columns]
+    if missing := sorted({r[2] for r in RULES} - set(features.columns)):
+        raise ValueError(f"rules read columns that the table lacks: {missing}")
+    rules = RULES
     hit = {r[0]: F.coalesce(F.col(r[2]) >= r[3], F.lit(False)) for r in rules}
     logit = F.lit(INTERCEPT)
     for rid, weight, _, _ in rules:
@@ -32,7 +34,7 @@ def sigmoid(x: Column) -> Column:
 
 def rule_catalogue(features: DataFrame) -> DataFrame:
     """How often each rule fires over a feature table."""
-    rules = [r for r in RULES if r[2] in features.columns]
+    rules = RULES
     counts = features.agg(*(F.count_if(F.col(r[2]) >= r[3]).alias(r[0]) for r in rules))
     return counts.select(F.explode(F.array(*(F.struct(F.lit(r[0]).alias("rule"), F.lit(r[2]).alias("feature"), F.lit(r[1]).alias("weight"), F.col(r[0]).alias("n")) for r in rules))).alias("x")).select("x.*")
 

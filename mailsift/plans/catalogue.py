@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from mailsift.functions import text as T
 from mailsift.functions import urls
-from mailsift.functions.refdata import BRAND_DOMAINS, LEXICONS
+from mailsift.functions.refdata import ARCHIVE, BRAND_DOMAINS, BRANDS, CURRENCY, DISPOSABLE, DOCUMENT, EMOJI, ENTITY, EXECUTABLE, FREE_HOSTING, FREEMAIL, GREETED, HIDDEN_STYLE, IMPERATIVE, LEXICONS, MACRO, MAIL_ADDRESS, NUMBER, PASSWORD_INPUT, PHONE, RISKY_TLDS, SIGNED, UNSUBSCRIBE
 from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, reports, review, rules
 from mailsift.sources import mail as mail_source
-from mailsift.sources.tables import ctes, table, view
+from mailsift.sources.tables import ctes, mails, table, view
 from mailsift.streaming import state, windows
 
 from . import mail
@@ -488,11 +488,57 @@ def _(spark, d):
     return behaviour.thread_depth(table(spark, d, "conversations"))
 
 
-@query("behaviour_history")
+BEFORE = "OVER (PARTITION BY sender_domain ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"
+
+
+@query(
+    "behaviour_history",
+    f""", h AS (SELECT m.*, count(*) OVER (PARTITION BY sender, recipient ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS prior_messages,
+      (SELECT count(*) FROM fx_mail_log b WHERE b.sender = m.recipient AND b.recipient = m.sender AND b.ts < m.ts) AS prior_replies,
+      CAST(coalesce(sum(CAST(event_type = 'error' AS INT)) {BEFORE}, 0) AS BIGINT) AS domain_report_count, round(coalesce(avg(CAST(event_type = 'click' AS INT)) {BEFORE}, 0.0), 6) AS domain_click_rate,
+      CAST((epoch_us(ts) - epoch_us(min(ts) OVER (PARTITION BY sender_domain))) // 86400000000 AS BIGINT) AS domain_age_days,
+      count(*) OVER (PARTITION BY sender_domain ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS burst_count_1h,
+      (SELECT count(DISTINCT b.sender) FROM fx_mail_log b WHERE b.display_name = m.display_name AND b.ts <= m.ts) AS display_name_alias_count FROM fx_mail_log m),
+    k AS (SELECT *, prior_messages = 0 AS first_seen, CAST(hour(ts) AS INT) AS hour_local, dayofweek(ts) IN (0, 6) AS is_weekend,
+      0.6 * (1 - exp(-prior_messages / 8.0)) + 0.4 * (CASE WHEN prior_messages = 0 THEN 0.0 ELSE least(prior_replies / CAST(prior_messages AS DOUBLE), 1.0) END) AS bond FROM h)
+    SELECT msg_id, true AS available, first_seen, prior_messages, prior_replies, hour_local, is_weekend, true AS external_sender, domain_report_count, domain_click_rate, burst_count_1h, CAST(display_name_alias_count AS BIGINT) AS display_name_alias_count, domain_age_days,
+      round(bond, 6) AS relationship_strength, round(least(ln(1 + greatest(burst_count_1h, 1)) / 4, 1.0) * CAST(first_seen AS INT), 6) AS campaign_shape,
+      round(least(greatest(0.25 * CAST(first_seen AS INT) + 0.25 * CAST(domain_age_days < 90 AS INT) + 0.10 * CAST(hour_local < 7 OR hour_local >= 21 AS INT) + 0.20 * (1 - bond), 0.0), 1.0), 6) AS trust_deficit FROM k""",
+    "fx_mail_log",
+)
 def _(spark, d):
     return behaviour.history(view(spark, d, "fx_mail_log"))
 
 
+@query("running_aliases", "SELECT msg_id, (SELECT count(DISTINCT b.sender) FROM fx_mail_log b WHERE b.display_name = m.display_name AND b.ts <= m.ts) AS display_name_alias_count FROM fx_mail_log m", "fx_mail_log")
+def _(spark, d):
+    return behaviour.running_aliases(view(spark, d, "fx_mail_log"))
+
+
+BOND = "CASE WHEN available THEN 0.6 * (1 - exp(-prior_messages / 8.0)) + 0.4 * (CASE WHEN prior_messages = 0 THEN 0.0 ELSE least(prior_replies / CAST(prior_messages AS DOUBLE), 1.0) END) ELSE 0.0 END"
+
+
+@query(
+    "behaviour_features",
+    f""", c AS (SELECT *, {BOND} AS bond, CAST(first_seen OR NOT available AS INT)::DOUBLE AS new, CAST(available AND domain_age_days < 90 AS INT)::DOUBLE AS young, CAST(hour_local < 7 OR hour_local >= 21 AS INT)::DOUBLE AS off_, CAST(external_sender AS INT)::DOUBLE AS outside,
+      CAST(received_hops AS DOUBLE) AS financial, CAST(received_hops + recipients AS DOUBLE) AS ask, CAST(recipients AS DOUBLE) AS urgent, greatest(recipient_count, 1) AS to_, greatest(burst_count_1h, 1) AS burst, greatest(display_name_alias_count, 1) AS names FROM fx_mail)
+    SELECT message_id, CAST(available AS INT)::DOUBLE AS beh_context_available, new AS beh_sender_first_seen, prior_messages::DOUBLE AS beh_prior_messages, round(ln(1 + prior_messages), 6) AS beh_prior_messages_log, prior_replies::DOUBLE AS beh_prior_replies,
+      round(CASE WHEN prior_messages = 0 THEN 0.0 ELSE prior_replies / CAST(prior_messages AS DOUBLE) END, 6) AS beh_reply_ratio, round(bond, 6) AS beh_relationship_strength, thread_depth::DOUBLE AS beh_thread_depth, CAST(thread_depth <= 0 AS INT)::DOUBLE AS beh_is_new_thread,
+      round(new * least(ask / 4, 1.0), 6) AS beh_cold_contact_with_ask, hour_local::DOUBLE AS beh_hour_local, off_ AS beh_off_hours, CAST(is_weekend AS INT)::DOUBLE AS beh_is_weekend, round(off_ * least(urgent / 3, 1.0), 6) AS beh_odd_hour_and_urgent,
+      to_::DOUBLE AS beh_recipient_count, bcc_count::DOUBLE AS beh_bcc_count, round(bcc_count / CAST(to_ + bcc_count AS DOUBLE), 6) AS beh_bcc_ratio, CAST(to_ >= 25 OR bcc_count >= 25 AS INT)::DOUBLE AS beh_mass_mailing, outside AS beh_external_sender,
+      round(outside * least(financial / 4, 1.0), 6) AS beh_external_and_financial, domain_report_count::DOUBLE AS beh_domain_report_count, CAST(domain_report_count > 0 AS INT)::DOUBLE AS beh_domain_reported, round(domain_click_rate, 6) AS beh_domain_click_rate,
+      burst::DOUBLE AS beh_burst_count_1h, round(ln(1 + burst), 6) AS beh_burst_log, round(least(ln(1 + burst) / 4, 1.0) * new, 6) AS beh_campaign_shape, names::DOUBLE AS beh_display_name_alias_count, CAST(names > 1 AS INT)::DOUBLE AS beh_display_name_reuse,
+      domain_age_days::DOUBLE AS beh_domain_age_days, round(ln(1 + domain_age_days), 6) AS beh_domain_age_log, young AS beh_young_domain, round(young * least(ask / 4, 1.0), 6) AS beh_young_domain_and_ask,
+      round(0.25 * new + 0.25 * young + 0.10 * off_ + 0.20 * (1 - bond) + 0.20 * least(ask / 6, 1.0), 6) AS beh_trust_deficit FROM c""",
+    "fx_mail",
+)
+def _(spark, d):
+    x = view(spark, d, "fx_mail")
+    hops, to = F.col("received_hops").cast("double"), F.col("recipients").cast("double")  # stand in for what texts ask for
+    found = behaviour.features(behaviour.context(x), hops, hops + to, to)
+    return x.select("message_id", *(F.round(v, 6).alias(k) for k, v in found.items()))
+
+
 # --- text, URLs, links, messages --------------------------------------------
 
 HOST = r"regexp_extract(href, '^[a-z]+://(?:[^/?#]*@)?([^/:?#]+)', 1)"
@@ -561,53 +607,148 @@ def _lexicon_sql() -> str:
 
 @query("lexicon_counts", _lexicon_sql())
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", *(T.lexicon_count(F.col("text"), k).cast("long").alias(k) for k in LEXICONS))
+    return table(spark, d, "documents").select("doc_id", T.tokenize(F.col("text")).alias("tokens")).select("doc_id", *(T.lexicon_count("tokens", k).cast("long").alias(k) for k in LEXICONS))
 
 
 @query("text_entropy", "SELECT doc_id, round(entropy, 4) AS entropy FROM (SELECT doc_id, -sum(n / t * log2(n / t)) AS entropy FROM (SELECT doc_id, c, CAST(count(*) AS DOUBLE) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents) GROUP BY doc_id, c) GROUP BY doc_id)")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(T.entropy(F.col("text")), 4).alias("entropy"))
+    return table(spark, d, "documents").select("doc_id", F.round(T.text_entropy("text"), 4).alias("entropy"))
+
 
+def _rounded(exprs: dict[str, str]) -> str:
+    return ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS {k}" for k, v in exprs.items())
 
-@query("header_features")
+
+def _header_sql() -> str:
+    flag = lambda x: f"CAST({x} AS INT)"
+    share = "len(regexp_extract_all(local, '[0-9]')) / CAST(length(local) AS DOUBLE)"
+    exprs = {
+        "hdr_has_sender": flag("addr <> ''"), "hdr_display_name_present": flag("named <> ''"), "hdr_display_name_length": "length(named)", "hdr_display_has_brand": "len(shown)",
+        "hdr_display_brand_domain_mismatch": flag("len(shown) > 0 AND len(list_intersect(shown, owned)) = 0"), "hdr_display_contains_address": "0", "hdr_display_address_mismatch": "0",
+        "hdr_replyto_present": flag("reply <> ''"), "hdr_replyto_domain_mismatch": flag("reply <> '' AND reply <> domain"), "hdr_returnpath_present": flag("back <> ''"), "hdr_returnpath_domain_mismatch": flag("back <> '' AND back <> domain"),
+        "hdr_sender_freemail": flag(f"list_contains({FREEMAIL}, domain)"), "hdr_sender_disposable": flag(f"list_contains({DISPOSABLE}, domain)"), "hdr_sender_domain_length": "length(domain)",
+        "hdr_sender_domain_digits": "len(regexp_extract_all(domain, '[0-9]'))", "hdr_sender_domain_hyphens": "length(domain) - length(replace(domain, '-', ''))",
+        "hdr_sender_domain_entropy": "CASE WHEN reg = '' THEN 0.0 ELSE list_aggregate(string_split(string_split(reg, '.')[1], ''), 'entropy') END", "hdr_sender_subdomain_depth": "CASE WHEN domain = '' THEN 0 ELSE len(string_split(domain, '.')) - len(string_split(reg, '.')) END",
+        "hdr_sender_high_risk_tld": flag(f"list_contains({RISKY_TLDS}, string_split(domain, '.')[-1])"), "hdr_sender_free_hosting": flag(f"list_contains({FREE_HOSTING}, suffix)"), "hdr_sender_brand_token": "len(owned)",
+        "hdr_lookalike_distance": "least(near, 9)", "hdr_is_lookalike": flag("near BETWEEN 1 AND 2"), "hdr_local_length": "length(local)", "hdr_local_digit_ratio": f"CASE WHEN local = '' THEN 0.0 ELSE {share} END",
+        "hdr_local_entropy": "CASE WHEN local = '' THEN 0.0 ELSE list_aggregate(string_split(local, ''), 'entropy') END", "hdr_local_is_noreply": flag("regexp_matches(local, 'noreply|no-reply|donotreply')"), "hdr_local_has_plus_tag": flag("contains(local, '+')"),
+        "hdr_spf_fail": flag("spf IN ('fail', 'softfail')"), "hdr_dkim_fail": flag("dkim = 'fail'"), "hdr_dmarc_fail": flag("dmarc = 'fail'"), "hdr_auth_score": f"({flag("spf = 'pass'")} + {flag("dkim = 'pass'")} + {flag("dmarc = 'pass'")}) / 3.0",
+        "hdr_received_hops": "received_hops", "hdr_recipient_count": "recipients", "hdr_to_empty": flag("recipients = 0"),
+    }
+    return f""", a AS (SELECT *, lower(CASE WHEN sender LIKE '%<%' THEN regexp_extract(sender, '<([^<>]*)>', 1) ELSE sender END) AS addr, CASE WHEN sender LIKE '%<%' THEN trim(string_split(sender, '<')[1]) ELSE '' END AS named,
+      regexp_extract(reply_to, '@(.+)$', 1) AS reply, regexp_extract(return_path, '@(.+)$', 1) AS back FROM fx_mail),
+    b AS (SELECT *, regexp_extract(addr, '@(.+)$', 1) AS domain, string_split(addr, '@')[1] AS local FROM a), c AS (SELECT *, CASE WHEN domain LIKE '%.co.uk' THEN 'co.uk' ELSE string_split(domain, '.')[-1] END AS suffix FROM b),
+    e AS (SELECT *, CASE WHEN domain = '' THEN '' ELSE array_to_string(string_split(domain, '.')[-(len(string_split(suffix, '.')) + 1):], '.') END AS reg, list_distinct(list_filter(regexp_split_to_array(lower(named), '[^a-z0-9]+'), lambda t: list_contains({BRANDS}, t))) AS shown, list_filter({BRANDS}, lambda t: contains(domain, t)) AS owned FROM c),
+    f AS (SELECT *, CASE WHEN reg = '' THEN 99 ELSE list_min(list_transform({BRAND_DOMAINS}, lambda x: CASE WHEN damerau_levenshtein(reg, x) <= 3 THEN damerau_levenshtein(reg, x) ELSE 99 END)) END AS near FROM e)
+    SELECT message_id, {_rounded(exprs)} FROM f"""
+
+
+@query("header_features", _header_sql(), "fx_mail")
 def _(spark, d):
-    return messages.header_features(view(spark, d, "fx_messages"))
+    return messages.features(mails(spark, d), "header")
+
+
+def _re(p: str) -> str:
+    """A pattern as SQL text; signs of currency and emoji stand in it as they are."""
+    return "'" + p.replace("'", "''") + "'"
+
+
+def _subject_sql() -> str:
+    n = lambda p: f"len(regexp_extract_all(subject, {_re(p)}))"
+    flag = lambda p: f"CAST(regexp_matches(subject, {_re(p)}) AS INT)"
+    caps = r"len(list_filter(regexp_split_to_array(subject, '\s+'), lambda w: length(w) > 2 AND upper(w) = w AND lower(w) <> w))"
+    return "SELECT message_id, " + _rounded({
+        "subj_length": "length(subject)", "subj_upper_ratio": f"CASE WHEN {n(r"\p{L}")} = 0 THEN 0.0 ELSE {n(r"\p{Lu}")} / CAST({n(r"\p{L}")} AS DOUBLE) END", "subj_all_caps_words": caps, "subj_exclamations": n("!"), "subj_questions": n(r"\?"), "subj_digit_count": n("[0-9]"),
+        "subj_currency_symbols": n(CURRENCY), "subj_non_ascii_ratio": f"{n(r"[^\x00-\x7F]")} / CAST(greatest(length(subject), 1) AS DOUBLE)", "subj_reply_prefix": flag(r"(?i)^\s*re\s*:"), "subj_forward_prefix": flag(r"(?i)^\s*(?:fwd?|fw)\s*:"), "subj_bracket_tag": flag(r"^\s*[\[(]"), "subj_emoji_count": n(EMOJI),
+    }) + " FROM fx_messages"
+
+
+@query("subject_shape", _subject_sql(), "fx_messages")
+def _(spark, d):
+    names = "subj_length subj_upper_ratio subj_all_caps_words subj_exclamations subj_questions subj_digit_count subj_currency_symbols subj_non_ascii_ratio subj_reply_prefix subj_forward_prefix subj_bracket_tag subj_emoji_count".split()
+    return messages.features(view(spark, d, "fx_messages"), "subject").select("message_id", *names)
 
 
 @query("subject_features")
 def _(spark, d):
-    return messages.subject_features(view(spark, d, "fx_messages"))
+    return messages.features(view(spark, d, "fx_messages"), "subject")
+
+
+def _body_sql() -> str:
+    n = lambda p: f"len(regexp_extract_all(body, {_re(p)}))"
+    flag = lambda p: f"CAST(regexp_matches(body, {_re(p)}) AS INT)"
+    over = "CAST(greatest(length(body), 1) AS DOUBLE)"
+    return r""", s AS (SELECT *, list_filter(regexp_split_to_array(body, '[.!?]+'), lambda x: regexp_matches(x, '\S')) AS sent FROM fx_messages) SELECT message_id, """ + _rounded({
+        "body_length": "length(body)", "body_sentence_count": "len(sent)", "body_avg_sentence_length": r"CASE WHEN len(sent) = 0 THEN 0.0 ELSE list_sum(list_transform(sent, lambda x: len(regexp_extract_all(x, '\S+')))) / CAST(len(sent) AS DOUBLE) END",
+        "body_upper_ratio": f"CASE WHEN {n(r"\p{L}")} = 0 THEN 0.0 ELSE {n(r"\p{Lu}")} / CAST({n(r"\p{L}")} AS DOUBLE) END", "body_exclamation_density": f"{n("!")} / {over} * 100", "body_digit_ratio": f"{n("[0-9]")} / {over}", "body_currency_mentions": n(CURRENCY), "body_number_mentions": n(NUMBER),
+        "body_non_ascii_ratio": f"{n(r"[^\x00-\x7F]")} / {over}", "body_has_greeting": flag(GREETED), "body_imperative_starts": n(IMPERATIVE), "body_signature_present": flag(SIGNED), "body_unsubscribe_present": flag(UNSUBSCRIBE), "body_phone_numbers": n(PHONE), "body_email_addresses": n(MAIL_ADDRESS), "body_is_empty": r"CAST(NOT regexp_matches(body, '\S') AS INT)",
+    }) + " FROM s"
+
+
+@query("body_shape", _body_sql(), "fx_messages")
+def _(spark, d):
+    names = "body_length body_sentence_count body_avg_sentence_length body_upper_ratio body_exclamation_density body_digit_ratio body_currency_mentions body_number_mentions body_non_ascii_ratio body_has_greeting body_imperative_starts body_signature_present body_unsubscribe_present body_phone_numbers body_email_addresses body_is_empty".split()
+    return messages.features(view(spark, d, "fx_messages"), "body").select("message_id", *names)
 
 
 @query("body_features")
 def _(spark, d):
-    return messages.body_features(view(spark, d, "fx_messages"))
+    return messages.features(view(spark, d, "fx_messages"), "body", "lexicon", "obfuscation")
 
 
-@query("html_features")
+def _html_sql() -> str:
+    of = lambda t: f"len(list_filter(tags, lambda x: x = '{t}'))"
+    n = lambda p: f"len(regexp_extract_all(html, {_re(p)}))"
+    return r""", h AS (SELECT page_id, html, list_transform(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)\b', 1), lambda t: lower(t)) AS tags, regexp_replace(html, '<[^>]+>', ' ', 'g') AS plain FROM pages) SELECT page_id, """.replace(", h AS", "WITH h AS", 1) + _rounded({
+        "html_present": r"CAST(regexp_matches(html, '\S') AS INT)", "html_tag_count": "len(tags)", "html_tag_diversity": "len(list_distinct(tags))", "html_text_ratio": r"length(regexp_replace(plain, '^\s+|\s+$', '', 'g')) / CAST(length(html) AS DOUBLE)", "html_image_count": of("img"), "html_image_only": f"CAST({of("img")} >= 1 AND len(regexp_extract_all(plain, '\\S+')) < 15 AS INT)",
+        "html_form_count": of("form"), "html_password_input": f"CAST(regexp_matches(html, {_re(PASSWORD_INPUT)}) AS INT)", "html_hidden_style_count": n(HIDDEN_STYLE), "html_script_count": of("script"), "html_iframe_count": of("iframe"), "html_entity_density": f"{n(ENTITY)} / CAST(length(html) AS DOUBLE) * 100", "html_anchor_count": of("a"), "html_external_css": n("(?i)<link[^>]+stylesheet"),
+    }) + " FROM h"
+
+
+@query("html_features", _html_sql())
+def _(spark, d):
+    x = table(spark, d, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("_html"))
+    return x.select("page_id", *(F.round(v, 6).alias(k) for k, v in messages.html().items()))
+
+
+def _attachment_sql() -> str:
+    kind = lambda group: f"CAST(list_contains({group}, ext) AS INT)"
+    return ", a AS (SELECT *, CASE WHEN att_name LIKE '%.%' THEN string_split(att_name, '.')[-1] ELSE '' END AS ext FROM fx_mail) SELECT message_id, " + _rounded({
+        "att_count": "CAST(att_name <> '' AS INT)", "att_total_bytes": "CASE WHEN att_name <> '' THEN att_size ELSE 0 END", "att_max_bytes": "CASE WHEN att_name <> '' THEN att_size ELSE 0 END", "att_executable": kind(EXECUTABLE), "att_macro_enabled": kind(MACRO), "att_archive": kind(ARCHIVE), "att_document": kind(DOCUMENT),
+        "att_double_extension": f"CAST(len(string_split(att_name, '.')) >= 3 AND list_contains({[*DOCUMENT, *ARCHIVE]}, string_split(att_name, '.')[-2]) AS INT)", "att_extension_mismatch": "CAST(att_kind <> '' AND ((ext = 'pdf' AND NOT contains(att_kind, 'pdf')) OR (ext = 'zip' AND NOT regexp_matches(att_kind, 'zip|compressed|octet|rar|7z'))) AS INT)",
+        "att_name_max_length": "length(att_name)", "att_rtl_override": "0", "att_unknown_type": f"CAST(att_name <> '' AND NOT list_contains({[*EXECUTABLE, *MACRO, *ARCHIVE, *DOCUMENT]}, ext) AS INT)",
+    }) + " FROM a"
+
+
+@query("attachment_features", _attachment_sql(), "fx_mail")
 def _(spark, d):
-    return messages.html_features(table(spark, d, "pages"))
+    return messages.features(mails(spark, d), "attachment")
 
 
 @query("canonical_text")
 def _(spark, d):
-    x = table(spark, d, "documents")
-    return x.select("doc_id", F.sha2(T.canonical(F.col("text")), 256).alias("canonical_sha256"), *(v.cast("double").alias(k) for k, v in T.obfuscation(F.col("text")).items()))
+    x = T.with_canonical(table(spark, d, "documents"), {"clean": F.col("text")})
+    return x.select("doc_id", F.sha2("clean", 256).alias("canonical_sha256"), *(v.cast("double").alias(k) for k, v in T.obfuscation(F.col("text"), F.col("clean")).items()))
 
 
 @query("message_features")
 def _(spark, d):
-    return mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links"))
+    return mail.message_table(mails(spark, d), view(spark, d, "fx_links"))
+
+
+@query("feature_contract")
+def _(spark, d):
+    return mail.family_table(spark, mail.contract(mail.message_table(mails(spark, d), view(spark, d, "fx_links"))))
 
 
 @query("rule_score")
 def _(spark, d):
-    return rules.rule_score(mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links")))
+    return rules.rule_score(mail.rule_table(mails(spark, d), view(spark, d, "fx_links")))
 
 
 @query("triage")
 def _(spark, d):
-    return mail.triage(view(spark, d, "fx_messages"), view(spark, d, "fx_links"))
+    return mail.triage(mails(spark, d), view(spark, d, "fx_links"))
 
 
 WEIGHTS = {"m_rules": 0.7, "m_engineered": 1.9, "m_charngram": 1.1, "m_wordtfidf": 0.8}
@@ -734,7 +875,7 @@ def _(spark, d):
 
 @query("rule_catalogue")
 def _(spark, d):
-    return rules.rule_catalogue(mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links")))
+    return rules.rule_catalogue(mail.rule_table(mails(spark, d), view(spark, d, "fx_links")))
 
 
 # --- reports ----------------------------------------------------------------
@@ -806,12 +947,12 @@ def _(spark, d):
 
 @query("rule_evidence")
 def _(spark, d):
-    return reports.evidence(rules.rule_score(mail.message_table(view(spark, d, "fx_messages"), view(spark, d, "fx_links"))))
+    return reports.evidence(rules.rule_score(mail.rule_table(mails(spark, d), view(spark, d, "fx_links"))))
 
 
 @query("top_features")
 def _(spark, d):
-    return reports.top_features(messages.subject_features(view(spark, d, "fx_messages")), "message_id")
+    return reports.top_features(messages.features(view(spark, d, "fx_messages"), "subject"), "message_id")
 
 
 COSTS5 = "[25, 50, 100, 200, 400, 800]"

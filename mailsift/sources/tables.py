@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -49,6 +50,14 @@ VIEWS = {
         CASE doc_id % 3 WHEN 0 THEN 'pass' WHEN 1 THEN 'softfail' ELSE 'none' END AS spf,
         CASE doc_id % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'none' ELSE 'pass' END AS dmarc,
         concat(source, '-', lang) AS group_key FROM documents""",
+    "fx_mail": """SELECT m.*, CASE message_id % 6 WHEN 0 THEN 'fail' WHEN 1 THEN 'none' ELSE 'pass' END AS dkim,
+        CASE WHEN message_id % 9 = 0 THEN 'bounce@mailer.example' ELSE '' END AS return_path, message_id % 7 AS received_hops, message_id % 4 AS recipients, p.html,
+        CASE message_id % 10 WHEN 0 THEN 'invoice.pdf.exe' WHEN 1 THEN 'report.docm' WHEN 2 THEN 'photos.zip' WHEN 3 THEN 'terms.pdf' WHEN 4 THEN 'notes' ELSE '' END AS att_name,
+        CASE message_id % 3 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' ELSE '' END AS att_kind, (message_id * 37) % 90000 AS att_size,
+        message_id % 4 <> 0 AS available, message_id % 40 = 0 AS first_seen, message_id % 40 AS prior_messages, message_id % 11 AS prior_replies, message_id % 3 AS thread_depth,
+        message_id % 24 AS hour_local, message_id % 7 < 2 AS is_weekend, message_id % 30 AS bcc_count, message_id % 28 AS recipient_count, message_id % 2 = 0 AS external_sender,
+        message_id % 13 AS domain_report_count, CAST(message_id % 10 AS DOUBLE) / 10 AS domain_click_rate, message_id % 50 AS burst_count_1h, message_id % 4 AS display_name_alias_count, (message_id * 31) % 4000 AS domain_age_days
+        FROM fx_messages m LEFT JOIN pages p ON p.page_id = m.message_id""",
     "fx_links": """SELECT doc_id AS message_id, 0 AS pos,
         CASE doc_id % 6 WHEN 0 THEN 'http://192.168.4.9:8080/login' WHEN 1 THEN 'https://www.paypal.com/signin'
             WHEN 2 THEN 'https://microsoft.com.security-update.cf/login' WHEN 3 THEN 'https://relay.example/r?url=https%3A%2F%2Fbad-domain.tk%2Flogin'
@@ -77,6 +86,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **frames)
 
 
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with all that features read: HTML, an attachment and the sender's context."""
+    one = F.array(F.struct(F.col("att_name").alias("filename"), F.col("att_kind").alias("content_type"), F.col("att_size").alias("size_bytes")))
+    x = view(spark, sf_dir, "fx_mail")
+    return x.withColumn("attachments", F.when(F.col("att_name") != "", one)).drop("att_name", "att_kind", "att_size")
+
+
 def ctes(*names: str) -> str:
     """A WITH clause that defines views, and those they read, for a query's text."""
     out: dict[str, str] = {}

@@ -34,7 +34,7 @@ def test_entropy_addresses_and_digests(spark):
     assert value(spark, T.address(F.lit("PayPal <Service@PayPal.com>"))) == "service@paypal.com"
     assert value(spark, T.address_domain(F.lit("a@b@c.example."))) == "c.example"
     assert value(spark, T.pseudonym(F.lit(""), "s")) == ""
-    assert value(spark, T.phrase_count(F.lit("Act  now, act now!"))) == 2
+    assert spark.range(1).select(T.squeezed(F.lit("Act  now, act now!")).alias("low")).select(T.phrase_count("low").alias("n")).first().n == 2
 
 
 def test_distance(spark):

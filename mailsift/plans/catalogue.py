@@ -981,3 +981,6 @@ def _(spark, d):
 @query("policy_regret", f"{AT}, w AS (SELECT review, block, round(max(cost - best), 6) AS worst FROM (SELECT *, min(cost) OVER (PARTITION BY miss) AS best FROM {_cost_sql('[50, 100, 200, 800]')}) GROUP BY review, block) SELECT max(worst) FILTER (review = 0.4 AND block = 0.8) AS regret, min(worst) AS least_regret FROM w", "fx_scored")
 def _(spark, d):
     return policy.policy_regret(view(spark, d, "fx_scored"), 0.4, 0.8)
+
+
+from . import scoring  # noqa: E402, F401  registers its queries

@@ -983,4 +983,4 @@ def _(spark, d):
     return policy.policy_regret(view(spark, d, "fx_scored"), 0.4, 0.8)
 
 
-from . import scoring  # noqa: E402, F401  registers its queries
+from . import queue, scoring  # noqa: E402, F401  they register their queries

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 PERMUTATIONS, BANDS, ROWS, SHINGLE, NEAR = 64, 16, 4, 5, 0.85
 LEAK_AUC, DRIFT = 0.985, 0.08
 
@@ -60,18 +62,30 @@ def minhash(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", threshold: float = NEAR) -> DataFrame:
-    """(id, first_id, similarity): each row and the smallest row of its bands' buckets that is near to it.
+    """(id, first_id, similarity): each copy of a signature with its first row, and all pairs of first rows that are near.
 
-    Buckets link to their smallest member, so a bucket of n rows makes n - 1 candidates.
+    Rows of one signature are represented by their smallest id. A pair that agrees in ``threshold`` of its places can
+    differ in few bands: of 64 places 0.85 leave 9, so at least 7 of 16 bands are equal, and where the bands are dealt
+    into five groups some group has two of them. Pairs therefore meet on two bands of one group, which is exact and finds
+    far fewer strangers than single bands do; the join itself counts equal bands, so strangers never leave it.
     """
     signed = minhash(docs, text, id)
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))
-    keys = signed.select("id", F.explode(bands).alias("key"))
-    first = keys.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = keys.join(first, "key").filter("id <> first_id").select("id", "first_id").distinct()
-    x = pairs.join(signed, "id").join(signed.select(F.col("id").alias("first_id"), F.col("signature").alias("other")), "first_id")
+    name = F.struct(F.xxhash64("signature"), F.hash("signature"))
+    signed = signed.withColumn("name", name)
+    first = signed.groupBy("name").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    copies = signed.select("id", "name").join(first.filter("n > 1"), "name").filter("id <> first_id").select("id", "first_id", F.lit(1.0).alias("similarity"))
+    reps = signed.groupBy("name").agg(F.min_by("signature", "id").alias("signature"), F.min("id").alias("id")).drop("name")
+    equal = BANDS - int((1 - threshold) * PERMUTATIONS + 1e-9)
+    groups = [list(range(g, BANDS, 5)) for g in range(5)] if equal > 5 else [list(range(BANDS))]
+    pairs_of = [(i, j) for g in groups for i in g for j in g if i < j] if equal > 5 else [(i, i) for i in range(BANDS)]
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.hash(i, F.slice("signature", i * ROWS + 1, ROWS)))
+    each = reps.select("id", bands.alias("bands"))
+    each = each.select("id", "bands", F.explode(F.array(*(F.xxhash64(F.lit(i * BANDS + j), F.col("bands")[i], F.col("bands")[j]) for i, j in pairs_of))).alias("key"))
+    alike = F.aggregate(F.zip_with("bands", "other", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+    pairs = each.join(each.select("key", F.col("id").alias("first_id"), F.col("bands").alias("other")), "key").filter((F.col("first_id") < F.col("id")) & (alike >= max(1, equal))).select("id", "first_id").distinct()
+    x = pairs.join(reps.select("id", "signature"), "id").join(reps.select(F.col("id").alias("first_id"), F.col("signature").alias("other")), "first_id")
     same = F.aggregate(F.zip_with("signature", "other", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    return x.select("id", "first_id", (same / PERMUTATIONS).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return copies.unionByName(x.select("id", "first_id", (same / PERMUTATIONS).alias("similarity")).filter(F.col("similarity") >= threshold))
 
 
 def grouped_split(rows: DataFrame, group: str, test_share: float = 0.25, seed: str = "split") -> DataFrame:
@@ -83,7 +97,7 @@ def grouped_split(rows: DataFrame, group: str, test_share: float = 0.25, seed: s
 def temporal_split(rows: DataFrame, time: str, group: str, share: float = 0.75) -> DataFrame:
     """Adds part: the first ``share`` by time is train; groups that straddle the cut leave the test part."""
     x = rows.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
-    cut = x.agg(F.expr(f"percentile_disc({share}) within group (order by _t)").alias("_cut"))
+    cut = quantiles(x, "_t", (share,), discrete=True).select(F.col("q")[0].alias("_cut"))
     x = x.join(F.broadcast(cut), F.lit(True))
     old = x.groupBy(group).agg(F.min((F.col("_t") <= F.col("_cut")).cast("int")).alias("lo"), F.max((F.col("_t") <= F.col("_cut")).cast("int")).alias("hi"))
     x = x.join(old, group)
@@ -126,11 +140,11 @@ def confounds(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def dataset_version(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Order-independent version of labelled rows: exclusive-or of 64-bit pieces of their digests."""
+    """Order-independent version of labelled rows: sums of 48-bit pieces of their digests, so equal rows count each."""
     x = docs.join(labels, "doc_id").select("toxic", F.sha2(F.concat_ws("|", F.coalesce("text", F.lit("")), F.col("toxic").cast("string")), 256).alias("d"))
-    piece = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("long")
-    x = x.agg(F.bit_xor(piece(1)).alias("a"), F.bit_xor(piece(16)).alias("b"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("n_positive"))
-    return x.select(F.substring(F.sha2(F.concat_ws("|", "a", "b", "n"), 256), 1, 12).alias("version"), "n", "n_positive")
+    piece = lambda at: F.conv(F.substring("d", at, 12), 16, 10).cast("decimal(38,0)")
+    x = x.agg(*(F.sum(piece(1 + 12 * i)).alias(f"p{i}") for i in range(5)), F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("n_positive"))
+    return x.select(F.substring(F.sha2(F.concat_ws("|", *(f"p{i}" for i in range(5)), "n"), 256), 1, 12).alias("version"), "n", "n_positive")
 
 
 def tfidf(docs: DataFrame, text: str = "text", id: str = "doc_id", min_df: int = 2, top: int | None = None) -> DataFrame:

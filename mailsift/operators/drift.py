@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 QUANTITIES = ("score", "latency_ms", "log_body_length", "recipient_count", "attachment_count", "behavioral_available")
 FLOOR, MINOR, MAJOR = 1e-4, 0.10, 0.25
 
@@ -23,8 +25,8 @@ def long(rows: DataFrame) -> DataFrame:
 
 def edges(reference: DataFrame, bins: int = 10) -> DataFrame:
     """Inner quantile edges of each quantity: linear interpolation, distinct, in order."""
-    cuts = ", ".join(str(i / bins) for i in range(1, bins))
-    return reference.groupBy("quantity").agg(F.array_sort(F.array_distinct(F.expr(f"percentile(value, array({cuts}))"))).alias("edges"))
+    q = quantiles(reference, "value", tuple(i / bins for i in range(1, bins)), ("quantity",))
+    return q.select("quantity", F.array_sort(F.array_distinct("q")).alias("edges"))
 
 
 def binned(rows: DataFrame, edges_: DataFrame, *by: str) -> DataFrame:
@@ -70,7 +72,7 @@ def ks(reference: DataFrame, live: DataFrame, decimals: int = 3) -> DataFrame:
 def split_by_time(decisions: DataFrame, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Reference rows before the point of time that ``share`` of all rows precede, and live rows from it on."""
     rows = monitored(decisions).withColumn("s", F.unix_micros(F.col("created_ts").cast("timestamp")))
-    at = rows.agg(F.expr(f"percentile_disc({share}) within group (order by s)").alias("at"))
+    at = quantiles(rows, "s", (share,), discrete=True).select(F.col("q")[0].alias("at"))
     x = rows.join(F.broadcast(at), F.lit(True))
     return long(x.filter("s < at")), long(x.filter("s >= at"))
 
@@ -85,4 +87,6 @@ def time_series(decisions: DataFrame, unit: str = "day") -> DataFrame:
     """Volumes, mean score, band shares and latency by unit of time."""
     day = F.to_date(F.date_trunc(unit, "created_ts"))
     share = lambda b: F.round(F.avg((F.col("band") == b).cast("double")), 6).alias(f"{b.lower()}_share")
-    return decisions.groupBy(day.alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), *(share(b) for b in ("ALLOW", "REVIEW", "BLOCK")), F.round(F.expr("percentile(latency_ms, 0.95)"), 6).alias("p95_ms"))
+    x = decisions.withColumn("day", day)
+    late = quantiles(x, "latency_ms", (0.95,), ("day",)).select("day", F.round(F.col("q")[0], 6).alias("p95_ms"))
+    return x.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"), *(share(b) for b in ("ALLOW", "REVIEW", "BLOCK"))).join(F.broadcast(late), "day", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailsift.functions.refdata import RULES
 
+from .quantiles import quantiles
 from .metrics import band, prf
 
 #: Acceptance gates: metric, whether it is a least or a most, bound, whether it blocks a release.
@@ -147,8 +148,7 @@ def bootstrap_thresholds(rows: DataFrame, group: str, value: str, rounds: int =
 
     Rows are reduced to (group, bin) counts first; each round holds groups out by a seeded hash.
     """
-    cuts = ", ".join(str(i / bins) for i in range(1, bins))
-    edges = rows.agg(F.array_distinct(F.expr(f"percentile({value}, array({cuts}))")).alias("edges"))
+    edges = quantiles(rows, value, tuple(i / bins for i in range(1, bins))).select(F.array_distinct("q").alias("edges"))
     at = F.size(F.filter("edges", lambda e: e <= F.col(value)))
     cells = rows.join(F.broadcast(edges), F.lit(True)).groupBy(group, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     each = cells.select("bin", "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.struct(r.alias("round"), (F.pmod(F.xxhash64(F.col(group), r), F.lit(10_000)) < int(share * 10_000)).alias("held")))).alias("x")).select("bin", "n", "x.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 ACTIVE = ("open", "in_review", "escalated")
 SLA_SECONDS = {1: 3600, 2: 4 * 3600, 3: 24 * 3600}
 
@@ -99,14 +101,16 @@ def queue_stats(cases: DataFrame) -> DataFrame:
     """One row over resolved cases: medians, share within time, and precision of users' reports."""
     done = with_sla(cases).filter("state = 'resolved'")
     report = F.col("origin") == "user_report"
-    return done.agg(
+    out = done.agg(
         F.count(F.lit(1)).alias("resolved"),
         F.count_if(F.col("resolution") == "confirmed_phishing").alias("confirmed"),
-        F.expr("percentile(secs_to_claim, 0.5)").alias("median_claim"),
-        F.expr("percentile(secs_to_resolve, 0.5)").alias("median_resolve"),
         F.round(F.avg((F.col("secs_to_resolve") <= F.col("sla_seconds")).cast("double")), 6).alias("within_sla"),
         F.round(F.sum((report & (F.col("resolution") == "confirmed_phishing")).cast("double")) / F.nullif(F.sum(report.cast("double")), F.lit(0.0)), 6).alias("report_precision"),
     )
+    for name in ("claim", "resolve"):
+        middle = quantiles(done, f"secs_to_{name}", (0.5,)).select(F.col("q")[0].alias(f"median_{name}"))  # one row
+        out = out.join(F.broadcast(middle), F.lit(True), "left")
+    return out
 
 
 def first_case(cases: DataFrame) -> DataFrame:
@@ -165,8 +169,8 @@ def decide_transitions(requests: DataFrame) -> DataFrame:
 
 def stage_timings(spans: DataFrame, by: str = "event_type", value: str = "latency_ms") -> DataFrame:
     """Total and percentiles of spans by name."""
-    p = F.expr(f"percentile({value}, array(0.5, 0.95, 0.99))")
-    out = spans.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), p.alias("p"), F.max(value).alias("max"))
+    p = quantiles(spans, value, (0.5, 0.95, 0.99), (by,)).withColumnRenamed("q", "p")
+    out = spans.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.max(value).alias("max")).join(F.broadcast(p), by, "left")
     return out.select(by, "n", F.round("total", 4).alias("total_ms"), F.round("mean", 6).alias("mean_ms"), *(F.round(F.col("p")[i], 6).alias(f"p{q}_ms") for i, q in enumerate((50, 95, 99))), F.col("max").alias("max_ms"))
 
 

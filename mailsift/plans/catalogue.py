@@ -831,7 +831,10 @@ def _(spark, d):
     return corpus.confounds(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
-@query("dataset_version")
+_PIECES = ", ".join(f"sum(CAST(CAST('0x' || substr(d, {1 + 12 * i}, 12) AS BIGINT) AS DECIMAL(38, 0))) AS p{i}" for i in range(5))
+
+
+@query("dataset_version", f"SELECT substr(sha256(concat_ws('|', p0, p1, p2, p3, p4, n)), 1, 12) AS version, n, n_positive FROM (SELECT {_PIECES}, count(*) AS n, count(*) FILTER (toxic = 1) AS n_positive FROM (SELECT toxic, sha256(coalesce(text, '') || '|' || CAST(toxic AS VARCHAR)) AS d FROM documents JOIN labels USING (doc_id)))")
 def _(spark, d):
     return corpus.dataset_version(table(spark, d, "documents"), table(spark, d, "labels"))
 

@@ -130,8 +130,8 @@ def read_labelled_csv(spark: SparkSession, path: str, label_column: str | None =
         raise ValueError("no label column")
     rows = raw.select(*(F.col(f"`{found[k]}`").alias(k) if found[k] else F.lit("").alias(k) for k in ("subject", "body", "sender")), F.regexp_replace(F.lower(F.trim(F.col(f"`{found['label']}`"))), r"[^a-z0-9\-.]", "").alias("raw_label"))
     rows = rows.withColumn("raw_label", F.regexp_replace("raw_label", r"\.0+$", ""))
-    values = {r.raw_label for r in rows.select("raw_label").distinct().limit(50).collect()}
-    return resolve_labels(rows, values, spam_as)
+    signed = rows.filter("raw_label = '-1'").limit(1).count() > 0  # the one value that turns the convention, over all rows
+    return resolve_labels(rows, {"-1"} if signed else set(), spam_as)
 
 
 def resolve_labels(rows: DataFrame, values: set, spam_as: int | None = None) -> tuple[DataFrame, DataFrame]:

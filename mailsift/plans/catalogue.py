@@ -422,7 +422,16 @@ def _(spark, d):
     return windows.domain_bursts(view(spark, d, "fx_mail_log")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("latency_p95_windows")
+EDGES = (5, 10, 25, 50, 75, 100, 150, 250, 500, 1000)
+
+
+def _latency_sql() -> str:
+    cases = " ".join(f"WHEN le_{i} >= 0.95 * n THEN {EDGES[i - 1] if i else 0} + {EDGES[i] - (EDGES[i - 1] if i else 0)} * (0.95 * n - {f'le_{i - 1}' if i else 0}) / CAST(le_{i} - {f'le_{i - 1}' if i else 0} AS DOUBLE)" for i in range(len(EDGES)))
+    counts = ", ".join(f"count(*) FILTER (latency_ms <= {e}) AS le_{i}" for i, e in enumerate(EDGES))
+    return f"SELECT window_start, n, round(p, 6) AS p95_ms, p > 150 AS slow FROM (SELECT window_start, n, CASE {cases} ELSE {EDGES[-1]}.0 END AS p FROM (SELECT time_bucket(INTERVAL 5 MINUTES, created_ts) AS window_start, count(*) AS n, {counts} FROM fx_decisions GROUP BY 1))"
+
+
+@query("latency_p95_windows", _latency_sql(), "fx_decisions")
 def _(spark, d):
     return windows.latency_windows(view(spark, d, "fx_decisions"))
 

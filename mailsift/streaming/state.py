@@ -1,7 +1,10 @@
 """Stateful stream operators: the case lifecycle and token buckets.
 
-Both fold a key's ordered events into a state; the batch form of each folds whole histories with the
-same step function, so a replayed stream and a table agree.
+Both fold a key's ordered events into a state with one step function. Over a table, rows are dealt by
+key and put in order inside each partition, and a task holds one key's state at a time, so a key's
+history may be of any length. On a stream a key's state is held between micro-batches and ends when
+nothing has come for ``idle`` milliseconds; events are put in order inside each micro-batch, so a
+stream and the table of its events agree where events don't overtake each other between batches.
 """
 
 from __future__ import annotations
@@ -37,47 +40,62 @@ def bucket_step(state: tuple, cost: float, seconds: float, per_second: float, ca
     return (allowed + 1, refused, level - cost, last) if level >= cost else (allowed, refused + 1, level, last)
 
 
-def fold_cases(events: DataFrame) -> DataFrame:
-    """Final state of each case of (case_id, action, seconds): batch or stream."""
+#: Milliseconds after which a key without events is forgotten by a stream: ninety days.
+IDLE = 90 * 24 * 3600 * 1000
 
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state = ("open", 0, 0, float("-inf"))
-        for a, s in rows.sort_values(["seconds", "action"])[["action", "seconds"]].itertuples(index=False):
-            state = case_step(state, a, s)
-        return pd.DataFrame([(key[0], *state)], columns=[x.split()[0] for x in CASE.split(", ")])
 
-    def some(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = held.get if held.exists else ("open", 0, 0, float("-inf"))
-        rows = pd.concat(list(frames))
-        for a, s in rows.sort_values(["seconds", "action"])[["action", "seconds"]].itertuples(index=False):
-            state = case_step(state, a, s)
-        held.update(state)
-        yield pd.DataFrame([(key[0], *state)], columns=[x.split()[0] for x in CASE.split(", ")])
-
-    grouped = events.groupBy("case_id")
-    if events.isStreaming:
-        return grouped.applyInPandasWithState(some, CASE, CASE_STATE, "update", GroupStateTimeout.NoTimeout)
-    return grouped.applyInPandas(whole, CASE)
+def _in_order(df: DataFrame, key: str, order: list[str], start: tuple, step, schema: str) -> DataFrame:
+    """Folds each key's rows in order, over a table: only the running state of the present key is held."""
+    names, columns = [x.split()[0] for x in schema.split(", ")], [key, *order]
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for f in frames:
+            done = []
+            for row in f.itertuples(index=False):
+                if state is None or row[0] != now:
+                    if state is not None:
+                        done.append((now, *state))
+                    now, state = row[0], start
+                state = step(state, *row[1:])
+            yield pd.DataFrame(done, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(now, *state)], columns=names)
 
-def token_buckets(requests: DataFrame, per_minute: float = 6.0, capacity: float = 10.0) -> DataFrame:
-    """Requests let through and refused for each key of (key, cost, seconds): batch or stream."""
-    names = [x.split()[0] for x in BUCKET.split(", ")]
+    dealt = df.filter(df[key].isNotNull()).select(*columns).repartition(key).sortWithinPartitions(*columns)
+    return dealt.mapInPandas(run, schema)
 
-    def fold(state: tuple, rows: pd.DataFrame) -> tuple:
-        for c, s in rows.sort_values("seconds")[["cost", "seconds"]].itertuples(index=False):
-            state = bucket_step(state, c, s, per_minute / 60, capacity)
-        return state
 
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *fold((0, 0, capacity, float("-inf")), rows))], columns=names)
+def _on_stream(df: DataFrame, key: str, order: list[str], start: tuple, step, schema: str, held_schema: str, idle: int) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def some(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = fold(held.get if held.exists else (0, 0, capacity, float("-inf")), pd.concat(list(frames)))
+    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        state = held.get if held.exists else start
+        for row in pd.concat(list(frames))[order].sort_values(order).itertuples(index=False):
+            state = step(state, *row)
         held.update(state)
-        yield pd.DataFrame([(key[0], *state)], columns=names)
+        held.setTimeoutDuration(idle)
+        yield pd.DataFrame([(k[0], *state)], columns=names)
+
+    return df.groupBy(key).applyInPandasWithState(run, schema, held_schema, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def fold_cases(events: DataFrame, idle: int = IDLE) -> DataFrame:
+    """Final state of each case of (case_id, seconds, action): batch or stream."""
+    start = ("open", 0, 0, float("-inf"))
+    step = lambda state, seconds, action: case_step(state, action, seconds)
+    if events.isStreaming:
+        return _on_stream(events, "case_id", ["seconds", "action"], start, step, CASE, CASE_STATE, idle)
+    return _in_order(events, "case_id", ["seconds", "action"], start, step, CASE)
+
 
-    grouped = requests.groupBy("key")
+def token_buckets(requests: DataFrame, per_minute: float = 6.0, capacity: float = 10.0, idle: int = IDLE) -> DataFrame:
+    """Requests let through and refused for each key of (key, seconds, cost): batch or stream."""
+    start = (0, 0, capacity, float("-inf"))
+    step = lambda state, seconds, cost: bucket_step(state, cost, seconds, per_minute / 60, capacity)
     if requests.isStreaming:
-        return grouped.applyInPandasWithState(some, BUCKET, BUCKET_STATE, "update", GroupStateTimeout.NoTimeout)
-    return grouped.applyInPandas(whole, BUCKET)
+        return _on_stream(requests, "key", ["seconds", "cost"], start, step, BUCKET, BUCKET_STATE, idle)
+    return _in_order(requests, "key", ["seconds", "cost"], start, step, BUCKET)

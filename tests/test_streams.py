@@ -5,7 +5,8 @@ import tempfile
 from pyspark.sql import functions as F
 
 from mailsift.sources.tables import table, view
-from mailsift.streaming import state, windows
+from mailsift.operators import decide, drift
+from mailsift.streaming import scoring, state, windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,32 @@ def test_alert_runs(spark):
     log = view(spark, SF, "fx_decisions")
     w = windows.band_ratios(log, "1 day")
     assert windows.alerts_for(w, "n > 0", 3, 86400).count() == w.count() - 2
+
+
+def test_case_fold_of_a_long_history(spark):
+    rows = spark.range(5000).selectExpr("id % 2 AS case_id", "CASE WHEN id % 4 < 2 THEN 'claim' ELSE 'release' END AS action", "CAST(id AS DOUBLE) AS seconds").repartition(7)
+    got = {r.case_id: (r.state, r.n_accepted, r.n_refused) for r in state.fold_cases(rows).collect()}
+    assert got == {0: ("open", 2500, 0), 1: ("open", 2500, 0)}
+
+
+def test_streamed_decisions_agree(spark):
+    d = tempfile.mkdtemp()
+    rows = spark.range(200).selectExpr("id", *(f"CAST((id * {k}) % 1000 AS DOUBLE) / 1000 AS {m}" for k, m in ((7919, "m_a"), (104729, "m_b"), (1299709, "m_c"))), "id % 3 > 0 AS available", "id % 50 AS burst_count_1h", "id % 5 = 0 AS first_seen", "id % 2 AS domain_report_count", "id % 4 AS display_name_alias_count")
+    rows.repartition(4).write.parquet(f"{d}/in")
+    model = decide.Fusion({"m_a": 1.0, "m_b": 2.0, "m_c": 1.5}, -2.0)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/in")
+    scoring.decisions_stream(stream, model, f"{d}/decisions", f"{d}/cases", f"{d}/check").awaitTermination(180)
+    want = {r.id: (r.band, r.score) for r in decide.verdicts(decide.decide(rows, model)).collect()}
+    assert {r.id: (r.band, r.score) for r in scoring.read(spark, f"{d}/decisions").collect()} == want
+    assert {r.case_id for r in scoring.read(spark, f"{d}/cases").collect()} == {k for k, v in want.items() if v[0] == "REVIEW"}
+
+
+def test_streamed_drift(spark):
+    d = tempfile.mkdtemp()
+    log = view(spark, SF, "fx_decisions")
+    log.write.parquet(f"{d}/in")
+    reference = drift.long(drift.monitored(log))
+    stream = spark.readStream.schema(log.schema).parquet(f"{d}/in")
+    scoring.drift_stream(stream, reference, f"{d}/reports", f"{d}/check").awaitTermination(180)
+    got = scoring.read(spark, f"{d}/reports").collect()
+    assert {r.quantity for r in got} == set(drift.QUANTITIES) and all(r.psi < 0.01 for r in got)

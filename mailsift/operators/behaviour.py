@@ -71,16 +71,18 @@ def local_time(log: DataFrame) -> DataFrame:
 
 
 def domain_reports(log: DataFrame) -> DataFrame:
-    """Reports (event type error) filed on the sender's domain before each message, and its click share."""
+    """Reports (event type error) filed on the sender's domain before each message, and its click share until then."""
     x = log.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    x = x.withColumns({"h": F.floor(F.col("t") / (HOUR * 1_000_000)), "rep": (F.col("event_type") == "error").cast("long"), "clk": (F.col("event_type") == "click").cast("long"), "n": F.lit(1).cast("long")})
     # Each domain's events are summed by hour first; a window over hours, then one inside each hour.
-    x = x.withColumn("h", F.floor(F.col("t") / (HOUR * 1_000_000))).withColumn("rep", (F.col("event_type") == "error").cast("long"))
-    hours = x.groupBy("sender_domain", "h").agg(F.sum("rep").alias("rep"))
-    earlier = hours.select("sender_domain", "h", F.coalesce(F.sum("rep").over(Window.partitionBy("sender_domain").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("rep").over(Window.partitionBy("sender_domain", "h").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rate = x.groupBy("sender_domain").agg(F.round(F.avg((F.col("event_type") == "click").cast("double")), 6).alias("domain_click_rate"))
-    x = x.withColumn("inside", inside).join(earlier, ["sender_domain", "h"]).join(rate, "sender_domain")
-    return x.select("msg_id", (F.col("inside") + F.col("before")).alias("domain_report_count"), "domain_click_rate")
+    hours = x.groupBy("sender_domain", "h").agg(*(F.sum(k).alias(k) for k in ("rep", "clk", "n")))
+    upto = Window.partitionBy("sender_domain").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = hours.select("sender_domain", "h", *(F.coalesce(F.sum(k).over(upto), F.lit(0)).alias(f"{k}_before") for k in ("rep", "clk", "n")))
+    inside = Window.partitionBy("sender_domain", "h").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({f"{k}_in": F.coalesce(F.sum(k).over(inside), F.lit(0)) for k in ("rep", "clk", "n")}).join(earlier, ["sender_domain", "h"])
+    total = {k: F.col(f"{k}_in") + F.col(f"{k}_before") for k in ("rep", "clk", "n")}
+    rate = F.round(F.when(total["n"] > 0, total["clk"] / total["n"]).otherwise(0.0), 6)
+    return x.select("msg_id", total["rep"].alias("domain_report_count"), rate.alias("domain_click_rate"))
 
 
 def thread_depth(conversations: DataFrame) -> DataFrame:

@@ -62,33 +62,49 @@ def threshold_counts(scored: DataFrame, grid: tuple[float, ...] = GRID) -> DataF
     return x.join(F.broadcast(names), "cell").select("threshold", "pos", "neg")
 
 
-def policy_costs(scored: DataFrame, grid: tuple[float, ...] = GRID, costs: dict[str, float] = COSTS, miss: float | None = None) -> DataFrame:
-    """Rates and expected cost per 1,000 messages of every pair review <= block of the grid."""
-    c = costs | ({"miss": miss} if miss is not None else {})
+RATES = ("p_allow_phish", "p_review_phish", "p_review_ham", "p_block_ham")
+
+
+def policy_rates(scored: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
+    """Rates of every pair review <= block of the grid, from one count of the scores."""
     at = threshold_counts(scored, grid)
     pairs = scored.sparkSession.createDataFrame([(a, b) for a, b in combinations_with_replacement(grid, 2)], "review double, block double")
-    total = at.filter("threshold = 0").select(F.col("pos").alias("n1"), F.col("neg").alias("n0"))
-    x = F.broadcast(pairs).join(at.select(F.col("threshold").alias("review"), F.col("pos").alias("rp"), F.col("neg").alias("rn")), "review")
-    x = x.join(at.select(F.col("threshold").alias("block"), F.col("pos").alias("bp"), F.col("neg").alias("bn")), "block").join(F.broadcast(total), F.lit(True))
-    n1, n0 = F.nullif(F.col("n1"), F.lit(0)), F.nullif(F.col("n0"), F.lit(0))
-    x = x.withColumns({"p_allow_phish": 1 - F.col("rp") / n1, "p_review_phish": (F.col("rp") - F.col("bp")) / n1, "p_review_ham": (F.col("rn") - F.col("bn")) / n0, "p_block_ham": F.col("bn") / n0})
+    # All thresholds in one row of arrays (a place a threshold): each pair looks its own up, so the scores are counted once.
+    row = at.agg(F.sort_array(F.collect_list(F.struct("threshold", "pos", "neg"))).alias("c"))
+    x = pairs.join(F.broadcast(row), F.lit(True))
+    of = lambda t: F.filter("c", lambda v: F.abs(v["threshold"] - t) < 1e-9)[0]
+    x = x.select("review", "block", of(F.lit(0.0)).alias("all"), of(F.col("review")).alias("r"), of(F.col("block")).alias("b"))
+    n1, n0 = F.nullif(F.col("all.pos"), F.lit(0)), F.nullif(F.col("all.neg"), F.lit(0))
+    found = (1 - F.col("r.pos") / n1, (F.col("r.pos") - F.col("b.pos")) / n1, (F.col("r.neg") - F.col("b.neg")) / n0, F.col("b.neg") / n0)
+    return x.select("review", "block", *(v.alias(k) for k, v in zip(RATES, found, strict=True)))
+
+
+def _priced(rates: DataFrame, miss: Column, c: dict[str, float]) -> DataFrame:
     prior, e = c["prevalence"], c["analyst_error"]
-    miss_cost = 1000 * prior * c["miss"] * (F.col("p_allow_phish") + e * F.col("p_review_phish"))
-    reviews = 1000 * (prior * F.col("p_review_phish") + (1 - prior) * F.col("p_review_ham"))
-    false_block = 1000 * (1 - prior) * c["false_block"] * (F.col("p_block_ham") + e * F.col("p_review_ham"))
-    x = x.withColumns({"missed_cost": miss_cost, "reviews": reviews, "false_block_cost": false_block})
-    return x.withColumn("cost", F.round(F.col("missed_cost") + c["review"] * F.col("reviews") + F.col("false_block_cost"), 6)).select(
-        "review", "block", *(F.round(k, 6).alias(k) for k in ("p_allow_phish", "p_review_phish", "p_review_ham", "p_block_ham", "missed_cost", "reviews", "false_block_cost")), "cost"
-    )
+    x = rates.withColumns({
+        "missed_cost": 1000 * prior * miss * (F.col("p_allow_phish") + e * F.col("p_review_phish")),
+        "reviews": 1000 * (prior * F.col("p_review_phish") + (1 - prior) * F.col("p_review_ham")),
+        "false_block_cost": 1000 * (1 - prior) * c["false_block"] * (F.col("p_block_ham") + e * F.col("p_review_ham")),
+    })
+    return x.withColumn("cost", F.round(F.col("missed_cost") + c["review"] * F.col("reviews") + F.col("false_block_cost"), 6))
+
+
+def policy_costs(scored: DataFrame, grid: tuple[float, ...] = GRID, costs: dict[str, float] = COSTS, miss: float | None = None) -> DataFrame:
+    """Rates and expected cost per 1,000 messages of every pair review <= block of the grid."""
+    c = costs | ({"miss": miss} if miss is not None else {})
+    x = _priced(policy_rates(scored, grid), F.lit(c["miss"]), c)
+    return x.select("review", "block", *(F.round(k, 6).alias(k) for k in (*RATES, "missed_cost", "reviews", "false_block_cost")), "cost")
+
+
+def _under(scored: DataFrame, misses: tuple[float, ...], costs: dict[str, float] = COSTS) -> DataFrame:
+    """(miss, review, block, cost): one rate table priced under each cost of a miss."""
+    asked = scored.sparkSession.createDataFrame([(float(m),) for m in misses], "miss double")
+    return _priced(policy_rates(scored).join(F.broadcast(asked), F.lit(True)), F.col("miss"), costs).select("miss", "review", "block", "cost")
 
 
 def policy_best(scored: DataFrame, misses: tuple[float, ...] = (50.0, 100.0, 200.0, 400.0, 800.0)) -> DataFrame:
     """The cheapest policy for each cost of a missed phish; ties go to the lower thresholds."""
-    out = None
-    for m in misses:
-        best = policy_costs(scored, miss=m).agg(F.min(F.struct("cost", "review", "block")).alias("b")).select(F.lit(m).alias("miss"), F.col("b.review").alias("review"), F.col("b.block").alias("block"), F.col("b.cost").alias("cost"))
-        out = best if out is None else out.unionByName(best)
-    return out
+    return _under(scored, misses).groupBy("miss").agg(F.min(F.struct("cost", "review", "block")).alias("b")).select("miss", "b.review", "b.block", "b.cost")
 
 
 def frontier(scored: DataFrame) -> DataFrame:
@@ -103,12 +119,9 @@ def frontier(scored: DataFrame) -> DataFrame:
 
 def minimax_regret(scored: DataFrame, misses: tuple[float, ...] = (50.0, 100.0, 200.0, 800.0)) -> DataFrame:
     """Worst regret of each policy over cost profiles, the policy of least worst regret first."""
-    out = None
-    for m in misses:
-        x = policy_costs(scored, miss=m).select(F.lit(m).alias("miss"), "review", "block", "cost")
-        out = x if out is None else out.unionByName(x)
-    best = out.groupBy("miss").agg(F.min("cost").alias("best"))
-    return out.join(F.broadcast(best), "miss").groupBy("review", "block").agg(F.round(F.max(F.col("cost") - F.col("best")), 6).alias("worst_regret")).orderBy("worst_regret", "review", "block")
+    x = _under(scored, misses)
+    x = x.withColumn("regret", F.col("cost") - F.min("cost").over(Window.partitionBy("miss")))  # a row a policy
+    return x.groupBy("review", "block").agg(F.round(F.max("regret"), 6).alias("worst_regret")).orderBy("worst_regret", "review", "block")
 
 
 def policy_regret(scored: DataFrame, review: float, block: float) -> DataFrame:

@@ -487,7 +487,7 @@ def _(spark, d):
     return behaviour.local_time(view(spark, d, "fx_mail_log"))
 
 
-@query("domain_reports", "SELECT msg_id, CAST(coalesce(sum(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY sender_domain ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS BIGINT) AS domain_report_count, round(avg(CAST(event_type = 'click' AS INT)) OVER (PARTITION BY sender_domain), 6) AS domain_click_rate FROM fx_mail_log", "fx_mail_log")
+@query("domain_reports", "SELECT msg_id, CAST(coalesce(sum(CAST(event_type = 'error' AS INT)) OVER (PARTITION BY sender_domain ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0) AS BIGINT) AS domain_report_count, round(coalesce(avg(CAST(event_type = 'click' AS INT)) OVER (PARTITION BY sender_domain ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING), 0.0), 6) AS domain_click_rate FROM fx_mail_log", "fx_mail_log")
 def _(spark, d):
     return behaviour.domain_reports(view(spark, d, "fx_mail_log"))
 

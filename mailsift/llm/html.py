@@ -10,7 +10,7 @@ from the first content line, with the headings before it, to the last.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 no lines at all where element, role, class or id says so plainly. Names that an article's own blocks
-have as well (``WEAK``) only break ties: such a line goes where the clusters leave it out.
+have as well (``WEAK``) only break ties: such a line goes where its own ratio is below the threshold.
 
 Time is linear in the page, however deep its elements are and whatever is left open.
 
@@ -185,18 +185,20 @@ def main_text(html: str, chunk: int = 1 << 16) -> str:
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
-    content = clusters(size, np.array([x[1] for x in lines]))
+    content, dense = clusters(size, np.array([x[1] for x in lines]))
     holder = np.array([x[2] for x in lines])
     weak = np.array([x[4] == TIED for x in lines])
-    own = np.flatnonzero(_region(page.holders, holder, size, content, [x[3] for x in lines]) & (content | ~weak))
+    own = np.flatnonzero(_region(page.holders, holder, size, content, [x[3] for x in lines]) & (dense | ~weak))
     return " ".join(lines[i][0] for i in own)
 
 
-def clusters(size: np.ndarray, tags: np.ndarray) -> np.ndarray:
-    """Whether each line is content: its smoothed ratio of characters to tags reaches the threshold."""
-    ratio = smoothed(size / np.maximum(1, tags))
-    content = ratio >= SHARE * ratio.std()
-    return content if content.any() else ~content
+def clusters(size: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each line is content, as its smoothed ratio of characters to tags reaches the threshold; and whether its own ratio does."""
+    own = size / np.maximum(1, tags)
+    ratio = smoothed(own)
+    least = SHARE * ratio.std()
+    content = ratio >= least
+    return (content if content.any() else ~content), own >= least
 
 
 def _region(holders: list[tuple[str, int]], holder: np.ndarray, size: np.ndarray, content: np.ndarray, heading: list[bool]) -> np.ndarray:

@@ -76,20 +76,27 @@ def near_classes(rows, similarity=0.8):
     return {d: top(d) for d in ids}
 
 
-def line_rules(texts, k=2, w=2):
-    """Of each text: lines that must go (in a repeated run of k + w - 1) and lines that may (in a repeated run of k)."""
-    lines = [[(i, x) for i, x in enumerate((t or "").split("\n")) if WORD.search(x)] for t in texts]
-
-    def repeated(size):
-        seen, out = set(), []
-        for own in lines:
-            gone = set()
-            for i in range(len(own) - size + 1):
-                key = tuple(x for _, x in own[i : i + size])
-                if key in seen:
-                    gone |= {j for j, _ in own[i : i + size]}
+def dedup_lines(texts, w=2, long=False):
+    """Each text without the lines of runs of w, and (long) the long lines, that stand earlier."""
+    seen, out = set(), []
+    for t in texts:
+        lines = (t or "").split("\n")
+        own = [i for i, x in enumerate(lines) if WORD.search(x)]
+        gone = set()
+        for n in range(len(own)):
+            if n + w <= len(own):
+                key = tuple(lines[i] for i in own[n : n + w])
+                gone |= set(range(own[n], own[n + w - 1] + 1)) if key in seen else set()
                 seen.add(key)
-            out.append(gone)
-        return out
+            x = lines[own[n]]
+            if long and (len(WORD.findall(x)) >= 50 or len(x) >= 200):
+                gone |= {own[n]} if (x,) in seen else set()
+                seen.add((x,))
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t)
+    return out
+
 
-    return repeated(k + w - 1), repeated(k)
+def thue_morse(n, a="s", b="q"):
+    """A string and its complement that polynomial hashes modulo a power of two take for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)

@@ -95,6 +95,48 @@ def test_html():
         assert html.main_text(page, chunk=3) == text
 
 
+PLAIN = """<body><div><a href=1>Home</a><a href=2>News</a></div><div><ul><li><a href=3>One</a></li><li><a href=4>Two</a></li><li><a href=5>Three</a></li><li><a href=6>Four</a></li></ul></div><div><h1>A title</h1>
+<p>%s</p><p>%s</p></div><div><ul>%s</ul></div></body>""" % ("Long prose of the page. " * 20, "More prose that follows it. " * 20, "<li><a href=7>A longer link</a></li>" * 150)
+
+
+def test_html_clusters_decide_where_names_say_nothing(monkeypatch):
+    """No element or class tells menu from text here: ratios do."""
+    want = " ".join(("A title " + "Long prose of the page. " * 20 + "More prose that follows it. " * 20).split())
+    assert html.main_text(PLAIN) == want
+    monkeypatch.setattr(html, "clusters", lambda size, tags: (size >= 0, size >= 0))
+    assert html.main_text(PLAIN) != want
+
+
+def test_html_weak_names_only_break_ties():
+    text = "A paragraph of the article that is long enough to be content by itself. " * 6
+    page = f"<article><p>{text}</p><div class=related><p>{text}</p></div><div class=share><a href=1>x</a><a href=2>y</a></div><p>{text}</p></article>"
+    assert html.main_text(page) == " ".join([text.strip()] * 3)
+
+
+@pytest.mark.parametrize("page", ["<div>x ", "<b>x<p>", "<article><p>some text</p></article>", "<blockquote><i>x<li>", "</i><div><span>"])
+def test_html_is_linear_in_depth(page):
+    import time
+
+    took = []
+    for n in (1000, 8000):
+        begun = time.process_time()
+        html.main_text(page * n)
+        took.append(time.process_time() - begun)
+    assert took[1] < 30 * max(took[0], 0.01)
+
+
+def test_html_against_a_plain_extractor():
+    """Generated pages whose article is known; the region has no article element."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    for _ in range(40):
+        paragraphs = [" ".join(word() for _ in range(r.randrange(40, 90))) for _ in range(r.randrange(3, 7))]
+        links = lambda n: "<ul>" + "".join(f"<li><a href=/{word()}>{word()}</a></li>" for _ in range(n)) + "</ul>"
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        page = f"<html><body><div>{links(r.randrange(5, 15))}</div><nav>{links(4)}</nav><div><section>{body}</section></div><div class=comments><p>{word()} {word()}</p></div><div>{links(r.randrange(5, 25))}</div><footer>{word()}</footer></body></html>"
+        assert html.main_text(page) == " ".join(paragraphs)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, None, None), (1, "u", "<p>a"), (None, "u", "<p>b")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in html.extract(df).collect()) == [("", 0), ("a", 1), ("b", 1)]
@@ -103,22 +145,90 @@ def test_html_rows(spark):
 
 def test_line_dedup(spark, rows):
     r = random.Random(5)
-    pool = [f"line number {i} of the pool" for i in range(12)]
+    pool = [f"line number {i} of the pool" for i in range(12)] + [" ".join(f"w{i}" for i in range(55))]
     made = [(i, "\n".join(r.choice(pool) if r.random() < 0.8 else r.choice(["", "own %d" % r.randrange(9**9)]) for _ in range(r.randrange(14)))) for i in range(60)]
     for data in (made, rows):
         data = sorted(data)
         df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-        got = {x.row.doc_id: x for x in linededup.dedup_lines(df).collect()}
-        must, may = brute.line_rules([t for _, t in data])
-        for (d, t), a, b in zip(data, must, may, strict=True):
-            lines = t.split("\n")
-            filled = [i for i, x in enumerate(lines) if brute.WORD.search(x)]
-            kept = [x for x in got[d].text.split("\n") if brute.WORD.search(x)]
-            assert len(filled) - len(b) <= len(kept) <= len(filled) - len(a)
-            # what is left is in order, and holds all lines that may not go
-            it = iter(lines)
-            assert all(x in it for x in got[d].text.split("\n")) or not got[d].text
-            assert [lines[i] for i in filled if i not in b] == [x for x in kept if x in {lines[i] for i in filled if i not in b}][: len(filled) - len(b)] or b
+        for long in (False, True):
+            got = {x.row.doc_id: x.text for x in linededup.dedup_lines(df, long=long).collect()}
+            assert [got[d] for d, _ in data] == brute.dedup_lines([t for _, t in data], long=long)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_texts_that_hash_alike_modulo_powers_of_two(spark, n):
+    a, b = brute.thue_morse(n)
+    tail = " ".join(f"w{i}" for i in range(30))
+    texts = [f"{a}\n{b}\n{a}", f"{a} x y z u\n{b} x y z u", f"x\n{a}\ny", f"x\n{b}\ny", f"{a} {tail}", f"{b} {tail}", f"{a}{a}", f"{b}{b}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    data, offsets = common.flat(pa.array(texts))
+    found = quality.surface(data, offsets)
+    for i, t in enumerate(texts):
+        assert tuple(int(found[k][i]) for k in quality.STATS) == brute.base_counts(t)
+    got = {x.row.doc_id: x.text for x in linededup.dedup_lines(df, long=True).collect()}
+    assert [got[i] for i in range(len(texts))] == brute.dedup_lines(texts, long=True)
+    assert {x.row.doc_id: x.class_id for x in neardup.mark_near(df).collect()} == brute.near_classes(enumerate(texts))
+    kept = suffix.drop_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert [tuple(x)[1:] for x in sorted(kept)] == brute.long_repeats(texts, 400)
+
+
+def test_span_comparison():
+    data = np.frombuffer(b"abcabcabdab", np.uint8)
+    a, b, n = np.array([0, 0, 3, 0, 4]), np.array([3, 3, 6, 9, 0]), np.array([3, 4, 3, 2, 0])
+    want = [bytes(data[x : x + k]) == bytes(data[y : y + k]) for x, y, k in zip(a, b, n, strict=True)]
+    assert common.same_bytes(data, a, b, n).tolist() == want and common.same_bytes(data, a, b, n, most=2).tolist() == want
+    roll = common.Rolling(data)
+    assert roll.same(a, b, n).tolist() == want
+    h = roll.windows(3)
+    assert (h[0] == h[3]) and h[0] != h[6]
+
+
+def test_quality_bands_reject_what_is_no_prose(spark):
+    r = random.Random(11)
+
+    def prose(parts, n=300):
+        out = []
+        while len(out) < n:
+            sentence = ["".join(r.choice(parts) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(4, 12))]
+            out += [sentence[0].capitalize(), *sentence[1:-1], sentence[-1] + "."]
+        return " ".join(out[:n])
+
+    en, de = "the and ing tion er of th re at in on ou".split(), "sch ein der ung keit ich zu ver tz pf ö ü".split()
+    clean = [("en", prose(en)) for _ in range(150)] + [("de", prose(de)) for _ in range(150)]
+    mixed = [("de", "\n".join([prose(de, 150), prose(en, 100), prose(de, 150)])) for _ in range(10)]
+
+    def shuffled(t):
+        w = t.split()
+        r.shuffle(w)
+        return " ".join(w)
+
+    bad = [("en", prose(de)) for _ in range(10)] + [("en", shuffled(prose(en))) for _ in range(10)] + [("en", prose(en).upper()) for _ in range(10)]
+    bad += [("en", " ".join("".join(c + r.choice(["", "", "#", "%", "&"]) for c in w) for w in prose(en).split())) for _ in range(10)] + [("de", " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(200))) for _ in range(10)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([*clean, *mixed, *bad])]
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    got = {x.row.doc_id: x.kept for x in found}
+    n, m = len(clean), len(clean) + len(mixed)
+    assert sum(got[i] for i in range(n)) >= 0.97 * n
+    assert sum(got[i] for i in range(n, m)) >= 9
+    assert sum(got[i] for i in range(m, len(rows))) <= 0.1 * len(bad), [sum(got[i] for i in range(k, k + 10)) for k in range(m, len(rows), 10)]
+
+
+ODD_NAMES = "_h long, _d string, row string, kept boolean, `a b` struct<`c d`: int, row: string>, n_removed long, class_id string, is_first int, n_words int"
+
+
+def test_names_of_the_caller_do_not_clash(spark):
+    data = [(i, t, "en", 1, "y", "z", True, (3, "q"), 7, "c", 9, 5) for i, t in enumerate([*ODD, *ODD])]
+    df = spark.createDataFrame(data, f"doc_id long, text string, lang string, {ODD_NAMES}")
+    for out in (quality.judge(df), linededup.dedup_lines(df, long=True), neardup.mark_near(df), decontaminate.decontaminate(df, spark.createDataFrame([(1, "a b c")], "item_id long, text string"))):
+        assert sorted(map(str, out.select("row.*").collect())) == sorted(map(str, df.collect()))
+    assert set(neardup.first_of_each(df).columns) == set(df.columns)
+
+
+def test_ids_that_have_no_order_are_refused(spark):
+    df = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    for f in (linededup.dedup_lines, neardup.mark_near, suffix.drop_repeats):
+        with pytest.raises(TypeError):
+            f(df)
 
 
 def test_line_dedup_long_lines_and_pairs(spark):
@@ -317,6 +427,24 @@ def test_near_large_group(spark):
     assert got == brute.near_classes(dict(data).items())
 
 
+def test_near_crowd_of_clusters(spark):
+    """A template's many texts share buckets, but only those of one cluster are near: none of their links is lost."""
+    r = random.Random(8)
+    base, data = [f"w{i}" for i in range(160)], []
+    for c in range(45):
+        own = list(base)
+        for at in r.sample(range(160), 5):
+            own[at] = f"c{c}_{at}"
+        for k in range(3):
+            w = list(own)
+            w[r.randrange(160)] = f"x{c}_{k}"
+            data.append((len(data), " ".join(w)))
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {x.row.doc_id: x.class_id for x in neardup.mark_near(df).collect()}
+    assert got == brute.near_classes(data)
+
+
 def test_bagminhash_is_unbiased():
     r = random.Random(1)
     a = [f"t{r.randrange(40)}" for _ in range(60)]

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, table
 
 KNOWN, SINGLES, SUFFIXES = 200_000, 256, 255
-HIDDEN, CLASSES, WINDOW, LANES = 24, 24, 48, 256
-SHARD, ROUNDS, LEARNED, STRIDE = 2_000_000, 4, 3_200_000, 2_000_000
+HIDDEN, CLASSES, WINDOW, LANES = 24, 24, 64, 256
+SHARD, ROUNDS, LEARNED, STRIDE = 6_000_000, 4, 3_200_000, 2_000_000
 PIECE = 64
 FLUSH = 400_000
 
@@ -233,7 +233,7 @@ class Network:
                 back[mine] += d @ w.T
         return logp, back
 
-    def train(self, texts: list[np.ndarray], end: int, lanes: int = 128, window: int = 32, rate: float = 0.01) -> int:
+    def train(self, texts: list[np.ndarray], end: int, lanes: int = 128, window: int = 48, rate: float = 0.01) -> int:
         """One pass of truncated backpropagation through time with Adam over whole unit sequences; the tokens seen."""
         H, seen = self.hidden, 0
         plan = Lanes(texts, end, lanes)

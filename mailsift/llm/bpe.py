@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, table
 
-#: Words and runs up to this many characters are remembered with their tokens; so many of each at most.
-MEMO_BYTES, MEMO_WORDS = 48, 120_000
+#: Words and runs up to this many characters are remembered with their tokens; so many of each at most, in two generations.
+MEMO_BYTES, MEMO_WORDS = 48, 200_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -181,8 +181,7 @@ class Tokenizer:
         self.split = regex.compile(split.replace(r"[^\s", r"[^\p{White_Space}"))
         self.added_ids, self.bytes = set(self.added.values()), {c: b for b, c in byte_alphabet().items()}
         self.blank = regex.compile(r"\p{White_Space}+")
-        self.memo: dict[str, tuple[str, str]] = {}
-        self.runs = Runs(self)
+        self.memo, self.runs = Memo(self.word), Memo(self.run)
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -195,10 +194,6 @@ class Tokenizer:
         found = list(self.machine.tokens(word.encode("utf-8")))
         decoder = Decoder(self, joined=True)
         out = " ".join(map(str, found)), "".join([decoder.feed(t) for t in found]) + decoder.close()
-        if len(word) <= MEMO_BYTES:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = out
         return out
 
     def run(self, run: str) -> tuple[str, str]:
@@ -206,9 +201,9 @@ class Tokenizer:
         memo, parts = self.memo, []
         if run.isascii() and run.isalpha():
             run = run.lower()
-            return memo.get(run) or self.word(run)
+            return memo[run]
         for m in self.split.findall(self.normal(run)):
-            parts.append(memo.get(m) or self.word(m))
+            parts.append(memo[m])
         return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
     def pieces(self, text: str) -> Iterator[tuple[str, str]]:
@@ -245,8 +240,8 @@ class Tokenizer:
         return n, ids.hexdigest(), decoded.hexdigest()
 
     def forget(self) -> None:
-        self.memo.clear()
-        self.runs.clear()
+        self.memo.forget()
+        self.runs.forget()
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self.pieces(text) for i in ids.split()]
@@ -256,20 +251,25 @@ class Tokenizer:
         return "".join(map(decoder.feed, ids)) + decoder.close()
 
 
-class Runs(dict):
-    """Runs of characters met so far, with their ids and tokens."""
+class Memo(dict):
+    """What a function gives for short strings. The older half goes when it is full, but for what is asked for again."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, make):
+        self.make, self.old = make, {}
 
-    def __missing__(self, run: str) -> tuple[str, str]:
-        out = self.tokenizer.run(run)
-        if len(run) <= MEMO_BYTES:
-            if len(self) >= MEMO_WORDS:
+    def __missing__(self, key: str) -> tuple[str, str]:
+        out = self.old.get(key) or self.make(key)
+        if len(key) <= MEMO_BYTES:
+            if len(self) >= MEMO_WORDS // 2:
+                self.old = dict(self)
                 self.clear()
-            self[run] = out
+            self[key] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Decoder:
     """Ids to text, token by token. Holds unfinished characters only.

@@ -14,14 +14,16 @@ Candidates, without all pairs of a group and without caps:
 
 1. documents of equal words (by a 128-bit BLAKE2 digest of them) form one representative; only
    representatives go on;
-2. each band bucket proposes its members to its smallest member; proposals are verified exactly and
-   links contracted to components;
+2. each band bucket proposes its members to its most central one, which shares its bands with the most
+   documents (in a family of copies that is the text that was copied); proposals are verified exactly
+   and links contracted to components;
 3. buckets of at most ``SMALL`` members that still hold several components propose all pairs of members
    from different components;
 4. members of larger such buckets go through an exact prefix-filtered join: shingles are ordered by
-   rarity among these documents, two documents of similarity ``similarity`` must share one of their
-   rarest few (a share of 1 - similarity of them), and lengths and places of the shared shingle
-   bound the overlap that is possible, before pairs of different components are verified.
+   rarity among these documents (as a table of ``CELLS`` counts by hash knows it; any one order is
+   right), two documents of similarity ``similarity`` must share one of their rarest few (a share of
+   1 - similarity of them), and lengths and places of the shared shingle bound the overlap that is
+   possible, before pairs of different components are verified.
 
 Defined cases: documents without words (null, empty) are classes of their own; 1 to 4 words make one
 shingle; rows that agree in doc_id and text are one document and share their class; a null doc_id counts as the smallest; ids that aren't whole numbers
@@ -42,7 +44,7 @@ from .common import NO_ID, batches, cut, digests, keyed, map_batches, mix, packe
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-SMALL = 16
+SMALL, CELLS = 16, 1 << 20
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,12 +172,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     same = cut(filled.groupBy("w1", "w2").agg(F.min("id").alias("rep")), "same")
     reps = filled.join(same, ["w1", "w2"]).filter("id = rep").dropDuplicates(["id"]).select("id", "size", "bands")
     # A bucket of one proposes nothing: only buckets with company go on.
-    spread = reps.select("id", "size", F.posexplode("bands").alias("band", "key"))
-    heads = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "size")).alias("head")).filter("n > 1")
-    heads = cut(heads, "heads")
-    members = cut(spread.join(heads, "key").select("key", "band", "n", "id", "size", "head"), "members")
+    spread = reps.select("id", "size", F.explode("bands").alias("key"))
+    buckets = cut(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    central = spread.join(buckets, "key").groupBy("id").agg(F.min("size").alias("size"), F.sum("n").alias("company"), F.collect_list(F.struct("key", "n")).alias("k"))
+    members = cut(central.select("id", "size", "company", F.explode("k").alias("k")).select("k.key", "k.n", "id", "size", "company"), "members")
+    heads = cut(members.groupBy("key").agg(F.min(F.struct((-F.col("company")).alias("c"), "id", "size")).alias("head")), "heads")
     fits = lambda a, b: (F.least(a, b) >= similarity * F.greatest(a, b))
-    star = members.filter((F.col("id") != F.col("head.id")) & fits(F.col("size"), F.col("head.size"))).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
+    star = members.join(heads, "key").filter((F.col("id") != F.col("head.id")) & fits(F.col("size"), F.col("head.size")))
+    star = cut(star.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct(), "star")
     # Sets of documents in company, read once and kept as a table: every verification takes them from there.
     wanted = members.select(F.col("id.d").alias("_d"), F.col("id.h").alias("_h")).distinct()
     sets = cut(shingle_sets(rows.join(wanted, ["_d", "_h"], "left_semi")).dropDuplicates(["id"]), "sets")
@@ -202,16 +206,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         x, y = (few.select("key", F.col("id").alias(i), F.col("class").alias(f"c{i}"), F.col("size").alias(f"s{i}")) for i in "ab")
         return x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("sa"), F.col("sb"))).select("a", "b").distinct()
 
-    rest = cut(split_buckets(labelled(known, members.select("key", "band", "id", "size"))), "rest")
+    rest = cut(split_buckets(labelled(known, members.select("key", "id", "size"))), "rest")
     more = [all_pairs(rest)]
     crowd = rest.filter(F.col("n") > SMALL)
     if crowd.limit(1).count():
-        big = crowd.select("id", "class").distinct()
+        big = cut(crowd.select("id", "class").distinct(), "big")
         more.append(rare_pairs(big.join(sets, "id"), similarity))
     pairs = more[0]
     for x in more[1:]:
         pairs = pairs.unionByName(x)
-    found = verified(pairs.distinct(), "more-links")
+    # A table first: where few pairs are left, its size tells Spark to send them to the sets, which then stay where they are.
+    pairs = cut(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs")
+    found = verified(pairs, "more-links")
     if found.limit(1).count():
         known = components(links.unionByName(found))
     classes = signed.select("_d", "_h", "id", "w1", "w2", "size").join(same, ["w1", "w2"], "left")
@@ -219,18 +225,44 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     return labelled(known, classes).select("_d", "_h", "class").dropDuplicates(["_d", "_h"])
 
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in (items), by hash in ``CELLS`` cells: a bounded table, summed in the tasks first."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CELLS, np.int64)
+        for part in parts:
+            sums += np.bincount(part.column("items").flatten().to_numpy().view(np.uint64) % np.uint64(CELLS), minlength=CELLS)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["cell", "n"])
+
+    found = map_batches(sets.select("items"), run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
 def rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """(a, b) of documents from different classes whose similarity may reach the limit; of (id, class, items).
 
     Two sets of s and t items with Jaccard similarity of at least ``similarity`` share ``need`` = similarity / (1 + similarity)
     (s + t) items, so in any common order they share one of the first s - similarity s + 1 and t - similarity t + 1.
     """
-    each = sets.select("id", "class", F.size("items").alias("s"), F.explode("items").alias("item"))
-    rarity = cut(each.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "rarity")
-    placed = each.join(rarity, "item").groupBy("id").agg(F.first("class").alias("class"), F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("x"))
-    first = F.slice("x", 1, (F.col("s") - F.ceil(F.col("s") * similarity - 1e-9) + 1).cast("int"))
-    # A shingle that one document alone has brings nobody together.
-    heads = cut(placed.select("id", "class", "s", F.posexplode(first).alias("at", "x")).filter("x.df > 1").select("id", "class", "s", "at", F.col("x.item").alias("item")), "heads")
+    shared = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            items = part.column("items").flatten().to_numpy().view(np.uint64)
+            size = np.array([len(x) for x in part.column("items")], np.int64)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((items, shared.value[items % np.uint64(CELLS)], owner))
+            at = np.arange(len(items)) - (np.cumsum(size) - size)[owner]
+            keep = at < (size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1)[owner]
+            who = owner[keep]
+            columns = [part.column(x).take(pa.array(who)) for x in ("id", "class")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(size[who].astype(np.int32)), pa.array(at[keep].astype(np.int32)), pa.array(items[order][keep].view(np.int64))], ["id", "class", "s", "at", "item"])
+
+    node = "struct<d:bigint,h:bigint>"
+    heads = cut(map_batches(sets.select("id", "class", "items"), run, f"id {node}, class {node}, s int, at int, item long"), "heads")
     # A member of a shingle's largest class needs no look at its own class: only the others look at all.
     sizes = heads.groupBy("item", "class").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("item").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class")).alias("m")).filter("classes > 1")
@@ -239,8 +271,9 @@ def rare_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     x, y = (mixed.select("item", "most", F.col("id").alias(i), F.col("class").alias(f"c{i}"), F.col("s").alias(f"s{i}"), F.col("at").alias(f"p{i}")) for i in "ab")
     need = similarity / (1 + similarity) * (F.col("sa") + F.col("sb")) - 1e-9
     good = (F.col("ca") != F.col("cb")) & (F.least("sa", "sb") >= similarity * F.greatest("sa", "sb") - 1e-9)
-    # No more can be shared than what stands at and after the shared shingle in either order, and before it in both.
-    reach = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) + F.least("pa", "pb")
+    # A pair is found by the first shingle it shares: before that nothing is shared, so no more can be than what stands
+    # from there on in either order. By shingles that it shares later it need not be found again.
+    reach = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
     pairs = x.filter("ca != most").drop("most").join(y.drop("most"), "item").filter(good & (reach >= need))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -424,13 +424,13 @@ def _sql() -> str:
     for k, r in enumerate(RULES):
         head = quoted(r.head.replace("(", "(?:").replace('\\"', '"'))
         parts.append(
-            f"SELECT doc_id, rn, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(text, '{head}(?:{r.run})+') AS m, regexp_extract_all(text, '{head}((?:{r.run})+)', 1) AS g, string_split_regex(text, '{head}(?:{r.run})+') AS s, {r.least} AS least FROM d"
+            f"SELECT rn, {k} AS k, '{r.kind}' AS kind, regexp_extract_all(text, '{head}(?:{r.run})+') AS m, regexp_extract_all(text, '{head}((?:{r.run})+)', 1) AS g, string_split_regex(text, '{head}(?:{r.run})+') AS s, {r.least} AS least FROM d"
         )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rn FROM documents),
 p AS ({" UNION ALL ".join(parts)}),
-x AS (SELECT doc_id, rn, k, kind, least, m, g, s, unnest(generate_series(1, len(m))) AS i FROM p WHERE len(m) > 0),
-y AS (SELECT rn, k, kind, i, length(g[i]) >= least AS good, length(m[i]) AS n, sum(length(s[i]) + CASE WHEN i > 1 THEN length(m[i - 1]) ELSE 0 END) OVER (PARTITION BY rn, k ORDER BY i) AS start FROM x),
+x AS (SELECT rn, k, kind, least, unnest(m) AS m, unnest(g) AS g, unnest(s[1 : len(m)]) AS s, unnest(generate_series(1, len(m))) AS i FROM p WHERE len(m) > 0),
+y AS (SELECT rn, k, kind, i, length(g) >= least AS good, length(m) AS n, sum(length(s) + length(m)) OVER (PARTITION BY rn, k ORDER BY i) - length(m) AS start FROM x),
 z AS (SELECT rn, k, kind, CAST(start AS BIGINT) AS start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + n AS BIGINT) AS span FROM y WHERE good),
 a AS (SELECT rn, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
       string_agg(span, ',' ORDER BY start, k) FILTER (WHERE k < 3) AS base, string_agg(span, ',' ORDER BY start, k) AS spans FROM z GROUP BY rn)

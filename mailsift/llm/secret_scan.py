@@ -384,11 +384,12 @@ def scan(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[n
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per row of docs: row (all its columns), and spans (kind, start, end) by start, then by the order of the rules."""
-    compiled(rules)  # refuses bad rules here, not in a task
+    # Compiled here: bad rules are refused before any task, and the arrays' size depends on the rules alone.
+    shared = docs.sparkSession.sparkContext.broadcast(compiled(rules))
     rows = packed(docs).select("row")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, names = compiled(rules), pa.array([r.kind for r in rules])
+        automaton, names = shared.value, pa.array([r.kind for r in rules])
         for part in parts:
             row = part.column("row")
             for i, j, data, offsets in batches(pc.struct_field(row, "text")):

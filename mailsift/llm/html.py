@@ -56,6 +56,17 @@ SIGMA, SHARE, MOST = 1.5, 0.5, 0.7
 KEPT, TIED, GONE = 0, 1, 2
 
 
+def _names(said: str) -> set[str]:
+    """Words of all class and id names; a name ends before its first ``MILD`` word, as ``no-sidebar`` says nothing of a sidebar here."""
+    out: set[str] = set()
+    for name in said.split():
+        for word in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()):
+            if word in MILD:
+                break
+            out.add(word)
+    return out
+
+
 def _standing(tag: str, attrs: dict[str, str], in_article: bool) -> int:
     """What an element says of itself: that it is unwanted (GONE), or so where it is no content (TIED)."""
     if tag in DROPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true":
@@ -68,9 +79,7 @@ def _standing(tag: str, attrs: dict[str, str], in_article: bool) -> int:
         return GONE
     if not ("class" in attrs or "id" in attrs):
         return KEPT
-    names = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()))
-    if names & MILD:
-        return KEPT
+    names = _names(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
     found = names & NAMES
     if found - IN_ARTICLE or found and not in_article and not names & OF_ARTICLE:
         return GONE
@@ -88,6 +97,7 @@ class Page(HTMLParser):
         # Open elements by tag since the last scope (for what a start ends) and since the last block (for ends of inline elements).
         self.scopes: list[Counter] = [Counter()]
         self.inline: list[Counter] = [Counter()]
+        self.titles = [False]  # of each open block: whether it is a heading, or a plain division of one
         self.lines: list[tuple[str, int, int, bool, int]] = []
         self.text: list[str] = []
         self.tags = 0
@@ -100,6 +110,7 @@ class Page(HTMLParser):
             self.scopes.append(Counter())
         if tag in BLOCKS:
             self.inline.append(Counter())
+            self.titles.append(tag in HEADINGS or tag == "div" and self.titles[-1])
         else:
             self.inline[-1][tag] += 1
 
@@ -111,6 +122,7 @@ class Page(HTMLParser):
         self.scopes[-1][tag] -= 1
         if tag in BLOCKS:
             self.inline.pop()
+            self.titles.pop()
         else:
             self.inline[-1][tag] -= 1
         return tag
@@ -120,7 +132,7 @@ class Page(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 _, holder, standing = self.open[-1]
-                self.lines.append((text, self.tags, holder, any(x[0] in HEADINGS for x in self.open[-3:]), standing))
+                self.lines.append((text, self.tags, holder, self.titles[-1], standing))
             self.text.clear()
         self.tags = 0
 

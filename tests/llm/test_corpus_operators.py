@@ -503,3 +503,60 @@ def test_query_matches_sql(spark, name):
 def test_held_out_rule(spark):
     got = spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", lm.held_out().alias("o")).collect()
     assert all(r.o == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1) for r in got)
+
+
+def line_docs(spark, n=60):
+    r = random.Random(11)
+    runs = [[f"run {k} line {i}" for i in range(r.randint(2, 6))] for k in range(12)]
+    texts = []
+    for i in range(n):
+        lines = [f"own {i} {j}" for j in range(r.randint(1, 8))]
+        for run in r.sample(runs, r.randint(0, 3)):
+            at = r.randint(0, len(lines))
+            lines[at:at] = run if r.random() < 0.6 else run[: r.randint(1, len(run))]
+        texts.append("\n".join(lines + ["common line"] * (r.random() < 0.5)))
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+
+def test_line_dedup_selects_and_extends(spark):
+    texts, df = line_docs(spark)
+    got = [x.text for x in sorted(linededup.dedup_lines(df).collect(), key=lambda x: x.row.doc_id)]
+    assert got == brute.dedup_lines(texts)
+    data, offsets = common.flat(pa.array(texts))
+    x = linededup.positions(data, offsets, 2)
+    lines = sum(len(t.split("\n")) for t in texts)
+    assert len(x.owner) < 0.8 * lines and len(x.first) == lines - len(texts)  # fewer positions than lines; each window is one extension of its selected line
+
+
+def test_line_dedup_needs_its_selection(spark, monkeypatch):
+    """With lines selected by place instead of by digest, runs that begin at an odd place meet none at an even one."""
+    texts, df = line_docs(spark)
+
+    def by_place(values, owner, w):
+        at = np.flatnonzero(owner[: len(owner) - w + 1] == owner[w - 1 :])
+        number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        return at, np.where(number[at] % 2 == 0, at, at + 1)
+
+    # Texts unlike in their selected lines have nothing to extend, so what repeats once only is missed.
+    pairs = [f"own {i}\n" * (i % 2) + f"a {i // 2}\nb {i // 2}" for i in range(20)]
+    data, offsets = common.flat(pa.array(pairs))
+    right = linededup.positions(data, offsets, 2)
+    monkeypatch.setattr(linededup, "winnow", by_place)
+    wrong = linededup.positions(data, offsets, 2)
+    assert right.line.tolist() != wrong.line.tolist()
+    shared = lambda x: sum(n > 1 for n in np.unique(x.line, return_counts=True)[1])
+    assert shared(right) >= 10 > shared(wrong)
+
+
+def test_html_names_after_no_and_has():
+    page = '<html><body><div class="content">%s<p>{}</p><p>{}</p></div></body></html>'.replace("{}", "Plain sentences of an article, long enough to be its text. " * 4)
+    for said in ('class="comments no-print"', 'class="has-comments comments"', 'class="menu has-sub"', 'class="sidebar no-print"', 'id="cookie-notice" class="with-border"'):
+        assert "reader" not in html.main_text(page % f"<div {said}><p>reader says so, at some length, to all the others who read it</p></div>"), said
+    for said in ('class="has-sidebar"', 'class="no-comments"', 'class="body without-ads"'):
+        assert "reader" in html.main_text(page % f"<div {said}><p>reader says so, at some length, to all the others who read it</p></div>"), said
+
+
+def test_html_heading_in_deep_elements():
+    p = "<p>%s</p>" % ("Plain sentences of an article, long enough to be its text. " * 4)
+    page = f"<html><body><h1><span><a href='#'><b><i><em>The title</em></i></b></a></span></h1>{p * 3}</body></html>"
+    assert html.main_text(page).startswith("The title")

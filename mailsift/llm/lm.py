@@ -12,8 +12,7 @@ recurrent unit's; numpy trains it by truncated backpropagation on all training d
 by a hash into shards of about ``SHARD`` tokens and into ``ROUNDS`` slices. In each round every shard
 starts from the weights of the round before (and Adam's moments), goes through its documents of the
 round's slices and gives its weights; their mean, weighed by tokens, is an aggregate that ends in a table.
-All slices together are one pass; only corpora of fewer than ``LEARNED`` tokens get up to ``ROUNDS``
-passes. Which shard a document is in depends on the corpus alone, not on how its table is cut. Scoring
+All slices together are one pass, at any size. Which shard a document is in depends on the corpus alone, not on how its table is cut. Scoring
 runs whole documents in windows of ``WINDOW`` steps and carries the state from one to the next.
 
 Memory: the ``KNOWN`` most frequent words go to all tasks (a bounded table); what a task meets beyond
@@ -40,7 +39,7 @@ from .common import cut, map_batches, table
 
 KNOWN, SINGLES, SUFFIXES = 200_000, 256, 255
 HIDDEN, CLASSES, WINDOW, LANES = 24, 24, 64, 256
-SHARD, ROUNDS, LEARNED, STRIDE = 6_000_000, 4, 3_200_000, 2_000_000
+SHARD, ROUNDS, STRIDE = 6_000_000, 4, 2_000_000
 PIECE = 64
 FLUSH = 400_000
 
@@ -201,17 +200,19 @@ class Network:
         """log (natural) probability of each unit in its state; with grad, gradients are added and d states returned."""
         cls = self.cls[units]
         at = np.arange(len(units))
-        a = states @ self.p["wc"] + self.p["bc"]
-        a -= a.max(axis=1, keepdims=True)
+        # One column a token, so that maxima and sums go along rows of memory.
+        a = self.p["wc"].T @ states.T
+        a += self.p["bc"][:, None]
+        a -= a.max(axis=0)
         e = np.exp(a)
-        s = e.sum(axis=1)
-        logp = a[at, cls] - np.log(s)
+        s = e.sum(axis=0)
+        logp = a[cls, at] - np.log(s)
         back = None
         if grad is not None:
-            d = e / s[:, None]
-            d[at, cls] -= 1
-            grad["wc"][:], grad["bc"][:] = states.T @ d, d.sum(axis=0)
-            back = d @ self.p["wc"].T
+            e /= s
+            e[cls, at] -= 1
+            grad["wc"][:], grad["bc"][:] = (e @ states).T, e.sum(axis=1)
+            back = e.T @ self.p["wc"].T
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
         for c in range(self.n_classes):
@@ -220,17 +221,18 @@ class Network:
             if w.shape[1] == 1 or not len(mine):
                 continue
             hs, to = states[mine], self.place[units[mine]]
-            b = hs @ w + self.p[f"bu{c}"]
-            b -= b.max(axis=1, keepdims=True)
+            b = w.T @ hs.T
+            b += self.p[f"bu{c}"][:, None]
+            b -= b.max(axis=0)
             e = np.exp(b)
-            s = e.sum(axis=1)
+            s = e.sum(axis=0)
             own = np.arange(len(mine))
-            logp[mine] += b[own, to] - np.log(s)
+            logp[mine] += b[to, own] - np.log(s)
             if grad is not None:
-                d = e / s[:, None]
-                d[own, to] -= 1
-                grad[f"wu{c}"][:], grad[f"bu{c}"][:] = hs.T @ d, d.sum(axis=0)
-                back[mine] += d @ w.T
+                e /= s
+                e[to, own] -= 1
+                grad[f"wu{c}"][:], grad[f"bu{c}"][:] = (e @ hs).T, e.sum(axis=1)
+                back[mine] += e.T @ w.T
         return logp, back
 
     def train(self, texts: list[np.ndarray], end: int, lanes: int = 128, window: int = 48, rate: float = 0.01) -> int:
@@ -319,40 +321,61 @@ class Lanes:
         length = np.zeros(len(heap), np.int64)
         for n, k in heap:
             length[k] = n
+        # Lane after lane end to end, longest first: what is held is the tokens themselves, however uneven the lanes are.
         order = np.argsort(-length, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
         self.end, self.width, self.length = end, len(heap), length[order]
-        # One column a lane; a lane's tokens end where it is filled up with -1.
-        shape = (int(self.length[0]), self.width)
-        self.unit, self.doc, self.fresh = np.full(shape, -1, np.int16), np.zeros(shape, np.int32), np.zeros(shape, bool)
+        self.base = np.cumsum(self.length) - self.length
+        base = np.empty(len(heap), np.int64)
+        base[order] = self.base
+        place = base[lane] + start
+        total = int(self.length.sum())
+        self.unit, self.doc, self.fresh = np.empty(total, np.int16), np.empty(total, np.int32), np.zeros(total, bool)
         for i, x in enumerate(texts):
-            k, a, b = rank[lane[i]], start[i], start[i] + sizes[i]
-            self.unit[a : b - 1, k], self.unit[b - 1, k], self.doc[a:b, k], self.fresh[a, k] = x, end, i, True
+            a, b = place[i], place[i] + sizes[i]
+            self.unit[a : b - 1], self.unit[b - 1], self.doc[a:b] = x, end, i
+        self.fresh[place] = True
 
     def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(units, units before, whether a text begins, texts), each steps by live lanes; -1 where a lane has ended."""
         for at in range(0, int(self.length[0]), size):
             live = int((self.length > at).sum())
-            unit, fresh = self.unit[at : at + size, :live], self.fresh[at : at + size, :live]
-            before = np.full(unit.shape, self.end, np.int16)
+            steps = min(size, int(self.length[0]) - at)
+            step = np.arange(at, at + steps)[:, None]
+            over = step >= self.length[:live]
+            place = self.base[:live] + np.minimum(step, self.length[:live] - 1)
+            unit = np.where(over, -1, self.unit[place]).astype(np.int32)
+            fresh = self.fresh[place] & ~over
+            before = np.empty_like(unit)
             before[1:] = unit[:-1]
-            if at:
-                before[0] = self.unit[at - 1, :live]
+            before[0] = self.unit[place[0] - 1] if at else self.end
             before[fresh | (before < 0)] = self.end
-            yield unit.astype(np.int32), before.astype(np.int32), fresh, self.doc[at : at + size, :live]
+            yield unit, before, fresh, self.doc[place]
 
 
-def sequences(docs: DataFrame, units: Units) -> DataFrame:
-    """(r, units) of each training document that isn't null: a hash, and the units of all its words as 16-bit numbers."""
+def encoded(docs: DataFrame, units: Units) -> DataFrame:
+    """Per row of docs, in one pass over the texts: doc_id, n_tokens, known, logc, constant, units (16-bit numbers), rare words and their counts, and a hash r."""
     shared = docs.sparkSession.sparkContext.broadcast(units)
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = shared.value
         for part in parts:
-            out = [shared.value.encode(tokens(t.as_py()))[1].astype(np.int16).tobytes() for t in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("r"), pa.array(out, pa.binary())], ["r", "units"])
+            rows = []
+            for text in part.column("text"):
+                words = tokens(text.as_py())
+                ids, u = units.encode(words)
+                met = ids >= 0
+                local, inner = units.logc[ids[met]], units.shared[u]
+                # inside shared units: log10 (c + 0.5) of the known words, less the unit's log10 sum for all its words
+                constant = float(local[units.shared[u[met]]].sum()) - float(units.within[u[inner]].sum())
+                rare = [{"word": w, "n": k} for w, k in Counter(words[i] for i in np.flatnonzero(~met)).items()]
+                rows.append((len(words) + 1, int(met.sum()) + (units.ends > 0), float(local.sum()) + units.log_end, constant, u.astype(np.int16).tobytes(), rare))
+            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type)
+            columns = [pa.array([r[k] for r in rows], x) for k, x in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns, part.column("r")], ["doc_id", "n_tokens", "known", "logc", "constant", "units", "rare", "r"])
 
-    return map_batches(docs.filter(~held_out() & F.col("text").isNotNull()).select(F.xxhash64("doc_id", "text").alias("r"), "text"), run, "r long, units binary")
+    rows = map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r")), run, "doc_id long, n_tokens long, known long, logc double, constant double, units binary, rare array<struct<word:binary,n:long>>, r long")
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def train_round(rows: DataFrame, units: Units, state: np.ndarray, shards: int, rate: float) -> DataFrame:
@@ -396,15 +419,12 @@ def train_round(rows: DataFrame, units: Units, state: np.ndarray, shards: int, r
     return pieces.groupBy("piece").agg(F.sum("tokens").alias("tokens"), F.array(*(F.sum(F.get("v", F.lit(i))) for i in range(PIECE))).alias("v"))
 
 
-def fit(docs: DataFrame, units: Units) -> Network:
-    """A network trained on all training documents, whole: each round averages what the shards have learned."""
+def fit(rows: DataFrame, units: Units) -> Network:
+    """A network trained on all rows (r, units), whole, in one pass: each round averages what the shards have learned."""
     net = Network(units)
-    size = units.total
-    rows = cut(sequences(docs, units), "sequences")
-    shards, passes = max(1, -(-size // SHARD)), min(ROUNDS, max(1, -(-LEARNED // max(1, size))))
-    slice_ = F.pmod(F.shiftrightunsigned("r", 40), F.lit(ROUNDS))
+    shards = max(1, -(-units.total // SHARD))
     for k in range(ROUNDS):
-        mine = rows.filter(slice_.isin([(k + i) % ROUNDS for i in range(passes)]))
+        mine = rows.filter(F.pmod(F.shiftrightunsigned("r", 40), F.lit(ROUNDS)) == k)
         found = sorted(cut(train_round(mine, units, net.state(), shards, 0.01 * 0.5**k), "weights").collect())
         if found:
             net.restore(np.concatenate([np.array(r.v) / r.tokens for r in found])[: len(net.state())])
@@ -416,43 +436,36 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = cut(count_words(docs), "counts")
     units = learn_units(docs, counts)
-    net = fit(docs, units)
-    shared = docs.sparkSession.sparkContext.broadcast((units, net))
+    rows = cut(encoded(docs, units), "encoded")
+    net = fit(rows.filter(~held_out()).select("r", "units"), units)
+    shared = docs.sparkSession.sparkContext.broadcast((units.end, net))
+    kept = ("row", "doc_id", "n_tokens", "known", "logc")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, net = shared.value
-        held: list[tuple] = []
+        end, net = shared.value
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            ids, n, known, logc, constant, sequences, rare = map(list, zip(*held, strict=True))
-            scores = net.score(sequences, units.end) + np.array(constant)
-            lists = pa.array([[{"word": w, "n": k} for w, k in x] for x in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logc), pa.array(scores), lists], ["doc_id", "n_tokens", "known", "logc", "model", "rare"])
+            part = pa.Table.from_batches(held).combine_chunks()
+            scores = net.score([np.frombuffer(x.as_py(), np.int16) for x in part.column("units")], end) + part.column("constant").to_numpy()
+            return pa.RecordBatch.from_arrays([*(part.column(x).combine_chunks() for x in kept), pa.array(scores)], [*kept, "model"])
 
         for part in parts:
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                words = tokens(text.as_py())
-                ids, u = units.encode(words)
-                met = ids >= 0
-                local, inner = units.logc[ids[met]], units.shared[u]
-                # inside shared units: log10 (c + 0.5) of the known words, less the unit's log10 sum for all its words
-                constant = float(local[units.shared[u[met]]].sum()) - float(units.within[u[inner]].sum())
-                rare = list(Counter(words[i] for i in np.flatnonzero(~met)).items())
-                held.append((doc_id, len(words) + 1, int(met.sum()) + (units.ends > 0), float(local.sum()) + units.log_end, constant, u.astype(np.int16), rare))
-                size += len(words) + 1
-                # Many texts at a time: the longest one's steps are those of all.
-                if size >= STRIDE:
-                    yield out()
-                    held, size = [], 0
+            if len(part):
+                held.append(part)
+                size += int(part.column("n_tokens").to_numpy().sum())
+            # Many texts at a time: the longest one's steps are those of all.
+            if size >= STRIDE:
+                yield out()
+                held, size = [], 0
         if held:
             yield out()
 
-    scored = map_batches(docs, run, "doc_id long, n_tokens long, known long, logc double, model double, rare array<struct<word:binary,n:long>>")
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    met = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(counts, "word", "left")
+    scored = map_batches(rows.select(*kept, "constant", "units"), run, "row long, doc_id long, n_tokens long, known long, logc double, model double")
+    met = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.n").join(counts, "word", "left")
     sums = met.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("seen"))
-    out = scored.drop("rare").join(sums, "row", "left")
+    out = scored.join(sums, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id",

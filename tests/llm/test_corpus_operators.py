@@ -1,7 +1,9 @@
 """The corpus operators against plain versions, on small and hostile inputs."""
 
 import hashlib
+import itertools
 import random
+import tracemalloc
 import zlib
 
 import brute
@@ -349,6 +351,69 @@ def test_network_is_a_distribution():
     assert np.allclose(whole, parts, rtol=1e-4)  # state is carried across windows
 
 
+def training(df, units):
+    return lm.encoded(df, units).filter(~lm.held_out()).select("r", "units")
+
+
+def test_lanes_hold_tokens_only():
+    """One text of two million words among short ones takes memory for its words, not for that many in every lane."""
+    texts = [np.ones(2_000_000, np.int16), *[np.ones(5, np.int16)] * 1000]
+    tracemalloc.start()
+    plan = lm.Lanes(texts, 0, lm.LANES)
+    seen = sum(int((unit >= 0).sum()) for unit, _, _, _ in itertools.islice(plan.windows(64), 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and seen == 50 * 64 + 6000 - (plan.length[1:] > 3200).sum()
+
+
+def test_lanes_give_every_text_once():
+    r = np.random.default_rng(4)
+    texts = [r.integers(1, 9, n).astype(np.int16) for n in (0, 3, 50, 1, 7, 7, 20, 0, 11)]
+    for lanes, size in ((1, 4), (3, 7), (16, 64)):
+        got, before = [[] for _ in texts], [[] for _ in texts]
+        for unit, old, fresh, doc in lm.Lanes(texts, 0, lanes).windows(size):
+            for i, k in np.argwhere(unit >= 0):
+                got[doc[i, k]].append(unit[i, k])
+                before[doc[i, k]].append(old[i, k])
+                assert fresh[i, k] == (len(got[doc[i, k]]) == 1)
+        assert got == [[*t, 0] for t in texts] and before == [[0, *t] for t in texts]
+
+
+def test_language_model_scores_by_plain_steps(spark):
+    """score, word by word from the network's weights and the counts, against the query's."""
+    r = random.Random(5)
+    data = [(i, " ".join(f"{r.choice('abc')}{r.randrange(300)}" for _ in range(r.randrange(60)))) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    counts = {bytes(x.word): x.c for x in lm.count_words(df).collect()}
+    units = lm.learn_units(df, lm.count_words(df))
+    net = lm.fit(training(df, units), units)
+    p, H = {k: v.astype(float) for k, v in net.p.items()}, net.hidden
+    unit = {w: units.encode([w])[1][0] for _, t in data for w in lm.tokens(t)}
+    mass = {}  # of each shared unit, over all words that are or could be in it
+    for w in counts:
+        k = units.encode([w])[1][0]
+        mass.setdefault(k, [0, 0])[0] += counts[w]
+        mass[k][1] += 1
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    got = {x.doc_id: x.score for x in lm.score_documents(df).collect()}
+    for d, text in data[:40]:
+        h, last, total = np.zeros(H), units.end, 0.0
+        for w in [*lm.tokens(text), None]:
+            x, g = p["wx"][last], h @ p["wh"]
+            z, s = sig(x[:H] + g[:H] + p["bh"][:H]), sig(x[H : 2 * H] + g[H : 2 * H] + p["bh"][H : 2 * H])
+            n = np.tanh(x[2 * H :] + s * (g[2 * H :] + p["bh"][2 * H :]))
+            h = (1 - z) * n + z * h
+            last = units.end if w is None else unit[w]
+            c = units.cls[last]
+            total += soft(h @ p["wc"] + p["bc"])[c] / np.log(10)
+            total += soft(h @ p[f"wu{c}"] + p[f"bu{c}"])[units.place[last]] / np.log(10)
+            if units.shared[last]:
+                t, v = mass.get(last, (0, 0))
+                total += np.log10(counts.get(w, 0) + 0.5) - np.log10(t + 0.5 * (v + 1))
+        assert abs(got[d] - total) < 1e-3 * max(1, abs(total))
+
+
 def test_language_model_learns_whole_documents(spark):
     r = random.Random(3)
     data = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(40 + i))) for i in range(1, 900) if zlib.crc32(str(i).encode()) % 5 != 1]
@@ -357,10 +422,10 @@ def test_language_model_learns_whole_documents(spark):
     for tail in (long[1000:], sorted(long[1000:])):  # the same counts, so the same units
         df = spark.createDataFrame([*data, (1000, " ".join(long[:1000] + tail))], "doc_id long, text string").repartition(3)
         units = lm.learn_units(df, lm.count_words(df))
-        nets.append(lm.fit(df, units))
+        nets.append(lm.fit(training(df, units), units))
     assert not np.allclose(nets[0].flat, nets[1].flat, atol=1e-5)
-    assert np.allclose(lm.fit(df.repartition(5), units).flat, nets[1].flat, atol=1e-5)  # however the table is cut
-    seen = lm.train_round(lm.sequences(df, units), units, nets[0].state(), 3, 0.01).agg(F.min("tokens"), F.max("tokens")).first()
+    assert np.allclose(lm.fit(training(df.repartition(5), units), units).flat, nets[1].flat, atol=1e-5)  # however the table is cut
+    seen = lm.train_round(training(df, units), units, nets[0].state(), 3, 0.01).agg(F.min("tokens"), F.max("tokens")).first()
     assert tuple(seen) == (units.total, units.total)  # every word and end of every training document
 
 

@@ -120,9 +120,10 @@ def message_links(messages: DataFrame, features: DataFrame, id: str = "message_i
     return neutral(x, [c for c in x.columns if c != id])
 
 
-def link_family(features: DataFrame, id: str = "message_id") -> DataFrame:
-    """The 107 link columns of each message with links: roll-ups, largest and mean values of all signs, in one aggregate."""
-    return features.groupBy(id).agg(*(v.alias(k) for k, v in (_rolled() | _extremes(signs(features, id))).items()))
+def link_family(features: DataFrame, id: str = "message_id", only: set[str] | None = None) -> DataFrame:
+    """The 107 link columns of each message with links (or those in ``only``): roll-ups, largest and mean values of all signs, in one aggregate."""
+    found = {k: v for k, v in (_rolled() | _extremes(signs(features, id))).items() if only is None or k in only}
+    return features.groupBy(id).agg(*(v.alias(k) for k, v in found.items())) if found else features.select(id).distinct()
 
 
 def max_and_mean(features: DataFrame, id: str = "message_id") -> DataFrame:

@@ -12,7 +12,7 @@ from mailsift.functions import urls
 from mailsift.functions.refdata import ARCHIVE, BRAND_DOMAINS, BRANDS, CURRENCY, DISPOSABLE, DOCUMENT, EMOJI, ENTITY, EXECUTABLE, FREE_HOSTING, FREEMAIL, GREETED, HIDDEN_STYLE, IMPERATIVE, LEXICONS, MACRO, MAIL_ADDRESS, NUMBER, PASSWORD_INPUT, PHONE, RISKY_TLDS, SIGNED, UNSUBSCRIBE
 from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, reports, review, rules
 from mailsift.sources import mail as mail_source
-from mailsift.sources.tables import ctes, mails, table, view
+from mailsift.sources.tables import ctes, mails, table, view, spread
 from mailsift.streaming import state, windows
 
 from . import mail
@@ -556,7 +556,7 @@ HOST = r"regexp_extract(href, '^[a-z]+://(?:[^/?#]*@)?([^/:?#]+)', 1)"
 @query("url_suffix_split", f"SELECT message_id, pos, host, suffix, CASE WHEN suffix = '' THEN host ELSE array_to_string(l[-(len(string_split(suffix, '.')) + 1):], '.') END AS registered_domain FROM (SELECT *, string_split(host, '.') AS l, CASE WHEN regexp_full_match(host, '[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}') THEN '' WHEN host = 'evil.pages.dev' THEN 'pages.dev' ELSE string_split(host, '.')[-1] END AS suffix FROM (SELECT message_id, pos, {HOST} AS host FROM fx_links))", "fx_links")
 def _(spark, d):
     host = urls.host_of(F.col("href"))
-    return view(spark, d, "fx_links").select("message_id", "pos", host.alias("host"), urls.suffix_of(host).alias("suffix"), urls.registered_domain(host, urls.suffix_of(host)).alias("registered_domain"))
+    return spread(view(spark, d, "fx_links")).select("message_id", "pos", host.alias("host"), urls.suffix_of(host).alias("suffix"), urls.registered_domain(host, urls.suffix_of(host)).alias("registered_domain"))
 
 
 @query(
@@ -568,23 +568,23 @@ def _(spark, d):
 )
 def _(spark, d):
     signs = urls.shape(F.col("href"), "_p_")
-    return urls.with_parts(view(spark, d, "fx_links"), "href", "_p_").select("message_id", "pos", *(signs[k].alias(k) for k in ("length", "host_length", "num_dots", "num_hyphens", "num_digits", "is_https", "is_ip_host", "has_port", "is_shortener", "has_redirect_param", "free_hosting", "high_risk_tld")))
+    return urls.with_parts(spread(view(spark, d, "fx_links")), "href", "_p_").select("message_id", "pos", *(signs[k].alias(k) for k in ("length", "host_length", "num_dots", "num_hyphens", "num_digits", "is_https", "is_ip_host", "has_port", "is_shortener", "has_redirect_param", "free_hosting", "high_risk_tld")))
 
 
 @query("url_risk_score")
 def _(spark, d):
-    x = links.link_features(view(spark, d, "fx_links"))
+    x = links.link_features(spread(view(spark, d, "fx_links")))
     return x.select("message_id", "pos", "url", "domain", F.round(urls.click_score(), 6).alias("risk"), metrics.band(urls.click_score()).alias("band"), urls.click_reasons().alias("reasons"))
 
 
 @query("link_features")
 def _(spark, d):
-    return links.max_and_mean(links.link_features(view(spark, d, "fx_links")))
+    return links.max_and_mean(links.link_features(spread(view(spark, d, "fx_links"))))
 
 
 @query("link_rollup")
 def _(spark, d):
-    return links.message_links(view(spark, d, "fx_messages"), links.link_features(view(spark, d, "fx_links")))
+    return links.message_links(view(spark, d, "fx_messages"), links.link_features(spread(view(spark, d, "fx_links"))))
 
 
 @query("page_links", r"""SELECT page_id, count(*) AS n_links, count(DISTINCT href) AS n_hrefs FROM (SELECT DISTINCT page_id, href, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]+)">', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]+">([^<]*)</a>', 1)) AS label FROM pages UNION ALL
@@ -742,22 +742,22 @@ def _(spark, d):
 
 @query("message_features")
 def _(spark, d):
-    return mail.message_table(mails(spark, d), view(spark, d, "fx_links"))
+    return mail.message_table(mails(spark, d), spread(view(spark, d, "fx_links")))
 
 
 @query("feature_contract")
 def _(spark, d):
-    return mail.family_table(spark, mail.contract(mail.message_table(mails(spark, d), view(spark, d, "fx_links"))))
+    return mail.family_table(spark, mail.contract(mail.message_table(mails(spark, d), spread(view(spark, d, "fx_links")))))
 
 
 @query("rule_score")
 def _(spark, d):
-    return rules.rule_score(mail.rule_table(mails(spark, d), view(spark, d, "fx_links")))
+    return rules.rule_score(mail.rule_table(mails(spark, d), spread(view(spark, d, "fx_links"))))
 
 
 @query("triage")
 def _(spark, d):
-    return mail.triage(mails(spark, d), view(spark, d, "fx_links"))
+    return mail.triage(mails(spark, d), spread(view(spark, d, "fx_links")))
 
 
 WEIGHTS = {"m_rules": 0.7, "m_engineered": 1.9, "m_charngram": 1.1, "m_wordtfidf": 0.8}
@@ -887,7 +887,7 @@ def _(spark, d):
 
 @query("rule_catalogue")
 def _(spark, d):
-    return rules.rule_catalogue(mail.rule_table(mails(spark, d), view(spark, d, "fx_links")))
+    return rules.rule_catalogue(mail.rule_table(mails(spark, d), spread(view(spark, d, "fx_links"))))
 
 
 # --- reports ----------------------------------------------------------------
@@ -959,7 +959,7 @@ def _(spark, d):
 
 @query("rule_evidence")
 def _(spark, d):
-    return reports.evidence(rules.rule_score(mail.rule_table(mails(spark, d), view(spark, d, "fx_links"))))
+    return reports.evidence(rules.rule_score(mail.rule_table(mails(spark, d), spread(view(spark, d, "fx_links")))))
 
 
 @query("top_features")

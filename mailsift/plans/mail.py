@@ -18,26 +18,27 @@ def email_columns() -> dict[str, Column]:
     return messages.columns(*_EMAIL)
 
 
-def message_table(mails: DataFrame, link_rows: DataFrame | None, groups: Iterable[str] = GROUPS, id: str = "message_id", canonical_urls: bool = True) -> DataFrame:
+def message_table(mails: DataFrame, link_rows: DataFrame | None, groups: Iterable[str] = GROUPS, id: str = "message_id", canonical_urls: bool = True, only: Iterable[str] | None = None) -> DataFrame:
     """Every feature of every message, one row each, in the order of the contract.
 
     Text and context features are one projection of the messages; links are summed by message and joined
-    once. ``groups`` leaves families out (for ablations); canonical_urls=False reads URLs as they are written.
+    once. ``groups`` leaves families out (for ablations), ``only`` all features but these; canonical_urls=False reads URLs as they are written.
     Values that are no numbers are 0, infinite ones 1e9. Rows with one id each keep their own features.
     """
     groups = [g for g in GROUPS if g in set(groups)]
     if not groups:
         raise ValueError("at least one feature family is required")
     x, found = messages.prepared(mails, id), {}
-    email = email_columns()
+    email, wanted = email_columns(), None if only is None else set(only)
+    some = lambda columns: {k: v for k, v in columns.items() if wanted is None or k in wanted}
     if "email" in groups:
-        found |= email
+        found |= some(email)
     own = [F.col(id), *(F.round(v, 6).alias(k) for k, v in found.items())]
     if "behavioural" in groups:
-        own += [F.round(v, 6).alias(k) for k, v in behaviour.features(behaviour.context(x), *behaviour.signals(email)).items()]
+        own += [F.round(v, 6).alias(k) for k, v in some(behaviour.features(behaviour.context(x), *behaviour.signals(email))).items()]
     x = x.select(*own)
     if "url" in groups and link_rows is not None:
-        family = links.link_family(links.link_features(link_rows, id, canonical_urls), id)
+        family = links.link_family(links.link_features(link_rows, id, canonical_urls), id, wanted)
         names = [c for c in family.columns if c != id]
         x = links.neutral(x.join(family, id, "left"), names)
         first = [c for c in x.columns if c not in names and not c.startswith("beh_")]
@@ -70,7 +71,8 @@ def verify(table: DataFrame, names: list[str], id: str = "message_id") -> DataFr
 
 def rule_table(mails: DataFrame, link_rows: DataFrame, id: str = "message_id") -> DataFrame:
     """The features that rules read; the rest of the message table is never computed."""
-    return message_table(mails, link_rows, id=id).select(id, *dict.fromkeys(r[2] for r in RULES))
+    names = list(dict.fromkeys(r[2] for r in RULES))
+    return message_table(mails, link_rows, id=id, only=names).select(id, *names)
 
 
 def triage(mails: DataFrame, link_rows: DataFrame, id: str = "message_id") -> DataFrame:

@@ -73,6 +73,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of input for each core below which a table is dealt anew: a small file is one row group, and so one task.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its input is small for them; a large table keeps the partitions of its scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    inputs = df._jdf.queryExecution().analyzed().collectLeaves()
+    size = sum(int(inputs.apply(i).stats().sizeInBytes()) for i in range(inputs.size()))
+    return df.repartition(cores) if size <= cores * SMALL else df
+
+
 def _reads(name: str, among: list[str]) -> list[str]:
     return [x for x in among if re.search(rf"\b(?:FROM|JOIN) {x}\b", VIEWS[name])]
 
@@ -89,7 +101,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with all that features read: HTML, an attachment and the sender's context."""
     one = F.array(F.struct(F.col("att_name").alias("filename"), F.col("att_kind").alias("content_type"), F.col("att_size").alias("size_bytes")))
-    x = view(spark, sf_dir, "fx_mail")
+    x = spread(view(spark, sf_dir, "fx_mail"))
     return x.withColumn("attachments", F.when(F.col("att_name") != "", one)).drop("att_name", "att_kind", "att_size")
 
 

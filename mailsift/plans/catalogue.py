@@ -995,4 +995,4 @@ def _(spark, d):
     return policy.policy_regret(view(spark, d, "fx_scored"), 0.4, 0.8)
 
 
-from . import queue, scoring  # noqa: E402, F401  they register their queries
+from . import detector, queue, scoring  # noqa: E402, F401  they register their queries

@@ -119,7 +119,9 @@ def collapse_runs(text: Column) -> Column:
 
 def _steps(aggressive: bool) -> list:
     """What makes a text canonical, one function after the other."""
-    folded = [lambda x: F.coalesce(x, F.lit("")), lambda x: F.when(is_ascii(x), x).otherwise(fold_confusables(strip_invisible(x))), strip_diacritics]
+    unless_ascii = lambda f: lambda x: F.when(is_ascii(x), x).otherwise(f(x))
+    # Compatibility forms are resolved first: what they stand for may itself be a lookalike.
+    folded = [lambda x: F.coalesce(x, F.lit("")), unless_ascii(strip_invisible), strip_diacritics, unless_ascii(fold_confusables)]
     hard = [rejoin_separated, fold_leet, collapse_runs] if aggressive else []
     return [*folded, *hard, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workflow import refusal
+
 from .review import ACTIVE, SLA_SECONDS
 
 ACTIONS = ("claim", "unclaim", "escalate", "resolve", "reopen", "comment")
@@ -33,36 +35,6 @@ def case_detail(cases: DataFrame, decisions: DataFrame, events: DataFrame) -> Da
     return x.select("case_id", "state", "priority", "score", "band", "sender_domain", F.coalesce(F.size("e"), F.lit(0)).alias("n_events"), F.coalesce(text, F.lit("")).alias("history"))
 
 
-def refusal(action: Column, block: float = 0.8) -> Column:
-    """Why an action is refused, or null. Reads state, role, owns, note, resolution and score of the row.
-
-    The caller's role comes first, then what the action needs of the case, of the caller and of the request.
-    """
-    state, note, res = F.col("state"), F.coalesce(F.trim("note"), F.lit("")) != "", F.col("resolution")
-    admin = F.col("role") == "admin"
-    mine = F.col("owns") | admin
-    release = F.when(~note, "note_required").when((F.col("score") >= block) & ~admin, "needs_admin")
-    resolve = (
-        F.when(~F.coalesce(res.isin("confirmed_phishing", "released", "inconclusive"), F.lit(False)), "resolution_required")
-        .when((state == "escalated") & ~admin, "needs_admin")
-        .when((state == "in_review") & ~mine, "not_assignee")
-        .when(~state.isin("escalated", "in_review"), "illegal_state")
-        .when(res == "released", release)
-    )
-    rules = {
-        "comment": F.when(~note, "note_required"),
-        "claim": F.when(state != "open", "illegal_state"),
-        "unclaim": F.when(state != "in_review", "illegal_state").when(~mine, "not_assignee"),
-        "escalate": F.when(state != "in_review", "illegal_state").when(~mine, "not_assignee").when(~note, "note_required"),
-        "resolve": resolve,
-        "reopen": F.when(state != "resolved", "illegal_state").when(~admin, "needs_admin").when(~note, "note_required"),
-    }
-    why = F.lit("unknown_action")
-    for name, rule in rules.items():
-        why = F.when(action == name, rule).otherwise(why)
-    return F.when(~F.col("role").isin("analyst", "admin"), "not_permitted").otherwise(why)
-
-
 def allowed_actions(cases: DataFrame) -> DataFrame:
     """Of each (case, actor): the actions open to them, by name."""
     asked = cases.select("*", F.explode(F.array(*map(F.lit, ACTIONS))).alias("action"))
@@ -70,15 +42,6 @@ def allowed_actions(cases: DataFrame) -> DataFrame:
     return good.groupBy("case_id").agg(F.array_join(F.sort_array(F.collect_list(F.when(F.col("why").isNull(), F.col("action")))), ",").alias("actions"))
 
 
-def conditional_updates(cases: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (request_id, case_id, expected, next) against cases: the first that expects the case's state wins, the rest are stale."""
-    x = requests.join(cases.select("case_id", "state"), "case_id")
-    fits = F.col("expected") == F.col("state")
-    first = F.min(F.when(fits, F.col("request_id"))).over(Window.partitionBy("case_id"))
-    won = F.col("request_id") == first
-    return x.select("request_id", "case_id", "state", F.coalesce(won, F.lit(False)).alias("applied"), F.when(won, F.col("next")).otherwise(F.col("state")).alias("new_state"), F.when(~F.coalesce(won, F.lit(False)), F.when(fits, "stale").otherwise("wrong_state")).alias("refused"))
-
-
 def monitoring_rows(decisions: DataFrame, cutoff: Column, limit: int = 20_000) -> DataFrame:
     """The newest rows for monitoring, without contents."""
     names = ("decision_id", "created_ts", "score", "band", "body_length", "recipient_count", "attachment_count", "behavioral_available")

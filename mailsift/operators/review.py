@@ -138,35 +138,6 @@ def retention_keep(decisions: DataFrame, cases: DataFrame, cutoff) -> DataFrame:
     return decisions.join(gone, "decision_id", "left_anti")
 
 
-#: action, states it applies to, next state ("" keeps it), whether only the assignee may, whether it needs a note, whether it needs a resolution
-TRANSITIONS = [
-    ("claim", ("open", "escalated"), "in_review", False, False, False),
-    ("release", ("in_review",), "open", True, False, False),
-    ("escalate", ("open", "in_review"), "escalated", False, True, False),
-    ("resolve", ("in_review", "escalated"), "resolved", True, False, True),
-    ("reopen", ("resolved",), "open", False, True, False),
-    ("comment", ("open", "in_review", "escalated", "resolved"), "", False, True, False),
-]
-
-
-def decide_transitions(requests: DataFrame) -> DataFrame:
-    """(action, state, is_assignee, note, resolution, ...) with next_state, or the reason of refusal."""
-    next_state, reason = F.lit(None).cast("string"), F.lit("unknown_action")
-    blank = lambda c: F.coalesce(F.length(F.trim(c)), F.lit(0)) == 0
-    for action, states, to, own, note, resolution in TRANSITIONS:
-        here = F.col("action") == action
-        why = F.when(~F.col("state").isin(*states), "illegal_state")
-        if own:
-            why = why.when(~F.coalesce("is_assignee", F.lit(False)), "not_assignee")
-        if note:
-            why = why.when(blank("note"), "note_required")
-        if resolution:
-            why = why.when(blank("resolution"), "resolution_required")
-        reason = F.when(here, why).otherwise(reason)
-        next_state = F.when(here & why.isNull(), F.lit(to) if to else F.col("state")).otherwise(next_state)
-    return requests.withColumn("refused", reason).withColumn("next_state", F.when(F.col("refused").isNull(), next_state))
-
-
 def stage_timings(spans: DataFrame, by: str = "event_type", value: str = "latency_ms") -> DataFrame:
     """Total and percentiles of spans by name."""
     p = quantiles(spans, value, (0.5, 0.95, 0.99), (by,)).withColumnRenamed("q", "p")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailsift.functions import text as T
 from mailsift.functions import urls
 from mailsift.functions.refdata import ARCHIVE, BRAND_DOMAINS, BRANDS, CURRENCY, DISPOSABLE, DOCUMENT, EMOJI, ENTITY, EXECUTABLE, FREE_HOSTING, FREEMAIL, GREETED, HIDDEN_STYLE, IMPERATIVE, LEXICONS, MACRO, MAIL_ADDRESS, NUMBER, PASSWORD_INPUT, PHONE, RISKY_TLDS, SIGNED, UNSUBSCRIBE
-from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, reports, review, rules
+from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, reports, review, rules, workflow
 from mailsift.sources import mail as mail_source
 from mailsift.sources.tables import ctes, mails, table, view, spread
 from mailsift.streaming import state, windows
@@ -140,26 +140,36 @@ def _(spark, d):
     return review.retention_keep(view(spark, d, "fx_decisions"), view(spark, d, "fx_cases"), F.lit(CUTOFF).cast("timestamp_ntz"))
 
 
-ACTION = "CASE decision_id % 7 WHEN 0 THEN 'claim' WHEN 1 THEN 'release' WHEN 2 THEN 'escalate' WHEN 3 THEN 'resolve' WHEN 4 THEN 'reopen' WHEN 5 THEN 'comment' ELSE 'delete' END"
+ACTION = "CASE decision_id % 7 WHEN 0 THEN 'claim' WHEN 1 THEN 'unclaim' WHEN 2 THEN 'escalate' WHEN 3 THEN 'resolve' WHEN 4 THEN 'reopen' WHEN 5 THEN 'comment' ELSE 'delete' END"
+REQUEST = f"""SELECT case_id, state, {ACTION} AS action, CASE decision_id % 11 WHEN 0 THEN 'reporter' WHEN 1 THEN 'admin' WHEN 2 THEN 'admin' ELSE 'analyst' END AS role, decision_id % 3 = 0 AS owns,
+    CASE WHEN decision_id % 2 = 0 THEN 'seen' ELSE '' END AS note, CASE decision_id % 9 WHEN 0 THEN 'inconclusive' WHEN 1 THEN '' ELSE resolution END AS resolution, CAST((decision_id * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM fx_cases"""
 
 
 @query(
     "case_transitions",
-    f"""SELECT case_id, action, refused, CASE WHEN refused IS NULL THEN CASE action WHEN 'claim' THEN 'in_review' WHEN 'release' THEN 'open' WHEN 'escalate' THEN 'escalated' WHEN 'resolve' THEN 'resolved' WHEN 'reopen' THEN 'open' ELSE state END END AS next_state
-    FROM (SELECT *, CASE action
-        WHEN 'claim' THEN CASE WHEN state NOT IN ('open', 'escalated') THEN 'illegal_state' END
-        WHEN 'release' THEN CASE WHEN state <> 'in_review' THEN 'illegal_state' WHEN NOT is_assignee THEN 'not_assignee' END
-        WHEN 'escalate' THEN CASE WHEN state NOT IN ('open', 'in_review') THEN 'illegal_state' WHEN note = '' THEN 'note_required' END
-        WHEN 'resolve' THEN CASE WHEN state NOT IN ('in_review', 'escalated') THEN 'illegal_state' WHEN NOT is_assignee THEN 'not_assignee' END
-        WHEN 'reopen' THEN CASE WHEN state <> 'resolved' THEN 'illegal_state' WHEN note = '' THEN 'note_required' END
-        WHEN 'comment' THEN CASE WHEN note = '' THEN 'note_required' END
-        ELSE 'unknown_action' END AS refused
-      FROM (SELECT *, {ACTION} AS action, decision_id % 3 = 0 AS is_assignee, CASE WHEN decision_id % 2 = 0 THEN 'seen' ELSE '' END AS note FROM fx_cases))""",
+    f"""SELECT case_id, action, refused, CASE WHEN refused IS NULL THEN CASE action WHEN 'claim' THEN 'in_review' WHEN 'unclaim' THEN 'open' WHEN 'escalate' THEN 'escalated' WHEN 'resolve' THEN 'resolved' WHEN 'reopen' THEN 'open' ELSE state END END AS next_state
+    FROM (SELECT *, CASE WHEN role = 'reporter' THEN 'not_permitted'
+        WHEN action = 'delete' THEN 'unknown_action'
+        WHEN action = 'comment' THEN CASE WHEN note = '' THEN 'note_required' END
+        WHEN action = 'claim' THEN CASE WHEN state <> 'open' THEN 'illegal_state' END
+        WHEN action IN ('unclaim', 'escalate') AND state <> 'in_review' THEN 'illegal_state'
+        WHEN action IN ('unclaim', 'escalate') AND NOT owns AND role <> 'admin' THEN 'not_assignee'
+        WHEN action = 'escalate' AND note = '' THEN 'note_required'
+        WHEN action = 'resolve' AND resolution NOT IN ('confirmed_phishing', 'released') THEN 'resolution_required'
+        WHEN action = 'resolve' AND state = 'escalated' AND role <> 'admin' THEN 'needs_admin'
+        WHEN action = 'resolve' AND state = 'in_review' AND NOT owns AND role <> 'admin' THEN 'not_assignee'
+        WHEN action = 'resolve' AND state IN ('open', 'resolved') THEN 'illegal_state'
+        WHEN action = 'resolve' AND resolution = 'released' AND note = '' THEN 'note_required'
+        WHEN action = 'resolve' AND resolution = 'released' AND score >= 0.8 AND role <> 'admin' THEN 'needs_admin'
+        WHEN action = 'reopen' AND state <> 'resolved' THEN 'illegal_state'
+        WHEN action = 'reopen' AND role <> 'admin' THEN 'needs_admin'
+        WHEN action = 'reopen' AND note = '' THEN 'note_required' END AS refused
+      FROM ({REQUEST}))""",
     "fx_cases",
 )
 def _(spark, d):
-    asked = view(spark, d, "fx_cases").withColumn("action", F.expr(ACTION)).withColumn("is_assignee", F.expr("decision_id % 3 = 0")).withColumn("note", F.expr("CASE WHEN decision_id % 2 = 0 THEN 'seen' ELSE '' END"))
-    return review.decide_transitions(asked).select("case_id", "action", "refused", "next_state")
+    asked = spark.sql(REQUEST.replace("FROM fx_cases", "FROM {fx_cases}"), fx_cases=view(spark, d, "fx_cases"))
+    return workflow.decided(asked).select("case_id", "action", "refused", "next_state")
 
 
 @query(

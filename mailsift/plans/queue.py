@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailsift.operators import casework, metrics
+from mailsift.operators import casework, metrics, workflow
 from mailsift.sources.tables import table, view
 
-from .catalogue import CONFUSION, CUTOFF, _prf_sql, query
+from .catalogue import SQL, CONFUSION, CUTOFF, _prf_sql, query
 
 SECONDS = "CASE WHEN event_type = 'signup' AND band = 'ALLOW' THEN 3600 WHEN band = 'REVIEW' THEN 14400 ELSE 86400 END"
 
@@ -38,7 +38,7 @@ WHY = """CASE WHEN role NOT IN ('analyst', 'admin') THEN 'not_permitted' ELSE CA
   WHEN 'comment' THEN CASE WHEN note = '' THEN 'note_required' END WHEN 'claim' THEN CASE WHEN state <> 'open' THEN 'illegal_state' END
   WHEN 'unclaim' THEN CASE WHEN state <> 'in_review' THEN 'illegal_state' WHEN NOT (owns OR role = 'admin') THEN 'not_assignee' END
   WHEN 'escalate' THEN CASE WHEN state <> 'in_review' THEN 'illegal_state' WHEN NOT (owns OR role = 'admin') THEN 'not_assignee' WHEN note = '' THEN 'note_required' END
-  WHEN 'resolve' THEN CASE WHEN resolution NOT IN ('confirmed_phishing', 'released', 'inconclusive') THEN 'resolution_required' WHEN state = 'escalated' AND role <> 'admin' THEN 'needs_admin' WHEN state = 'in_review' AND NOT (owns OR role = 'admin') THEN 'not_assignee'
+  WHEN 'resolve' THEN CASE WHEN resolution NOT IN ('confirmed_phishing', 'released') THEN 'resolution_required' WHEN state = 'escalated' AND role <> 'admin' THEN 'needs_admin' WHEN state = 'in_review' AND NOT (owns OR role = 'admin') THEN 'not_assignee'
     WHEN state NOT IN ('escalated', 'in_review') THEN 'illegal_state' WHEN resolution = 'released' AND note = '' THEN 'note_required' WHEN resolution = 'released' AND score >= 0.8 AND role <> 'admin' THEN 'needs_admin' END
   WHEN 'reopen' THEN CASE WHEN state <> 'resolved' THEN 'illegal_state' WHEN role <> 'admin' THEN 'needs_admin' WHEN note = '' THEN 'note_required' END ELSE 'unknown_action' END END"""
 ASKED = f"(SELECT *, {WHY} AS why FROM (SELECT *, unnest({list(casework.ACTIONS)}) AS action FROM ({ACTOR})))"
@@ -53,7 +53,7 @@ def _(spark, d):
 def _(spark, d):
     x = spark.sql(ACTOR.replace("FROM fx_cases", "FROM {fx_cases}"), fx_cases=view(spark, d, "fx_cases"))
     x = x.select("*", F.explode(F.array(*map(F.lit, casework.ACTIONS))).alias("action"))
-    return x.groupBy("action", F.coalesce(casework.refusal(F.col("action")), F.lit("allowed")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy("action", F.coalesce(workflow.refusal(F.col("action")), F.lit("allowed")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 REQUESTS = "SELECT msg_id AS request_id, msg_id - msg_id % 3 AS case_id, CASE msg_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'in_review' WHEN 2 THEN 'escalated' ELSE 'resolved' END AS expected, CASE msg_id % 4 WHEN 0 THEN 'in_review' WHEN 1 THEN 'escalated' WHEN 2 THEN 'resolved' ELSE 'open' END AS next FROM fx_mail_log"
@@ -61,14 +61,19 @@ REQUESTS = "SELECT msg_id AS request_id, msg_id - msg_id % 3 AS case_id, CASE ms
 
 @query(
     "conditional_updates",
-    f""", q AS ({REQUESTS}), w AS (SELECT q.*, state, min(CASE WHEN expected = state THEN request_id END) OVER (PARTITION BY q.case_id) AS first_ FROM q JOIN fx_cases c ON c.case_id = q.case_id)
-    SELECT request_id, case_id, state, coalesce(request_id = first_, false) AS applied, CASE WHEN request_id = first_ THEN next ELSE state END AS new_state, CASE WHEN NOT coalesce(request_id = first_, false) THEN CASE WHEN expected = state THEN 'stale' ELSE 'wrong_state' END END AS refused FROM w""",
+    f""", q AS ({REQUESTS}), o AS (SELECT q.*, c.state AS first_, row_number() OVER (PARTITION BY q.case_id ORDER BY request_id) AS k FROM q JOIN fx_cases c ON c.case_id = q.case_id),
+    f AS (SELECT request_id, case_id, k, first_ AS state, expected = first_ AS applied, CASE WHEN expected = first_ THEN next ELSE first_ END AS new_state FROM o WHERE k = 1
+      UNION ALL SELECT o.request_id, o.case_id, o.k, f.new_state, o.expected = f.new_state, CASE WHEN o.expected = f.new_state THEN o.next ELSE f.new_state END FROM f JOIN o ON o.case_id = f.case_id AND o.k = f.k + 1)
+    SELECT request_id, case_id, state, applied, new_state, CASE WHEN NOT applied THEN 'stale' END AS refused FROM f""",
     "fx_cases",
     "fx_mail_log",
 )
 def _(spark, d):
     asked = spark.sql(REQUESTS.replace("FROM fx_mail_log", "FROM {log}"), log=view(spark, d, "fx_mail_log"))
-    return casework.conditional_updates(view(spark, d, "fx_cases"), asked)
+    return workflow.updates(view(spark, d, "fx_cases"), asked)
+
+
+SQL["conditional_updates"] = SQL["conditional_updates"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("monitoring_rows", f"SELECT decision_id, created_ts, score, band, body_length, recipient_count, attachment_count, behavioral_available FROM fx_decisions WHERE created_ts >= TIMESTAMP '{CUTOFF}' ORDER BY created_ts DESC, decision_id DESC LIMIT 20000", "fx_decisions")

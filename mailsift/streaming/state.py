@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: Of each action: the states it applies to, and the next one.
-STEPS = {"claim": (("open", "escalated"), "in_review"), "release": (("in_review",), "open"), "escalate": (("open", "in_review"), "escalated"), "resolve": (("in_review", "escalated"), "resolved"), "reopen": (("resolved",), "open")}
+from mailsift.operators.workflow import NEXT
+
+#: Of each action that moves a case: the states it applies to, and the next one.
+STEPS = {a: x for a, x in NEXT.items() if x[1]}
 CASE = "case_id long, state string, n_accepted long, n_refused long, last_seconds double"
 CASE_STATE = "state string, n_accepted long, n_refused long, last_seconds double"
 BUCKET = "key long, n_allowed long, n_refused long, level double, last_seconds double"

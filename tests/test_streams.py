@@ -27,7 +27,7 @@ def test_windows_agree(spark):
 
 
 def test_case_fold(spark):
-    steps = [(1, "claim", 1.0), (1, "resolve", 2.0), (1, "claim", 3.0), (2, "resolve", 1.0), (2, "claim", 5.0), (2, "release", 4.0)]
+    steps = [(1, "claim", 1.0), (1, "resolve", 2.0), (1, "claim", 3.0), (2, "resolve", 1.0), (2, "claim", 5.0), (2, "unclaim", 4.0)]
     rows = spark.createDataFrame(steps, "case_id long, action string, seconds double")
     got = {r.case_id: (r.state, r.n_accepted, r.n_refused) for r in state.fold_cases(rows).collect()}
     assert got == {1: ("resolved", 2, 1), 2: ("in_review", 1, 2)}
@@ -55,7 +55,7 @@ def test_alert_runs(spark):
 
 
 def test_case_fold_of_a_long_history(spark):
-    rows = spark.range(5000).selectExpr("id % 2 AS case_id", "CASE WHEN id % 4 < 2 THEN 'claim' ELSE 'release' END AS action", "CAST(id AS DOUBLE) AS seconds").repartition(7)
+    rows = spark.range(5000).selectExpr("id % 2 AS case_id", "CASE WHEN id % 4 < 2 THEN 'claim' ELSE 'unclaim' END AS action", "CAST(id AS DOUBLE) AS seconds").repartition(7)
     got = {r.case_id: (r.state, r.n_accepted, r.n_refused) for r in state.fold_cases(rows).collect()}
     assert got == {0: ("open", 2500, 0), 1: ("open", 2500, 0)}
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .refdata import BRAND_DOMAINS, BRANDS, CLICK_WEIGHTS, FREE_HOSTING, OFFICIAL, PATH_TOKENS, PATH_WEIGHT, PLAIN, REDIRECT_PARAMS, RISKY_TLDS, SHORTENERS, SUFFIXES
 from .text import among, entropy, fold_confusables, fold_leet, kept, listed, mixed_script_words, strings
@@ -54,6 +56,26 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*df.columns))))
 
 
+def _plain_host(host: str) -> str:
+    try:
+        return host.encode("ascii", "ignore").decode("idna")
+    except (UnicodeError, IndexError, ValueError):
+        return host  # broken labels stay as they are
+
+
+@F.pandas_udf(StringType())
+def _from_punycode(hosts: pd.Series) -> pd.Series:
+    """Hosts in the letters that their xn-- labels stand for; each distinct host of a batch is decoded once."""
+    plain = {h: _plain_host(h) for h in hosts.dropna().unique()}
+    return pd.Series([plain.get(h) for h in hosts], dtype=object)
+
+
+def decoded_host(host: Column) -> Column:
+    """The host without punycode; only hosts with an xn-- label leave the JVM."""
+    coded = host.rlike(r"(^|\.)xn--")
+    return F.when(coded, _from_punycode(F.when(coded, host))).otherwise(host)
+
+
 PARTS = ("scheme", "userinfo", "host", "port", "path", "query", "suffix", "registered_domain", "subdomain", "is_ip")
 
 

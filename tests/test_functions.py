@@ -74,3 +74,20 @@ def test_links(spark):
     assert len(got) == 7
     roll = {r.message_id: r for r in links.message_links(spark.range(9).withColumnRenamed("id", "message_id"), links.link_features(df)).collect()}
     assert roll[0].link_min_lookalike_distance == 9.0 and roll[0].link_count == 0.0
+
+
+def test_punycode_hosts(spark):
+    hosts = {
+        "http://xn--ihqwcrb4cv8a8dqg056pqjye.cn/a": "他们为什么不说中文.cn",
+        "https://www.xn--pple-43d.com/login": "www.\u0430pple.com",
+        "http://xn--mnchen-3ya.example": "münchen.example",
+        "http://xn--a-ecp.ru..x": None,
+        "http://xn--\u00e9\u00e9.com": None,
+        "http://plain.example": "plain.example",
+        "http://not-xn--here.example": "not-xn--here.example",
+    }
+    df = spark.createDataFrame([(u,) for u in hosts], "u string")
+    got = {r.u: r.p_host for r in df.select("u", urls.decoded_host(urls.host_of(F.col("u"))).alias("p_host")).collect()}
+    assert len(got) == len(hosts) and all(v is not None for v in got.values())
+    for u, want in hosts.items():
+        assert want is None or got[u] == want

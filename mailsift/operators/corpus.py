@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
+from .quantiles import cumulated, quantiles
 
 PERMUTATIONS, BANDS, ROWS, SHINGLE, NEAR = 64, 16, 4, 5, 0.85
 LEAK_AUC, DRIFT = 0.985, 0.08
@@ -118,8 +118,7 @@ def feature_auc(rows: DataFrame, features: tuple[str, ...], label: str = "y") ->
     """AUC of each single feature by rank sums with ties averaged; a constant one has 0.5."""
     long = rows.select(F.col(label).alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in features))).alias("x")).select("y", "x.*")
     each = long.groupBy("feature", "v").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum(1 - F.col("y").cast("long")).alias("n"))
-    below = Window.partitionBy("feature").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2)
+    each = cumulated(each, "v", ("n",), ("feature",)).withColumn("under", F.col("n_upto") - F.col("n") / 2)
     out = each.groupBy("feature").agg(F.sum(F.col("p") * F.col("under")).alias("won"), F.sum("p").alias("n1"), F.sum("n").alias("n0"))
     auc = F.when((F.col("n1") == 0) | (F.col("n0") == 0), 0.5).otherwise(F.col("won") / (F.col("n1") * F.col("n0")))
     return out.select("feature", F.round(auc, 6).alias("auc"), (F.greatest(auc, 1 - auc) >= LEAK_AUC).alias("suspicious"))

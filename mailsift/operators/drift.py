@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import quantiles
+from .quantiles import cumulated, quantiles
 
 QUANTITIES = ("score", "latency_ms", "log_body_length", "recipient_count", "attachment_count", "behavioral_available")
 FLOOR, MINOR, MAJOR = 1e-4, 0.10, 0.25
@@ -53,17 +53,16 @@ def psi(reference: DataFrame, live: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("severity", F.when(F.col("psi") >= MAJOR, "significant").when(F.col("psi") >= MINOR, "moderate").otherwise("stable"))
 
 
-def ks(reference: DataFrame, live: DataFrame, decimals: int = 3) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and its asymptotic p-value, over values rounded to ``decimals``.
+def ks(reference: DataFrame, live: DataFrame) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic and its asymptotic p-value, over the values as they are.
 
-    Distinct values are few after rounding, and only they are put in order; each quantity's order is
-    its own partition.
+    Quantities that one of the two sides lacks have neither.
     """
-    both = reference.select("quantity", F.round("value", decimals).alias("value"), F.lit(1).alias("r"), F.lit(0).alias("l")).unionByName(live.select("quantity", F.round("value", decimals).alias("value"), F.lit(0).alias("r"), F.lit(1).alias("l")))
+    both = reference.select("quantity", "value", F.lit(1).alias("r"), F.lit(0).alias("l")).unionByName(live.select("quantity", "value", F.lit(0).alias("r"), F.lit(1).alias("l")))
     each = both.groupBy("quantity", "value").agg(F.sum("r").alias("r"), F.sum("l").alias("l"))
-    up, all_ = Window.partitionBy("quantity").orderBy("value"), Window.partitionBy("quantity")
-    gap = F.abs(F.sum("r").over(up) / F.sum("r").over(all_) - F.sum("l").over(up) / F.sum("l").over(all_))
-    x = each.select("quantity", gap.alias("gap"), F.sum("r").over(all_).alias("n"), F.sum("l").over(all_).alias("m")).groupBy("quantity").agg(F.max("gap").alias("d"), F.max("n").alias("n"), F.max("m").alias("m"))
+    n, m = F.nullif("r_all", F.lit(0)), F.nullif("l_all", F.lit(0))
+    gap = F.abs(F.col("r_upto") / n - F.col("l_upto") / m)
+    x = cumulated(each, "value", ("r", "l"), ("quantity",)).groupBy("quantity", n.alias("n"), m.alias("m")).agg(F.max(gap).alias("d"))
     t = F.col("d") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m")))
     series = reduce(lambda a, b: a + b, [2.0 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * t * t) for k in range(1, 26)])
     return x.select("quantity", F.round("d", 6).alias("ks"), F.round(F.least(F.greatest(F.when(t < 0.2, 1.0).otherwise(series), F.lit(0.0)), F.lit(1.0)), 6).alias("p_value"))
@@ -72,9 +71,9 @@ def ks(reference: DataFrame, live: DataFrame, decimals: int = 3) -> DataFrame:
 def split_by_time(decisions: DataFrame, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """Reference rows before the point of time that ``share`` of all rows precede, and live rows from it on."""
     rows = monitored(decisions).withColumn("s", F.unix_micros(F.col("created_ts").cast("timestamp")))
-    at = quantiles(rows, "s", (share,), discrete=True).select(F.col("q")[0].alias("at"))
-    x = rows.join(F.broadcast(at), F.lit(True))
-    return long(x.filter("s < at")), long(x.filter("s >= at"))
+    at = quantiles(rows, "s", (share,), discrete=True).first()  # one number, so that neither side's plan holds the search for it
+    at = F.lit(None if at is None else at.q[0]).cast("long")
+    return long(rows.filter(F.col("s") < at)), long(rows.filter(F.col("s") >= at))
 
 
 def weekly(decisions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import THRESHOLD, band, calibration_errors, confusion, prf
+from .quantiles import cumulated
 
 
 def calibration_report(scored: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -135,11 +136,10 @@ def systems(scored: DataFrame, columns: dict[str, str], review_fpr: float, block
     """
     x = scored.select("y", F.explode(F.array(*(F.struct(F.lit(k).alias("system"), F.col(c).alias("score")) for k, c in columns.items()))).alias("s")).select("y", "s.system", "s.score")
     each = x.groupBy("system", "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    down = Window.partitionBy("system").orderBy(F.desc("score"))
-    whole = Window.partitionBy("system")
-    each = each.withColumn("above", F.sum("neg").over(down)).withColumn("n0", F.sum("neg").over(whole))
-    fits = lambda t: F.min(F.when((F.col("neg") > 0) & (F.col("above") <= F.floor(t * F.col("n0"))), F.col("score"))).over(whole)
-    each = each.withColumn("review", fits(F.lit(review_fpr))).withColumn("block", F.greatest(fits(F.lit(block_fpr)), "review"))
+    down = cumulated(each, "score", ("neg",), ("system",), descending=True)
+    fits = lambda t: F.min(F.when((F.col("neg") > 0) & (F.col("neg_upto") <= F.floor(t * F.col("neg_all"))), F.col("score")))
+    at_budget = down.groupBy("system").agg(fits(F.lit(review_fpr)).alias("review"), fits(F.lit(block_fpr)).alias("_block"))
+    each = each.join(at_budget.withColumn("block", F.greatest("_block", "review")), "system")
     at = lambda n, good: F.sum(F.when(good, F.col(n)).otherwise(0)) / F.nullif(F.sum(n), F.lit(0))
     low, high = F.col("score") < F.col("review"), F.col("score") >= F.col("block")
     both = each.withColumn("all", F.col("pos") + F.col("neg"))

@@ -1,7 +1,6 @@
 """Evaluation metrics as aggregations over (y, score) rows.
 
-Running totals over scores use one window per score bucket and a table of bucket totals, so no
-window holds all rows.
+Running totals over scores go by ``quantiles.cumulated``, so no window holds all rows.
 """
 
 from __future__ import annotations
@@ -9,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cumulated
+
 REVIEW, BLOCK, THRESHOLD = 0.40, 0.80, 0.50
-BUCKETS = 256
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -36,13 +36,8 @@ def prf(counts: DataFrame) -> DataFrame:
 def running(scored: DataFrame) -> DataFrame:
     """(score, pos, neg, pos_above, neg_above): distinct scores with the rows at and above each."""
     each = scored.groupBy("score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    each = each.withColumn("bucket", F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * BUCKETS))
-    totals = each.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
-    after = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS + 1 rows at most
-    totals = totals.select("bucket", F.coalesce(F.sum("bp").over(after), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(after), F.lit(0)).alias("bn"))
-    by = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.withColumn("p", F.sum("pos").over(by)).withColumn("n", F.sum("neg").over(by)).join(F.broadcast(totals), "bucket")
-    return each.select("score", "pos", "neg", (F.col("p") + F.col("bp")).alias("pos_above"), (F.col("n") + F.col("bn")).alias("neg_above"))
+    x = cumulated(each, "score", ("pos", "neg"), descending=True)
+    return x.select("score", "pos", "neg", F.col("pos_upto").alias("pos_above"), F.col("neg_upto").alias("neg_above"))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:

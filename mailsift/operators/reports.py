@@ -10,17 +10,32 @@ from mailsift.functions.refdata import RULES
 from .quantiles import quantiles
 from .metrics import band, prf
 
-#: Acceptance gates: metric, whether it is a least or a most, bound, whether it blocks a release.
+# Gates (id, metric, least or most, bound; a missing metric fails), families of attacks (id, name, controls
+# that counter it, the attacker's cost, impact of a success), likelihood by rate of success, and the risk of both.
 GATES = [
-    ("macro_f1", "min", 0.90, True),
-    ("pr_auc", "min", 0.90, True),
-    ("roc_auc", "min", 0.90, True),
-    ("fpr", "max", 0.05, True),
-    ("fnr", "max", 0.10, True),
-    ("ece", "max", 0.05, False),
-    ("brier", "max", 0.10, False),
-    ("review_rate", "max", 0.35, False),
+    ("G1", "clean.macro_f1", "min", 0.90, True),
+    ("G2", "clean.pr_auc", "min", 0.93, True),
+    ("G3", "clean.false_positive_rate", "max", 0.02, True),
+    ("G4", "calibration.ece", "max", 0.08, True),
+    ("G5", "robustness.macro_f1_drop", "max", 0.15, True),
+    ("G6", "robustness.attack_success_rate", "max", 0.35, True),
+    ("G7", "latency.p95_ms", "max", 150.0, True),
+    ("G8", "deltas.vs_rule_baseline_macro_f1", "min", 0.01, True),
+    ("G9", "deltas.asr_advantage_vs_text_baseline", "min", 0.0, True),
+    ("G10", "leakage.passed_numeric", "min", 1.0, True),
 ]
+FAMILIES = [
+    ("A-LEX", "Lexical and semantic perturbation", ["D-NORM", "D-ADVTRAIN", "D-ENSEMBLE", "D-ABSTAIN"], "Low", "High"),
+    ("A-UNI", "Unicode and homoglyph obfuscation", ["D-NORM", "D-ADVTRAIN"], "Low", "High"),
+    ("A-URL", "URL obfuscation and redirection", ["D-URL", "D-ADVTRAIN", "D-ENSEMBLE"], "Low to medium", "High"),
+    ("A-STRUCT", "Structural and HTML manipulation", ["D-NORM", "D-ENSEMBLE", "D-ADVTRAIN"], "Low", "High"),
+    ("A-HDR", "Header and identity shaping", ["D-ENSEMBLE", "D-ABSTAIN"], "Medium", "Medium"),
+    ("A-BEH", "Behavioral and timing mimicry", ["D-VELOCITY", "D-ENSEMBLE", "D-ABSTAIN"], "High", "Medium"),
+    ("A-TRUST", "Payload relocation onto reputable infrastructure", ["D-URL", "D-ENSEMBLE", "D-ABSTAIN"], "Medium", "Medium"),
+    ("A-CHANNEL", "Out-of-band payload delivery", ["D-ENSEMBLE", "D-ABSTAIN", "D-VELOCITY"], "High", "Medium"),
+]
+LIKELIHOOD = [(0.40, "High"), (0.15, "Medium"), (0.05, "Low")]
+RISK = {("High", "High"): "High", ("High", "Medium"): "Medium", ("Medium", "High"): "Medium", ("Medium", "Medium"): "Medium", ("Low", "High"): "Low", ("Low", "Medium"): "Low", ("Very low", "High"): "Low", ("Very low", "Medium"): "Very low"}
 
 
 def grade(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -57,11 +72,11 @@ def per_case(scored: DataFrame, case: str) -> DataFrame:
 
 
 def gates(values: DataFrame) -> DataFrame:
-    """(metric, value, bound, passed, blocking) of a (metric, value) table; a missing blocking metric fails."""
-    table = values.sparkSession.createDataFrame(GATES, "metric string, kind string, bound double, blocking boolean")
-    x = F.broadcast(table).join(values, "metric", "left")
+    """(gate, metric, observed, kind, bound, blocking, passed) of a (metric, value) table; a missing blocking metric fails."""
+    wanted = values.sparkSession.createDataFrame(GATES, "gate string, metric string, kind string, bound double, blocking boolean")
+    x = F.broadcast(wanted).join(values, "metric", "left")
     ok = F.when(F.col("kind") == "min", F.col("value") >= F.col("bound")).otherwise(F.col("value") <= F.col("bound"))
-    return x.select("metric", "value", "bound", "blocking", F.coalesce(ok, ~F.col("blocking")).alias("passed"))
+    return x.select("gate", "metric", F.round("value", 5).alias("observed"), "kind", "bound", "blocking", F.coalesce(ok, ~F.col("blocking")).alias("passed"))
 
 
 def go(gated: DataFrame) -> DataFrame:
@@ -102,16 +117,24 @@ def budget_sweep(results: DataFrame, budgets: tuple[int, ...]) -> DataFrame:
     return x.select("budget", F.round(F.coalesce(F.sum("silent").over(up), F.lit(0)) / F.col("n"), 6).alias("silent_rate"))
 
 
-def risk_register(summary: DataFrame, family: str) -> DataFrame:
-    """Likelihood and impact bands of attack families, and the risk they make."""
-    rate = F.col("silent") / F.greatest(F.col("n"), F.lit(1))
-    likelihood = F.when(rate >= 0.3, "high").when(rate >= 0.1, "medium").otherwise("low")
-    impact = F.when(F.col("max_drop") >= 0.4, "high").when(F.col("max_drop") >= 0.15, "medium").otherwise("low")
-    level = {"low": 0, "medium": 1, "high": 2}
-    rank = lambda c: F.coalesce(*(F.when(c == k, v) for k, v in level.items()))
-    x = summary.withColumn("likelihood", likelihood).withColumn("impact", impact)
-    total = rank(F.col("likelihood")) + rank(F.col("impact"))
-    return x.select(family, "likelihood", "impact", F.when(total >= 3, "high").when(total == 2, "medium").otherwise("low").alias("risk"))
+def risk_register(results: DataFrame, active: tuple[str, ...]) -> DataFrame:
+    """Of each family of attacks: how often it succeeds, what that costs, which controls stand against it, and the risk that is left.
+
+    ``results`` has (family, before, after, queries), a row an attacked message; a success ends below the band BLOCK. Families
+    without results have rates of 0; without an active control of its own, a family is ``uncontrolled``.
+    """
+    evaded = band("after") != "BLOCK"
+    measured = results.groupBy("family").agg(F.avg(evaded.cast("double")).alias("rate"), F.avg(F.col("before") - F.col("after")).alias("drop"))
+    effort = quantiles(results.filter(evaded), "queries", (0.5,), ("family",)).select("family", F.col("q")[0].alias("median_queries"))
+    known = results.sparkSession.createDataFrame(FAMILIES, "family string, name string, controls array<string>, attacker_cost string, impact string")
+    x = F.broadcast(known).join(measured, "family", "left").join(effort, "family", "left").na.fill(0.0, ["rate", "drop", "median_queries"])
+    likelihood = F.coalesce(*(F.when(F.col("rate") >= least, name) for least, name in LIKELIHOOD), F.lit("Very low"))
+    risk = F.coalesce(*(F.when((F.col("likelihood") == a) & (F.col("impact") == b), r) for (a, b), r in RISK.items()), F.lit("Medium"))
+    here = F.filter("controls", lambda c: c.isin(*active))
+    return x.withColumn("likelihood", likelihood).select(
+        "family", "name", F.round("rate", 5).alias("success_rate"), F.round("drop", 5).alias("mean_drop"), F.round("median_queries", 2).alias("median_queries"), "likelihood", "impact", risk.alias("risk"), "attacker_cost",
+        F.concat_ws(",", here).alias("controls_applied"), F.concat_ws(",", F.array_except("controls", here)).alias("controls_missing"), (F.size(here) == 0).alias("uncontrolled"),
+    )
 
 
 def ingest_summary(triaged: DataFrame, source: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from mailsift.functions import text as T
 from mailsift.functions import urls
 from mailsift.functions.refdata import ARCHIVE, BRAND_DOMAINS, BRANDS, CURRENCY, DISPOSABLE, DOCUMENT, EMOJI, ENTITY, EXECUTABLE, FREE_HOSTING, FREEMAIL, GREETED, HIDDEN_STYLE, IMPERATIVE, LEXICONS, MACRO, MAIL_ADDRESS, NUMBER, PASSWORD_INPUT, PHONE, RISKY_TLDS, SIGNED, UNSUBSCRIBE
 from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, reports, review, rules, workflow
+from mailsift.operators.quantiles import quantiles
 from mailsift.sources import mail as mail_source
 from mailsift.sources.tables import ctes, mails, table, view, spread
 from mailsift.streaming import state, windows
@@ -406,7 +408,7 @@ def _(spark, d):
 
 @query(
     "ks_statistic",
-    f"""{LONG}, each AS (SELECT quantity, round(value, 3) AS value, count(*) FILTER (NOT live) AS r, count(*) FILTER (live) AS l FROM long_ GROUP BY ALL)
+    f"""{LONG}, each AS (SELECT quantity, value, count(*) FILTER (NOT live) AS r, count(*) FILTER (live) AS l FROM long_ GROUP BY ALL)
     SELECT quantity, round(max(abs(cr / tr - cl / tl)), 6) AS ks FROM (SELECT quantity, CAST(sum(r) OVER up AS DOUBLE) AS cr, CAST(sum(l) OVER up AS DOUBLE) AS cl, sum(r) OVER al AS tr, sum(l) OVER al AS tl FROM each WINDOW up AS (PARTITION BY quantity ORDER BY value), al AS (PARTITION BY quantity)) GROUP BY quantity""",
     "fx_decisions",
 )
@@ -815,14 +817,13 @@ def _(spark, d):
     return corpus.temporal_split(log, "ts", "k").select("msg_id", "part")
 
 
-@query(
-    "leakage_audit",
-    f""", m AS (SELECT sha1(coalesce(body, '')) AS f, group_key, quality AS label, {PART} AS part FROM fx_messages JOIN labels ON doc_id = message_id)
+LEAKAGE = f"""m AS (SELECT sha1(coalesce(body, '')) AS f, group_key, quality AS label, {PART} AS part FROM fx_messages JOIN labels ON doc_id = message_id)
     SELECT *, shared_texts = 0 AND shared_groups = 0 AND balance_drift <= 0.08 AS passed FROM (SELECT (SELECT count(*) FROM (SELECT f FROM m GROUP BY f HAVING count(DISTINCT part) > 1)) AS shared_texts, (SELECT count(*) FROM (SELECT group_key FROM m GROUP BY 1 HAVING count(DISTINCT part) > 1)) AS shared_groups,
-    count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test, round(abs(avg(label) FILTER (part = 'train') - avg(label) FILTER (part = 'test')), 6) AS balance_drift FROM m)""",
-    "fx_messages",
-)
-def _(spark, d):
+    count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test, round(abs(avg(label) FILTER (part = 'train') - avg(label) FILTER (part = 'test')), 6) AS balance_drift FROM m)"""
+
+
+@query("leakage_audit", f", {LEAKAGE}", "fx_messages")
+def leakage_audit(spark, d):
     m = view(spark, d, "fx_messages").join(table(spark, d, "labels"), F.col("message_id") == F.col("doc_id"))
     return corpus.leakage_audit(corpus.grouped_split(m, "group_key"), "body", "group_key", "quality")
 
@@ -927,24 +928,13 @@ def _(spark, d):
     return reports.per_case(view(spark, d, "fx_scored"), "slice_lang")
 
 
-@query("acceptance_gates")
-def _(spark, d):
-    from mailsift.sources.sinks import flatten_report
-
-    x = view(spark, d, "fx_scored")
-    parts = [reports.score_summary(x), metrics.roc_auc(x).select("roc_auc"), metrics.pr_auc(x), metrics.calibration_errors(x), metrics.banded_outcome(x).select("review_rate")]
-    values = flatten_report(parts[0])
-    for p in parts[1:]:
-        values = values.unionByName(flatten_report(p))
-    return reports.gates(values)
-
-
-ATTACKS = "SELECT slice_lang AS family, score AS before, least(score, m_charngram) AS after, CAST(id % 50 AS BIGINT) AS queries FROM fx_scored WHERE y = 1"
+ATTACK_FAMILY = "CASE id % 8 " + " ".join(f"WHEN {i} THEN '{f[0]}'" for i, f in enumerate(reports.FAMILIES)) + " END"
+ATTACKS = f"SELECT {ATTACK_FAMILY} AS family, score AS before, least(score, m_charngram) AS after, CAST(id % 50 AS BIGINT) AS queries FROM fx_scored WHERE y = 1"
 ATTACK_BANDS = f"SELECT *, before - after AS d, CASE WHEN before >= 0.8 THEN 2 WHEN before >= 0.4 THEN 1 ELSE 0 END AS b0, CASE WHEN after >= 0.8 THEN 2 WHEN after >= 0.4 THEN 1 ELSE 0 END AS b1 FROM ({ATTACKS})"
 
 
 def _attacks(spark, d):
-    return view(spark, d, "fx_scored").filter("y = 1").selectExpr("slice_lang AS family", "score AS before", "least(score, m_charngram) AS after", "CAST(id % 50 AS BIGINT) AS queries")
+    return view(spark, d, "fx_scored").filter("y = 1").selectExpr(f"{ATTACK_FAMILY} AS family", "score AS before", "least(score, m_charngram) AS after", "CAST(id % 50 AS BIGINT) AS queries")
 
 
 @query("attack_summary", f"SELECT family, count(*) AS n, count(*) FILTER (b0 = 2 AND b1 < 2) AS escaped_block, count(*) FILTER (b0 > 0 AND b1 = 0) AS silent, round(avg(d), 6) AS mean_drop, round(quantile_cont(d, 0.5), 6) AS median_drop, round(max(d), 6) AS max_drop, CAST(sum(queries) AS BIGINT) AS queries FROM ({ATTACK_BANDS}) GROUP BY family", "fx_scored")
@@ -957,9 +947,71 @@ def _(spark, d):
     return reports.budget_sweep(_attacks(spark, d), (5, 10, 20, 40, 60))
 
 
-@query("risk_register")
-def _(spark, d):
-    return reports.risk_register(reports.attack_summary(_attacks(spark, d), ("family",)), "family")
+CONTROLS = ("D-NORM", "D-URL", "D-ENSEMBLE", "D-ABSTAIN", "D-VELOCITY")
+
+
+def _register_sql() -> str:
+    known = ", ".join(f"('{f}', '{name}', {controls}, '{cost}', '{impact}')" for f, name, controls, cost, impact in reports.FAMILIES)
+    return f"""SELECT family, name, round(rate, 5) AS success_rate, round(d, 5) AS mean_drop, round(q, 2) AS median_queries, likelihood, impact,
+        CASE WHEN impact = 'High' THEN CASE likelihood WHEN 'High' THEN 'High' WHEN 'Medium' THEN 'Medium' ELSE 'Low' END ELSE CASE likelihood WHEN 'Very low' THEN 'Very low' WHEN 'Low' THEN 'Low' ELSE 'Medium' END END AS risk,
+        cost AS attacker_cost, array_to_string(list_filter(controls, lambda c: c IN {CONTROLS}), ',') AS controls_applied, array_to_string(list_filter(controls, lambda c: c NOT IN {CONTROLS}), ',') AS controls_missing, len(list_filter(controls, lambda c: c IN {CONTROLS})) = 0 AS uncontrolled
+        FROM (SELECT *, CASE WHEN rate >= 0.4 THEN 'High' WHEN rate >= 0.15 THEN 'Medium' WHEN rate >= 0.05 THEN 'Low' ELSE 'Very low' END AS likelihood FROM
+        (SELECT k.*, coalesce(rate, 0.0) AS rate, coalesce(d, 0.0) AS d, coalesce(q, 0.0) AS q FROM (VALUES {known}) AS k(family, name, controls, cost, impact)
+        LEFT JOIN (SELECT family, avg(CAST(b1 < 2 AS INT)) AS rate, avg(d) AS d, quantile_cont(queries, 0.5) FILTER (b1 < 2) AS q FROM ({ATTACK_BANDS}) GROUP BY family) USING (family)))"""
+
+
+@query("risk_register", _register_sql(), "fx_scored")
+def _(spark, d):
+    return reports.risk_register(_attacks(spark, d), CONTROLS)
+
+
+def _gates_sql() -> str:
+    f1 = lambda score: f"(SELECT macro_f1 FROM ({_prf_sql(f'{CONFUSION} FROM (SELECT y, {score} AS score FROM fx_scored)')}))"
+    escaped = lambda score: f"(SELECT avg(CAST({score} < 0.8 AS INT)) FROM fx_scored WHERE y = 1)"
+    hurt = "CASE WHEN y = 1 THEN least(score, m_charngram) ELSE score END"
+    values = {
+        "clean.macro_f1": f1("score"),
+        "clean.pr_auc": f"(SELECT round(sum(pos * pos_above / CAST(pos_above + neg_above AS DOUBLE)) / sum(pos), 6) FROM ({RUNNING}))",
+        "clean.false_positive_rate": "(SELECT round(avg(CAST(score >= 0.5 AS INT)), 5) FROM fx_scored WHERE y = 0)",
+        "calibration.ece": f"(SELECT round(sum(abs(c - a) * n) / sum(n), 6) FROM ({BINS15}))",
+        "robustness.macro_f1_drop": f"{f1('score')} - {f1(hurt)}",
+        "robustness.attack_success_rate": escaped("least(score, m_charngram)"),
+        "latency.p95_ms": "(SELECT quantile_cont(latency_ms, 0.95) FROM fx_decisions)",
+        "deltas.vs_rule_baseline_macro_f1": f"{f1('score')} - {f1('m_rules')}",
+        "deltas.asr_advantage_vs_text_baseline": f"{escaped('least(m_wordtfidf, m_charngram)')} - {escaped('least(score, m_charngram)')}",
+        "leakage.passed_numeric": "(SELECT CAST(passed AS DOUBLE) FROM leak)",
+    }
+    rows = " UNION ALL ".join(f"SELECT '{g}' AS gate, '{m}' AS metric, '{kind}' AS kind, CAST({bound} AS DOUBLE) AS bound, {str(blocking).lower()} AS blocking, CAST({values[m]} AS DOUBLE) AS v" for g, m, kind, bound, blocking in reports.GATES)
+    audit, found = LEAKAGE.split("\n", 1)
+    return f", {audit}, leak AS ({found.strip()}) SELECT gate, metric, round(v, 5) AS observed, kind, bound, blocking, coalesce(CASE WHEN kind = 'min' THEN v >= bound ELSE v <= bound END, NOT blocking) AS passed FROM ({rows})"
+
+
+def _gate_values(spark, d):
+    """(metric, value) of all gates, each a row of its own."""
+    scored = view(spark, d, "fx_scored")
+    f1 = lambda score: metrics.prf(metrics.confusion(scored.select("y", score.alias("score")))).select(F.col("macro_f1").alias("v"))
+    escaped = lambda score: scored.filter("y = 1").agg(F.avg((score < metrics.BLOCK).cast("double")).alias("v"))
+    less = lambda a, b: a.join(b.withColumnRenamed("v", "w"), F.lit(True)).select((F.col("v") - F.col("w")).alias("v"))
+    score, after = F.col("score"), F.least("score", "m_charngram")
+    values = {
+        "clean.macro_f1": f1(score),
+        "clean.pr_auc": metrics.pr_auc(scored),
+        "clean.false_positive_rate": metrics.prf(metrics.confusion(scored)).select("fpr"),
+        "calibration.ece": metrics.calibration_errors(scored).select("ece"),
+        "robustness.macro_f1_drop": less(f1(score), f1(F.when(F.col("y") == 1, after).otherwise(score))),
+        "robustness.attack_success_rate": escaped(after),
+        "latency.p95_ms": quantiles(view(spark, d, "fx_decisions"), "latency_ms", (0.95,)).select(F.col("q")[0]),
+        "deltas.vs_rule_baseline_macro_f1": less(f1(score), f1(F.col("m_rules"))),
+        "deltas.asr_advantage_vs_text_baseline": less(escaped(F.least("m_wordtfidf", "m_charngram")), escaped(after)),
+        "leakage.passed_numeric": leakage_audit(spark, d).select(F.col("passed").cast("double")),
+    }
+    rows = [x.toDF("value").select(F.lit(m).alias("metric"), F.col("value").cast("double").alias("value")) for m, x in values.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("acceptance_gates", _gates_sql(), "fx_scored", "fx_decisions", "fx_messages")
+def _(spark, d):
+    return reports.gates(_gate_values(spark, d))
 
 
 @query("drift_null_thresholds")

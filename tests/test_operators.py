@@ -1,5 +1,6 @@
 """Literal results and invariants of metrics, policy, drift, corpus and reports."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mailsift.operators import corpus, drift, metrics, policy, reports, review
@@ -75,15 +76,51 @@ def test_near_duplicates(spark):
 
 
 def test_reports(spark):
-    values = spark.createDataFrame([("macro_f1", 0.95), ("fpr", 0.5)], "metric string, value double")
+    values = spark.createDataFrame([("clean.macro_f1", 0.90), ("clean.false_positive_rate", 0.021), ("other", 1.0)], "metric string, value double")
     gated = reports.gates(values)
-    found = {r.metric: r.passed for r in gated.collect()}
-    assert found["macro_f1"] and not found["fpr"] and not found["roc_auc"] and found["brier"]
+    found = {r.gate: r.passed for r in gated.collect()}
+    assert len(found) == 10 and found["G1"] and not found["G3"] and not found["G2"]  # what is missing fails
     assert not reports.go(gated).first().go
+    whole = spark.createDataFrame([(m, float(bound)) for _, m, _, bound, _ in reports.GATES], "metric string, value double")
+    assert reports.go(reports.gates(whole)).first().go
     problems = reports.verify_contract(values, ["metric", "other"]).collect()
     assert {(r.name, r.problem) for r in problems} == {("other", "missing"), ("value", "unexpected")}
 
 
+def test_risk_register(spark):
+    rows = [("A-UNI", 0.9, 0.3, 4)] * 4 + [("A-UNI", 0.9, 0.85, 9)] * 6 + [("A-BEH", 0.9, 0.9, 1)]
+    found = {r.family: r for r in reports.risk_register(spark.createDataFrame(rows, "family string, before double, after double, queries long"), ("D-ABSTAIN",)).collect()}
+    assert len(found) == len(reports.FAMILIES)
+    uni, beh, lex = found["A-UNI"], found["A-BEH"], found["A-LEX"]
+    assert (uni.success_rate, uni.likelihood, uni.risk, uni.median_queries, uni.uncontrolled, uni.controls_missing) == (0.4, "High", "High", 4.0, True, "D-NORM,D-ADVTRAIN")
+    assert (beh.likelihood, beh.risk, beh.controls_applied, beh.uncontrolled) == ("Very low", "Very low", "D-ABSTAIN", False)
+    assert (lex.success_rate, lex.risk) == (0.0, "Low")
+
+
+def test_ordered_totals_stand_outliers_and_ties(spark):
+    from mailsift.operators.quantiles import cumulated, quantiles
+
+    rng = np.random.default_rng(5)
+    a, b = np.concatenate([rng.random(3000), [1e9, -1e12, 0.5, 0.5]]), rng.normal(size=500).round(1)
+    rows = spark.createDataFrame([("a", float(v)) for v in a] + [("b", float(v)) for v in b] + [("c", None), (None, 1.0)], "g string, v double")
+    found = {r.g: r.q for r in quantiles(rows, "v", (0.0, 0.3, 0.5, 1.0), ("g",)).collect()}
+    for g, v in (("a", a), ("b", b)):
+        assert np.allclose(found[g], np.quantile(v, [0.0, 0.3, 0.5, 1.0]), rtol=1e-12)
+    assert quantiles(rows.filter("g = 'c'"), "v", (0.5,), ("g",)).count() == 0
+    each = rows.filter("g = 'b'").groupBy("v").agg(F.count("*").alias("n"))
+    assert all(r.n_upto == (b >= r.v).sum() for r in cumulated(each, "v", ("n",), descending=True).collect())
+    steps = [len(cumulated(rows.filter("g = 'a'").groupBy("v").agg(F.count("*").alias("n")), "v", ("n",)).collect())]
+    assert steps == [len(set(a))]
+
+
+def test_ks_takes_values_as_they_are(spark):
+    x, y = np.random.default_rng(1).random(400) / 1e4, np.random.default_rng(2).random(300) / 1e4 + 1e-5
+    frame = lambda v: spark.createDataFrame([("q", float(i)) for i in v], "quantity string, value double")
+    at = np.sort(np.concatenate([x, y]))
+    gap = np.abs(np.searchsorted(np.sort(x), at, "right") / 400 - np.searchsorted(np.sort(y), at, "right") / 300).max()
+    assert drift.ks(frame(x), frame(y)).first().ks == round(gap, 6)
+
+
 def test_purge_keeps_active(spark):
     decisions = spark.createDataFrame([(1, "2020-01-01"), (2, "2020-01-01"), (3, "2030-01-01")], "decision_id long, created_ts string").withColumn("created_ts", F.to_timestamp("created_ts"))
     cases = spark.createDataFrame([(1, "open"), (2, "resolved")], "decision_id long, state string")

@@ -14,18 +14,26 @@ ANCHOR = r"""(?is)<a\b[^>]*?href\s*=\s*["']?([^"'\s>]+)["']?[^>]*>(.*?)</a\s*>""
 BARE = r"""(?i)\b(?:https?://|www\.)[^\s<>"'`\]\)]+"""
 
 
+def _found(h: Column) -> Column:
+    anchors = F.arrays_zip(F.regexp_extract_all(h, F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all(h, F.lit(ANCHOR), 2).alias("label"))
+    plain = F.regexp_replace(h, r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    bare = F.transform(F.regexp_extract_all(plain, F.lit(BARE), 0), lambda u: F.struct(F.rtrim(u, F.lit(".,;:!?)]}>'\"")).alias("href"), F.lit("").alias("label")))
+    named = F.transform(anchors, lambda x: F.struct(x["href"].alias("href"), F.trim(F.regexp_replace(x["label"], "<[^>]*>", "")).alias("label")))
+    return F.array_distinct(F.filter(F.concat(named, bare), lambda x: ~x["href"].rlike(r"(?i)^(mailto:|tel:|javascript:|#)")))
+
+
+def hrefs(text: Column) -> Column:
+    """Targets of a text's anchors and its bare URLs, first seen first."""
+    return F.array_distinct(F.transform(_found(text), lambda x: x["href"]))
+
+
 def extract(pages: DataFrame, id: str = "page_id", html: str = "html", base: str | None = "url") -> DataFrame:
     """(id, pos, href, label): anchors, then bare URLs of the text, first seen first, without duplicates.
 
     Mail, phone, script and fragment anchors are passed over; relative ones stand below the page's URL.
     """
     h = F.coalesce(F.col(html), F.lit(""))
-    anchors = F.arrays_zip(F.regexp_extract_all(h, F.lit(ANCHOR), 1).alias("href"), F.regexp_extract_all(h, F.lit(ANCHOR), 2).alias("label"))
-    plain = F.regexp_replace(h, r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
-    bare = F.transform(F.regexp_extract_all(plain, F.lit(BARE), 0), lambda u: F.struct(F.rtrim(u, F.lit(".,;:!?)]}>'\"")).alias("href"), F.lit("").alias("label")))
-    named = F.transform(anchors, lambda x: F.struct(x["href"].alias("href"), F.trim(F.regexp_replace(x["label"], "<[^>]*>", "")).alias("label")))
-    kept = F.filter(F.concat(named, bare), lambda x: ~x["href"].rlike(r"(?i)^(mailto:|tel:|javascript:|#)"))
-    out = pages.select(F.col(id), *([F.col(base).alias("_base")] if base else []), F.posexplode(F.array_distinct(kept)).alias("pos", "x"))
+    out = pages.select(F.col(id), *([F.col(base).alias("_base")] if base else []), F.posexplode(_found(h)).alias("pos", "x"))
     href = F.col("x.href")
     if base:
         root = F.regexp_extract("_base", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0)

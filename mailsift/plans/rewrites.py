@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.operators import links, reports, rules
 from mailsift.operators import rewrites as R
-from mailsift.sources.tables import mails, table, view
+from mailsift.sources.sinks import shared_folder
+from mailsift.sources.tables import mails, spread, table, view
 
 from .catalogue import CONTROLS, query
 from .mail import rule_table
@@ -28,28 +31,39 @@ def scores(messages: DataFrame, id: str) -> DataFrame:
     return rules.rule_score(rule_table(messages, found, id), id).select(id, "score")
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All messages, and (message_id, rewrite, family, before, after); originals are scored beside the rewritten ones, in one pass."""
-    own = phishing(spark, sf_dir)
-    both = R.rewritten(own).unionByName(own.withColumn("rewrite", F.lit("")))
-    both = both.withColumn("_id", F.concat_ws("|", F.col("message_id").cast("string"), "rewrite"))
-    scored = scores(both, "_id").select(F.substring_index("_id", "|", 1).cast("long").alias("message_id"), F.substring_index("_id", "|", -1).alias("rewrite"), "score")
-    family = R.registry(spark).select("rewrite", "family")
-    # A message's scores meet once; there are at most as many of them as rewrites.
-    each = scored.groupBy("message_id").agg(F.max(F.when(F.col("rewrite") == "", F.col("score"))).alias("before"), F.array_agg(F.when(F.col("rewrite") != "", F.struct("rewrite", F.col("score").alias("after")))).alias("x"))
-    pairs = each.select("message_id", "before", F.explode("x").alias("x")).select("message_id", "before", "x.*")
-    return own, pairs.join(F.broadcast(family), "rewrite")
+_SCORED: dict[tuple[str, str], str] = {}
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(message_id, rewrite, score) of a folder's phishing messages, as they are ('') and rewritten.
+
+    Written once for a session and folder: the rewritten messages first, since links and features both read them, then their scores.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _SCORED:
+        path = f"{shared_folder(spark)}/rewrites-{uuid.uuid4().hex}"
+        own = phishing(spark, sf_dir)
+        both = R.rewritten(own).unionByName(own.withColumn("rewrite", F.lit("")))
+        both.withColumn("_id", F.concat_ws("|", F.col("message_id").cast("string"), "rewrite")).write.parquet(f"{path}/mails")
+        found = scores(spread(spark.read.parquet(f"{path}/mails")), "_id")
+        found.select(F.substring_index("_id", "|", 1).cast("long").alias("message_id"), F.substring_index("_id", "|", -1).alias("rewrite"), "score").write.parquet(f"{path}/scores")
+        _SCORED[key] = path
+    return spark.read.parquet(f"{_SCORED[key]}/scores")
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = scored(spark, sf_dir)
+    return R.paired(x.filter("rewrite = ''"), x.filter("rewrite <> ''"))
 
 
 @query("transform_sweep")
 def _(spark, d):
-    own, pairs = _pairs(spark, d)
-    return R.sweep(pairs, F.lit(own.count()))
+    return R.sweep(pairs(spark, d), scored(spark, d).filter("rewrite = ''").count())
 
 
 @query("robustness_register")
 def _(spark, d):
-    return reports.risk_register(R.worst_by_family(_pairs(spark, d)[1]), CONTROLS)
+    return reports.risk_register(R.worst_by_family(pairs(spark, d)), CONTROLS)
 
 
 @query("perturbed_messages")

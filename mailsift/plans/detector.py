@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.operators import detector as D
-from mailsift.operators import metrics
-from mailsift.sources.tables import mails, table
+from mailsift.operators import evidence, metrics
+from mailsift.sources.tables import mails, spread, table, view
 
+from . import mail
 from .catalogue import query
 
 _TRAINED: dict[tuple[str, str], D.Detector] = {}
@@ -58,3 +59,17 @@ def _(spark, d):
 @query("detector_occlusion")
 def _(spark, d):
     return D.occluded(trained(spark, d), spark)
+
+
+@query("detector_terms")
+def _(spark, d):
+    model = trained(spark, d)
+    return evidence.terms(model, spark, "m_words").unionByName(evidence.terms(model, spark, "m_chars"))
+
+
+@query("evidence_cards")
+def _(spark, d):
+    model, all_mails, all_links = trained(spark, d), mails(spark, d), spread(view(spark, d, "fx_links"))
+    ids = evidence.held(model, spark).select("message_id")
+    own, links = all_mails.join(ids, "message_id", "left_semi"), all_links.join(ids, "message_id", "left_semi")
+    return evidence.cards(model, own, links, mail.rule_table(own, links))

@@ -13,9 +13,9 @@ QUANTITIES = ("score", "latency_ms", "log_body_length", "recipient_count", "atta
 FLOOR, MINOR, MAJOR = 1e-4, 0.10, 0.25
 
 
-def monitored(decisions: DataFrame) -> DataFrame:
-    """The monitored quantities of each decision, as doubles."""
-    return decisions.withColumn("log_body_length", F.log1p("body_length")).select("decision_id", "created_ts", *(F.col(q).cast("double").alias(q) for q in QUANTITIES))
+def monitored(decisions: DataFrame, *more: str) -> DataFrame:
+    """The monitored quantities of each decision, as doubles, with further columns as they are."""
+    return decisions.withColumn("log_body_length", F.log1p("body_length")).select("decision_id", "created_ts", *more, *(F.col(q).cast("double").alias(q) for q in QUANTITIES))
 
 
 def long(rows: DataFrame) -> DataFrame:

@@ -164,19 +164,3 @@ def top_features(features: DataFrame, id: str, k: int = 5) -> DataFrame:
     order = F.slice(F.sort_array(pairs, asc=False), 1, k)
     x = features.select(id, F.posexplode(order).alias("place", "x"))
     return x.select(id, (F.col("place") + 1).alias("place"), "x.feature", "x.value")
-
-
-def bootstrap_thresholds(rows: DataFrame, group: str, value: str, rounds: int = 100, share: float = 0.25, bins: int = 10) -> DataFrame:
-    """One row: the 95th and 99th percentile of PSI between a held-out set of whole groups and the rest.
-
-    Rows are reduced to (group, bin) counts first; each round holds groups out by a seeded hash.
-    """
-    edges = quantiles(rows, value, tuple(i / bins for i in range(1, bins))).select(F.array_distinct("q").alias("edges"))
-    at = F.size(F.filter("edges", lambda e: e <= F.col(value)))
-    cells = rows.join(F.broadcast(edges), F.lit(True)).groupBy(group, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    each = cells.select("bin", "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.struct(r.alias("round"), (F.pmod(F.xxhash64(F.col(group), r), F.lit(10_000)) < int(share * 10_000)).alias("held")))).alias("x")).select("bin", "n", "x.*")
-    counts = each.groupBy("round", "bin").agg(F.sum(F.when(F.col("held"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("e"))
-    by = Window.partitionBy("round")
-    pa, pe = F.greatest(F.col("a") / F.sum("a").over(by), F.lit(1e-4)), F.greatest(F.col("e") / F.sum("e").over(by), F.lit(1e-4))
-    psi = counts.withColumn("pa", pa).withColumn("pe", pe).groupBy("round").agg(F.sum((F.col("pa") - F.col("pe")) * F.ln(F.col("pa") / F.col("pe"))).alias("psi"))
-    return psi.agg(F.round(F.greatest(F.expr("percentile(psi, 0.95)"), F.lit(0.10)), 6).alias("moderate"), F.round(F.greatest(F.expr("percentile(psi, 0.99)"), F.lit(0.25)), 6).alias("significant"))

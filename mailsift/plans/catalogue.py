@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from mailsift.functions import text as T
 from mailsift.functions import urls
 from mailsift.functions.refdata import ARCHIVE, BRAND_DOMAINS, BRANDS, CURRENCY, DISPOSABLE, DOCUMENT, EMOJI, ENTITY, EXECUTABLE, FREE_HOSTING, FREEMAIL, GREETED, HIDDEN_STYLE, IMPERATIVE, LEXICONS, MACRO, MAIL_ADDRESS, NUMBER, PASSWORD_INPUT, PHONE, RISKY_TLDS, SIGNED, UNSUBSCRIBE
-from mailsift.operators import behaviour, corpus, drift, links, messages, metrics, policy, reports, review, rules, workflow
+from mailsift.operators import behaviour, corpus, drift, drift_null, links, messages, metrics, policy, reports, review, rules, workflow
 from mailsift.operators.quantiles import quantiles
 from mailsift.sources import mail as mail_source
 from mailsift.sources.tables import ctes, mails, table, view, spread
@@ -1016,7 +1016,7 @@ def _(spark, d):
 
 @query("drift_null_thresholds")
 def _(spark, d):
-    return reports.bootstrap_thresholds(view(spark, d, "fx_decisions"), "sender_domain", "latency_ms")
+    return drift_null.null_thresholds(drift.monitored(view(spark, d, "fx_decisions"), "sender_domain"), "sender_domain", drift.QUANTITIES, window=400)
 
 
 @query("rule_evidence")

@@ -1057,4 +1057,4 @@ def _(spark, d):
     return policy.policy_regret(view(spark, d, "fx_scored"), 0.4, 0.8)
 
 
-from . import detector, queue, rewrites, scoring  # noqa: E402, F401  they register their queries
+from . import detector, queue, rewrites, scoring, splits  # noqa: E402, F401  they register their queries

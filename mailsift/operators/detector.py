@@ -53,6 +53,7 @@ class Detector(NamedTuple):
         return spark.read.parquet(f"{self.path}/rows")
 
     def member(self, name: str) -> PipelineModel:
+        models.with_functions(SparkSession.active())
         return PipelineModel.load(f"{self.path}/{name}")
 
 

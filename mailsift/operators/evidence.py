@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, HashingTF, IDFModel
+from pyspark.ml.feature import CountVectorizerModel, IDFModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from mailsift.functions.refdata import FEATURE_FAMILIES, FEATURE_PHRASES, RULES
 from mailsift.functions.text import strings
 
 from . import detector as D
+from . import models
 
 DISAGREE, RULES_SHOWN, FEATURES_SHOWN, TERMS_SHOWN = 0.25, 6, 6, 4
 ITEM = ("message_id", "ord", "kind", "id", "title", "detail", "direction", "weight")
@@ -56,17 +57,15 @@ def term_contributions(model: PipelineModel, rows: DataFrame, id: str, k: int) -
     idf = next(s for s in model.stages if isinstance(s, IDFModel)).idf.toArray()
     weights = model.stages[-1].coefficients.toArray()
     vocabulary = next((s.vocabulary for s in model.stages if isinstance(s, CountVectorizerModel)), None)
-    terms = model.transform(rows).select(id, F.explode(F.array_distinct("_terms")).alias("term"))
     spark = rows.sparkSession
     if vocabulary is not None:
+        terms = model.transform(rows).select(id, F.explode(F.array_distinct("_terms")).alias("term"))
         entries = spark.createDataFrame([(t, float(i), float(w)) for t, i, w in zip(vocabulary, idf, weights, strict=True)], "term string, idf double, w double")
         x = terms.distinct().join(F.broadcast(entries), "term")
     else:
         entries = spark.createDataFrame([(n, float(i), float(w)) for n, (i, w) in enumerate(zip(idf, weights, strict=True)) if i > 0], "at int, idf double, w double")
-        hashing = next(s for s in model.stages if isinstance(s, HashingTF))
-        x = hashing.transform(terms.withColumn(hashing.getInputCol(), F.array("term"))).withColumn("at", F.unwrap_udt(hashing.getOutputCol())["indices"][0])
+        x = rows.select(id, F.explode(models.char_fragments(F.col("text"), len(idf))).alias("f")).select(id, "f.*")
         x = x.groupBy(id, "at").agg(F.min("term").alias("term")).join(F.broadcast(entries), "at")
-        x = x.withColumn("term", F.regexp_replace("term", r"(?s)(.) ", "$1"))  # n-grams of characters are joined by spaces
     share = F.col("w") * F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(id)))
     x = x.withColumn("contribution", share)
     order = Window.partitionBy(id).orderBy(F.desc(F.abs("contribution")), "term")

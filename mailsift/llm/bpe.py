@@ -34,6 +34,8 @@ from .common import map_batches, table
 
 #: Words and runs up to this many characters are remembered with their tokens; so many of each at most, in two generations.
 MEMO_BYTES, MEMO_WORDS = 48, 200_000
+#: The states of so many beginnings of words, of so many bytes, are remembered.
+HEAD, HEADS = 5, 20_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -69,6 +71,7 @@ class Transducer:
         self.token: list[int] = [-1, -1]
         self.lookahead = max(self._plant(0, inner, "", byte), self._plant(1, final, self.end, byte))
         self.fits: dict[int, bool] = {}
+        self.heads: dict[bytes, tuple[tuple[int, ...], tuple[int, ...]]] = {}  # where the first bytes of words lead
 
     def _plant(self, root: int, tokens: list[str], tail: str, byte: dict[str, int]) -> int:
         """Adds tokens to a trie; the length of the longest."""
@@ -129,6 +132,36 @@ class Transducer:
             self._step(text, start, last, held, 1)
             yield from self._path(start, last, len(text))
 
+    def short(self, word: bytes) -> list[int]:
+        """Token ids of a word of a few bytes, held whole: the same steps, with nothing to emit before its end."""
+        following, token, fits = self.next.get, self.token, self.fits.get
+        end = len(word) - 1
+        known = self.heads.get(word[:HEAD]) if end >= HEAD else None
+        start, last = ([*known[0]], [*known[1]]) if known else ([-1], [self.none])
+        for i in range(len(start) - 1, end + 1):
+            node = i == end
+            if i == HEAD and known is None:
+                if len(self.heads) >= HEADS:
+                    self.heads.clear()
+                self.heads[word[:HEAD]] = tuple(start), tuple(last)
+            for at in range(i, -1, -1):
+                node = following(node << 8 | word[at])
+                if node is None:
+                    start.append(-2)
+                    last.append(self.none)
+                    break
+                t = token[node]
+                if t >= 0 and start[at] != -2:
+                    good = fits(last[at] << 20 | t)
+                    if good or (good is None and self._agree(last[at], t)):
+                        start.append(at)
+                        last.append(t)
+                        break
+            else:
+                start.append(-2)
+                last.append(self.none)
+        return self._path(start, last, end + 1)
+
     def _step(self, text: list[int], start: list[int], last: list[int], byte: int, root: int) -> None:
         text.append(byte)
         node, following, token, fits = root, self.next, self.token, self.fits
@@ -191,10 +224,13 @@ class Tokenizer:
 
     def word(self, word: str) -> tuple[str, str]:
         """ids and tokens of one word, each joined by spaces."""
-        found = list(self.machine.tokens(word.encode("utf-8")))
+        data = word.encode("utf-8")
+        if len(data) <= MEMO_BYTES:
+            found, names = self.machine.short(data), self.names
+            return " ".join(map(str, found)), " ".join([names[t] for t in found])
+        found = list(self.machine.tokens(data))
         decoder = Decoder(self, joined=True)
-        out = " ".join(map(str, found)), "".join([decoder.feed(t) for t in found]) + decoder.close()
-        return out
+        return " ".join(map(str, found)), "".join([decoder.feed(t) for t in found]) + decoder.close()
 
     def run(self, run: str) -> tuple[str, str]:
         """ids and tokens of a run of characters without white space, each joined by spaces."""
@@ -208,8 +244,11 @@ class Tokenizer:
 
     def pieces(self, text: str) -> Iterator[tuple[str, str]]:
         """(ids, tokens) of each run and added token of a text."""
+        return self._parted(text) if self.special and "<|" in text else self._runs(text)
+
+    def _parted(self, text: str) -> Iterator[tuple[str, str]]:
         at = 0
-        for m in self.special.finditer(text) if self.special and "<|" in text else ():
+        for m in self.special.finditer(text):
             yield from self._runs(text[at : m.start()])
             yield str(self.added[m[0]]), m[0]
             at = m.end()

@@ -52,20 +52,18 @@ def term_contributions(model: PipelineModel, rows: DataFrame, id: str, k: int) -
 
     A contribution is the term's weight times its inverse document frequency over the length of the row's
     vector. What is broadcast has a row an entry of the member's vocabulary, or of its hashed space.
-    Of fragments of one hash the first by name stands for all; fragments come as they stand in the text.
+    Of fragments of one hash the first by name stands for all; fragments come as they stand in the text, and
+    each row's are weighed where it is read, so none but the k are written or moved.
     """
     idf = next(s for s in model.stages if isinstance(s, IDFModel)).idf.toArray()
     weights = model.stages[-1].coefficients.toArray()
     vocabulary = next((s.vocabulary for s in model.stages if isinstance(s, CountVectorizerModel)), None)
-    spark = rows.sparkSession
-    if vocabulary is not None:
-        terms = model.transform(rows).select(id, F.explode(F.array_distinct("_terms")).alias("term"))
-        entries = spark.createDataFrame([(t, float(i), float(w)) for t, i, w in zip(vocabulary, idf, weights, strict=True)], "term string, idf double, w double")
-        x = terms.distinct().join(F.broadcast(entries), "term")
-    else:
-        entries = spark.createDataFrame([(n, float(i), float(w)) for n, (i, w) in enumerate(zip(idf, weights, strict=True)) if i > 0], "at int, idf double, w double")
-        x = rows.select(id, F.explode(models.char_fragments(F.col("text"), len(idf))).alias("f")).select(id, "f.*")
-        x = x.groupBy(id, "at").agg(F.min("term").alias("term")).join(F.broadcast(entries), "at")
+    if vocabulary is None:
+        x = rows.select(id, F.explode(models.char_contributions(F.col("text"), idf, weights, k)).alias("x"))
+        return x.select(id, "x.term", F.round("x.contribution", 5).alias("contribution"), "x.place")
+    terms = model.transform(rows).select(id, F.explode(F.array_distinct("_terms")).alias("term"))
+    entries = rows.sparkSession.createDataFrame([(t, float(i), float(w)) for t, i, w in zip(vocabulary, idf, weights, strict=True)], "term string, idf double, w double")
+    x = terms.distinct().join(F.broadcast(entries), "term")
     share = F.col("w") * F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(id)))
     x = x.withColumn("contribution", share)
     order = Window.partitionBy(id).orderBy(F.desc(F.abs("contribution")), "term")

@@ -7,7 +7,9 @@ updates (``updates``) and the stream's fold (``streaming.state``) all read it.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,18 +89,22 @@ def updates(cases: DataFrame, requests: DataFrame, size: int = SLICE) -> DataFra
     x = x.groupBy("case_id", "_first", F.floor(F.col("request_id") / size).alias("_slice")).agg(F.array_sort(F.collect_list(F.struct("request_id", "expected", "next"))).alias("_r"))
     maps = x.select("case_id", "_first", "_slice", *(F.expr(_run("_r", f"'{s}'")).alias(f"from_{s}") for s in STATES))
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_slice")
-        state, found = rows["_first"].iloc[0], []
-        table = rows[[f"from_{s}" for s in STATES]].to_numpy()
-        at = {s: i for i, s in enumerate(STATES)}
-        for row in table:
-            found.append(state)
-            state = row[at[state]] if state in at else state
-        return pd.DataFrame({"case_id": rows["case_id"], "_slice": rows["_slice"], "_start": found})
+    at = {s: i for i, s in enumerate(STATES)}
+
+    def chain(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of whole cases in order: a case begins in its first state, and its next slice where the one before it leads."""
+        last, state = (), None
+        for part in parts:
+            firsts, leads, found = part.column("_first").to_pylist(), [part.column(f"from_{s}").to_pylist() for s in STATES], []
+            for i, case in enumerate(part.column("case_id").to_pylist()):
+                if (case,) != last:
+                    last, state = (case,), firsts[i]
+                found.append(state)
+                state = leads[at[state]][i] if state in at else state
+            yield pa.RecordBatch.from_arrays([part.column("case_id"), part.column("_slice"), pa.array(found, pa.string())], ["case_id", "_slice", "_start"])
 
     kind = requests.schema["case_id"].dataType.simpleString()
-    starts = maps.groupBy("case_id").applyInPandas(chain, f"case_id {kind}, _slice long, _start string")
+    starts = maps.repartition("case_id").sortWithinPartitions("case_id", "_slice").mapInArrow(chain, f"case_id {kind}, _slice long, _start string")
     step = "named_struct('s', if(r.expected = a.s, r.next, a.s), 'o', concat(a.o, array(struct(r.request_id as request_id, a.s as before, coalesce(r.expected = a.s, false) as applied))))"
     empty = "cast(array() as array<struct<request_id:{0},before:string,applied:boolean>>)".format(requests.schema["request_id"].dataType.simpleString())
     replayed = x.join(starts, ["case_id", "_slice"]).withColumn("_o", F.expr(f"aggregate(_r, named_struct('s', _start, 'o', {empty}), (a, r) -> {step}, a -> arrays_zip(a.o, _r))"))

@@ -33,6 +33,15 @@ def test_three_updates_of_one_case(spark):
     assert [(x.state, x.applied, x.new_state) for x in got] == [("open", True, "in_review"), ("in_review", True, "escalated"), ("escalated", True, "resolved"), ("resolved", False, "resolved")]
 
 
+def test_many_cases_are_not_one_python_call_each(spark):
+    r = random.Random(2)
+    cases = [(i, r.choice(W.STATES)) for i in range(3000)]
+    requests = [(i, r.randrange(3000), r.choice(W.STATES), r.choice(W.STATES)) for i in range(9000)]
+    got = W.updates(spark.createDataFrame(cases, "case_id long, state string"), spark.createDataFrame(requests, "request_id long, case_id long, expected string, next string").repartition(5), 100)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {x.request_id: (x.case_id, x.state, x.applied, x.new_state, x.refused) for x in got.collect()} == plain(cases, requests)
+
+
 def test_stream_and_tables_have_one_machine(spark):
     for action, (states, to) in W.NEXT.items():
         rows = [(s, action, "admin", True, "note", "released", 0.9) for s in W.STATES]

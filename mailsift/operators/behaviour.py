@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import cumulated
+
 HOUR = 3600
 
 
@@ -47,14 +49,17 @@ def alias_counts(log: DataFrame) -> DataFrame:
 
 
 def running_aliases(log: DataFrame) -> DataFrame:
-    """Distinct senders seen behind a message's display name up to it: first messages of a (name, sender), added up over time."""
-    x = log.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    first = x.groupBy("display_name", "sender").agg(F.min("t").alias("t")).groupBy("display_name", "t").agg(F.count(F.lit(1)).alias("n"))
-    seen = first.withColumn("display_name_alias_count", F.sum("n").over(Window.partitionBy("display_name").orderBy("t")))
-    upto = seen.withColumn("until", F.coalesce(F.lead("t").over(Window.partitionBy("display_name").orderBy("t")), F.lit(2**62)))
-    # A name has few senders, so its steps are a small side of the join.
-    on = (x["display_name"] == upto["display_name"]) & (x["t"] >= upto["t"]) & (x["t"] < upto["until"])
-    return x.join(upto, on).select("msg_id", "display_name_alias_count")
+    """Distinct senders seen behind a message's display name up to it: first messages of a (name, sender), added up over time.
+
+    A message looks its own time up among its name's running totals, so neither many senders of a name nor many messages of it meet each other.
+    Messages without a name or a time have seen nobody; a null sender is nobody.
+    """
+    x = log.select("msg_id", "display_name", "sender", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    seen = x.filter("display_name is not null and t is not null")
+    first = seen.groupBy("display_name", "sender").agg(F.min("t").alias("t"), F.first(F.col("sender").isNotNull().cast("long")).alias("n"))
+    each = first.select("display_name", "t", "n").unionByName(seen.select("display_name", "t", F.lit(0).cast("long").alias("n"))).groupBy("display_name", "t").agg(F.sum("n").alias("n"))
+    upto = cumulated(each, "t", ("n",), ("display_name",)).select("display_name", "t", "n_upto")
+    return x.join(upto, ["display_name", "t"], "left").select("msg_id", F.coalesce("n_upto", F.lit(0)).alias("display_name_alias_count"))
 
 
 def domain_age(log: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from mailsift.operators import corpus, drift, metrics, policy, reports, review
+from mailsift.operators import behaviour, corpus, drift, metrics, policy, reports, review
 from mailsift.sources.tables import view
 
 SF = "/root/testdata/sf0.001"
@@ -69,6 +69,13 @@ def test_splits(spark):
     assert auc["label"] == (1.0, True)
 
 
+def test_running_aliases_of_odd_rows(spark):
+    rows = [(1, "n", 1, 10), (2, "n", 2, 10), (3, "n", 1, 20), (4, "n", None, 30), (5, "n", 3, 40), (6, "n", 3, None), (7, None, 4, 50), (8, "m", 5, 5)]
+    log = spark.createDataFrame(rows, "msg_id long, display_name string, sender long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = behaviour.running_aliases(log)
+    assert {x.msg_id: x.display_name_alias_count for x in got.collect()} == {1: 2, 2: 2, 3: 2, 4: 2, 5: 3, 6: 0, 7: 0, 8: 1}
+
+
 def test_near_duplicates(spark):
     text = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the dark wood " * 3
     docs = spark.createDataFrame([(1, text), (2, text + "x"), (3, "something else entirely, of no likeness"), (4, None), (5, "")], "doc_id long, text string")

@@ -9,9 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailsift.sources.sinks import written
+
 from .quantiles import cumulated, quantiles
 
 PERMUTATIONS, BANDS, ROWS, SHINGLE, NEAR = 64, 16, 4, 5, 0.85
+#: Shingles that are permuted at a time: their numbers stay in a core's cache.
+CHUNK = 512
 LEAK_AUC, DRIFT = 0.985, 0.08
 
 
@@ -37,6 +41,7 @@ def minhash(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
     a, b = (r.integers(1, 2**61, PERMUTATIONS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y = (np.empty((CHUNK, PERMUTATIONS), np.uint64) for _ in range(2))
         for f in frames:
             out = []
             for t in f.t:
@@ -49,11 +54,17 @@ def minhash(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
                     h = (h * np.uint64(1_000_003)) ^ points[i : i + n]
                 h = np.unique(h)
                 low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(h), 4096):
-                    x = h[at : at + 4096, None] * a + b
-                    x ^= x >> np.uint64(29)
-                    x *= np.uint64(0xBF58476D1CE4E5B9)
-                    low = np.minimum(low, (x ^ (x >> np.uint64(32))).min(axis=0))
+                for at in range(0, len(h), CHUNK):
+                    some = h[at : at + CHUNK, None]
+                    u, v = x[: len(some)], y[: len(some)]
+                    np.multiply(some, a, out=u)
+                    u += b
+                    np.right_shift(u, np.uint64(29), out=v)
+                    u ^= v
+                    u *= np.uint64(0xBF58476D1CE4E5B9)
+                    np.right_shift(u, np.uint64(32), out=v)
+                    u ^= v
+                    np.minimum(low, u.min(axis=0), out=low)
                 out.append(low.view(np.int64))
             yield pd.DataFrame({"id": f.id, "signature": out})
 
@@ -71,7 +82,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", thr
     """
     signed = minhash(docs, text, id)
     name = F.struct(F.xxhash64("signature"), F.hash("signature"))
-    signed = signed.withColumn("name", name)
+    signed = written(signed.withColumn("name", name), "signatures")  # read three times, made once
     first = signed.groupBy("name").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     copies = signed.select("id", "name").join(first.filter("n > 1"), "name").filter("id <> first_id").select("id", "first_id", F.lit(1.0).alias("similarity"))
     reps = signed.groupBy("name").agg(F.min_by("signature", "id").alias("signature"), F.min("id").alias("id")).drop("name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, computed once and read from there; removed when the session's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append_decisions(decisions: DataFrame, path: str) -> None:
     """Decisions without content, by day; evidence is cut to six titles of 200 characters, references to 128."""
     x = decisions

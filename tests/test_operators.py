@@ -76,6 +76,23 @@ def test_running_aliases_of_odd_rows(spark):
     assert {x.msg_id: x.display_name_alias_count for x in got.collect()} == {1: 2, 2: 2, 3: 2, 4: 2, 5: 3, 6: 0, 7: 0, 8: 1}
 
 
+def test_signatures_are_made_once_and_chunks_change_nothing(spark):
+    text = " ".join(f"word{i * 7919 % 10007}" for i in range(900))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, "ab"), (4, None)], "doc_id int, text string")
+    made = {r.id: r.signature for r in corpus.minhash(docs).collect()}
+    rng = np.random.default_rng(64)
+    a, b = (rng.integers(1, 2**61, 64, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+    points, h = np.array([ord(c) for c in text], np.uint64), np.uint64(0)
+    for i in range(5):
+        h = h * np.uint64(1_000_003) ^ points[i : len(points) - 4 + i]
+    x = np.unique(h)[:, None] * a + b
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    assert made[1] == (x ^ (x >> np.uint64(32))).min(axis=0).view(np.int64).tolist() and sorted(made) == [1, 2, 3]
+    found = corpus.near_duplicates(docs)
+    assert "MapInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.id, r.first_id) for r in found.collect()] == [(2, 1)]
+
+
 def test_near_duplicates(spark):
     text = "the quick brown fox jumps over the lazy dog and runs away from the big bad wolf in the dark wood " * 3
     docs = spark.createDataFrame([(1, text), (2, text + "x"), (3, "something else entirely, of no likeness"), (4, None), (5, "")], "doc_id long, text string")

@@ -45,6 +45,8 @@ from .common import NO_ID, batches, cut, digests, keyed, map_batches, mix, packe
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 SMALL, CELLS = 16, 1 << 20
+#: Bits of a table that tells most documents without company from the others: 2 MB, at any size of the corpus.
+MARKS = 1 << 24
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,11 +128,31 @@ def signatures(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
     return map_batches(rows.select("_d", "_h", "_text"), run, "_d long, _h long, size long, w1 long, w2 long, bands array<long>")
 
 
-def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(id, items): a document's shingles, each occurrence with its number, as 64-bit hashes."""
+def _cell(d: str, h: str) -> Column:
+    return F.pmod(F.xxhash64(d, h), F.lit(MARKS)).cast("int").alias("cell")
+
+
+def marks(ids: DataFrame) -> np.ndarray:
+    """One bit for each class of hashes of (id): whether an id is in it."""
+    cells = ids.select(_cell("id.d", "id.h"))
+    found = cells.groupBy(F.shiftright("cell", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cell & 63))").alias("bits")).toArrow()
+    out = np.zeros(MARKS // 64, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def shingle_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items) of the documents in ids, once each: their shingles, each occurrence with its number, as 64-bit hashes.
+
+    Texts are passed over where they are read, by marks of ids, so that none is shuffled; what is marked by
+    chance goes in the join by ids.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(marks(ids))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
+            cell = part.column("cell").to_numpy()
+            part = part.filter(pa.array((shared.value[cell >> 6] >> (cell & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             d, h = part.column("_d"), part.column("_h")
             for i, j, data, offsets in batches(part.column("_text")):
                 owner, value, count = bags(data, offsets)
@@ -139,7 +161,8 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner, count, minlength=j - i))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([d.slice(i, j - i), h.slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(items.view(np.int64)))], ["d", "h", "items"])
 
-    return map_batches(rows.select("_d", "_h", "_text"), run, "d long, h long, items array<long>").select(F.struct("d", "h").alias("id"), "items")
+    sets = map_batches(rows.select("_d", "_h", "_text", _cell("_d", "_h")), run, "d long, h long, items array<long>").select(F.struct("d", "h").alias("id"), "items")
+    return sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,8 +204,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     star = members.join(heads, "key").filter((F.col("id") != F.col("head.id")) & fits(F.col("size"), F.col("head.size")))
     star = cut(star.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct(), "star")
     # Sets of documents in company, read once and kept as a table: every verification takes them from there.
-    wanted = members.select(F.col("id.d").alias("_d"), F.col("id.h").alias("_h")).distinct()
-    sets = cut(shingle_sets(rows.join(wanted, ["_d", "_h"], "left_semi")).dropDuplicates(["id"]), "sets")
+    sets = cut(shingle_sets(rows, members.select("id").distinct()), "sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         x = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")

@@ -625,3 +625,17 @@ def test_html_heading_in_deep_elements():
     p = "<p>%s</p>" % ("Plain sentences of an article, long enough to be its text. " * 4)
     page = f"<html><body><h1><span><a href='#'><b><i><em>The title</em></i></b></a></span></h1>{p * 3}</body></html>"
     assert html.main_text(page).startswith("The title")
+
+
+def test_sets_of_documents_in_company_need_no_shuffle_of_texts(spark):
+    from mailsift.llm import neardup
+    from mailsift.llm.common import keyed
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + j}" for j in range(12))) for i in range(40)], "doc_id long, text string")
+    rows = keyed(docs)
+    ids = rows.filter("_d % 4 = 0").select(F.struct(F.col("_d").alias("d"), F.col("_h").alias("h")).alias("id"))
+    sets = neardup.shingle_sets(rows.union(rows), ids)
+    got = {r.id.d: sorted(r.items) for r in sets.collect()}
+    assert sorted(got) == list(range(0, 40, 4)) and all(len(x) == 8 for x in got.values()) and set(got[0]) & set(got[4])
+    assert sets.count() == 10 and neardup.shingle_sets(rows, ids.filter("false")).count() == 0
+    assert sum(bin(int(x)).count("1") for x in neardup.marks(ids)) == 10

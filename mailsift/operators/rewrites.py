@@ -417,23 +417,25 @@ def registered(links: Column) -> Column:
 
 
 def valid(x: DataFrame) -> DataFrame:
-    """x, made by ``applied``, with ``valid``: whether the changed message is still a working lure.
+    """x, made by ``applied``, with ``valid``: whether the message changed and is still a working lure.
 
     A link must lead where one of the original's led, be shortened or stand on a platform that content moves to; without links a number to call or a code
     to scan must be left. Something must still be asked for, and the message may not shrink to a quarter (without links, the body to 35 %).
     """
     links = lambda p: hrefs(F.concat_ws("\n", f"{p}html", f"{p}body"))
-    y = urls.settled(x.withColumns({"_old": links("_o_"), "_new": links("")}))
+    # Links are looked for only where something changed and something is asked for.
+    may = F.col("changed") & F.concat_ws(" ", *TEXTS).rlike(ASKS)
+    y = urls.settled(x.withColumn("_may", F.coalesce(may, F.lit(False))))
+    y = urls.settled(y.withColumns({k: F.when(F.col("_may"), links(p)) for k, p in (("_old", "_o_"), ("_new", ""))}))
     y = urls.settled(y.withColumns({"_from": destinations(F.col("_old")), "_to": destinations(F.col("_new")), "_direct": registered(F.col("_new"))}))
-    asks = F.concat_ws(" ", *TEXTS).rlike(ASKS)
     size = lambda p: F.char_length(f"{p}subject") + F.char_length(F.trim(f"{p}body")) + F.char_length(f"{p}html")
     moved = F.exists("_direct", lambda h: among(h, SHORTENING + RELOCATED)) | F.exists("_new", lambda u: F.coalesce(*(F.when(F.contains(u, F.lit(r.split("/")[0])), F.lit(True)) for r in REDIRECTORS), F.lit(False)))
     reached = moved | (F.size("_from") == 0) | F.arrays_overlap("_from", "_to")
     whole = size("") >= F.greatest(F.lit(20), F.floor(size("_o_") * 0.25))
     body = F.char_length(F.trim("body")) >= F.greatest(F.lit(40), F.floor(F.char_length("_o_body") * 0.35))
     gone = F.concat_ws(" ", "body", "html").rlike(OUT_OF_BAND) & body
-    ok = asks & F.when(F.size("_old") == 0, whole).when(F.size("_new") == 0, gone).otherwise(reached & whole)
-    return y.withColumn("valid", ok).drop("_old", "_new", "_from", "_to", "_direct", "_first", *(f"_o_{c}" for c in TEXTS))
+    ok = F.col("_may") & F.when(F.size("_old") == 0, whole).when(F.size("_new") == 0, gone).otherwise(reached & whole)
+    return y.withColumn("valid", ok).drop("_old", "_new", "_from", "_to", "_direct", "_first", "_may", *(f"_o_{c}" for c in TEXTS))
 
 
 def rewritten(messages: DataFrame, rewrites: Iterable[Rewrite] = REWRITES, id: str = "message_id", seed: int = 11) -> DataFrame:

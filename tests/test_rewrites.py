@@ -88,3 +88,10 @@ def test_sweep(spark):
     assert (got["A-LEX-01"].evasion_rate, got["A-BEH-01"].applicable) == (0.0, 0)
     worst = {(r.message_id, r.family): (r.after, r.queries) for r in R.worst_by_family(pairs).collect()}
     assert worst[0, "A-UNI"] == (0.4, 1) and worst[0, "A-LEX"] == (0.9, 1)
+
+
+def test_what_did_not_change_is_no_rewrite(spark):
+    body = f"please verify at {LINK} and then go on with the rest"
+    rows = [(changed, "Notice", body, "", "Notice", body, "") for changed in (True, False, None)]
+    x = spark.createDataFrame(rows, "changed boolean, subject string, body string, html string, _o_subject string, _o_body string, _o_html string").withColumn("_first", F.lit(""))
+    assert {r.changed: r.valid for r in R.valid(x).collect()} == {True: True, False: False, None: False}

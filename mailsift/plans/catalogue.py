@@ -749,7 +749,7 @@ def _(spark, d):
 @query("canonical_text")
 def _(spark, d):
     x = T.with_canonical(table(spark, d, "documents"), {"clean": F.col("text")}).withColumn("counts", T.char_counts("text"))
-    return x.select("doc_id", F.sha2("clean", 256).alias("canonical_sha256"), *(v.cast("double").alias(k) for k, v in T.obfuscation(F.col("text"), F.col("clean"), F.col("counts")).items()))
+    return x.select("doc_id", F.sha2("clean", 256).alias("canonical_sha256"), *(v.cast("double").alias(k) for k, v in T.obfuscation(F.col("text"), F.col("clean"), F.col("counts"), F.col("clean_hints")).items()))
 
 
 @query("message_features")

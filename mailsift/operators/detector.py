@@ -4,7 +4,8 @@
    (null where there is none) and its pool. It is written, so no fit works out a feature twice.
 2. Whole groups are dealt to four disjoint pools by a hash: ``fit`` trains the members, ``stack`` their
    fusion, ``cal`` the calibration and the thresholds, ``test`` is only scored.
-3. ``train`` writes the fitted stages, and the scores of every message, labelled or not.
+3. ``train`` writes the fitted stages, and the scores of the messages with labels. Those of all others are
+   worked out and written when they are first asked for: no fit and no measure of quality reads them.
 
 What comes to the driver are weights, thresholds and counts; sizes are those of hashed feature spaces.
 
@@ -16,6 +17,7 @@ leaves its stage out: scores are then the members' mean, or uncalibrated, and th
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
@@ -44,13 +46,24 @@ class Detector(NamedTuple):
     block: float
     reason: str
     calibration: str  # isotonic, platt or none
+    rest: list[Callable[[], None]]  # what writes the rows and scores of messages without label, until it is done
 
     def scores(self, spark: SparkSession) -> DataFrame:
         """(message_id, y, pool, the members' scores, raw, score) of every message."""
-        return spark.read.parquet(f"{self.path}/scores")
+        return self._whole(spark, "scores")
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/rows")
+        return self._whole(spark, "rows")
+
+    def labelled(self, spark: SparkSession) -> DataFrame:
+        """The scores of messages with labels, among them all that any stage was fitted on."""
+        return spark.read.parquet(f"{self.path}/scores/labelled")
+
+    def _whole(self, spark: SparkSession, name: str) -> DataFrame:
+        while self.rest:
+            self.rest[-1]()
+            self.rest.pop()
+        return spark.read.parquet(f"{self.path}/{name}/labelled", f"{self.path}/{name}/rest")
 
     def member(self, name: str) -> PipelineModel:
         models.with_functions(SparkSession.active())
@@ -66,13 +79,12 @@ def pooled(rows: DataFrame, group: str) -> DataFrame:
     return rows.withColumn("pool", pool)
 
 
-def feature_table(mails: DataFrame, labels: DataFrame) -> DataFrame:
-    """(message_id, y, pool, text, features): labels has message_id and y. Groups are equal canonical texts, so copies share a pool."""
+def feature_table(mails: DataFrame) -> DataFrame:
+    """(message_id, y, pool, text, features) of messages with their labels in y. Groups are equal canonical texts, so copies share a pool."""
     x = messages.prepared(mails)
     own = {k: F.round(v, 6) for k, v in messages.columns(*FAMILIES).items()}
-    x = x.select("message_id", F.col("_canon").alias("text"), *(v.alias(k) for k, v in own.items()))
-    truth = labels.filter("message_id is not null and y is not null").groupBy("message_id").agg(F.max(F.col("y").cast("double")).alias("y"))
-    return pooled(x.join(truth, "message_id", "left").withColumn("_g", F.sha2("text", 256)), "_g").drop("_g")
+    x = x.select("message_id", F.col("_canon").alias("text"), *(v.alias(k) for k, v in own.items()), "y")
+    return pooled(x.withColumn("_g", F.sha2("text", 256)), "_g").drop("_g")
 
 
 def _both(rows: DataFrame, least: int = 1) -> bool:
@@ -128,13 +140,14 @@ def fuse_columns(weights: dict[str, float]):
 
 
 def train(mails: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, features: int = 1 << 16) -> Detector:
-    """Fits and writes a detector, and scores every message with it."""
+    """Fits and writes a detector, and scores every message with a label; the others are scored once they are asked for."""
     spark = mails.sparkSession
     path = f"{shared_folder(spark)}/detector-{uuid.uuid4().hex}"
-    feature_table(mails, labels).write.parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
+    truth = labels.filter("message_id is not null and y is not null").groupBy("message_id").agg(F.max(F.col("y").cast("double")).alias("y"))
+    feature_table(mails.drop("y").join(truth, "message_id")).write.parquet(f"{path}/rows/labelled")
+    rows = spark.read.parquet(f"{path}/rows/labelled")
     columns = [c for c in rows.columns if c not in ("message_id", "y", "pool", "text")]
-    fit = rows.filter("pool = 'fit' and y is not null")
+    fit = rows.filter("pool = 'fit'")
     if not _both(fit):
         raise ValueError("the rows to fit hold one class only")
     weighted = models.balanced(fit).cache()
@@ -147,13 +160,20 @@ def train(mails: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4,
     weighted.unpersist()
     models.member_scores(fitted, rows, ["message_id", "y", "pool"]).write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
-    known = members.filter("y is not null")
-    weights, fuse = fused_by(known.filter("pool = 'stack'"))
-    cal = fuse(known.filter("pool = 'cal'"))
-    kind, calibrate = calibrated(cal)
-    calibrate(fuse(members)).select("message_id", "y", "pool", *MEMBERS, "raw", "score").write.parquet(f"{path}/scores")
-    review, block, reason = models.thresholds(spark.read.parquet(f"{path}/scores").filter("pool = 'cal' and y is not null"))
-    return Detector(path, weights, float(review), float(block), reason, kind)
+    weights, fuse = fused_by(members.filter("pool = 'stack'"))
+    kind, calibrate = calibrated(fuse(members.filter("pool = 'cal'")))
+
+    def write(scored: DataFrame, part: str) -> None:
+        calibrate(fuse(scored)).select("message_id", "y", "pool", *MEMBERS, "raw", "score").write.mode("overwrite").parquet(f"{path}/scores/{part}")
+
+    def rest() -> None:
+        others = mails.drop("y").join(truth.select("message_id"), "message_id", "left_anti").withColumn("y", F.lit(None).cast("double"))
+        feature_table(others).write.mode("overwrite").parquet(f"{path}/rows/rest")
+        write(models.member_scores(fitted, spark.read.schema(rows.schema).parquet(f"{path}/rows/rest"), ["message_id", "y", "pool"]), "rest")
+
+    write(members, "labelled")
+    review, block, reason = models.thresholds(spark.read.parquet(f"{path}/scores/labelled").filter("pool = 'cal'"))
+    return Detector(path, weights, float(review), float(block), reason, kind, [rest])
 
 
 def quality(scored: DataFrame, systems: dict[str, str], bins: int = 15) -> DataFrame:
@@ -172,7 +192,7 @@ def quality(scored: DataFrame, systems: dict[str, str], bins: int = 15) -> DataF
 
 def without_each(detector: Detector, spark: SparkSession) -> DataFrame:
     """Quality on the test pool with each member left out: its fusion and calibration fitted anew on the pools they belong to."""
-    scores = detector.scores(spark).filter("y is not null").drop("raw", "score")
+    scores = detector.labelled(spark).drop("raw", "score")
     out = None
     for left in (None, *MEMBERS):
         members = tuple(m for m in MEMBERS if m != left)

@@ -26,7 +26,7 @@ def trained(spark: SparkSession, sf_dir: str) -> D.Detector:
 
 def tested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled messages that no stage was fitted on."""
-    return trained(spark, sf_dir).scores(spark).filter("pool = 'test' and y is not null")
+    return trained(spark, sf_dir).labelled(spark).filter("pool = 'test'")
 
 
 @query("detector_scores")

@@ -9,8 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import CountVectorizerModel, IDFModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailsift.functions import urls
@@ -42,41 +41,49 @@ def phrase(name: Column, value: Column) -> Column:
 
 def readable(fragments: Column, text: Column) -> Column:
     """Each fragment's first word that holds it, or the fragment where none does; each once, empty ones left out."""
-    words = F.regexp_extract_all(text, F.lit(r"(?U)[\w@./-]+"), F.lit(0))
+    return _readable(fragments, _words(text))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?U)[\w@./-]+"), F.lit(0))
+
+
+def _readable(fragments: Column, words: Column) -> Column:
     clean = F.filter(F.transform(fragments, lambda f: F.trim(F.regexp_replace(f, r"\s+", " "))), lambda f: f != "")
     return F.array_distinct(F.transform(clean, lambda f: F.coalesce(F.get(F.filter(words, lambda w: F.contains(w, f)), F.lit(0)), f)))
 
 
+def _heaviest(model: PipelineModel, k: int) -> Column:
+    """(term, contribution, place) of the k terms of a column text that weigh most in a text member's log-odds."""
+    own = models.linear(model)
+    if own.vocabulary is None:
+        return models.char_contributions(F.col("text"), own.idf, own.weights, k)
+    return models.term_contributions(F.col("text"), own.vocabulary, own.idf, own.weights, k)
+
+
 def term_contributions(model: PipelineModel, rows: DataFrame, id: str, k: int) -> DataFrame:
     """(id, term, contribution, place): the k terms of each row that weigh most in a text member's log-odds, by absolute value.
 
     A contribution is the term's weight times its inverse document frequency over the length of the row's
-    vector. What is broadcast has a row an entry of the member's vocabulary, or of its hashed space.
-    Of fragments of one hash the first by name stands for all; fragments come as they stand in the text, and
-    each row's are weighed where it is read, so none but the k are written or moved.
+    vector. Of fragments of one hash the first by name stands for all; terms come as they stand in the text, and
+    each row's are weighed where it is read, so none but the k are written or moved. A task holds an entry for each
+    of the member's vocabulary, or of its hashed space.
+    """
+    x = rows.select(id, F.explode(_heaviest(model, k)).alias("x"))
+    return x.select(id, "x.term", F.round("x.contribution", 5).alias("contribution"), "x.place")
+
+
+def terms(detector: D.Detector, spark: SparkSession, *members: str, k: int = TERMS_SHOWN) -> DataFrame:
+    """(message_id, member, place, term, contribution, words): the terms of held messages; words are those that hold a fragment.
+
+    Held messages are read once for all members, and their words are looked for once.
     """
-    idf = next(s for s in model.stages if isinstance(s, IDFModel)).idf.toArray()
-    weights = model.stages[-1].coefficients.toArray()
-    vocabulary = next((s.vocabulary for s in model.stages if isinstance(s, CountVectorizerModel)), None)
-    if vocabulary is None:
-        x = rows.select(id, F.explode(models.char_contributions(F.col("text"), idf, weights, k)).alias("x"))
-        return x.select(id, "x.term", F.round("x.contribution", 5).alias("contribution"), "x.place")
-    terms = model.transform(rows).select(id, F.explode(F.array_distinct("_terms")).alias("term"))
-    entries = rows.sparkSession.createDataFrame([(t, float(i), float(w)) for t, i, w in zip(vocabulary, idf, weights, strict=True)], "term string, idf double, w double")
-    x = terms.distinct().join(F.broadcast(entries), "term")
-    share = F.col("w") * F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(Window.partitionBy(id)))
-    x = x.withColumn("contribution", share)
-    order = Window.partitionBy(id).orderBy(F.desc(F.abs("contribution")), "term")
-    return x.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select(id, "term", F.round("contribution", 5).alias("contribution"), "place")
-
-
-def terms(detector: D.Detector, spark: SparkSession, member: str = "m_words", k: int = TERMS_SHOWN) -> DataFrame:
-    """(message_id, member, place, term, contribution, words): the terms of held messages; words are those that hold a fragment."""
     rows = _held_rows(detector, spark).select("message_id", "text")
-    found = term_contributions(detector.member(member), rows, "message_id", k)
-    x = found.join(rows, "message_id")
-    words = F.array(F.col("term")) if member == "m_words" else readable(F.array("term"), F.col("text"))
-    return x.select("message_id", F.lit(member).alias("member"), "place", "term", "contribution", F.array_join(words, ", ").alias("words"))
+    found = rows.select("message_id", "text", *(_heaviest(detector.member(m), k).alias(m) for m in members))
+    one = lambda m, words: F.transform(m, lambda t: F.struct(F.lit(m).alias("member"), t["place"].alias("place"), t["term"].alias("term"), F.round(t["contribution"], 5).alias("contribution"), F.array_join(words(t["term"]), ", ").alias("words")))
+    whole = lambda m: one(m, lambda t: F.array(t))
+    within = lambda m: F.get(F.transform(F.array(_words(F.col("text"))), lambda w: one(m, lambda t: _readable(F.array(t), w))), F.lit(0))
+    return found.select("message_id", F.explode(F.concat(*(whole(m) if m == "m_words" else within(m) for m in members))).alias("x")).select("message_id", "x.*")
 
 
 def held(detector: D.Detector, spark: SparkSession) -> DataFrame:
@@ -84,7 +91,7 @@ def held(detector: D.Detector, spark: SparkSession) -> DataFrame:
 
 
 def _held_rows(detector: D.Detector, spark: SparkSession) -> DataFrame:
-    return detector.rows(spark).dropDuplicates(["message_id"]).join(held(detector, spark).select("message_id"), "message_id", "left_semi")
+    return detector.rows(spark).join(held(detector, spark).select("message_id"), "message_id", "left_semi").dropDuplicates(["message_id"])
 
 
 def _items(x: DataFrame, ord: Column | int, kind: str, id: Column, title: Column, detail: Column, direction: Column, weight: Column) -> DataFrame:

@@ -63,8 +63,7 @@ def _(spark, d):
 
 @query("detector_terms")
 def _(spark, d):
-    model = trained(spark, d)
-    return evidence.terms(model, spark, "m_words").unionByName(evidence.terms(model, spark, "m_chars"))
+    return evidence.terms(trained(spark, d), spark, "m_words", "m_chars")
 
 
 @query("evidence_cards")

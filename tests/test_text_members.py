@@ -1,5 +1,6 @@
 """The members that read texts: their fits and scores against those of pyspark.ml's own stages, and what a fit leaves out until it is asked for."""
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
@@ -73,3 +74,18 @@ def test_messages_without_label_are_scored_when_they_are_asked_for(spark):
         assert model.rows(spark).join(known, "message_id", "left_anti").filter("y is not null").count() == 0
     finally:
         plans._TRAINED.pop(key) if before is None else plans._TRAINED.update({key: before})
+
+
+def test_terms_of_held_messages_are_weighed_where_they_are_read(spark):
+    names = ["now", "your account", "verify", "account", "your", "zzz", "a b", "b"]
+    idf, w = np.array([0.5, 1.5, 1.0, 0.7, 0.7, 2.0, 1.0, 0.0]), np.array([1.0, -1.0, 1.5, 2.0, 2.0, 9.0, -1.0, 5.0])
+    texts = ["Verify your account now, verify it", "a b", "", None, "nothing known"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", models.term_contributions(F.col("text"), names, idf, w, 3).alias("x"))
+    plan = got.select("i", F.explode("x").alias("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    found = {r.i: [(x.term, x.place, x.contribution) for x in r.x] for r in got.collect()}
+    length = sum(idf[i] ** 2 for i in range(5)) ** 0.5
+    want = [("verify", 1.5 / length), ("your account", -1.5 / length), ("account", 1.4 / length)]
+    assert [(t, p) for t, p, _ in found[0]] == [(t, i) for i, (t, _) in enumerate(want, 1)]
+    assert np.allclose([c for _, _, c in found[0]], [c for _, c in want])
+    assert [(t, c) for t, _, c in found[1]] == [("a b", -1.0), ("b", 0.0)] and found[2] == found[3] == found[4] == []

@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -153,10 +155,15 @@ def train(mails: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4,
     weighted = models.balanced(fit).cache()
     n = weighted.count()
     made = {"m_trees": models.tree_member(columns, trees, depth), "m_words": models.word_member(features=features, n_rows=n), "m_chars": models.char_member(features=4 * features, n_rows=n)}
-    fitted = {}
-    for name, stages in made.items():
-        fitted[name] = stages.fit(weighted)
-        fitted[name].write().save(f"{path}/{name}")
+
+    def fitted_one(name: str):
+        model = made[name].fit(weighted)
+        model.write().save(f"{path}/{name}")
+        return model
+
+    # Side by side: a fit is a row of small jobs, and one's waits leave cores to the others.
+    with ThreadPool(len(made)) as pool:
+        fitted = dict(zip(made, pool.map(inheritable_thread_target(spark)(fitted_one), made), strict=True))
     weighted.unpersist()
     models.member_scores(fitted, rows, ["message_id", "y", "pool"]).write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
